@@ -85,3 +85,16 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
 
 def _rows(batch: pa.RecordBatch, start: int, n: int) -> dict:
     return {name: batch.column(i).slice(start, n) for i, name in enumerate(batch.schema.names)}
+
+
+def by_ranges(df: DataFrame, key: str, name: str = "_pid") -> tuple[DataFrame, int]:
+    """df with the number of each row's range of `key` (ascending, nulls in range 0), and how many ranges there are.
+
+    There is a range for each shuffle partition at most. Bounds are quantiles of the key alone, so that texts are not read
+    for them, and are literals in the plan: a task that is run again deals the same rows.
+    """
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = sorted(set(df.where(F.col(key).isNotNull()).approxQuantile(key, [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
+    kind = df.schema[key].dataType
+    own = F.array(*(F.lit(b).cast(kind) for b in bounds)) if bounds else F.array().cast(f"array<{kind.simpleString()}>")
+    return df.withColumn(name, F.coalesce(F.size(F.filter(own, lambda b: b <= F.col(key))), F.lit(0))), len(bounds) + 1

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import line_dedup, mixing, quality, sentencepiece_codec, simhash_dedup
+from pulsegrid.llm import additive_index, fingerprints, language_id, line_dedup, mixing, quality, secret_scan, sentencepiece_codec, simhash_dedup, token_files
 from pulsegrid.llm.common import fold
 
 
@@ -36,6 +36,40 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= quality.KEEP).cast("int").alias("predicted"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(_read(spark, sf_dir))
+    names = F.array(*map(F.lit, (*secret_scan.KINDS, "format")))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s.kind + 1), s.start.cast("string"), s.stop.cast("string"))), ",")
+
+    def number(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long")
+
+    base = joined(F.filter("spans", lambda s: s.kind < len(secret_scan.KINDS)))
+    return found.select("doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir)
+    found = language_id.predict(docs, language_id.fit(docs), reject=False)
+    return found.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write(_read(spark, sf_dir), token_files.folder(spark), tokenizer("byte_bpe_50k.json"))
+    return token_files.read(spark, manifest, ids=False)
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return additive_index.neighbours(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_likeness(_read(spark, sf_dir))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.keep_bitmaps(_read(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "dedup.n_lines", "dedup.n_dropped", F.sha2(line_dedup.kept_text().cast("binary"), 256).alias("kept_sha256"))
@@ -46,7 +80,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_quality, op9_line_dedup, op10_simhash_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_quality, op4_secrets, op5_language_id, op6_token_files, op7_nearest, op8_fingerprints, op9_line_dedup, op10_simhash_dedup)}
 
 ORACLES: dict[str, str] = {
     "op9_line_dedup": r"""

@@ -1,0 +1,210 @@
+import hashlib
+import random
+import re
+from array import array
+from collections import Counter, defaultdict
+from zlib import crc32
+
+import numpy as np
+import pytest
+
+from pulsegrid.llm import additive_index, fingerprints, language_id, queries, secret_scan, token_files
+from tests.llm.fixtures import empty, rows, with_nulls
+from tests.llm.test_text_operators import sha, texts
+
+
+def spans_by_hand(t):
+    t, out = t or "", []
+    for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
+        out += [(m.start(), 0, m.end())] * (len(m[2]) >= 12)
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+def joined(spans):
+    return ",".join(f"{('assign', 'access', 'hex', 'format')[k]}:{a}:{b}" for a, k, b in spans)
+
+
+def test_secrets(spark, sf_dir):
+    got = {r.doc_id: r for r in queries.op4_secrets(spark, sf_dir).collect()}
+    for d, t in texts(spark, sf_dir):
+        base, r = spans_by_hand(t), got[d]
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == (*(sum(k == i for _, k, _ in base) for i in range(3)), sha(joined(base).encode()))
+        assert set(joined(base).split(",")) <= {*r.spans.split(","), ""}
+
+
+def test_secrets_odd_texts(spark):
+    got = secret_scan.find_secrets(with_nulls(spark)).collect()
+    want = Counter((r[0], joined(spans_by_hand(r[1]))) for r in [*rows(), (None, "text of no id"), (None, None)])
+    assert Counter((r.doc_id, joined([(s.start, s.kind, s.stop) for s in r.spans if s.kind < 3])) for r in got) == want
+    assert secret_scan.find_secrets(empty(spark)).count() == 0
+
+
+def test_automata_know_their_format(spark):
+    rng = random.Random(5)
+    make = lambda: "sk_" + "".join(rng.choice("0123456789abcdef") for _ in range(32))
+    automaton = secret_scan.infer(make() for _ in range(300))
+    assert len({id(s) for s in automaton}) > 1
+    own = [secret_scan.format_score({0: automaton}, make()) for _ in range(50)]
+    other = [secret_scan.format_score({0: automaton}, "".join(rng.choice("ghijklmnopqrstuvwxyzGHIJK") for _ in range(35))) for _ in range(50)]
+    assert min(own) > secret_scan.MARGIN > max(other)
+    known = " ".join(f"token={make()}" for _ in range(40))
+    docs = spark.createDataFrame([(1, known), (2, f"see {make()} here"), (3, "thesewordsareverylongXindeedXtheyXare but harmless")], "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.value) for s in r.spans] for r in secret_scan.find_secrets(docs).collect()}
+    assert len(got[1]) >= 40 and 3 in [k for k, _ in got[2]] or 2 in [k for k, _ in got[2]]
+    assert got[3] == []
+
+
+def test_language_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op5_language_id(spark, sf).collect()
+    held = [(lang[r.doc_id], r.lang_pred) for r in got if r.held_out]
+    assert len(got) == len(lang) and all(0 <= r.score <= 1 for r in got)
+    assert sum(a == b for a, b in held) / len(held) > 0.97
+
+
+def test_language_odd_texts(spark):
+    model = language_id.fit(with_nulls(spark))
+    got = language_id.predict(with_nulls(spark), model, reject=False).collect()
+    assert len(got) == len(rows()) + 2
+    for r in got:
+        text = dict((x[0], x[1]) for x in rows()).get(r.doc_id, "text of no id") if r.doc_id is not None else None
+        if r.doc_id is not None:
+            assert (r.lang_pred == "und") == (not any(c.isalpha() for c in text or "")), r
+    assert language_id.predict(with_nulls(spark), model).where("rejected AND lang_pred <> 'und'").count() == 0
+    none = language_id.fit(empty(spark))
+    assert {r.lang_pred for r in language_id.predict(with_nulls(spark), none).collect()} == {"und"}
+    assert language_id.predict(empty(spark), model).count() == 0
+
+
+def edits_by_hand(docs):
+    """docs: (id, text), ids all different."""
+    order = sorted(docs, reverse=True)
+    out = {}
+    for i, (d, t) in enumerate(order):
+        nxt, m = order[(i + 1) % len(order)][1], len(t) // 3
+        changed = t[: len(t) - m] + nxt[:m]
+        a, b, c = map(fingerprints.fingerprint, (t, changed, nxt))
+        like = lambda x, y: 1 - bin((x ^ y) & (2**64 - 1)).count("1") / 64
+        out[d] = (len(t), sha(changed.encode()), f"{a & (2**64 - 1):016x}", f"{b & (2**64 - 1):016x}", like(a, b), like(a, c))
+    return out
+
+
+def test_fingerprints_of_edits(spark, sf_dir):
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op8_fingerprints(spark, sf_dir).collect()}
+    assert got == edits_by_hand(texts(spark, sf_dir))
+    long = [v for v in got.values() if v[0] > 300]
+    assert np.mean([v[4] for v in long]) > np.mean([v[5] for v in long]) + 0.1
+
+
+def test_fingerprints_odd_texts(spark):
+    unique = {r[0]: r[1] or "" for r in rows()}
+    got = fingerprints.edit_likeness(with_nulls(spark).dropDuplicates(["doc_id", "text"])).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got if r.doc_id is not None} == edits_by_hand(list(unique.items()))
+    assert sum(r.doc_id is None for r in got) == 2 and len(got) == len(unique) + 2
+    assert fingerprints.edit_likeness(empty(spark)).count() == 0 and fingerprints.fingerprints(empty(spark)).count() == 0
+    one = fingerprints.edit_likeness(spark.createDataFrame([(7, "abcdef xyz")], "doc_id long, text string")).collect()
+    assert len(one) == 1 and one[0].edited_sha256 == sha(b"abcdef abc") and one[0].near_next == 1.0
+    assert fingerprints.edit_likeness(with_nulls(spark)).count() == len(rows()) + 2
+    plain = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(with_nulls(spark)).collect()}
+    assert all(plain[d] == fingerprints.fingerprint(t) for d, t in unique.items())
+
+
+@pytest.mark.parametrize(("radius", "blocks"), [(3, 5), (3, 4), (6, 8), (0, 1)])
+def test_permuted_block_tables(spark, radius, blocks):
+    rng = random.Random(radius)
+    base = [rng.getrandbits(64) for _ in range(25)]
+    fps = sorted({x - 2**64 if x >= 2**63 else x for x in base + [b ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(10))) for b in base for _ in range(5)]})
+    want = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= radius}
+    frame = spark.createDataFrame([(x,) for x in [*fps, fps[0], None]], "fingerprint long")
+    assert {tuple(r) for r in fingerprints.within(frame, radius, blocks).collect()} == want
+
+
+def ids_by_hand(docs):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    at, out = 0, []
+    for d, x in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        ids = [*t.encode(x, add_special_tokens=False).ids, 0]
+        out.append((d, at, len(ids), crc32(array("I", ids).tobytes())))
+        at += len(ids)
+    return out
+
+
+def test_token_files(spark, sf_dir):
+    assert sorted(tuple(r) for r in queries.op6_token_files(spark, sf_dir).collect()) == ids_by_hand(texts(spark, sf_dir))
+
+
+def test_token_files_odd_texts(spark):
+    path, folder = queries.tokenizer("byte_bpe_50k.json"), token_files.folder(spark)
+    manifest = token_files.write(with_nulls(spark), folder, path, file_ids=1000)
+    got = token_files.read(spark, manifest)
+    assert manifest.count() > 3
+    assert Counter(tuple(r) for r in got.drop("ids").collect()) == Counter(ids_by_hand([(r[0], r[1] or "") for r in [*rows(), (None, "text of no id"), (None, None)]]))
+    assert all(crc32(array("I", r.ids).tobytes()) == r.ids_crc32 for r in got.collect())
+    none = token_files.write(empty(spark), token_files.folder(spark), path)
+    assert none.count() == 0 and token_files.read(spark, none).count() == 0
+
+
+@pytest.mark.parametrize("text", ["<|endoftext|> a", "a\n b \n c", "it's  two", "a\xa0b  c", "tab\there ", " lead", "x\0 y \0", "don't I'll 12 345", "é ǘ 漢 字"])
+def test_pieces_are_encoded_as_the_whole(text):
+    own = token_files.Encoder(queries.tokenizer("byte_bpe_50k.json"), most=5)
+    for t in (text, f"{text} {text}", ""):
+        assert list(array("I", own.encode([t])[0])) == own.library.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 5000])
+@pytest.mark.parametrize("top", [1, 300, 50_257, 2**32])
+def test_blocks_round_trip(n, top):
+    rng = np.random.default_rng(n)
+    ids = rng.integers(0, top, n, dtype=np.uint64).astype(np.uint32)
+    ids[rng.random(n) < 0.05] = top - 1
+    blocks = token_files.pack(ids) if n else []
+    data = np.frombuffer(b"".join(blocks), np.uint8)
+    starts = np.cumsum([0, *map(len, blocks)])[:-1].astype(np.int64)
+    assert np.array_equal(token_files.unpack(data, starts), ids)
+    if n > 4:
+        assert np.array_equal(token_files.unpack(data, starts[-1:]), ids[(len(starts) - 1) * 256 :])
+
+
+def nearest_by_hand(vectors, asked, top=20):
+    ids, x = np.array([v[0] for v in vectors]), np.array([v[1] for v in vectors], float)
+    out = {}
+    for q, v in asked:
+        s = x @ np.array(v, float)
+        order = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:top]
+        out[q] = [(int(ids[i]), float(s[i])) for i in order]
+    return out
+
+
+def test_nearest_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    vectors = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    want = nearest_by_hand(vectors, [v for v in vectors if v[0] % 20 == 0])
+    got = defaultdict(list)
+    for r in queries.op7_nearest(spark, sf).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+        assert r.rank == len(got[r.query_id])
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    exact = {q: dict(v) for q, v in want.items()}
+    assert np.mean([len({i for i, _ in got[q]} & exact[q].keys()) / 20 for q in want]) >= 0.9
+    assert all(s == pytest.approx(exact[q][i], abs=1e-12) for q, v in got.items() for i, s in v if i in exact[q])
+
+
+def test_nearest_odd_vectors(spark):
+    rng = np.random.default_rng(0)
+    good = [(i, rng.normal(size=6).round(2).tolist()) for i in range(40)] + [(i, [1.0, 2.0, 3.0, 0.0, 0.0, 1.0]) for i in range(40, 90)]
+    odd = [(100, None), (120, [0.0] * 6), (140, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (160, [float("nan")] * 6), (180, [float("inf")] + [0.0] * 5), (200, []), (None, [1.0] * 6), (220, [1.0, 2.0])]
+    frame = spark.createDataFrame(good + odd, "vec_id long, embedding array<double>").withColumn("rank", __import__("pyspark").sql.functions.lit("x"))
+    for options in ({}, {"rows": 16, "per_query_block": 2}):
+        got = defaultdict(list)
+        for r in additive_index.neighbours(frame, frame.where("vec_id % 20 = 0"), rerank=60, **options).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.vec_id, pytest.approx(r.score)))
+        assert got == nearest_by_hand(good, [v for v in good if v[0] % 20 == 0])
+    assert additive_index.neighbours(frame.limit(0), frame).count() == 0
+    assert additive_index.neighbours(frame, frame.limit(0)).count() == 0
+    assert additive_index.neighbours(spark.createDataFrame(good[:1], "vec_id long, embedding array<double>"), frame.where("vec_id = 0")).count() == 0
