@@ -150,7 +150,7 @@ def test_token_files_odd_texts(spark):
     assert none.count() == 0 and token_files.read(spark, none).count() == 0
 
 
-@pytest.mark.parametrize("text", ["<|endoftext|> a", "a\n b \n c", "it's  two", "a\xa0b  c", "tab\there ", " lead", "x\0 y \0", "don't I'll 12 345", "é ǘ 漢 字"])
+@pytest.mark.parametrize("text", ["<|endoftext|> a", "a\n b \n c", "it's  two", "a\xa0b  c", "tab\there ", " lead", "x\0 y \0", "don't I'll 12 345", "a.b,c. d, e.\nF", "(a). b", "a_.b", ".a", "x\n", "\ny", "a\n\nb", "it's. 5.5, ²,", "é ǘ 漢 字"])
 def test_pieces_are_encoded_as_the_whole(text):
     own = token_files.Encoder(queries.tokenizer("byte_bpe_50k.json"), most=5)
     for t in (text, f"{text} {text}", ""):
