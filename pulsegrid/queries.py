@@ -45,7 +45,8 @@ def gap_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def burst_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = train(spark, sf_dir)
     made = B.burst_features(ev, E.bursts(ev, GAP, MERGE))
-    return made.select("rec_id", "start", "stop", "b_n", *(F.round(c, 5).alias(c) for c in ("dur", "isi_mean", "isi_std", "isi_med", "isi_cv", "isi_fano")))
+    fine = {"isi_mean": 1e3, "isi_std": 1e3, "isi_med": 1e3, "isi_cv": 1e6, "isi_fano": 1e3}  # cut, not rounded: half cells are common here
+    return made.select("rec_id", "start", "stop", "b_n", "dur", *((F.floor(F.col(c) * n) / n).alias(c) for c, n in fine.items()))
 
 
 def burst_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,8 +301,8 @@ ORACLES: dict[str, str] = {
     "gap_islands": f"WITH {_EV}, {_ISLANDS} SELECT * FROM islands",
     "burst_features": f"""WITH {_EV}, {_BURSTS},
 inside AS (SELECT b.rec_id, b.start, b.stop, t, (t - lag(t) OVER (PARTITION BY b.rec_id, b.start ORDER BY t)) / 1e6 AS isi FROM bursts b JOIN ev ON ev.rec_id = b.rec_id AND ev.t BETWEEN b.start AND b.stop)
-SELECT rec_id, start, stop, count(*) AS b_n, round((max(t) - min(t)) / 1e6, 5) AS dur, round(avg(isi), 5) AS isi_mean, round(stddev_pop(isi), 5) AS isi_std, round(quantile_cont(isi, 0.5), 5) AS isi_med,
-round(stddev_pop(isi) / avg(isi), 5) AS isi_cv, round(var_pop(isi) / avg(isi), 5) AS isi_fano FROM inside GROUP BY rec_id, start, stop""",
+SELECT rec_id, start, stop, count(*) AS b_n, (max(t) - min(t)) / 1e6 AS dur, floor(avg(isi) * 1e3) / 1e3 AS isi_mean, floor(stddev_pop(isi) * 1e3) / 1e3 AS isi_std, floor(quantile_cont(isi, 0.5) * 1e3) / 1e3 AS isi_med,
+floor(stddev_pop(isi) / avg(isi) * 1e6) / 1e6 AS isi_cv, floor(var_pop(isi) / avg(isi) * 1e3) / 1e3 AS isi_fano FROM inside GROUP BY rec_id, start, stop""",
     "burst_ranks": f"""WITH {_EV}, {_BURSTS}, r AS (SELECT *, CASE WHEN b_n >= 8 THEN 0 WHEN b_n >= 7 THEN 1 WHEN b_n >= 6 THEN 2 WHEN b_n >= 5 THEN 3 END AS rank FROM bursts)
 SELECT rec_id, start, b_n, rank, CASE rank WHEN 0 THEN 'XL' WHEN 1 THEN 'L' WHEN 2 THEN 'M' WHEN 3 THEN 'S' ELSE 'XS' END AS rank_name,
 CASE WHEN rank <= 1 THEN 'high-load' WHEN rank = 2 THEN 'medium-load' ELSE 'low-load' END AS cname FROM r""",
