@@ -83,9 +83,26 @@ def interval_subtract(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def insert_predators(states: DataFrame, predators: DataFrame, label: str, min_duration: int) -> DataFrame:
-    """(rec_id, start, stop, state) with predators strictly longer than min_duration put in place of what they cover."""
+    """(rec_id, start, stop, state) with predators strictly longer than min_duration put in place of what they cover of disjoint states.
+
+    All borders are sorted together once; between two neighbouring ones the last state and predator begun tell what holds there.
+    """
     kept = interval_union(predators.where(F.col("stop") - F.col("start") > min_duration))
-    return interval_subtract(states.select(REC, "start", "stop", "state"), kept).unionByName(kept.withColumn("state", F.lit(label)))
+
+    def borders(df: DataFrame, own: str, other: str, name) -> DataFrame:
+        kind = "struct<a: bigint, z: bigint, state: string>"
+        held = F.struct(F.col("start").alias("a"), F.col("stop").alias("z"), name.alias("state")).cast(kind)
+        ends = F.array(F.struct(F.col("start").alias("t"), held.alias(own)), F.struct(F.col("stop").alias("t"), F.lit(None).cast(kind).alias(own)))
+        return df.where("stop > start").select(REC, F.inline(ends)).withColumn(other, F.lit(None).cast(kind))
+
+    both = borders(states, "_s", "_p", F.col("state")).unionByName(borders(kept, "_p", "_s", F.lit(label)))
+    w = _order("t")
+    last = {c: F.last(c, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)) for c in ("_s", "_p")}
+    parts = both.select(REC, "t", F.lead("t").over(w).alias("_next"), last["_s"].alias("_s"), last["_p"].alias("_p")).where("_next > t")
+    taken = F.coalesce(F.col("_p.z") > F.col("t"), F.lit(False))
+    left = parts.withColumn("_taken", taken).where(F.col("_taken") | (F.col("_s.z") > F.col("t")))
+    named = left.select(REC, F.when(F.col("_taken"), F.col("_p.a")).otherwise(F.col("t")).alias("_key"), F.when(F.col("_taken"), F.col("_p.state")).otherwise(F.col("_s.state")).alias("state"), F.col("t").alias("start"), F.col("_next").alias("stop"))
+    return named.groupBy(REC, "_key", "state").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select(REC, "start", "stop", "state")
 
 
 def overlap_join(a: DataFrame, b: DataFrame, width: int, closed: bool = False) -> DataFrame:

@@ -16,6 +16,7 @@ from pulsegrid.operators import bursts as B
 from pulsegrid.operators import events as E
 from pulsegrid.operators import intervals as I
 from pulsegrid.operators import maps as M
+from pulsegrid.plans import states as S
 
 HOUR = 3600 * SECOND
 GAP, MERGE, DEAD = 18_000 * SECOND, 25_200 * SECOND, 12_000 * SECOND
@@ -249,6 +250,27 @@ def burst_isi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isi.groupBy("rec_id").agg(F.count("*").alias("n"), F.sum("isi").alias("sum_isi"))
 
 
+SCALE = 7_200
+STATES = S.StateParams(
+    **{k: v * SCALE for k, v in vars(S.StateParams()).items() if k.endswith(("gap", "quiet", "duration", "buffer", "iip", "bucket"))}
+)
+
+
+def _ranked(ev: DataFrame) -> DataFrame:
+    """Bursts, severe from five events and medium with four."""
+    return E.bursts(ev, GAP, MERGE).withColumn("rank", F.when(F.col("b_n") >= 5, 1).when(F.col("b_n") == 4, 2))
+
+
+def severe_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = train(spark, sf_dir)
+    return S.severe_periods(_ranked(ev), I.bounds_of(ev), STATES).select("rec_id", "start", "stop", "state")
+
+
+def state_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = train(spark, sf_dir)
+    return S.segment(ev, _ranked(ev), I.bounds_of(ev), masks(ev), STATES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -256,6 +278,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         mask_complement, analyzed_duration, events_in_bursts, overlap_join, touch_join, interval_subtract, insert_predators, clean_events, runs_above_threshold,
         local_maxima, local_minima, running_rms, line_length, zscore_value, percentile_norm, amp_histogram, isi_hist_peak, codebook, bmu_projection, bmu_hits,
         map_quality, category_rates, category_tfracs, diagnostics, state_runs, state_coverage, tolerance_match, nearest_event, next_event, doublets, threshold_counts, burst_isi,
+        severe_periods, state_segments,
     )
 }
 
@@ -388,4 +411,6 @@ gaps AS (SELECT rec_id, state, z AS start, lead(a) OVER (PARTITION BY rec_id, s0
 SELECT rec_id, start, stop, state FROM gaps WHERE stop > start
 UNION ALL SELECT rec_id, start, stop, state FROM runs r WHERE NOT EXISTS (SELECT 1 FROM cut WHERE cut.rec_id = r.rec_id AND cut.s0 = r.start)
 UNION ALL SELECT rec_id, start, stop, 'art' FROM mu WHERE stop - start > {10 * HOUR}""",
+    "severe_periods": f"""WITH {_EV}, {_BOUNDS}, {_BURSTS}, severe AS (SELECT rec_id, start, stop FROM bursts WHERE b_n >= 5), {_union("ip", "severe", STATES.severe_gap, ">=")}, {_complement("rest", "ip")}
+SELECT rec_id, start, stop, 'IP' AS state FROM ip UNION ALL SELECT rec_id, start, stop, 'temp' FROM rest""",
 }
