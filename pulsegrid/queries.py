@@ -16,6 +16,7 @@ from pulsegrid.operators import bursts as B
 from pulsegrid.operators import events as E
 from pulsegrid.operators import intervals as I
 from pulsegrid.operators import maps as M
+from pulsegrid.plans import detection as D
 from pulsegrid.plans import states as S
 
 HOUR = 3600 * SECOND
@@ -271,6 +272,32 @@ def state_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.segment(ev, _ranked(ev), I.bounds_of(ev), masks(ev), STATES)
 
 
+def chosen_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.choose_threshold(threshold_counts(spark, sf_dir))
+
+
+def refractory_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.refractory_counts(E.local_extrema(train(spark, sf_dir)), DEAD, THRESHOLDS)
+
+
+def amplitude_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events among the samples that are far from errors."""
+    ev = train(spark, sf_dir)
+    return D.amplitude_events(ev, ev.where("kind = 'error'").select("rec_id", "t"), MARGIN, DEAD, 1.5, "pos")
+
+
+def _indexed(ev: DataFrame) -> DataFrame:
+    return ev.select("rec_id", (F.row_number().over(Window.partitionBy("rec_id").orderBy("t")) - 1).cast("long").alias("i"), "v")
+
+
+def loud_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.loud_stretches(_indexed(train(spark, sf_dir)), 1.0, 4.0, 1.2, 0.3, 0.5, 2.0, 0.0)
+
+
+def saturation_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.saturation_points(_indexed(train(spark, sf_dir)), 1.0, 1.0, 3.0, 5.0, 5.0, 0.5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -278,7 +305,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         mask_complement, analyzed_duration, events_in_bursts, overlap_join, touch_join, interval_subtract, insert_predators, clean_events, runs_above_threshold,
         local_maxima, local_minima, running_rms, line_length, zscore_value, percentile_norm, amp_histogram, isi_hist_peak, codebook, bmu_projection, bmu_hits,
         map_quality, category_rates, category_tfracs, diagnostics, state_runs, state_coverage, tolerance_match, nearest_event, next_event, doublets, threshold_counts, burst_isi,
-        severe_periods, state_segments,
+        severe_periods, state_segments, chosen_threshold, refractory_counts, amplitude_events, loud_stretches, saturation_points,
     )
 }
 
@@ -413,4 +440,15 @@ UNION ALL SELECT rec_id, start, stop, state FROM runs r WHERE NOT EXISTS (SELECT
 UNION ALL SELECT rec_id, start, stop, 'art' FROM mu WHERE stop - start > {10 * HOUR}""",
     "severe_periods": f"""WITH {_EV}, {_BOUNDS}, {_BURSTS}, severe AS (SELECT rec_id, start, stop FROM bursts WHERE b_n >= 5), {_union("ip", "severe", STATES.severe_gap, ">=")}, {_complement("rest", "ip")}
 SELECT rec_id, start, stop, 'IP' AS state FROM ip UNION ALL SELECT rec_id, start, stop, 'temp' FROM rest""",
+    "chosen_threshold": f"""WITH {_EV}, n AS (SELECT rec_id, v, lag(v) OVER w AS p, lead(v) OVER w AS q FROM ev WINDOW w AS (PARTITION BY rec_id ORDER BY t)), m AS (SELECT rec_id, v FROM n WHERE p < v AND v > q),
+c AS (SELECT rec_id, (10 * i)::DOUBLE AS threshold, count(*) FILTER (v > 10 * i) AS n FROM m, range(10) t(i) GROUP BY rec_id, i), e AS (SELECT *, min(n) OVER r AS lo, max(n) OVER r AS hi FROM c WINDOW r AS (PARTITION BY rec_id)),
+d AS (SELECT rec_id, threshold, lead(n) OVER (PARTITION BY rec_id ORDER BY threshold) - n AS d FROM e WHERE n > lo AND n < hi),
+s AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY d DESC) AS place, ceil(count(*) OVER (PARTITION BY rec_id) * 35.0 / 100) AS last FROM d WHERE d IS NOT NULL),
+x AS (SELECT *, min(CASE WHEN place <= last THEN d END) OVER (PARTITION BY rec_id) AS cut FROM s) SELECT rec_id, min(threshold) AS threshold FROM x WHERE d >= cut GROUP BY rec_id""",
+    "amplitude_events": f"""WITH {_EV}, er AS (SELECT rec_id, t FROM ev WHERE kind = 'error'),
+p AS (SELECT ev.rec_id, ev.t, ev.v, (SELECT max(er.t) FROM er WHERE er.rec_id = ev.rec_id AND er.t <= ev.t) AS b, (SELECT min(er.t) FROM er WHERE er.rec_id = ev.rec_id AND er.t >= ev.t) AS a FROM ev),
+f AS (SELECT * FROM p WHERE (a IS NULL AND b IS NULL) OR (t - b > {MARGIN} AND a - t > {MARGIN})),
+z AS (SELECT *, (v - avg(v) OVER r) / nullif(stddev_pop(v) OVER r, 0) AS z, CASE WHEN b IS NOT DISTINCT FROM lag(b) OVER w THEN coalesce(t - lag(t) OVER w, 0) ELSE 0 END AS spent FROM f WINDOW r AS (PARTITION BY rec_id), w AS (PARTITION BY rec_id ORDER BY t)),
+k AS (SELECT *, sum(spent) OVER (PARTITION BY rec_id ORDER BY t) AS clock FROM z), h AS (SELECT rec_id, t, clock - lag(clock) OVER (PARTITION BY rec_id ORDER BY t) AS gap FROM k WHERE z > 1.5)
+SELECT rec_id, t FROM h WHERE gap IS NULL OR gap > {DEAD}""",
 }
