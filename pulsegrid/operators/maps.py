@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,6 +76,70 @@ def severity(codebook: DataFrame, reference: int) -> DataFrame:
     return d.join(F.broadcast(top)).select("node_id", (1 - F.col("d") / F.nullif("top", F.lit(0.0))).alias("si"))
 
 
+def cluster_nodes(codebook: DataFrame, clusters: int, reference: int, method: str = "ward") -> DataFrame:
+    """(node_id, clust): nodes joined step by step into `clusters` groups, numbered from 0 by the distance of their means from the reference node.
+
+    A map has at most some hundreds of nodes, so this runs on the driver. method is ward (least growth of the squared distances from
+    the mean) or complete (least largest distance).
+    """
+    if method not in ("ward", "complete"):
+        raise ValueError(f"unknown method: {method}")
+    rows = sorted((r["node_id"], r["w"]) for r in codebook.select("node_id", "w").collect())
+    w = np.array([v for _, v in rows], float)
+    groups = [[k] for k in range(len(rows))]
+    while len(groups) > clusters:
+        best = None
+        for a in range(len(groups)):
+            for b in range(a):
+                x, y = w[groups[a]], w[groups[b]]
+                if method == "ward":
+                    cost = len(x) * len(y) / (len(x) + len(y)) * ((x.mean(0) - y.mean(0)) ** 2).sum()
+                else:
+                    cost = ((x[:, None] - y[None]) ** 2).sum(-1).max()
+                if best is None or cost < best[0]:
+                    best = (cost, a, b)
+        groups[best[2]] += groups.pop(best[1])
+    ref = w[[i for i, _ in rows].index(reference)]
+    groups.sort(key=lambda g: ((w[g].mean(0) - ref) ** 2).sum())
+    made = [(rows[k][0], c) for c, g in enumerate(groups) for k in g]
+    return codebook.sparkSession.createDataFrame(made, "node_id int, clust int")
+
+
+def reference_node(codebook: DataFrame, largest: list[int], smallest: list[int] | None = None) -> int:
+    """The node with the largest sum of the components `largest` less those of `smallest` (ties: the lower node)."""
+    score = sum((F.get("w", F.lit(k)) for k in largest), F.lit(0.0)) - sum((F.get("w", F.lit(k)) for k in smallest or []), F.lit(0.0))
+    return codebook.orderBy(score.desc(), "node_id").first()["node_id"]
+
+
+def neighbour_distances(codebook: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, d): mean distance of each node to its neighbours on the grid."""
+    from pulsegrid.functions import sq_distance
+
+    a = codebook.select(F.col("node_id").alias("src"), F.col("w").alias("_a"))
+    b = codebook.select(F.col("node_id").alias("dst"), F.col("w").alias("_b"))
+    met = edges.join(F.broadcast(a), "src").join(F.broadcast(b), "dst")  # a map's nodes: fixed in number
+    return met.groupBy(F.col("src").alias("node_id")).agg(F.avg(F.sqrt(sq_distance(F.col("_a"), F.col("_b")))).alias("d"))
+
+
+def initial_map(vectors: DataFrame, columns: int, rows: int, vector: str = "v") -> DataFrame:
+    """(node_id, w): a grid over the plane of the two largest principal components, two deviations to each side of the mean.
+
+    Sums and products of components are made by Spark; only their table, of the vectors' width squared, comes to the driver.
+    """
+    flat = vectors.select(F.posexplode(vector).alias("i", "x"), F.col(vector).alias("_v"))
+    cells = flat.select("i", "x", F.posexplode("_v").alias("j", "y")).groupBy("i", "j").agg(F.avg("x").alias("m"), F.covar_pop("x", "y").alias("c")).collect()
+    size = 1 + max(r["i"] for r in cells)
+    mean, cov = np.zeros(size), np.zeros((size, size))
+    for r in cells:
+        mean[r["i"]], cov[r["i"], r["j"]] = r["m"], r["c"]
+    value, axis = np.linalg.eigh(cov)
+    axis = axis * np.where(np.take_along_axis(axis, np.abs(axis).argmax(0)[None], 0) < 0, -1, 1)  # sign: largest entry positive
+    span = 2 * np.sqrt(np.maximum(value[-2:], 0)) * axis[:, -2:]
+    place = [(-1 + 2 * (k % columns) / max(1, columns - 1), -1 + 2 * (k // columns) / max(1, rows - 1)) for k in range(columns * rows)]
+    made = [(k, (mean + x * span[:, 1] + y * span[:, 0]).tolist()) for k, (x, y) in enumerate(place)]
+    return vectors.sparkSession.createDataFrame(made, "node_id int, w array<double>")
+
+
 def percentile_norm(df: DataFrame, value: str, by: list[str], lo: float = 0.05, hi: float = 0.95) -> DataFrame:
     """df with `normed`: value scaled such that each group's lo and hi percentiles are 0 and 1, cut off there; null where they are equal.
 

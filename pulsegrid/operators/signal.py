@@ -135,3 +135,53 @@ def change_points(values: DataFrame, by: list[str], order: str, value: str, thre
         return group.iloc[detect_cusum((x - x.mean()) / sd, threshold, drift) if sd > 0 else []][[*by, order]]
 
     return values.groupBy(*by).applyInPandas(run, kinds)
+
+
+def fourier_resample(x: np.ndarray, size: int) -> np.ndarray:
+    """x on `size` points of the same span, by cutting off or filling up its spectrum."""
+    n = len(x)
+    if not n or not size:
+        return np.zeros(size)
+    spectrum = np.fft.rfft(x)
+    keep = min(n, size)
+    out = np.zeros(size // 2 + 1, complex)
+    out[: keep // 2 + 1] = spectrum[: keep // 2 + 1]
+    if keep % 2 == 0 and n != size:  # the highest common frequency stands for both of its signs in the shorter, for one in the longer
+        out[keep // 2] *= 2 if size < n else 0.5
+    return np.fft.irfft(out, size) * size / n
+
+
+def resample(chunks: DataFrame, sr: float, halo: int) -> DataFrame:
+    """Chunks at the rate sr. Each is resampled with `halo` samples of its neighbours, of which nothing is kept.
+
+    Where chunks begin, and halos, should be whole numbers of new samples, else they are rounded.
+    """
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out, first = [], []
+            for i0, old, v, a, b in zip(f["i0"], f["sr"], f["v"], f["left"], f["right"], strict=True):
+                ratio = sr / old
+                x = np.concatenate([np.asarray(part, float) for part in (a, v, b)])
+                y = fourier_resample(x, int(len(x) * ratio))
+                skip, start = round(len(a) * ratio), int(i0 * ratio)
+                out.append(y[skip : skip + int((i0 + len(v)) * ratio) - start].tolist())
+                first.append(start)
+            yield f[[REC, "chunk_id"]].assign(i0=np.array(first, "int64"), sr=float(sr), v=out)
+
+    kind = chunks.schema[REC].dataType.simpleString()
+    haloed = with_halo(chunks, halo, halo).select(REC, "chunk_id", "i0", "sr", "v", "left", "right")
+    return haloed.mapInPandas(each, f"{REC} {kind}, chunk_id long, i0 long, sr double, v array<double>")
+
+
+def window_plan(lengths: DataFrame, width: int, overlap: float) -> DataFrame:
+    """(rec_id, window_id, start, stop) over the n samples of each recording: overlapping windows of the next power of two, the last one at the end.
+
+    overlap is a share of the width. A recording shorter than a window has one window of its own length.
+    """
+    size = 1 << max(0, int(width) - 1).bit_length()
+    step = max(1, size - int(size * overlap))
+    last = F.greatest(F.col("n") - size, F.lit(0))
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(0).cast("long"), last, F.lit(step).cast("long")), F.array(last)))
+    dealt = lengths.where("n > 0").select(REC, "n", F.posexplode(starts).alias("window_id", "start"))
+    return dealt.select(REC, "window_id", "start", F.least(F.col("start") + size, "n").alias("stop"))
