@@ -16,7 +16,9 @@ from pulsegrid.operators import bursts as B
 from pulsegrid.operators import events as E
 from pulsegrid.operators import intervals as I
 from pulsegrid.operators import maps as M
+from pulsegrid.operators import signal as G
 from pulsegrid.plans import detection as D
+from pulsegrid.plans import sorting as W
 from pulsegrid.plans import states as S
 
 HOUR = 3600 * SECOND
@@ -298,6 +300,65 @@ def saturation_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.saturation_points(_indexed(train(spark, sf_dir)), 1.0, 1.0, 3.0, 5.0, 5.0, 0.5)
 
 
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.to_chunks(_indexed(train(spark, sf_dir)), 32, 1.0)
+
+
+def spectrogram_power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.spectrogram(_chunks(spark, sf_dir), 16, 0.1, 0.4).select("rec_id", "i", "bin", F.round("power", 6).alias("power"))
+
+
+def band_power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.band_power(G.spectrogram(_chunks(spark, sf_dir), 16, 0.1, 0.4)).select("rec_id", "i", F.round("v", 6).alias("v"))
+
+
+def fourier_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.to_samples(G.resample(_chunks(spark, sf_dir), 0.5, 16)).select("rec_id", "i", F.round("v", 6).alias("v"))
+
+
+def smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.to_samples(G.smooth(_chunks(spark, sf_dir), 5, 2)).select("rec_id", "i", F.round("v", 6).alias("v"))
+
+
+def centered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.to_samples(G.center(_chunks(spark, sf_dir))).select("rec_id", "i", F.round("v", 9).alias("v"))
+
+
+def cusum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.change_points(_indexed(train(spark, sf_dir)), ["rec_id"], "i", "v", 4.0, 0.5)
+
+
+def window_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = train(spark, sf_dir).groupBy("rec_id").agg(F.count("*").alias("n"))
+    return G.window_plan(lengths, 12, 0.25).select("rec_id", F.col("window_id").cast("long").alias("window_id"), "start", "stop")
+
+
+def node_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _vectors(spark, sf_dir)[1]
+    return M.neighbour_distances(nodes, M.hex_edges(spark, 5, 2)).select("node_id", F.round("d", 6).alias("d"))
+
+
+def node_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.severity(_vectors(spark, sf_dir)[1], 0).select("node_id", F.round("si", 6).alias("si"))
+
+
+def node_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.cluster_nodes(_vectors(spark, sf_dir)[1], 4, 0)
+
+
+def trained_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _vectors(spark, sf_dir)[0]
+    made = M.train_map(vectors, M.initial_map(vectors, 4, 3), 4, rounds=2)
+    return made.select("node_id", F.transform("w", lambda x: F.round(x, 6)).alias("w"))
+
+
+def gmm_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many vectors, taken as waveforms, fall to each cluster."""
+    vectors = _vectors(spark, sf_dir)[0]
+    model, order = W.fit_clusters(vectors, 3, 4)
+    return W.label(vectors, model, order).groupBy("label").agg(F.count("*").alias("n"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -306,6 +367,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         local_maxima, local_minima, running_rms, line_length, zscore_value, percentile_norm, amp_histogram, isi_hist_peak, codebook, bmu_projection, bmu_hits,
         map_quality, category_rates, category_tfracs, diagnostics, state_runs, state_coverage, tolerance_match, nearest_event, next_event, doublets, threshold_counts, burst_isi,
         severe_periods, state_segments, chosen_threshold, refractory_counts, amplitude_events, loud_stretches, saturation_points,
+        spectrogram_power, band_power, fourier_resample, smoothed, centered, cusum, window_plan, node_distances, node_severity, node_clusters, trained_map, gmm_sort,
     )
 }
 
@@ -451,4 +513,13 @@ f AS (SELECT * FROM p WHERE (a IS NULL AND b IS NULL) OR (t - b > {MARGIN} AND a
 z AS (SELECT *, (v - avg(v) OVER r) / nullif(stddev_pop(v) OVER r, 0) AS z, CASE WHEN b IS NOT DISTINCT FROM lag(b) OVER w THEN coalesce(t - lag(t) OVER w, 0) ELSE 0 END AS spent FROM f WINDOW r AS (PARTITION BY rec_id), w AS (PARTITION BY rec_id ORDER BY t)),
 k AS (SELECT *, sum(spent) OVER (PARTITION BY rec_id ORDER BY t) AS clock FROM z), h AS (SELECT rec_id, t, clock - lag(clock) OVER (PARTITION BY rec_id ORDER BY t) AS gap FROM k WHERE z > 1.5)
 SELECT rec_id, t FROM h WHERE gap IS NULL OR gap > {DEAD}""",
+    "centered": f"""WITH {_EV}, i AS (SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY t) - 1 AS i, v - avg(v) OVER (PARTITION BY rec_id) AS x FROM ev),
+u AS (SELECT rec_id, CASE WHEN abs(min(x)) > 10 THEN 1000.0::DOUBLE ELSE 1.0::DOUBLE END AS unit FROM i GROUP BY rec_id) SELECT rec_id, i, round(x / unit, 9) AS v FROM i JOIN u USING (rec_id)""",
+    "window_plan": f"""WITH {_EV}, n AS (SELECT rec_id, count(*) AS n FROM ev GROUP BY rec_id), s AS (SELECT rec_id, n, unnest(range(0, greatest(n - 16, 0) + 1, 12)) AS start FROM n UNION SELECT rec_id, n, greatest(n - 16, 0) FROM n)
+SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY start) - 1 AS window_id, start, least(start + 16, n) AS stop FROM s""",
+    "node_distances": f"""WITH {_VEC}, nodes AS (SELECT i AS id, i % 5 AS c, i // 5 AS r FROM range(10) t(i)),
+edges AS (SELECT a.id AS x, b.id AS y FROM nodes a, nodes b WHERE (a.r = b.r AND abs(a.c - b.c) = 1) OR (a.r = 0 AND b.r = 1 AND b.c IN (a.c, a.c - 1)) OR (a.r = 1 AND b.r = 0 AND b.c IN (a.c, a.c + 1))),
+d AS (SELECT x, y, sqrt(sum((a.w - b.w) * (a.w - b.w))) AS d FROM edges JOIN book a ON a.node_id = x JOIN book b ON b.node_id = y AND b.pos = a.pos GROUP BY x, y) SELECT x::INTEGER AS node_id, round(avg(d), 6) AS d FROM d GROUP BY x""",
+    "node_severity": f"""WITH {_VEC}, d AS (SELECT a.node_id, sqrt(sum((a.w - b.w) * (a.w - b.w))) AS d FROM book a JOIN book b ON b.pos = a.pos AND b.node_id = 0 GROUP BY a.node_id)
+SELECT node_id, round(1 - d / (SELECT max(d) FROM d), 6) AS si FROM d""",
 }
