@@ -9,6 +9,7 @@ States are few against events: windows over them are by recording. Times are who
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -122,21 +123,22 @@ def break_periods(states: DataFrame, bursts: DataFrame, p: StateParams) -> DataF
     """Level 2: temp periods become depr, postUp, IIP, preUp or dense. The bursts of one period meet in one task."""
     rows = _held(states, bursts.select(REC, "start", F.col("stop").alias("until"))).where("_side = 0 OR (_s.state = 'temp' AND until <= _s.stop)")
     kind = states.schema[REC].dataType.simpleString()
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        own = g[g["_side"] == 0].iloc[0]
-        inside = g.loc[g["_side"] == 1, ["t", "until"]].sort_values("t").to_numpy("int64")
-        start, stop, state = int(own["t"]), int(own["stop"]), own["state"]
-        if state != "temp":
-            made = [(start, stop, state)]
-        elif len(inside):
-            made = split_period(start, stop, inside, p)
-        else:
-            made = [(start, stop, "depr" if stop - start >= p.quiet else "IIP")]
-        return pd.DataFrame([(own[REC], *s) for s in made], columns=[REC, "start", "stop", "state"])
-
-    flat = rows.select(REC, F.col("start").alias("t"), "_side", "until", F.col("_s.start").alias("start"), F.col("_s.stop").alias("stop"), F.col("_s.state").alias("state"))
-    return flat.groupBy(REC, "start").applyInPandas(run, f"{REC} {kind}, start long, stop long, state string")
+    inside = F.sort_array(F.collect_list(F.when(F.col("_side") == 1, F.array("start", "until"))))  # nulls, the states' own rows, are left out
+    periods = rows.groupBy(REC, "_s").agg(inside.alias("inside")).select(REC, "_s.start", "_s.stop", "_s.state", "inside")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            made = []
+            for rec, start, stop, state, held in zip(f[REC], f["start"], f["stop"], f["state"], f["inside"], strict=True):
+                if state != "temp":
+                    made.append((rec, start, stop, state))
+                elif len(held):
+                    made += [(rec, *s) for s in split_period(start, stop, np.stack(held), p)]
+                else:
+                    made.append((rec, start, stop, "depr" if stop - start >= p.quiet else "IIP"))
+            yield pd.DataFrame(made, columns=[REC, "start", "stop", "state"])
+
+    return periods.mapInPandas(run, f"{REC} {kind}, start long, stop long, state string")
 
 
 def _void_end(states: DataFrame, side: str, buffer: int) -> DataFrame:
