@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import line_dedup, mixing, quality, sentencepiece_codec, simhash_dedup
+from pulsegrid.llm import line_dedup, mixing, quality, sentencepiece_codec, shingle_dedup
 from pulsegrid.llm.common import settle
 from pulsegrid.llm.queries import tokenizer
 
@@ -25,8 +25,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash_dedup.keep_one(docs)
+    """One document of each group of near copies: five-word shingles with a Jaccard similarity of 0.8 or more."""
+    return shingle_dedup.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
