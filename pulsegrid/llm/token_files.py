@@ -41,7 +41,8 @@ class Encoder:
 
     Pieces are the parts of the vocabulary's own splitting, or such as are found faster: a text in which no white space follows
     another and every full stop and comma follows a letter or digit may be cut before each space, stop and comma and around
-    each newline, since a part always begins there.
+    each newline, since a part always begins there. The vocabulary's added tokens are taken out of a text before that: each is a
+    piece of its own, and what is between them is cut as a text for itself, as the library does.
     """
 
     def __init__(self, path: str, most: int = 800_000):
@@ -49,8 +50,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library, self.most, self.parts = Tokenizer.from_file(path), most, regex.compile(PARTS).findall
-        self.library.encode_special_tokens = True
         self.memo: dict[str, bytes] = {}
+        added = self.library.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added):
+            raise ValueError(f"{path} has added tokens that are not taken as they are written")
+        names = sorted((t.content for t in added), key=len, reverse=True)
+        self.split = re.compile(f"({'|'.join(map(re.escape, names))})").split if names else lambda text: [text]
         self.odd = re.compile(r"\s\s|[\W_][.,]|\0").search
 
     def _learn(self, parts: set[str]) -> None:
@@ -80,6 +85,10 @@ class Encoder:
         return True
 
     def _pieces(self, text: str) -> list[str]:
+        apart = self.split(text)
+        return self._between(text) if len(apart) == 1 else [p for i, t in enumerate(apart) for p in ([t] if i % 2 else self._between(t))]
+
+    def _between(self, text: str) -> list[str]:
         if self.odd(text) or text[:1] in (".", ","):
             return self.parts(text)
         cut = text.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n\0").split("\0")

@@ -157,6 +157,18 @@ def test_pieces_are_encoded_as_the_whole(text):
         assert list(array("I", own.encode([t])[0])) == own.library.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "a  <|endoftext|>  b\n<|endoftext|>\n", ".<|endoftext|>.a,b", "<|endoftext|", "x <|endoftext|>'s\xa0<|endoftext|> 12"])
+def test_added_tokens_as_the_untouched_library(spark, text):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer("byte_bpe_50k.json")
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert list(array("I", token_files.Encoder(path).encode([text])[0])) == want
+    manifest = token_files.write(spark.createDataFrame([(1, text), (2, "b")], "doc_id long, text string"), token_files.folder(spark), path)
+    got = {r.doc_id: r for r in token_files.read(spark, manifest).collect()}
+    assert got[1].ids == [*want, 0] and got[1].ids_crc32 == crc32(array("I", [*want, 0]).tobytes()) and got[2].start == len(want) + 1
+
+
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 5000])
 @pytest.mark.parametrize("top", [1, 300, 50_257, 2**32])
 def test_blocks_round_trip(n, top):
