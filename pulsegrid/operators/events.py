@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,21 +73,25 @@ def sparse_events(events: DataFrame, before: int, after: int, around: int, limit
 def refractory(events: DataFrame, dead_time: int, strict: bool = False) -> DataFrame:
     """(rec_id, t): the first event is kept, then each that is at least dead_time (strict: more) after the last kept.
 
-    An event that far from its predecessor is always kept, so runs of closer events are thinned on their own, each as one
-    sorted array; no array holds a recording.
+    Sorted events of a recording pass through one task, which holds a batch of them and the last time kept, however dense they are.
     """
-    far = (F.col("t") - F.lag("t").over(_order("t")) > dead_time) if strict else (F.col("t") - F.lag("t").over(_order("t")) >= dead_time)
-    marked = events.select(REC, "t").distinct().withColumn("_new", F.coalesce(far.cast("int"), F.lit(1)))
-    runs = marked.withColumn("_run", F.sum("_new").over(_order("t").rowsBetween(Window.unboundedPreceding, 0)))
-    times = runs.groupBy(REC, "_run").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    far_from = (lambda t, k: t - k > dead_time) if strict else (lambda t, k: t - k >= dead_time)
-    first = F.struct(F.array().cast("array<long>").alias("kept"), F.lit(None).cast("long").alias("last"))
-
-    def step(acc: Column, t: Column) -> Column:
-        keep = acc.last.isNull() | far_from(t, acc.last)
-        return F.when(keep, F.struct(F.concat(acc.kept, F.array(t)).alias("kept"), t.alias("last"))).otherwise(acc)
-
-    return times.select(REC, F.explode(F.aggregate("ts", first, step, lambda a: a.kept)).alias("t"))
+    kind = events.schema[REC].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = before = last = None
+        for batch in batches:
+            keep = []
+            for rec, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                first = before is None or rec != own
+                taken = first or (t != before and (t - last > dead_time if strict else t - last >= dead_time))
+                own, before = rec, t
+                if taken:
+                    last = t
+                keep.append(taken)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    known = events.select(REC, F.col("t").cast("long").alias("t")).where("t IS NOT NULL")
+    return known.repartition(REC).sortWithinPartitions(REC, "t").mapInArrow(run, f"{REC} {kind}, t long")
 
 
 def threshold_runs(samples: DataFrame, threshold: float | Column, value: str = "v", i: str = "i") -> DataFrame:

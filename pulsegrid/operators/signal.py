@@ -6,11 +6,13 @@ comes from the neighbouring chunks by lag and lead, as slices; chunks must be at
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.intervals import REC
@@ -125,16 +127,31 @@ def detect_cusum(x: np.ndarray, threshold: float, drift: float) -> list[int]:
 
 
 def change_points(values: DataFrame, by: list[str], order: str, value: str, threshold: float = 1.5, drift: float = 0.1) -> DataFrame:
-    """(by, order) of the alarms on the standardised values of each group; a group is an interval's few values."""
-    kinds = ", ".join(f"{c} {values.schema[c].dataType.simpleString()}" for c in [*by, order])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        x = group[value].to_numpy(float)
-        sd = x.std()
-        return group.iloc[detect_cusum((x - x.mean()) / sd, threshold, drift) if sd > 0 else []][[*by, order]]
+    """(by, order) of the alarms on the standardised values of each group; a group with a missing value has none.
 
-    return values.groupBy(*by).applyInPandas(run, kinds)
+    Sorted values of a group pass through one task, which holds a batch of them, the value before and both sums.
+    """
+    kinds = ", ".join(f"{c} {values.schema[c].dataType.simpleString()}" for c in [*by, order])
+    x = F.col(value).cast("double")
+    stats = values.groupBy(*(F.col(c).alias(f"_{i}") for i, c in enumerate(by))).agg(F.avg(x).alias("_a"), F.stddev_pop(x).alias("_sd"), F.count_if(x.isNull()).alias("_none"))
+    joined = values.join(stats, functools.reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by))))
+    scaled = joined.where("_none = 0 AND _sd > 0 AND NOT isnan(_sd)").select(*by, order, ((x - F.col("_a")) / F.col("_sd")).alias("_x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, before, up, down = None, None, 0.0, 0.0
+        for batch in batches:
+            alarms = []
+            for *key, v in zip(*(batch.column(c).to_pylist() for c in [*by, "_x"]), strict=True):
+                if before is None or key != own:
+                    own, before, up, down = key, v, 0.0, 0.0
+                s, before = v - before, v
+                up, down = max(0.0, up + s - drift), max(0.0, down - s - drift)
+                alarms.append(up > threshold or down > threshold)
+                if alarms[-1]:
+                    up = down = 0.0
+            yield batch.select([*by, order]).filter(pa.array(alarms, pa.bool_()))
+
+    return scaled.repartition(*by).sortWithinPartitions(*by, F.asc_nulls_last(order)).mapInArrow(run, kinds)
 
 
 def fourier_resample(x: np.ndarray, size: int) -> np.ndarray:
