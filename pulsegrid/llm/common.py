@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,11 +20,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="pulsegrid-")  # only a local session leaves it unset
-        spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@cache
+def _own_folder() -> str:
+    """Of a local session without a folder: driver and tasks are one process there."""
+    return tempfile.mkdtemp(prefix="pulsegrid-")
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there and a lost executor costs nothing."""
     path = scratch(df.sparkSession, name)
@@ -62,14 +71,14 @@ class Memo(dict):
         return value
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_CHARS) -> Iterator[tuple[dict, list[str]]]:
-    """Of every batch, runs of rows of about `most` characters: their columns as Arrow arrays, and the texts (null: empty)."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_CHARS, together: int = 64) -> Iterator[tuple[dict, list[str]]]:
+    """Of every batch, runs of at most `together` rows of about `most` characters: their columns as Arrow arrays, and the texts (null: empty)."""
     for batch in batches:
-        texts = batch.column(text).to_pylist() if batch.num_rows <= 64 else None
+        texts = batch.column(text).to_pylist() if batch.num_rows <= together else None
         start = 0
         while start < batch.num_rows:
             if texts is None:
-                end = min(batch.num_rows, start + 64)
+                end = min(batch.num_rows, start + together)
                 run = batch.column(text).slice(start, end - start).to_pylist()
             else:
                 end, run = batch.num_rows, texts
@@ -87,14 +96,41 @@ def _rows(batch: pa.RecordBatch, start: int, n: int) -> dict:
     return {name: batch.column(i).slice(start, n) for i, name in enumerate(batch.schema.names)}
 
 
-def by_ranges(df: DataFrame, key: str, name: str = "_pid") -> tuple[DataFrame, int]:
-    """df with the number of each row's range of `key` (ascending, nulls in range 0), and how many ranges there are.
+def by_ranges(df: DataFrame, key: str, hash_: str, name: str = "_pid") -> tuple[DataFrame, int]:
+    """df with the number of each row's range of (key, hash_), ascending, nulls first, and how many ranges there are.
 
-    There is a range for each shuffle partition at most. Bounds are quantiles of the key alone, so that texts are not read
-    for them, and are literals in the plan: a task that is run again deals the same rows.
+    There is about a range for each shuffle partition. Bounds are quantiles of the key alone, so that texts are not read for
+    them, and are literals in the plan, found by binary search: a task that is run again deals the same rows. A key that
+    several quantiles fall on, and nulls, have as many ranges, cut by the hash (a long).
     """
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    bounds = sorted(set(df.where(F.col(key).isNotNull()).approxQuantile(key, [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
     kind = df.schema[key].dataType
-    own = F.array(*(F.lit(b).cast(kind) for b in bounds)) if bounds else F.array().cast(f"array<{kind.simpleString()}>")
-    return df.withColumn(name, F.coalesce(F.size(F.filter(own, lambda b: b <= F.col(key))), F.lit(0))), len(bounds) + 1
+    rows, nulls = df.agg(F.count("*"), F.count_if(F.col(key).isNull())).first()
+    found = df.where(F.col(key).isNotNull()).approxQuantile(key, [i / n for i in range(1, n)], 0.1 / n) if n > 1 and nulls < rows else []
+    bounds, times = sorted(set(found)), Counter(found)
+    parts = [max(1, -(-nulls * n // max(1, rows)))]  # of nulls, then from each bound on
+    first = [0, parts[0]]  # the first range of nulls, and of keys below all bounds
+    hot = {b: times[b] for b in bounds if times[b] > 1}
+    steps: list[tuple[float, int, int]] = []  # from this key on: the first range, and into how many the hash cuts that very key
+    at = first[1] + 1
+    for b in bounds:
+        cut = hot.get(b, 1)
+        steps.append((b, at, cut))
+        at += cut + (cut > 1)  # after a key of several ranges there is one for what follows it
+    depth = max(1, len(steps).bit_length())
+    size = (1 << depth) - 1
+    filled = [*(b for b, _, _ in steps), *[None] * (size - len(steps))]
+    array = F.array(*(F.lit(b).cast(kind) for b in filled))
+    halves = F.array(*(F.lit(1 << i) for i in range(depth - 1, -1, -1)))
+    place = F.aggregate(halves, F.lit(0), lambda lo, h: lo + F.when(F.get(array, lo + h - 1) <= F.col(key), h).otherwise(0))  # how many bounds are at or below the key
+    starts = F.array(F.lit(first[1]), *(F.lit(s) for _, s, _ in steps))
+    cuts = F.array(F.lit(1), *(F.lit(c) for _, _, c in steps))
+
+    def of_hash(into: Column | int) -> Column:
+        return F.floor(F.shiftrightunsigned(F.col(hash_).bitwiseXOR(F.lit(-(2**63))), 32) * into / 2**32).cast("int")
+
+    there = df.withColumn("_at", F.when(F.col(key).isNotNull(), place))
+    own = F.get(cuts, F.col("_at"))
+    very = F.col(key) == F.get(array, F.col("_at") - 1)
+    pid = F.get(starts, F.col("_at")) + F.when(own == 1, 0).when(very, of_hash(own)).otherwise(own)
+    return there.withColumn(name, F.when(F.col(key).isNull(), of_hash(parts[0])).otherwise(pid)).drop("_at"), at

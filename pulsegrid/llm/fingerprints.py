@@ -71,21 +71,22 @@ def edit_likeness(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
     """Per row: key, n_chars, edited_sha256, fingerprint, edited_fingerprint (hex), near_edited, near_next.
 
     The next document is that of the next smaller key (a number), after the smallest the largest; rows of equal key are
-    ordered by their texts' hashes. A row with a null key has the empty text as its next one. Documents are dealt by
-    ranges of the key and sorted; each range also gets the first row of the range that follows it, so texts are shuffled once
-    and streamed, one text and the one before it at a time.
+    ordered by their texts' hashes, largest first. A row with a null key has the empty text as its next one. Documents are dealt
+    by ranges of the key (of the hash, within a key of very many rows) and sorted; each range also gets the first row of the
+    range that follows it, so texts are shuffled once and streamed, one text and the one before it at a time.
     """
-    rows, _ = by_ranges(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "pid")
+    rows, _ = by_ranges(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("hash")), "key", "hash", "pid")
     rows = rows.withColumn("pid", F.when(F.col("key").isNotNull(), F.col("pid")))
-    first = {r["pid"]: r["top"] for r in rows.where("pid IS NOT NULL").groupBy("pid").agg(F.max("key").alias("top")).collect()}  # a row for each range
+    first = {r["pid"]: r["top"] for r in rows.where("pid IS NOT NULL").groupBy("pid").agg(F.max(F.struct("key", "hash")).alias("top")).collect()}  # a row for each range
     order = sorted(first, reverse=True)
     spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
-    to = spark.createDataFrame([(first[p], order[i - 1]) for i, p in enumerate(order)], f"top {kind}, to int")
-    borders = rows.join(F.broadcast(to), F.col("key") == F.col("top")).select("key", "text", F.col("to").alias("pid"), F.lit(1).alias("border"))
+    to = spark.createDataFrame([(*first[p], order[i - 1]) for i, p in enumerate(order)], f"top {kind}, _hash long, to int")
+    met = rows.join(F.broadcast(to), (F.col("key") == F.col("top")) & (F.col("hash") == F.col("_hash")))
+    borders = met.groupBy("key", "hash", F.col("to").alias("pid")).agg(F.max("text").alias("text")).withColumn("border", F.lit(1))  # one, however often the row is repeated
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    loose = rows.withColumn("pid", F.coalesce("pid", -1 - F.pmod(F.xxhash64("text"), F.lit(n)).cast("int"))).withColumn("border", F.lit(0))
+    loose = rows.withColumn("pid", F.coalesce("pid", -1 - F.pmod("hash", F.lit(n)).cast("int"))).withColumn("border", F.lit(0))
     dealt = loose.unionByName(borders).repartitionById(n, F.pmod(F.col("pid"), F.lit(n)))
-    dealt = dealt.sortWithinPartitions("pid", "border", F.desc("key"), F.xxhash64("text"), "text").select("key", "text", "pid", "border")
+    dealt = dealt.sortWithinPartitions("pid", "border", F.desc("key"), F.desc("hash"), F.desc("text")).select("key", "text", "pid", "border")
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:

@@ -58,7 +58,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write(_read(spark, sf_dir), token_files.folder(spark), tokenizer("byte_bpe_50k.json"))
-    return token_files.read(spark, manifest, ids=False)
+    return token_files.read(manifest, ids=False)
 
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

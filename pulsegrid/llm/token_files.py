@@ -11,17 +11,21 @@ each 64 at bit j * width of its group's words), positions of the exceptions (u8)
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import uuid
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow.fs import FileSystem
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import by_ranges, scratch, settle, slices
@@ -32,78 +36,157 @@ FILE_IDS = 4_000_000
 END = 0
 
 
-#: Fixed value: how the byte-level vocabulary cuts a text into parts that it encodes apart.
+#: Fixed value: how a byte-level vocabulary cuts a text into parts that it encodes apart.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts with one of these are cut by PARTS: two white spaces in a row, a stop or comma that doesn't follow a letter or digit,
+#: and any control character or white space but the blank and the newline.
+ODD = r"[ \n][ \n]|[^\p{L}\p{N}][.,]|[\x00-\x09\x0b-\x1f\x7f-\x{a0}]|[\p{Zl}\p{Zp}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
+GATHER = 500_000
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, remembered for each piece of a text; a bounded number is kept.
+    """Ids of texts by the tokenizers library, remembered for each piece of a text: of those met once and of those met again a bounded number each.
 
-    Pieces are the parts of the vocabulary's own splitting, or such as are found faster: a text in which no white space follows
-    another and every full stop and comma follows a letter or digit may be cut before each space, stop and comma and around
-    each newline, since a part always begins there. The vocabulary's added tokens are taken out of a text before that: each is a
-    piece of its own, and what is between them is cut as a text for itself, as the library does.
+    A text that is not ODD is cut before each blank, stop and comma and around each newline, since a part always begins there;
+    an odd one into its parts. Arrow cuts the texts of a slice together and tells pieces that are equal. A piece is encoded as a
+    text for itself, parts that are words many at a time. The vocabulary's added tokens are taken out of a text before that:
+    each is a piece of its own. A file with another normaliser, splitting or model is used as it is, text by text.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 250_000):
         import regex
         from tokenizers import Tokenizer
 
         self.library, self.most, self.parts = Tokenizer.from_file(path), most, regex.compile(PARTS).findall
+        self.kept: dict[str, bytes] = {}
         self.memo: dict[str, bytes] = {}
+        spec = json.loads(self.library.to_str())
+        split, model = spec["pre_tokenizer"] or {}, spec["model"]
         added = self.library.get_added_tokens_decoder().values()
-        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added):
-            raise ValueError(f"{path} has added tokens that are not taken as they are written")
+        self.plain = (
+            spec["normalizer"] is not None
+            or (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) != ("ByteLevel", False, True)
+            or model["type"] != "BPE"
+            or bool(model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"))
+            or any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added)
+        )
+        self.library.model._resize_cache(0)  # the memo is the cache
+        vocabulary = self.library.get_vocab()
+        self.newline, self.begins = vocabulary.get("\u010a", -1), np.zeros(1 + max(vocabulary.values(), default=0), bool)  # newline and blank as letters
+        self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
         names = sorted((t.content for t in added), key=len, reverse=True)
-        self.split = re.compile(f"({'|'.join(map(re.escape, names))})").split if names else lambda text: [text]
-        self.odd = re.compile(r"\s\s|[\W_][.,]|\0").search
-
-    def _learn(self, parts: set[str]) -> None:
-        memo = self.memo
-        new = [p for p in parts if p not in memo]
-        if len(memo) + len(new) > self.most:
+        self.added = re.compile(f"({'|'.join(map(re.escape, names))})") if names else None
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _seek(self, names: list[str], own: list) -> list[bytes]:
+        """own with what it lacks: ids of pieces met once before, which are kept from now on, or never, which are learned."""
+        memo, lacking = self.memo, [i for i, x in enumerate(own) if x is None]
+        again = {names[i]: memo[names[i]] for i in lacking if names[i] in memo}
+        if len(self.kept) + len(again) > self.most:
+            self.kept.clear()
+        if len(memo) + len(lacking) > self.most:
             memo.clear()
-            new = list(parts)
-        spaced, bare = [p for p in new if p[0] == " " and p[1:].isalpha()], [p for p in new if p.isalpha()]
-        done = self._together(spaced, "") and self._together(bare, "\n")
-        rest = new if not done else [p for p in new if not p.isalpha() and not (p[0] == " " and p[1:].isalpha())]
-        for p, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            memo[p] = array("I", e.ids).tobytes()
+        self._learn([names[i] for i in lacking if names[i] not in again])
+        for i in lacking:
+            own[i] = again[names[i]] if names[i] in again else memo[names[i]]
+        for p in again:
+            memo.pop(p, None)
+        self.kept.update(again)
+        return own
+
+    def _learn(self, new: list[str]) -> None:
+        memo = self.memo
+        spaced, bare, odd = [], [], []
+        for p in new:
+            (odd if not p.removeprefix(" ").isalpha() else spaced if p[0] == " " else bare).append(p)
+        split = {p: [p] if self.added and self.added.fullmatch(p) else self.parts(p) for p in odd}
+        parts = set(chain.from_iterable(split.values())).difference(memo, bare, spaced)
+        rest = []
+        for p in parts:
+            (rest if p in split or not p.removeprefix(" ").isalpha() else spaced if p[0] == " " else bare).append(p)
+        for some, between in ((spaced, ""), (bare, "\n")):
+            if not self._together(some, between):
+                rest += some
+        memo.update(zip(rest, self._library(rest), strict=True))
+        memo.update((p, b"".join(map(memo.__getitem__, own))) for p, own in split.items())
 
     def _together(self, words: list[str], between: str) -> bool:
-        """Encode many words as one text, which costs less; a word's ids are those of its place. False if places are not as expected."""
-        for i in range(0, len(words), 4096):
-            some = words[i : i + 4096]
-            e = self.library.encode(between.join(some), add_special_tokens=False)
-            place = np.array(e.word_ids, np.int64)
-            starts = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else place
-            step = 2 if between else 1
-            if len(starts) != (len(some) - 1) * step + 1:
+        """Encode many words as a few texts, which costs less than each for itself. False if not every word is found again.
+
+        Words without a blank are put on lines, and a newline is a token for itself; others begin at the tokens that begin with a blank.
+        """
+        runs = [words[i : i + 4096] for i in range(0, len(words), 4096)]
+        for some, e in zip(runs, self.library.encode_batch_fast(list(map(between.join, runs)), add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            if between:
+                gaps = np.flatnonzero(ids == self.newline)
+                starts, ends = np.append(0, gaps + 1), np.append(gaps, len(ids))
+            else:
+                starts = np.flatnonzero(self.begins[ids])
+                ends = np.append(starts[1:], len(ids))
+            if len(starts) != len(some):
                 return False
-            ids, ends = array("I", e.ids).tobytes(), np.append(starts[1:], len(place)) * 4
-            self.memo.update((w, ids[a:b]) for w, a, b in zip(some, (starts[::step] * 4).tolist(), ends[::step].tolist(), strict=True))
+            data = ids.tobytes()
+            self.memo.update((w, data[a:b]) for w, a, b in zip(some, (starts * 4).tolist(), (ends * 4).tolist(), strict=True))
         return True
 
-    def _pieces(self, text: str) -> list[str]:
-        apart = self.split(text)
-        return self._between(text) if len(apart) == 1 else [p for i, t in enumerate(apart) for p in ([t] if i % 2 else self._between(t))]
-
-    def _between(self, text: str) -> list[str]:
-        if self.odd(text) or text[:1] in (".", ","):
-            return self.parts(text)
-        cut = text.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n\0").split("\0")
-        return cut if cut[0] and cut[-1] else [p for p in cut if p]
+    def _odd_pieces(self, text: str) -> list[str]:
+        apart = self.added.split(text) if self.added else [text]
+        return self.parts(text) if len(apart) == 1 else [p for i, t in enumerate(apart) for p in ([t] if i % 2 else self.parts(t))]
+
+    def _pieces(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """All pieces of the texts, one text after the other, and how many each text has."""
+        own = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(own, ODD)
+        if self.added:
+            odd = pc.or_(odd, pc.match_substring_regex(own, self.added.pattern.replace("\\<", "<").replace("\\>", ">")))
+        cut = own
+        for mark, by in ((" ", "\0 "), (".", "\0."), (",", "\0,"), ("\n", "\0\n\0")):
+            cut = pc.replace_substring(cut, mark, by)
+        split = pc.split_pattern(cut, "\0")
+        if not (at := np.flatnonzero(odd.to_numpy(zero_copy_only=False))).size:
+            return split.flatten(), pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        runs: list[pa.Array] = []
+        last = 0
+        for i in at.tolist():
+            runs += [split.slice(last, i - last), pa.array([self._odd_pieces(texts[i])], split.type)]
+            last = i + 1
+        whole = pa.concat_arrays([*runs, split.slice(last)])
+        return whole.flatten(), pc.list_value_length(whole).to_numpy(zero_copy_only=False)
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after the other, and how many each text has."""
+        if self.plain:
+            made = self._library(texts)
+            return np.frombuffer(b"".join(made), "<u4"), np.array([len(x) // 4 for x in made], np.int64)
+        pieces, n = self._pieces(texts)
+        coded = pieces.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        own = list(map(self.kept.get, names))
+        if None in own:
+            own = self._seek(names, own)
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        flat, start = np.frombuffer(b"".join(own), "<u4"), np.cumsum(size) - size
+        which, parts = coded.indices.to_numpy(zero_copy_only=False), []
+        for i in range(0, len(which), GATHER):
+            some = which[i : i + GATHER]
+            s = size[some]
+            parts.append(flat[np.repeat(start[some] - (np.cumsum(s) - s), s) + np.arange(s.sum())])
+        upto = np.append(0, np.cumsum(size[which]))
+        ends = np.cumsum(n)
+        return np.concatenate([np.empty(0, np.uint32), *parts]), upto[ends] - upto[ends - n]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        cut = [self._pieces(t) for t in texts]
-        self._learn(set().union(*cut))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        ids, sizes = self.ids(texts)
+        return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])] if len(texts) else []
 
 
 @cache
 def encoder(path: str) -> Encoder:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     return Encoder(path)
 
 
@@ -182,12 +265,12 @@ class Writer:
         self.starts: list[int] = []
         self.ids = 0
 
-    def add(self, keys: list, encoded: list[bytes]) -> None:
+    def add(self, keys: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Documents of these keys and sizes, whose ids follow one another."""
         self.keys += keys
-        sizes = np.array([len(x) // 4 for x in encoded])
         self.starts += (self.ids + np.cumsum(sizes) - sizes).tolist()
-        self.ids += int(sizes.sum())
-        ids = np.concatenate([self.rest, np.frombuffer(b"".join(encoded), "<u4")])
+        self.ids += len(ids)
+        ids = np.concatenate([self.rest, ids])
         whole = len(ids) // BLOCK * BLOCK
         self._put(ids[:whole])
         self.rest = ids[whole:]
@@ -228,22 +311,23 @@ def read_file(path: str) -> tuple[list, np.ndarray, np.ndarray]:
 def write(docs: DataFrame, folder: str, tokenizer: str, *, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
     """Encode every text, with id 0 after each, into files of `folder` in ascending key order; the manifest (pid, seq, file, docs, ids).
 
-    `folder` is a URI that driver and executors share. Documents are dealt by ranges of the key and sorted by key, text (a null
-    key first, a null text as an empty one). A task that is run again writes files of other names; only files of the manifest,
-    which Spark commits, count. An empty table has no files.
+    `folder` is a URI that driver and executors share. Documents are dealt by ranges of the key and sorted by key, hash of the
+    text, text (a null key first, a null text as an empty one); a key of very many rows has several ranges. A task that is run
+    again writes files of other names; only files of the manifest, which Spark commits, count. An empty table has no files.
     """
-    rows, n = by_ranges(docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")), "key")
-    dealt = rows.repartitionById(n, F.col("_pid")).sortWithinPartitions("_pid", F.asc_nulls_first("key"), "text")
+    own = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    rows, n = by_ranges(own, "key", "hash")
+    dealt = rows.repartitionById(n, F.col("_pid")).sortWithinPartitions("_pid", F.asc_nulls_first("key"), "hash", "text").drop("hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last = encoder(tokenizer), array("I", [END]).tobytes()
+        own = encoder(tokenizer)
         out, seq, at, pid = None, 0, "", 0
 
         def done() -> pa.RecordBatch:
             out.close()
             return pa.RecordBatch.from_pydict({"pid": pa.array([pid], pa.int32()), "seq": pa.array([seq], pa.int32()), "file": [at], "docs": pa.array([len(out.keys)], pa.int64()), "ids": pa.array([out.ids], pa.int64())})
 
-        for cols, texts in slices(batches, "text"):
+        for cols, texts in slices(batches, "text", together=512):
             if out is not None and out.ids >= file_ids:
                 yield done()
                 out, seq = None, seq + 1
@@ -251,23 +335,25 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, key: str = "doc_id",
                 pid = cols["_pid"][0].as_py()
                 at = f"{folder}/ids-{pid:05d}-{seq:05d}-{uuid.uuid4().hex}.pfor"
                 out = Writer(at)
-            out.add(cols["key"].to_pylist(), [x + last for x in own.encode(texts)])
+            ids, sizes = own.ids(texts)
+            out.add(cols["key"].to_pylist(), np.insert(ids, np.cumsum(sizes), END), sizes + 1)
         if out is not None:
             yield done()
 
     return settle(dealt.mapInArrow(run, "pid int, seq int, file string, docs long, ids long"), "manifest")
 
 
-def read(spark: SparkSession, manifest: DataFrame, *, key: str = "doc_id", ids: bool = True) -> DataFrame:
+def read(manifest: DataFrame, *, key: str = "doc_id", ids: bool = True) -> DataFrame:
     """(key, start, n_tokens, ids_crc32), with `ids` also the ids, of every document, read from the files of the manifest.
 
-    `start` counts the ids of all documents before. The manifest has a row for a file and is gathered for the running total.
+    `start` counts the ids of all documents before: those of the ranges before, summed by range first, and of the range's files before.
     """
-    base, files = 0, []
-    for r in manifest.orderBy("pid", "seq").collect():
-        files.append((r["file"], base))
-        base += r["ids"]
-    listed = spark.createDataFrame(files, "file string, base long").repartition(max(1, min(len(files), 4096)))
+    ranges = manifest.groupBy("pid").agg(F.sum("ids").alias("_n"))  # a row for each range
+    before = ranges.select(F.col("pid").alias("_pid"), (F.sum("_n").over(Window.orderBy("pid")) - F.col("_n")).alias("_before"))
+    upto = F.sum("ids").over(Window.partitionBy("pid").orderBy("seq"))
+    numbered = manifest.withColumn("_upto", upto).join(before, F.col("pid") == F.col("_pid"))
+    files = numbered.select("file", (F.col("_before") + F.col("_upto") - F.col("ids")).alias("base"))
+    listed = files.repartition(max(1, min(manifest.count(), 4096)), "file")
     more = ", ids array<long>" if ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from pulsegrid.llm import additive_index, fingerprints, language_id, queries, secret_scan, token_files
+from pulsegrid.llm.common import by_ranges
 from tests.llm.fixtures import empty, rows, with_nulls
 from tests.llm.test_text_operators import sha, texts
 
@@ -126,35 +127,70 @@ def ids_by_hand(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     at, out = 0, []
-    for d, x in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+    for d, x, _ in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, r[2], r[1])):
         ids = [*t.encode(x, add_special_tokens=False).ids, 0]
         out.append((d, at, len(ids), crc32(array("I", ids).tobytes())))
         at += len(ids)
     return out
 
 
+def hashed(spark, docs):
+    """docs with Spark's hash of each text, by which rows of one key are ordered."""
+    return [tuple(r) for r in spark.createDataFrame([(d, t or "") for d, t in docs], "d long, t string").selectExpr("d", "t", "xxhash64(t)").collect()]
+
+
 def test_token_files(spark, sf_dir):
-    assert sorted(tuple(r) for r in queries.op6_token_files(spark, sf_dir).collect()) == ids_by_hand(texts(spark, sf_dir))
+    assert sorted(tuple(r) for r in queries.op6_token_files(spark, sf_dir).collect()) == ids_by_hand(hashed(spark, texts(spark, sf_dir)))
+
+
+@pytest.mark.parametrize("partitions", ["1", "4", "13"])
+def test_ranges_of_hot_keys(spark, partitions):
+    """A third of all rows has one key and a tenth none; ranges are even, and in the order of key and hash."""
+    docs = [(7, f"text {i}") for i in range(600)] + [(None, f"none {i}") for i in range(200)] + [(int(i) % 900, f"own {i}") for i in range(1000)] + [(7, "the same")] * 40
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+        ranged, n = by_ranges(frame.selectExpr("doc_id", "text", "xxhash64(text) AS hash"), "doc_id", "hash")
+        got = sorted((r._pid, r.doc_id is not None, r.doc_id or 0, r.hash) for r in ranged.collect())
+        assert [g[1:] for g in got] == sorted(g[1:] for g in got) and 0 <= got[0][0] and got[-1][0] < n <= 3 * int(partitions) + 2
+        assert max(Counter(g[0] for g in got).values()) <= 2.5 * len(docs) / int(partitions) + 40
+        manifest = token_files.write(frame, token_files.folder(spark), queries.tokenizer("byte_bpe_50k.json"), file_ids=500)
+        assert Counter(tuple(r) for r in token_files.read(manifest).drop("ids").collect()) == Counter(ids_by_hand(hashed(spark, docs)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_token_files_odd_texts(spark):
     path, folder = queries.tokenizer("byte_bpe_50k.json"), token_files.folder(spark)
     manifest = token_files.write(with_nulls(spark), folder, path, file_ids=1000)
-    got = token_files.read(spark, manifest)
+    got = token_files.read(manifest)
     assert manifest.count() > 3
-    assert Counter(tuple(r) for r in got.drop("ids").collect()) == Counter(ids_by_hand([(r[0], r[1] or "") for r in [*rows(), (None, "text of no id"), (None, None)]]))
+    assert Counter(tuple(r) for r in got.drop("ids").collect()) == Counter(ids_by_hand(hashed(spark, [(r[0], r[1]) for r in [*rows(), (None, "text of no id"), (None, None)]])))
     assert all(crc32(array("I", r.ids).tobytes()) == r.ids_crc32 for r in got.collect())
     none = token_files.write(empty(spark), token_files.folder(spark), path)
-    assert none.count() == 0 and token_files.read(spark, none).count() == 0
+    assert none.count() == 0 and token_files.read(none).count() == 0
 
 
 @pytest.mark.parametrize("text", ["<|endoftext|> a", "a\n b \n c", "it's  two", "a\xa0b  c", "tab\there ", " lead", "x\0 y \0", "don't I'll 12 345", "a.b,c. d, e.\nF", "(a). b", "a_.b", ".a", "x\n", "\ny", "a\n\nb", "it's. 5.5, ²,", "é ǘ 漢 字"])
 def test_pieces_are_encoded_as_the_whole(text):
-    own = token_files.Encoder(queries.tokenizer("byte_bpe_50k.json"), most=5)
-    for t in (text, f"{text} {text}", ""):
-        assert list(array("I", own.encode([t])[0])) == own.library.encode(t, add_special_tokens=False).ids
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer("byte_bpe_50k.json")
+    own, library = token_files.Encoder(path, most=5), Tokenizer.from_file(path)
+    assert not own.plain
+    for t in (text, f"{text} {text}", "", f"Abc def.{text}"):
+        assert [list(array("I", x)) for x in own.encode([t, "and, more", t])] == [library.encode(x, add_special_tokens=False).ids for x in (t, "and, more", t)]
+
+
+def test_other_splittings_are_left_to_the_library():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer("word_bpe_49k.json")
+    own, library = token_files.Encoder(path), Tokenizer.from_file(path)
+    assert own.plain
+    assert [list(array("I", x)) for x in own.encode(["Some TEXT, 12.5!", ""])] == [library.encode(x, add_special_tokens=False).ids for x in ("Some TEXT, 12.5!", "")]
 
 
 @pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "a  <|endoftext|>  b\n<|endoftext|>\n", ".<|endoftext|>.a,b", "<|endoftext|", "x <|endoftext|>'s\xa0<|endoftext|> 12"])
@@ -165,7 +201,7 @@ def test_added_tokens_as_the_untouched_library(spark, text):
     want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
     assert list(array("I", token_files.Encoder(path).encode([text])[0])) == want
     manifest = token_files.write(spark.createDataFrame([(1, text), (2, "b")], "doc_id long, text string"), token_files.folder(spark), path)
-    got = {r.doc_id: r for r in token_files.read(spark, manifest).collect()}
+    got = {r.doc_id: r for r in token_files.read(manifest).collect()}
     assert got[1].ids == [*want, 0] and got[1].ids_crc32 == crc32(array("I", [*want, 0]).tobytes()) and got[2].start == len(want) + 1
 
 
