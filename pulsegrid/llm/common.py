@@ -71,6 +71,46 @@ class Memo(dict):
         return value
 
 
+class Recent:
+    """Values of strings, of those met again at most `most`, of those met once half as many; none of a string longer than `longest`.
+
+    Strings met again are kept apart, so that many that occur once only don't drive them out.
+    """
+
+    def __init__(self, most: int, longest: int = 64):
+        self.most, self.longest, self.kept, self.once = most, longest, {}, {}
+
+    def find(self, name: str):
+        value = self.kept.get(name)
+        return self.once.get(name) if value is None else value
+
+    def seek(self, names: list[str], learn: Callable[[list[str]], dict]) -> list:
+        """The value of each of the names, which all differ; learn gives those of new ones. No value is None."""
+        own = list(map(self.kept.get, names))
+        if None not in own:
+            return own
+        lacking = [i for i, x in enumerate(own) if x is None]
+        found = list(map(self.once.get, map(names.__getitem__, lacking)))
+        made, again = learn([names[i] for i, x in zip(lacking, found, strict=True) if x is None]), {}
+        for i, x in zip(lacking, found, strict=True):
+            if x is None:
+                own[i] = made[names[i]]
+            else:
+                own[i] = again[names[i]] = x
+        if len(self.kept) + len(again) > self.most:
+            self.kept.clear()
+        self.kept.update(again)
+        for name in again:
+            del self.once[name]
+        if len(self.once) + len(made) > self.most // 2:
+            self.once.clear()
+        self.once.update((k, v) for k, v in made.items() if len(k) <= self.longest)
+        return own
+
+    def forget(self) -> None:
+        self.kept.clear(), self.once.clear()
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_CHARS, together: int = 64) -> Iterator[tuple[dict, list[str]]]:
     """Of every batch, runs of at most `together` rows of about `most` characters: their columns as Arrow arrays, and the texts (null: empty)."""
     for batch in batches:

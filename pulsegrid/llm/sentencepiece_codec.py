@@ -4,8 +4,8 @@ A merge-type vocabulary is applied with an agenda of adjacent symbol pairs: the
 piece scores highest (the leftmost among equals) is merged first, until no adjacent pair is a piece.
 No piece of such a vocabulary has a word mark after another character, so a text may be cut before
 each word mark and around characters that are in no piece; the parts are encoded apart and memoised.
-Each part that is new in an Arrow batch is also encoded by the sentencepiece library; where the two
-differ the library's ids are used and the document's `agrees` is false.
+Each part that is new is also encoded by the sentencepiece library; of a document with
+a part where the two differ the library's ids are used and the document's `agrees` is false.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import Memo, slices
+from pulsegrid.llm.common import Recent, slices
 
 MARK = "▁"
-MEMO = 600_000
+MEMO = 200_000
 SHORT, NEVER = 48, float("inf")
 
 
@@ -54,9 +54,9 @@ class MergeCodec:
         self.lone_newline = cuts and not any("\n" in p and len(p) > 1 for p in self.ids)
         #: Two characters that follow one another in some piece; no merge crosses other places.
         self.joints = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.memo, self.part_memo = Memo(self._word, MEMO), Memo(self._part, MEMO // 2)
-        self.fresh: list[str] = []
-        self.differ: dict[str, bytes] = {}
+        self.memo = Recent(MEMO)
+        #: Words with a part of which the library has other ids.
+        self.differ: set[str] = set()
 
     def merge(self, part: str) -> list[int]:
         """The ids of `part`, in which spaces are marks already, by the agenda alone."""
@@ -99,16 +99,29 @@ class MergeCodec:
                 heappush(agenda, (order[pair], previous, left, pair))
         return [s for s in symbols if s]
 
-    def _part(self, part: str) -> bytes:
-        self.fresh.append(part)
-        return array("I", self.merge(part)).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        """A word's last character stands alone if no piece has it after the character before."""
-        part = word if word[0] in f"\n{MARK}" else MARK + word
-        if len(part) > 2 and part[-2:] not in self.joints:
-            return self.part_memo[part[:-1]] + array("I", self.merge(part[-1])).tobytes()
-        return self.part_memo[part]
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of new words. A word's last character stands alone if no piece has it after the character before."""
+        split, parts = {}, {}
+        for w in words:
+            whole = w if w[:1] in ("\n", MARK) and w else MARK + w
+            lone = len(whole) > 2 and whole[-2:] not in self.joints
+            split[w] = whole[:-1] if lone else whole, whole[-1] if lone else ""
+        for w, (part, lone) in split.items():
+            if part not in parts and (not lone or (known := self.memo.find(w[:-1])) is None):
+                parts[part] = None
+            elif part not in parts:
+                parts[part] = known
+        new = [p for p, x in parts.items() if x is None]
+        for p in new:
+            parts[p] = array("I", self.merge(p)).tobytes()
+        odd = self._differing({p: parts[p] for p in new if p != MARK})  # the library leaves out a mark that stands alone
+        self.differ.update(w for w, (part, lone) in split.items() if part in odd or lone and w[:-1] in self.differ)
+        return {w: parts[part] + array("I", self.merge(lone)).tobytes() for w, (part, lone) in split.items()}
+
+    def _differing(self, merged: dict[str, bytes]) -> set[str]:
+        """The parts of which the library has other ids."""
+        found = self.library.encode([p[1:] if p[0] == MARK else p for p in merged], num_threads=1)
+        return {p for (p, own), ids in zip(merged.items(), found, strict=True) if own != array("I", ids[1:] if p[0] == "\n" else ids).tobytes()}  # a mark before the newline is not merged with it
 
     def words(self, text: str) -> list[str]:
         """text cut into parts: words (their mark left out), parts that begin with marks, and such that begin with a newline."""
@@ -118,28 +131,18 @@ class MergeCodec:
             return [MARK, *text.replace("\n", " \n")[1:].split(" ")]
         return text.replace("\n", " \n").split(" ")
 
-    def check(self, parts: list[str]) -> None:
-        """Encode new parts with the library too; its ids replace any that differ."""
-        parts = [p for p in parts if p != MARK]  # the library leaves out a mark that stands alone
-        for part, ids in zip(parts, self.library.encode([p[1:] if p[0] == MARK else p for p in parts], num_threads=1), strict=True):
-            if part[0] == "\n":
-                ids = ids[1:]  # a mark before the newline is not merged with it
-            if ids != self.merge_kept(part):
-                self.differ[part] = array("I", ids).tobytes()
-
-    def merge_kept(self, part: str) -> list[int]:
-        return np.frombuffer(self.part_memo[part], "<u4").tolist()
-
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """Of each text its ids as little-endian 32-bit integers, with begin and end, and whether the library agrees."""
-        first, last, memo = array("I", [self.begin]).tobytes(), array("I", [self.end]).tobytes(), self.memo
+        first, last = array("I", [self.begin]).tobytes(), array("I", [self.end]).tobytes()
+        if len(self.differ) > MEMO:  # kept as long as the words
+            self.differ.clear(), self.memo.forget()
         cut = [self.words(t) if t else () for t in texts]
-        out = [b"".join(chain((first,), map(memo.__getitem__, words), (last,))) for words in cut]
-        fresh, self.fresh = self.fresh, []
-        self.check(fresh)
+        names = list(set().union(*cut))
+        get = dict(zip(names, self.memo.seek(names, self._learn), strict=True)).__getitem__
+        out = [b"".join(chain((first,), map(get, words), (last,))) for words in cut]
         if not self.differ:
             return [(x, True) for x in out]
-        differ = [any(q in self.differ or q[:-1] in self.differ for q in (w if w[0] in f"\n{MARK}" else MARK + w for w in words)) for words in cut]
+        differ = [not self.differ.isdisjoint(words) for words in cut]
         return [(array("I", self.library.encode(t, add_bos=True, add_eos=True)).tobytes() if d else x, not d) for t, x, d in zip(texts, out, differ, strict=True)]
 
     def decode(self, encoded: list[bytes]) -> list[str]:

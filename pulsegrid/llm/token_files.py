@@ -28,7 +28,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import by_ranges, scratch, settle, slices
+from pulsegrid.llm.common import Recent, by_ranges, scratch, settle, slices
 
 BLOCK, SHARE, MARK = 256, 0.9, b"PFORIDS1"
 #: A file is closed once it has this many ids, so that a reader's memory is bounded (one long document may exceed it).
@@ -53,13 +53,11 @@ class Encoder:
     each is a piece of its own. A file with another normaliser, splitting or model is used as it is, text by text.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 200_000):
         import regex
         from tokenizers import Tokenizer
 
-        self.library, self.most, self.parts = Tokenizer.from_file(path), most, regex.compile(PARTS).findall
-        self.kept: dict[str, bytes] = {}
-        self.memo: dict[str, bytes] = {}
+        self.library, self.parts, self.memo = Tokenizer.from_file(path), regex.compile(PARTS).findall, Recent(most)
         spec = json.loads(self.library.to_str())
         split, model = spec["pre_tokenizer"] or {}, spec["model"]
         added = self.library.get_added_tokens_decoder().values()
@@ -80,39 +78,24 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _seek(self, names: list[str], own: list) -> list[bytes]:
-        """own with what it lacks: ids of pieces met once before, which are kept from now on, or never, which are learned."""
-        memo, lacking = self.memo, [i for i, x in enumerate(own) if x is None]
-        again = {names[i]: memo[names[i]] for i in lacking if names[i] in memo}
-        if len(self.kept) + len(again) > self.most:
-            self.kept.clear()
-        if len(memo) + len(lacking) > self.most:
-            memo.clear()
-        self._learn([names[i] for i in lacking if names[i] not in again])
-        for i in lacking:
-            own[i] = again[names[i]] if names[i] in again else memo[names[i]]
-        for p in again:
-            memo.pop(p, None)
-        self.kept.update(again)
-        return own
-
-    def _learn(self, new: list[str]) -> None:
-        memo = self.memo
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
         spaced, bare, odd = [], [], []
         for p in new:
             (odd if not p.removeprefix(" ").isalpha() else spaced if p[0] == " " else bare).append(p)
         split = {p: [p] if self.added and self.added.fullmatch(p) else self.parts(p) for p in odd}
-        parts = set(chain.from_iterable(split.values())).difference(memo, bare, spaced)
+        parts = {p: self.memo.find(p) for p in set(chain.from_iterable(split.values())).difference(bare, spaced)}
+        made = {p: x for p, x in parts.items() if x is not None}
         rest = []
-        for p in parts:
+        for p in parts.keys() - made.keys():
             (rest if p in split or not p.removeprefix(" ").isalpha() else spaced if p[0] == " " else bare).append(p)
         for some, between in ((spaced, ""), (bare, "\n")):
-            if not self._together(some, between):
+            if not self._together(some, between, made):
                 rest += some
-        memo.update(zip(rest, self._library(rest), strict=True))
-        memo.update((p, b"".join(map(memo.__getitem__, own))) for p, own in split.items())
+        made.update(zip(rest, self._library(rest), strict=True))
+        made.update([(p, b"".join(map(made.__getitem__, own))) for p, own in split.items()])
+        return made
 
-    def _together(self, words: list[str], between: str) -> bool:
+    def _together(self, words: list[str], between: str, made: dict[str, bytes]) -> bool:
         """Encode many words as a few texts, which costs less than each for itself. False if not every word is found again.
 
         Words without a blank are put on lines, and a newline is a token for itself; others begin at the tokens that begin with a blank.
@@ -129,7 +112,7 @@ class Encoder:
             if len(starts) != len(some):
                 return False
             data = ids.tobytes()
-            self.memo.update((w, data[a:b]) for w, a, b in zip(some, (starts * 4).tolist(), (ends * 4).tolist(), strict=True))
+            made.update((w, data[a:b]) for w, a, b in zip(some, (starts * 4).tolist(), (ends * 4).tolist(), strict=True))
         return True
 
     def _odd_pieces(self, text: str) -> list[str]:
@@ -164,9 +147,7 @@ class Encoder:
         pieces, n = self._pieces(texts)
         coded = pieces.dictionary_encode()
         names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        own = list(map(self.kept.get, names))
-        if None in own:
-            own = self._seek(names, own)
+        own = self.memo.seek(names, self._learn)
         size = np.fromiter(map(len, own), np.int64, len(own)) // 4
         flat, start = np.frombuffer(b"".join(own), "<u4"), np.cumsum(size) - size
         which, parts = coded.indices.to_numpy(zero_copy_only=False), []

@@ -232,3 +232,31 @@ def test_ftrl_learns_a_separable_rule():
     data = [(*quality.features(" ".join(rng.choice(("good", "fine") if y else ("bad", "poor")) + str(rng.randrange(9)) for _ in range(12))), y) for y in [0, 1] * 200]
     w, b = quality.train(data[:300])
     assert np.mean([(w[at] @ x + b > 0) == bool(y) for at, x, y in data[300:]]) > 0.95
+
+
+def test_long_words_are_merged_once_and_not_kept(monkeypatch):
+    """Words over 64 characters leave nothing behind, and a slice merges each but once."""
+    own = sentencepiece_codec.MergeCodec(queries.tokenizer("piece_bpe_32k.model"))
+    merged = []
+    merge = own.merge
+    monkeypatch.setattr(own, "merge", lambda part: merged.append(part) or merge(part))
+    rng = random.Random(1)
+    held = []
+    for _ in range(20):
+        texts_ = ["".join(rng.choice("abcdefghij") for _ in range(100)) for _ in range(500)]
+        out = own.encode(texts_ + texts_)
+        assert all(agrees for _, agrees in out) and out[:500] == out[500:]
+        held.append(len(own.memo.kept) + len(own.memo.once))
+    assert held == [0] * 20 and len([m for m in merged if len(m) > 64]) == 10_000
+
+
+def test_recent_values_are_bounded():
+    from pulsegrid.llm.common import Recent
+
+    memo, learned = Recent(100), []
+    learn = lambda names: learned.extend(names) or {n: n.encode() for n in names}
+    for i in range(200):
+        names = ["often", *(f"{i}-{k}" for k in range(30))]
+        assert memo.seek(names, learn) == [n.encode() for n in names]
+        assert len(memo.kept) <= 100 and len(memo.once) <= 80
+    assert learned.count("often") == 1
