@@ -26,7 +26,7 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 def _memo() -> Memo:
     from xxhash import xxh64_intdigest
 
-    return Memo(xxh64_intdigest, 300_000)
+    return Memo(xxh64_intdigest, 150_000)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

@@ -24,12 +24,12 @@ BUCKETS = 1 << 18
 #: The model is fitted on at most this many labelled documents, those of the smallest hashes of their ids, in this many shards.
 MOST_LABELS, SHARDS = 8192, 4
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.0, 4
-KEEP = 0.3
+KEEP, WORD = 0.3, 24
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
 def _shape(word: str) -> str:
-    return re.sub(r"a+", "a", re.sub(r"A+", "A", re.sub(r"(?<=[^\W_])'(?=[^\W_])", "a", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:24]))))
+    return re.sub(r"a+", "a", re.sub(r"A+", "A", re.sub(r"(?<=[^\W_])'(?=[^\W_])", "a", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))))
 
 
 @cache
@@ -37,12 +37,20 @@ def _memo() -> Memo:
     def make(word: str) -> int:
         return crc32(word.lower().encode()) << 32 | crc32(_shape(word).encode())
 
-    return Memo(make, 400_000)
+    return Memo(make, 150_000)
+
+
+def split(text: str) -> list[str]:
+    """The words of a text; one of more than WORD characters (such as a text without white space) counts as several."""
+    words = text.split()
+    if words and len(max(words, key=len)) > WORD:
+        return [w[i : i + WORD] for w in words for i in range(0, len(w), WORD)]
+    return words
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets (ascending) and values of a whole text; none if it has no word."""
-    words = text.split()
+    words = split(text)
     if not words:
         return np.empty(0, np.int64), np.empty(0)
     both = np.fromiter(map(_memo().__getitem__, words), np.uint64, len(words))
@@ -84,14 +92,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     """The model: BUCKETS weights and the bias, the mean of the shards' models.
 
     Only labels 0 and 1 of documents outside the held-out fold count; null ids and labels are left out, of repeated ids the
-    smallest label counts. Without any label all weights are 0. The sample is bounded by `most`, whatever the input's size.
+    smallest label and the text of the smallest hash count. Without any label all weights are 0. The sample is bounded by `most`, whatever the input's size.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (fold(key) != 0)).groupBy(F.col(key).alias("_id")).agg(F.min(label).cast("int").alias("_y"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(most)
-    rows = docs.join(F.broadcast(sample), F.col(key) == F.col("_id")).select(F.col("_id").alias("id"), F.col(text).alias("text"), F.col("_y").alias("y"), F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(SHARDS)).alias("shard"))
+    met = docs.join(F.broadcast(sample), F.col(key) == F.col("_id"))  # `most` rows
+    one = met.groupBy("_id", "_y").agg(F.min(F.struct(F.xxhash64(text).alias("hash"), F.col(text).alias("text"))).alias("_t"))
+    rows = one.select(F.col("_id").alias("id"), "_t.text", F.col("_y").alias("y"), F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(SHARDS)).alias("shard"))
 
     def shard(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id").assign(at=lambda g: [crc32(str(i).encode()) for i in g["id"]]).sort_values(["at", "id"])
+        group = group.assign(at=lambda g: [crc32(str(i).encode()) for i in g["id"]]).sort_values(["at", "id"])
         weights, bias = train([(*features(t or ""), int(y)) for t, y in zip(group["text"], group["y"], strict=True)])
         return pd.DataFrame({"w": [np.append(weights, bias).astype("<f4").tobytes()], "n": [len(group)]})
 
@@ -104,13 +114,13 @@ def score(docs: DataFrame, model: np.ndarray, *, key: str = "doc_id", text: str
     """(key, score) of every row, or with `rest` all columns of docs and `score`; a null or empty text has the bias only."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(np.asarray(model, np.float32))  # of fixed size: 1 MB
-    kept = docs.select(F.col(key).alias("key"), F.col(text).alias("text")) if not rest else docs.select(F.col(text).alias("_scored"), F.struct("*").alias("row"))
-    name = "_scored" if rest else "text"
+    kept = docs.select(F.col(key).alias("key"), F.col(text).alias("text")) if not rest else docs.select(F.struct("*").alias("row"))
     own = kept.select("row").schema[0].dataType.simpleString() if rest else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
-        for rows, texts in slices(batches, name):
+        named = (pa.RecordBatch.from_pydict({"row": b.column(0), "text": b.column(0).field(text)}) for b in batches) if rest else batches
+        for rows, texts in slices(named, "text"):
             dots = [float(w[at] @ x) if len(at) else 0.0 for at, x in map(features, texts)]
             values = pa.array(1 / (1 + np.exp(-np.clip(np.array(dots) + float(w[-1]), -35, 35))))
             yield pa.RecordBatch.from_pydict({"row": rows["row"], "score": values} if rest else {key: rows["key"], "score": values})

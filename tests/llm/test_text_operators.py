@@ -227,6 +227,18 @@ def test_quality_odd_texts(spark):
     assert not none.any() and quality.score(empty(spark), none).count() == 0
 
 
+def test_quality_reads_whole_words_and_one_text_of_an_id(spark):
+    long = "x" * 1000
+    assert all(not np.array_equal(quality.features(long)[0], quality.features(long[:900] + change)[0]) for change in ("1" * 100, "X" * 100, "-" * 100))
+    assert sum(quality.features(long)[1] ** 2) > 0 and len(quality.split(long + " ab")) == 43
+    models = set()
+    for parts in (1, 2, 5):
+        rows_ = [(i, f"{'good words here' if i % 2 else 'BAD!!! ###'} {i} {k}", i % 2) for i in range(60) for k in range(4)]
+        frame = spark.createDataFrame(random.Random(parts).sample(rows_, len(rows_)), "doc_id long, text string, quality int").repartition(parts)
+        models.add(quality.fit(frame.select("doc_id", "text"), frame.select("doc_id", "quality")).tobytes())
+    assert len(models) == 1
+
+
 def test_ftrl_learns_a_separable_rule():
     rng = random.Random(3)
     data = [(*quality.features(" ".join(rng.choice(("good", "fine") if y else ("bad", "poor")) + str(rng.randrange(9)) for _ in range(12))), y) for y in [0, 1] * 200]
