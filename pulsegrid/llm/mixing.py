@@ -16,11 +16,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import settle
+from pulsegrid.llm.common import settle, small
 
 WEIGHTS, FACTOR, CAP, BLOCK = (5.0, 2.0, 1.0), 1.5, 2.0, 2048
-#: Sources are a dimension of the mix, not of the data: their totals are gathered on the driver up to this many.
-MOST_SOURCES = 1_000_000
+#: Tables of sources with at most this many rows are broadcast; larger ones are joined as Spark sees fit.
+FEW = 100_000
 EPS = 1e-9
 
 
@@ -28,23 +28,37 @@ def size_in_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: dict[str | None, int], weights: Iterable[float] = WEIGHTS, factor: float = FACTOR, cap: float = CAP) -> dict[str | None, float]:
-    """Words that each source is to give. Sources by code point, null last, have the weights in turn; what lies above a source's cap is shared anew by weight."""
-    weights = list(weights)
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    out, free, rest = {}, list(order), factor * sum(sizes.values())
-    while free:
-        each = rest / sum(weight[s] for s in free)
-        over = [s for s in free if weight[s] * each > cap * sizes[s]]
-        if not over:
-            return out | {s: weight[s] * each for s in free}
-        for s in over:
-            out[s] = cap * sizes[s]
-            rest -= out[s]
-        free = [s for s in free if s not in out]
-        rest = max(rest, 0.0)
-    return out
+def ordered(sources: DataFrame) -> DataFrame:
+    """sources with `place`, from 0: their order by code point, null last. Sorted by ranges; only the ranges' sizes reach the driver."""
+    rows = sources.orderBy(F.asc_nulls_last("source")).withColumn("_id", F.monotonically_increasing_id())
+    rows = settle(rows, "ordered")
+    part, within = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    first, at = [], 0
+    for r in sorted(rows.groupBy(part.alias("part")).count().collect()):  # a row for each partition
+        first.append((r["part"], at))
+        at += r["count"]
+    starts = sources.sparkSession.createDataFrame(first, "_part long, _first long")
+    return rows.join(F.broadcast(starts), part == F.col("_part")).withColumn("place", F.col("_first") + within).drop("_id", "_part", "_first")
+
+
+def targets(sources: DataFrame, weights: Iterable[float] = WEIGHTS, factor: float = FACTOR, cap: float = CAP) -> DataFrame:
+    """sources (source, words) with `target`, the words that each is to give. Sources by code point, null last, have the weights in turn.
+
+    What lies above a source's cap is shared anew by weight: the share of a unit of weight rises until no more sources are
+    at their cap. Only sums over the sources reach the driver.
+    """
+    weights = [float(w) for w in weights]
+    placed = settle(ordered(sources).withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))), "weighted")
+    total = placed.agg(F.sum("words")).first()[0] or 0
+    each, capped = 0.0, -1
+    while True:
+        over = F.col("_w") * each > F.col("words") * cap if capped >= 0 else F.lit(False)
+        held, n, *classes = placed.agg(F.sum(F.when(over, F.col("words"))), F.count_if(over), *(F.count_if(~over & (F.col("_w") == w)) for w in sorted(set(weights)))).first()
+        weight = sum(w * k for w, k in zip(sorted(set(weights)), classes, strict=True))
+        if n == capped or not weight:
+            break
+        capped, each = n, max(0.0, factor * total - cap * (held or 0)) / weight
+    return placed.withColumn("target", F.least(F.col("_w") * each, F.col("words") * cap)).drop("_w", "place")
 
 
 def _step(p: list[float], u: list[float], rng: np.random.Generator) -> list[float]:
@@ -89,11 +103,10 @@ def landing(size: np.ndarray, p: np.ndarray) -> np.ndarray:
     return out
 
 
-def _balance(left: DataFrame, level: int, counts: dict, block: int) -> tuple[DataFrame, bool]:
-    """One level: `left` with p moved; whether every source was one block, so that it has landed."""
-    spark, last = left.sparkSession, max(counts.values()) <= block
-    blocks = spark.createDataFrame([(s, -(-n // block)) for s, n in counts.items()], "_source string, _blocks int")
-    dealt = left.join(F.broadcast(blocks), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_block", F.pmod(F.xxhash64("unit", F.lit(level)), F.col("_blocks"))).drop("_source", "_blocks")
+def _balance(left: DataFrame, level: int, counts: DataFrame, last: bool, block: int) -> DataFrame:
+    """One level: `left` with p moved; on the last one every source is one block, and lands."""
+    blocks = small(counts.select(F.col("source").alias("_source"), F.ceil(F.col("n") / block).cast("int").alias("_blocks")), FEW)
+    dealt = left.join(blocks, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_block", F.pmod(F.xxhash64("unit", F.lit(level)), F.col("_blocks"))).drop("_source", "_blocks")
 
     def move(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["words", "unit"], ascending=[False, True], kind="stable")
@@ -101,49 +114,50 @@ def _balance(left: DataFrame, level: int, counts: dict, block: int) -> tuple[Dat
         p = flight(size, group["p"].to_numpy(), rng)
         return group.assign(p=landing(size, p) if last else p).drop(columns="_block")
 
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.schema.fields)
-    return settle(dealt.groupBy("source", "_block").applyInPandas(move, kept), "balanced"), last
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema.fields)
+    return settle(dealt.groupBy("source", "_block").applyInPandas(move, kept), "balanced")
+
+
+def _unit(key: str, text: str, source: str) -> Column:
+    """A hash of a document; a null is told from a value, wherever it stands."""
+    return F.xxhash64(key, source, text, F.col(key).isNull(), F.col(source).isNull(), F.col(text).isNull())
 
 
 def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: Iterable[float] = WEIGHTS, factor: float = FACTOR, cap: float = CAP, block: int = BLOCK) -> DataFrame:
     """(unit, rows, key, size, source, source_size, target, copies) of each distinct document of docs.
 
     `unit` identifies key, source and text; `rows` is how often that row occurs in docs, all of which are taken `copies`
-    times (whole part of target / source size plus 0 or 1). A null text has size 0. Null sources are one source. Results
-    do not depend on partitions or order. An empty table gives an empty result.
+    times (whole part of target / source size plus 0 or 1). A null text has size 0. Null sources are one source, and there may
+    be any number of sources. Results do not depend on partitions or order. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    units = docs.select(F.xxhash64(key, source, text).alias("unit"), F.col(key).alias("key"), F.col(source).alias("source"), size_in_words(F.col(text)).alias("size"))
-    units = settle(units.groupBy("unit", "key", "source", "size").agg(F.count("*").alias("rows")).withColumn("words", F.col("size") * F.col("rows")), "units")
-    per_source = units.groupBy("source").agg(F.sum("words").alias("words"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(per_source) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    sizes = {r["source"]: r["words"] for r in per_source}
-    goal = targets(sizes, weights, factor, cap)
-    rate = {s: min(cap, goal[s] / sizes[s]) if sizes[s] else 0.0 for s in sizes}
-    table = spark.createDataFrame([(s, sizes[s], goal[s], int(rate[s] + EPS), max(0.0, rate[s] - int(rate[s] + EPS))) for s in sizes], "_source string, source_size long, target double, whole int, part double")
-    stats = F.broadcast(table)
-    fraction = {s for s in sizes if EPS < rate[s] - int(rate[s] + EPS)}
-    counts = {r["source"]: r["n"] for r in per_source if r["source"] in fraction}
-    done: list[DataFrame] = []
-    if counts:
-        left = units.join(stats, F.col("source").eqNullSafe(F.col("_source"))).where(F.col("part") > EPS).select("unit", "source", "words", F.col("part").alias("p"))
-        level, last = 0, False
-        while not last:
-            left, last = _balance(left, level, counts, block)
-            done.append(left.where("p = 1").select("unit"))
-            left, level = left.where("p > 0 AND p < 1"), level + 1
-            counts = {r["source"]: r["count"] for r in left.groupBy("source").count().collect()}
-            last = last or not counts
-    more = units.select("unit").limit(0) if not done else done[0]
-    for other in done[1:]:
-        more = more.unionByName(other)
-    joined = units.join(more.withColumn("_more", F.lit(1)), "unit", "left").join(stats, F.col("source").eqNullSafe(F.col("_source")))
+    own = docs.select(_unit(key, text, source).alias("unit"), F.col(key).alias("key"), F.col(source).alias("source"), size_in_words(F.col(text)).alias("size"))
+    units = settle(own.groupBy("unit", "key", "source", "size").agg(F.count("*").alias("rows")).withColumn("words", F.col("size") * F.col("rows")), "units")
+    goal = targets(units.groupBy("source").agg(F.sum("words").alias("words")), weights, factor, cap)
+    rate = F.when(F.col("words") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("words"))).otherwise(0.0)
+    whole = F.floor(rate + EPS).cast("int")
+    made = settle(goal.select(F.col("source").alias("_source"), F.col("words").alias("source_size"), "target", whole.alias("whole"), F.greatest(F.lit(0.0), rate - whole).alias("part")), "targets")
+    stats = small(made, FEW)
+    left = units.join(stats, F.col("source").eqNullSafe(F.col("_source"))).where(F.col("part") > EPS).select("unit", "key", "source", "size", "words", F.col("part").alias("p"))
+    level, more = 0, None
+    while True:
+        counts = settle(left.groupBy("source").agg(F.count("*").alias("n")), "counts")
+        most = counts.agg(F.max("n")).first()[0]
+        if most is None:
+            break
+        left = _balance(left, level, counts, most <= block, block)
+        taken = left.where("p = 1").select("unit", F.col("key").alias("_key"), "size", F.col("source").alias("_from"), F.lit(1).alias("_more"))
+        more = taken if more is None else more.unionByName(taken)
+        left, level = left.where("p > 0 AND p < 1"), level + 1
+    joined = units.join(stats, F.col("source").eqNullSafe(F.col("_source")))
+    if more is None:
+        joined = joined.withColumn("_more", F.lit(0))
+    else:
+        joined = joined.join(more, (joined["unit"] == more["unit"]) & (joined["size"] == more["size"]) & joined["key"].eqNullSafe(more["_key"]) & joined["source"].eqNullSafe(more["_from"]), "left").drop(more["unit"], more["size"])
     return joined.select("unit", "rows", F.col("key").alias(key), "size", "source", "source_size", "target", (F.col("whole") + F.coalesce("_more", F.lit(0))).alias("copies"))
 
 
 def take(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix itself: each row of docs as often as mix() takes it."""
     taken = mix(docs, key=key, text=text, source=source, **options).where("copies > 0").select(F.col("unit").alias("_unit"), F.col("copies").alias("_copies"))
-    both = docs.withColumn("_of", F.xxhash64(key, source, text)).join(taken.hint("shuffle_hash"), F.col("_of") == F.col("_unit"))
+    both = docs.withColumn("_of", _unit(key, text, source)).join(taken.hint("shuffle_hash"), F.col("_of") == F.col("_unit"))
     return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -2,9 +2,10 @@ from array import array
 from collections import Counter
 
 import corpus_pipeline
-from pulsegrid.llm import mixing, queries
+from pulsegrid.llm import queries
 from pulsegrid.llm.common import settle
-from tests.llm.test_text_operators import WORD, fingerprint, groups_by_hand, lines_by_hand, sha
+from tests.llm.test_shingle_dedup import groups_by_hand
+from tests.llm.test_text_operators import WORD, lines_by_hand, sha, targets_by_hand
 
 
 def test_each_stage_by_hand(spark, sf_dir):
@@ -19,14 +20,14 @@ def test_each_stage_by_hand(spark, sf_dir):
     assert {r.doc_id: sha(r.text.encode()) for r in second.collect()} == {d: x[2] for d, x in by_hand.items()}
     assert all(r.n_chars == len(r.text) for r in second.collect())
     third = settle(stages["simhash_near_dedup"](spark, second, sf_dir), "t")
-    groups = groups_by_hand({r.doc_id: fingerprint(r.text) for r in second.collect()})
+    groups = groups_by_hand([(r.doc_id, r.text) for r in second.collect()])
     assert sorted(r.doc_id for r in third.collect()) == sorted(set(groups.values()))
     fourth = settle(stages["mixing"](spark, third, sf_dir), "t")
     assert first.columns == second.columns == third.columns == fourth.columns == columns
     rows, taken = third.collect(), Counter(r.doc_id for r in fourth.collect())
     size = {r.doc_id: len(WORD.findall(r.text)) for r in rows}
     sources = {s: sum(size[r.doc_id] for r in rows if r.source == s) for s in {r.source for r in rows}}
-    for s, goal in mixing.targets(sources).items():
+    for s, goal in targets_by_hand(sources).items():
         own = [r.doc_id for r in rows if r.source == s]
         assert abs(sum(size[d] * taken[d] for d in own) - goal) <= max(size[d] for d in own) and max(taken[d] for d in own) <= 2
     last = stages["sentencepiece"](spark, fourth, sf_dir).collect()

@@ -154,11 +154,35 @@ def test_components(spark, seed):
     assert {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()} == root
 
 
-def test_targets():
-    assert mixing.targets({}) == {}
-    assert mixing.targets({"a": 100}) == {"a": 150.0}
-    got = mixing.targets({"b": 100, "a": 100, None: 1000, "c": 0})
-    assert got["a"] == 200 and got["c"] == 0 and got["b"] == 200 and got[None] == pytest.approx(1400)
+def targets_by_hand(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    out, free, rest = {}, list(order), 1.5 * sum(sizes.values())
+    while free:
+        each = rest / sum(weight[s] for s in free)
+        over = [s for s in free if weight[s] * each > 2 * sizes[s]]
+        if not over:
+            return out | {s: weight[s] * each for s in free}
+        out |= {s: 2.0 * sizes[s] for s in over}
+        rest -= sum(out[s] for s in over)
+        free = [s for s in free if s not in out]
+    return out
+
+
+def test_targets(spark):
+    rng = random.Random(4)
+    many = {f"{rng.choice('abé漢🎉')}{i}": int(rng.paretovariate(0.7) * 10) for i in range(300)} | {None: 5000, "": 0}
+    for sizes in ({}, {"a": 100}, {"a": 0}, {"b": 100, "a": 100, None: 1000, "c": 0}, many):
+        frame = spark.createDataFrame(list(sizes.items()), "source string, words long").repartition(3)
+        got = {r.source: r.target for r in mixing.targets(frame).collect()}
+        want = targets_by_hand(sizes)
+        assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
+
+
+def test_mixing_tells_nulls_from_values(spark):
+    docs_ = spark.createDataFrame([(1, None, "x"), (1, "x", None), (1, "x", "x y"), (None, "x", "1")], "doc_id long, source string, text string")
+    got = mixing.mix(docs_).collect()
+    assert len(got) == 4 and len({r.unit for r in got}) == 4 and all(r.rows == 1 for r in got)
 
 
 def test_flight_keeps_totals():
@@ -187,7 +211,7 @@ def test_mixing(spark, sf_dir):
         x = per[r.source]
         x[0], x[1], x[2], x[3] = x[0] + r["size"], x[1] + r.taken, r.target, max(x[3], r["size"])
         assert r.target <= 2 * r.source_size
-    want = mixing.targets({s: x[0] for s, x in per.items()})
+    want = targets_by_hand({s: x[0] for s, x in per.items()})
     for s, x in per.items():
         assert x[2] == pytest.approx(want[s]) and abs(x[1] - x[2]) <= max(x[3] / 2, 0.02 * x[2]) + 1, s
     again = {r.doc_id: r.taken for r in mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(7)).selectExpr("doc_id", "size * copies as taken").collect()}
