@@ -15,14 +15,16 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import fold, slices, small
+from pulsegrid.llm.common import fold, settle, slices, small
 
 BUCKETS = 1 << 13
 #: Centroids are fitted on at most this many examples of each language, those of the smallest hashes of their ids.
 MOST_EXAMPLES, CENTROIDS, ROUNDS = 400, 3, 8
+#: So many languages (0.1 MB each) are sent to tasks together.
+TOGETHER = 256
 UNKNOWN = "und"
 
 
@@ -101,6 +103,15 @@ def cluster(owner: np.ndarray, bucket: np.ndarray, value: np.ndarray, n: int, k:
 
 @dataclass
 class Model:
+    table: DataFrame  # a row a language: lang, radius, c (its centroids as 32-bit floats); names are unique
+    languages: int
+    idf: np.ndarray
+
+
+@dataclass
+class Part:
+    """Some languages of a model, for a task."""
+
     languages: list[str]
     centroids: np.ndarray  # (number of centroids, BUCKETS)
     owner: np.ndarray  # each centroid's language
@@ -108,39 +119,61 @@ class Model:
     idf: np.ndarray
 
 
-def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = MOST_EXAMPLES) -> Model:
     """The model of all languages of docs, from rows outside the held-out fold whose text and language are known.
 
-    Document frequencies cover all those rows; the centroids a bounded sample of each language.
+    Document frequencies cover all those rows; the centroids a bounded sample of each language: ids whose hash is below a
+    threshold set by the language's count, of which the `most` of the smallest hashes are used. Of a repeated id the text of the
+    smallest hash counts.
     """
     known = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where((fold(F.col("id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, n = frequencies(known)
     idf = np.log((1 + n) / (1 + df)) + 1
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    sample = known.select("id", "lang").withColumn("place", place).where(F.col("place") <= MOST_EXAMPLES).select(F.col("id").alias("_id"), F.col("lang").alias("_lang")).distinct()
-    rows = known.join(small(sample, 200_000), (F.col("id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("id", "text", "lang")
+    counts_ = small(known.groupBy("lang").count().select(F.col("lang").alias("_lang"), "count"), 100_000)
+    place = F.shiftrightunsigned(F.xxhash64("id"), 1)
+    few = known.join(counts_, F.col("lang") == F.col("_lang")).where(place < F.lit(2.0**63) * (1.5 * most + 50) / F.col("count"))
+    one = few.groupBy("lang", "id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("_t"))
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["id", "text"])
+    def fitted(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["place", "id"])[:most]  # about 1.5 * most rows
         texts = group["text"].tolist()
         parts = [(o + 64 * i, b, v) for i, g in enumerate(_groups(texts)) for o, b, v in [vectors(g, idf)]]
         c, radius = cluster(*(np.concatenate(x) for x in zip(*parts, strict=True)), len(texts))
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], "radius": [radius], "c": [c.astype("<f4").tobytes()]})
 
-    found = sorted(rows.groupBy("lang").applyInPandas(one, "lang string, radius double, c binary").collect(), key=lambda r: r["lang"])  # one row a language
-    found = [r for r in found if r["c"]]
+    rows = one.select("lang", "id", place.alias("place"), "_t.text")
+    table = settle(rows.groupBy("lang").applyInPandas(fitted, "lang string, radius double, c binary").where(F.length("c") > 0), "languages")
+    return Model(table, table.count(), idf)
+
+
+def _part(rows: list, idf: np.ndarray) -> Part:
+    found = sorted(rows, key=lambda r: r["lang"])
     parts = [np.frombuffer(r["c"], "<f4").reshape(-1, BUCKETS) for r in found]
-    return Model([r["lang"] for r in found], np.concatenate(parts) if parts else np.zeros((0, BUCKETS), np.float32), np.repeat(np.arange(len(found)), [len(p) for p in parts]), np.array([r["radius"] for r in found]), idf)
+    return Part([r["lang"] for r in found], np.concatenate(parts) if parts else np.zeros((0, BUCKETS), np.float32), np.repeat(np.arange(len(found)), [len(p) for p in parts]), np.array([r["radius"] for r in found]), idf)
 
 
-def predict(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", reject: bool = True) -> DataFrame:
+def predict(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", reject: bool = True, together: int = TOGETHER) -> DataFrame:
     """(key, lang_pred, score, rejected) of every row; score is the cosine with the nearest centroid.
 
     A text that is null or has no letter is `und` with score 0. With `reject` so are the rejected ones, which otherwise keep
-    their nearest language. Ties go to the language first in order. Without a learned language all are `und`.
+    their nearest language. Ties go to the language first in order. Without a learned language all are `und`. A model of more
+    languages than `together` is applied in parts, of which each row keeps the nearest.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size for each language
-    kind = docs.schema[key].dataType.simpleString()
+    if model.languages <= together:
+        return _nearest(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), _part(model.table.collect(), model.idf), key, reject)
+    rows = settle(docs.select(F.struct(F.monotonically_increasing_id().alias("at"), F.col(key).alias("own")).alias("key"), F.col(text).alias("text")), "numbered")
+    found, dealt = None, model.table.withColumn("_p", F.pmod(F.xxhash64("lang"), F.lit(-(-2 * model.languages // together))))
+    for i in range(-(-2 * model.languages // together)):  # about half as many languages as fit
+        some = _nearest(rows, _part(dealt.where(F.col("_p") == i).collect(), model.idf), "key", False)
+        found = some if found is None else found.unionByName(some)
+    best = found.groupBy("key").agg(F.min_by(F.struct("lang_pred", "score", "rejected"), F.struct((-F.col("score")).alias("s"), (F.col("lang_pred") == UNKNOWN).alias("u"), "lang_pred")).alias("b"))
+    name = F.when(F.col("b.rejected") & F.lit(reject), UNKNOWN).otherwise(F.col("b.lang_pred"))
+    return best.select(F.col("key.own").alias(key), name.alias("lang_pred"), "b.score", "b.rejected")
+
+
+def _nearest(docs: DataFrame, part: Part, key: str, reject: bool) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(part)  # of `together` languages at most
+    kind = docs.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -164,4 +197,4 @@ def predict(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "
                 far += out.tolist()
             yield pa.RecordBatch.from_pydict({key: rows["key"], "lang_pred": pa.array(found, pa.string()), "score": pa.array(scores, pa.float64()), "rejected": pa.array(far, pa.bool_())})
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, rejected boolean")
+    return docs.mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, rejected boolean")

@@ -103,6 +103,25 @@ def test_language_odd_texts(spark):
     assert language_id.predict(empty(spark), model).count() == 0
 
 
+def test_many_languages_in_parts(spark):
+    """Applied in parts the model says what it says as a whole; repeated ids have one text, whatever the order."""
+    rng = random.Random(2)
+    words = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for k in range(30)}
+    data = [(i, " ".join(rng.choice(words[x]) for _ in range(20)), x) for i, x in enumerate(sorted(words) * 12)]
+    data += [(7, " ".join(rng.choice(words["l03"]) for _ in range(9)), data[7][2]) for _ in range(50)] + [(None, None, None), (5000, "12 34", None)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = language_id.fit(frame.repartition(3))
+    assert model.languages == 30
+    as_rows = lambda df: sorted((str(r.doc_id), r.lang_pred, round(r.score, 9), r.rejected) for r in df.collect())
+    for reject in (True, False):
+        whole = as_rows(language_id.predict(frame, model, reject=reject))
+        assert as_rows(language_id.predict(frame.repartition(5), model, reject=reject, together=7)) == whole and len(whole) == len(data)
+    again = language_id.fit(spark.createDataFrame(rng.sample(data, len(data)), frame.schema).repartition(2))
+    assert as_rows(language_id.predict(frame, again)) == as_rows(language_id.predict(frame, model))
+    bounded = language_id.fit(frame, most=2)
+    assert bounded.languages == 30 and language_id.predict(frame, bounded, reject=False).where("lang_pred <> 'und'").count() > 350
+
+
 def edits_by_hand(docs):
     """docs: (id, text), ids all different."""
     order = sorted(docs, reverse=True)
