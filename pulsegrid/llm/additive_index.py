@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by additive quantisation.
 
-A vector is approximated by the sum of one word of each of several full-dimensional codebooks; encoding keeps a beam of the
-best partial sums. Kept are the codes and the norm of vector and sum. A query scores all codes by adding entries of its
-table of inner products, and the best of each block are scored exactly in double precision.
+A vector's direction is approximated by the sum of one word of each of several full-dimensional codebooks; encoding keeps a
+beam of the best partial sums. Kept are the codes and the vector's norm by that of the sum. A query scores all codes by adding
+entries of its table of inner products, and the best of each block are scored exactly in double precision.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ BOOKS, WORDS, BEAM = 16, 256, 3
 #: Codebooks are fitted on at most this many vectors, those of the smallest hashes of their ids; every vector is encoded.
 MOST_FITTED, ROUNDS = 8192, 6
 RERANK, ROWS, QUERIES = 400, 32_768, 1024
+MOST_LENGTHS = 64
 #: So many queries of a block are scored together, and rows of a block at a time.
 TOGETHER, AT_ONCE = 64, 2048
 
@@ -47,10 +48,20 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS) -> np.ndarray:
     return np.array(out)
 
 
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length 1 in single precision, and the norms in double precision, of vectors of any finite size."""
+    top = np.abs(x).max(axis=1, keepdims=True)
+    top[top == 0] = 1
+    length = np.linalg.norm(x / top, axis=1, keepdims=True)
+    with np.errstate(over="ignore"):
+        norm = np.minimum(top * length, 1e300)[:, 0]
+    return (x / top / np.maximum(length, 1e-300)).astype(np.float32), norm
+
+
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """Codes (n, books) and the scale of each: the norm of the vector by that of its sum."""
     m, k, d = books.shape
-    x = x.astype(np.float32)
+    x, length = directions(x)
     half = 0.5 * np.einsum("mkd,mkd->mk", books, books)
     codes, rest = np.zeros((len(x), 1, 0), np.int64), x[:, None, :]
     for level in range(m):
@@ -66,7 +77,7 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
         rest = np.take_along_axis(rest, (best // k)[:, :, None], axis=1) - books[level][best % k]
     own = codes[:, 0]
     norm = np.linalg.norm(books[np.arange(m), own].sum(axis=1), axis=1)
-    return own.astype(np.uint8), (np.linalg.norm(x, axis=1) / np.maximum(norm, 1e-9)).astype(np.float32)
+    return own.astype(np.uint8), length / np.maximum(norm, 1e-9)
 
 
 def search_block(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, scale: np.ndarray, books: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, top: int, rerank: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -74,9 +85,9 @@ def search_block(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, scale: np.nd
     m, words, d = books.shape
     wide = codes.astype(np.intp).T.copy()
     for first in range(0, len(query_ids), TOGETHER):
-        group = queries[first : first + TOGETHER].astype(np.float32)
+        group, _ = directions(queries[first : first + TOGETHER])
         tables = (books.reshape(-1, d) @ group.T).reshape(m, words, len(group))
-        scores = np.empty((len(group), len(ids)), np.float32)
+        scores = np.empty((len(group), len(ids)))
         for a in range(0, len(ids), AT_ONCE):
             near = tables[0].take(wide[0, a : a + AT_ONCE], axis=0)
             for j in range(1, m):
@@ -91,8 +102,9 @@ def search_block(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, scale: np.nd
             else:
                 chosen = np.arange(len(near))
             chosen = chosen[ids[chosen] != q_id]
-            exact = x[chosen].astype(np.float64) @ q
-            best = np.lexsort((ids[chosen], -exact))[:top]
+            with np.errstate(over="ignore", invalid="ignore"):
+                exact = x[chosen].astype(np.float64) @ q
+            best = np.lexsort((ids[chosen], -np.nan_to_num(exact, nan=-np.inf)))[:top]
             yield q_id, ids[chosen][best], exact[best]
 
 
@@ -110,21 +122,29 @@ def _matrix(column: pa.Array, n: int) -> np.ndarray:
 def neighbours(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: str = "embedding", top: int = 20, rerank: int = RERANK, rows: int = ROWS, per_query_block: int = QUERIES) -> DataFrame:
     """(query_id, rank, key, score) of each query's `top` nearest among all other vectors, by inner product.
 
-    Vectors have one length; rows of a length other than the most frequent one take no part, as do null, zero and non-finite
-    ones. Rows of equal id are candidates each. Codebooks are fitted on a bounded sample and sent to all tasks (of fixed size:
+    Null, zero and non-finite vectors take no part. Vectors of different lengths are searched apart, each length with codebooks of
+    its own; there may be MOST_LENGTHS of them. Rows of equal id are candidates each; of several query rows of one id the
+    smallest vector asks, once. Codebooks are fitted on a bounded sample and sent to all tasks (of fixed size:
     books * words * dimensions); all vectors are encoded. Queries and candidates meet as blocks of bounded size, of which each
     gives `top` exactly scored rows a query. With no vector there is no row.
     """
     spark, schema = vectors.sparkSession, "query_id long, rank int, vec_id long, score double".replace("vec_id", f"`{key}`")
     every = valid(vectors, key, vector)
-    sizes = every.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], schema)
-    d, n = sizes[0]["d"], sizes[0]["count"]
-    every = every.where(F.size("v") == d)
-    sample = every.orderBy(F.xxhash64("id", "v"), "id").limit(MOST_FITTED).groupBy().applyInPandas(lambda g: pd.DataFrame({"b": [fit(np.array(g.sort_values("id")["v"].tolist(), np.float32)).tobytes()]}), "b binary")
+    asked = valid(queries, key, vector).groupBy(F.size("v").alias("d"), "id").agg(F.min("v").alias("v"))
+    sizes = every.groupBy(F.size("v").alias("d")).count().limit(MOST_LENGTHS + 1).collect()
+    if len(sizes) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
+    out = spark.createDataFrame([], schema)
+    for d, n in sorted(sizes):
+        out = out.unionByName(_of_length(every.where(F.size("v") == d), asked.where(F.col("d") == d).select("id", "v"), d, n, key, top, rerank, rows, per_query_block))
+    return out
+
+
+def _of_length(every: DataFrame, asked: DataFrame, d: int, n: int, key: str, top: int, rerank: int, rows: int, per_query_block: int) -> DataFrame:
+    """neighbours() among the n vectors (id, v) of length d."""
+    spark, schema = every.sparkSession, f"query_id long, rank int, `{key}` long, score double"
+    sample = every.orderBy(F.xxhash64("id", "v"), "id").limit(MOST_FITTED).groupBy().applyInPandas(lambda g: pd.DataFrame({"b": [fit(directions(np.array(g.sort_values("id")["v"].tolist(), float))[0]).tobytes()]}), "b binary")
     sent = spark.sparkContext.broadcast(np.frombuffer(sample.first()["b"], np.float32).reshape(BOOKS, WORDS, d))
-    asked = valid(queries, key, vector).where(F.size("v") == d)
 
     def blocks(data: DataFrame, most: int, coded: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,9 +173,10 @@ def neighbours(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", v
                 yield done(held)
 
         dealt = data.repartition(-(-n // most) if coded else max(1, -(-n // (20 * most))), F.xxhash64("id"))
-        return settle(dealt.mapInArrow(run, "ids binary, x binary" + ", codes binary, scale binary" * coded), "blocks").withColumn("no", F.monotonically_increasing_id())
+        made = dealt.mapInArrow(run, "ids binary, x binary" + ", codes binary, scale binary" * coded)
+        return settle(made.withColumn("no", F.monotonically_increasing_id()), "blocks")
 
-    rows_, asked_ = settle(blocks(every, rows, True), "rows"), settle(blocks(asked, per_query_block, False), "queries")
+    rows_, asked_ = blocks(every, rows, True), blocks(asked, per_query_block, False)
     other = [[r["no"] for r in x.select("no").collect()] for x in (asked_, rows_)]  # a number for each block
     if not other[0]:
         return spark.createDataFrame([], schema)
@@ -165,7 +186,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", v
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, x, codes, scale, q_ids, q = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in enumerate(("<i8", "<f8", np.uint8, np.float32, "<i8", "<f8")))
+                ids, x, codes, scale, q_ids, q = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in enumerate(("<i8", "<f8", np.uint8, "<f8", "<i8", "<f8")))
                 found = list(search_block(ids, x.reshape(-1, d), codes.reshape(-1, BOOKS), scale, sent.value, q_ids, q.reshape(-1, d), top, rerank))
                 sizes = [len(f[1]) for f in found]
                 yield pa.RecordBatch.from_pydict({"query_id": np.repeat([f[0] for f in found], sizes).astype(np.int64), "id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})

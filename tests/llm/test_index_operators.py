@@ -285,6 +285,22 @@ def test_nearest_recall(spark):
     assert all(s == pytest.approx(exact[q][i], abs=1e-12) for q, v in got.items() for i, s in v if i in exact[q])
 
 
+def test_nearest_of_repeated_queries_huge_components_and_two_lengths(spark):
+    rng = np.random.default_rng(3)
+    good = [(i, rng.normal(size=5).round(3).tolist()) for i in range(900)]
+    good[7] = (7, [1e39, 0.0, -2e38, 1.0, 0.0])
+    good[40] = (40, [-1e39, 1e39, 0.0, 0.0, 5.0])
+    good += [(i, rng.normal(size=3).round(3).tolist()) for i in range(900, 1000)]
+    frame = spark.createDataFrame(good, "vec_id long, embedding array<double>").repartition(3)
+    asked = frame.where("vec_id % 20 = 0")
+    got = defaultdict(list)
+    for r in additive_index.neighbours(frame, asked.unionByName(asked), rows=300).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, pytest.approx(r.score)))
+    want = nearest_by_hand(good[:900], [v for v in good[:900] if v[0] % 20 == 0]) | nearest_by_hand(good[900:], [v for v in good[900:] if v[0] % 20 == 0])
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) > 0.98
+
+
 def test_nearest_odd_vectors(spark):
     rng = np.random.default_rng(0)
     good = [(i, rng.normal(size=6).round(2).tolist()) for i in range(40)] + [(i, [1.0, 2.0, 3.0, 0.0, 0.0, 1.0]) for i in range(40, 90)]
