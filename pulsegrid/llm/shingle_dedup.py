@@ -1,6 +1,9 @@
 """Near copies by word shingles: every pair of documents whose sets of shingles have a Jaccard similarity of 4/5 or more.
 
-No pair is missed. If the shingles of all documents stand in one order, two such sets share one of their first
+Equal and nearly equal texts are found by SimHash first (multi-index hashing of fingerprints of the same shingles): each
+fingerprint's document is compared, exactly, with that of the smallest fingerprint it is linked to. Two sets at 4/5 can be a
+quarter of the bits apart, farther than any radius that can be looked up, so the pairs left are found another way, which
+misses none. If the shingles of all documents stand in one order, two such sets share one of their first
 n - ceil(4n/5) + 1 (n: the size of each), so only documents that share one of these are compared, and exactly. Any order
 finds the same pairs: shingles seen often in a sample come last, so that common passages seldom bring documents together.
 A shingle's documents first meet one of them only, and after that only those of other components: many near copies of one
@@ -18,20 +21,20 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import settle, slices, small
 from pulsegrid.llm.components import components
-from pulsegrid.llm.simhash_dedup import SEED
+from pulsegrid.llm.simhash_dedup import RADIUS, SEED, linked, majority
 
 WORDS = 5
 #: Documents of the sample and shingles held as common, at most; how often all meet one document. None of them changes the result.
 SAMPLE, COMMON, TURNS = 8_192, 50_000, 2
 
 
-def shingles(text: str, words: int = WORDS) -> np.ndarray:
-    """The sorted distinct XXH64 of runs of `words` words, A-Z lower-cased; fewer words are one run, none have no shingle."""
+def hashes(text: str, words: int = WORDS) -> np.ndarray:
+    """The XXH64 of runs of `words` words, A-Z lower-cased, repeats included; fewer words are one run, none have no shingle."""
     from xxhash import xxh64_intdigest
 
     w = text.encode().lower().split()
     runs = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)] if w else ()
-    return np.unique(np.array([xxh64_intdigest(s, SEED) for s in runs], np.uint64))
+    return np.array([xxh64_intdigest(s, SEED) for s in runs], np.uint64)
 
 
 def _node(own: np.ndarray) -> int:
@@ -47,7 +50,7 @@ def _long(x: list[int]) -> pa.Array:
 def _map(docs: DataFrame, each: Callable[[dict, list[np.ndarray]], dict], schema: str, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches, "text"):
-            yield pa.RecordBatch.from_pydict(each(rows, [shingles(t, words) for t in texts]))
+            yield pa.RecordBatch.from_pydict(each(rows, [hashes(t, words) for t in texts]))
 
     return docs.mapInArrow(run, schema)
 
@@ -55,23 +58,24 @@ def _map(docs: DataFrame, each: Callable[[dict, list[np.ndarray]], dict], schema
 def _common(docs: DataFrame, words: int) -> np.ndarray:
     """Sorted shingles that three or more documents of a sample have."""
     some = docs.where(F.pmod(F.xxhash64("key"), F.lit(max(1, -(-docs.count() // SAMPLE)))) == 0)
-    each = _map(some, lambda _, sets: {"h": _long(np.concatenate([*sets, np.empty(0, np.uint64)]))}, "h long", words)
+    each = _map(some, lambda _, own: {"h": _long(np.concatenate([*map(np.unique, own), np.empty(0, np.uint64)]))}, "h long", words)
     often = each.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).select("h").toPandas()
     return np.sort(often["h"].to_numpy(np.int64).view(np.uint64))
 
 
 def _firsts(docs: DataFrame, words: int) -> DataFrame:
-    """(key, node, n, first): a number for the set of shingles, its size, and its first shingles in the common order."""
+    """(key, node, fp, n, first): a number for the set of shingles, fingerprint, size, and first shingles in the common order."""
     common = _common(docs, words)
 
-    def each(rows: dict, sets: list[np.ndarray]) -> dict:
-        first = []
+    def each(rows: dict, own: list[np.ndarray]) -> dict:
+        fp = majority(np.concatenate([*own, np.empty(0, np.uint64)]), np.array(list(map(len, own)), np.int64))
+        sets, first = list(map(np.unique, own)), []
         for s in sets:
             late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
             first.append(np.concatenate([s[~late], s[late]])[: len(s) - -(-4 * len(s) // 5) + 1].view(np.int64))
-        return {"key": rows["key"], "node": _long([_node(s) for s in sets]), "n": pa.array([len(s) for s in sets], pa.int64()), "first": pa.array(first, pa.list_(pa.int64()))}
+        return {"key": rows["key"], "node": _long([_node(s) for s in sets]), "fp": pa.array(fp.view(np.int64)), "n": pa.array([len(s) for s in sets], pa.int64()), "first": pa.array(first, pa.list_(pa.int64()))}
 
-    return _map(docs, each, f"key {docs.schema['key'].dataType.simpleString()}, node long, n long, first array<long>", words)
+    return _map(docs, each, f"key {docs.schema['key'].dataType.simpleString()}, node long, fp long, n long, first array<long>", words)
 
 
 def _possible(n: Column, at: Column, m: Column, other: Column) -> Column:
@@ -83,21 +87,32 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -
     """The (a, b) of pairs whose sets are similar; sets are made again from the texts of the documents that are met."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     keys = small(nodes.join(ends, "node").select(F.col("least").alias("key")).distinct(), 500_000)
-    own = _map(docs.join(keys, "key", "left_semi"), lambda _, sets: {"node": _long([_node(s) for s in sets]), "own": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))}, "node long, own array<long>", words)
+    own = _map(docs.join(keys, "key", "left_semi"), lambda _, x: {"node": _long([_node(s) for s in map(np.unique, x)]), "own": pa.array([np.unique(s).view(np.int64) for s in x], pa.list_(pa.int64()))}, "node long, own array<long>", words)
     sets = settle(own.join(small(ends, 500_000), "node", "left_semi").dropDuplicates(["node"]), "sets")
     met = pairs.join(sets.withColumnsRenamed({"node": "a", "own": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "own": "y"}), "b")
     both = F.size(F.array_intersect("x", "y"))
     return met.where(5 * both >= 4 * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """(a, b) to be compared: every node with the least of its fingerprint, and that with the least of the fingerprint it is linked to."""
+    prints = settle(nodes.groupBy("fp").agg(F.min("node").alias("least_node")), "fingerprints")
+    near = linked(prints.select("fp"), prints.count(), RADIUS).where("node <> root")
+    one, other = prints.withColumnsRenamed({"fp": "node", "least_node": "x"}), prints.withColumnsRenamed({"fp": "root", "least_node": "y"})
+    same = nodes.join(prints, "fp").select(F.col("node").alias("x"), F.col("least_node").alias("y"))
+    both = near.join(one, "node").join(other, "root").select("x", "y").unionByName(same).where("x <> y")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """(key, component_id) of every row whose key is not null: the smallest key that similar pairs reach. Other rows link nothing."""
     own = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows = settle(_firsts(own, words), "firsts")
-    nodes = settle(rows.groupBy("node").agg(F.min("key").alias("least"), F.first("n").alias("n"), F.first("first").alias("first")), "nodes")
+    nodes = settle(rows.groupBy("node").agg(F.min("key").alias("least"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("first").alias("first")), "nodes")
     dealt = nodes.select("node", "n", F.posexplode("first").alias("at", "h"))
     shared = settle(dealt.join(dealt.groupBy("h").count().where("count > 1").select("h"), "h"), "shared")
-    links, roots = None, nodes.select("node").limit(0).withColumn("root", F.col("node"))
+    links = settle(_verified(settle(_by_fingerprint(nodes), "pairs"), own, nodes, words), "links")
+    roots = settle(components(links), "roots")
     for turn in range(TURNS + 1):
         state = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         one = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("_"), "node", "n", "at", "root")).alias("one")
@@ -109,7 +124,7 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wor
             met = met.where("node < o_node")
         pairs = settle(met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct(), "pairs")
         new = settle(_verified(pairs, own, nodes, words), "links")
-        links = new if links is None else links.unionByName(new)
+        links = links.unionByName(new)
         roots = settle(components(links), "roots")
     rooted = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

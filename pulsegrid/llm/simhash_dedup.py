@@ -12,14 +12,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import settle, slices
+from pulsegrid.llm.common import settle, slices, small
 from pulsegrid.llm.components import components
 
 BITS, SEED = 64, 42
-WORDS, RADIUS = 4, 4
+WORDS, RADIUS, HOT = 4, 4, 64
 
 
 def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -75,18 +75,42 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
+def _tables(fps: DataFrame, rows: int, radius: int, name: str, ball: bool, *more: str) -> DataFrame:
+    """(name, slot) of each fingerprint: its own value in each segment's table, or with `ball` every value that it looks up there."""
+    parts = segments(rows, radius)
+    flips = lambda i, shift, width, most: [(_signed(sum(1 << (shift + x) for x in f)), shift, (1 << width) - 1, i) for k in range(most + 1) for f in combinations(range(width), k)]
+    probes = [p for i, (shift, width, most) in enumerate(parts) for p in flips(i, shift, width, most if ball else 0)]
+    dealt = F.explode(F.array(*(F.struct(F.lit(m).cast("long").alias("m"), F.lit(s).alias("s"), F.lit(w).cast("long").alias("w"), F.lit(i).cast("long").alias("i")) for m, s, w, i in probes)))
+    return fps.select(F.col("fp").alias(name), *more, dealt.alias("p")).select(name, *more, F.expr(f"(shiftrightunsigned({name} ^ p.m, p.s) & p.w) * 8 + p.i").alias("slot"))
+
+
+def _near(radius: int) -> Column:
+    return F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
+
+
 def links(fps: DataFrame, rows: int, radius: int = RADIUS) -> DataFrame:
     """(a, b), a < b, of all distinct fingerprints in column fp, of which there are about `rows`, at most `radius` bits apart."""
-    parts = segments(rows, radius)
-    own = [(0, shift, (1 << width) - 1, i) for i, (shift, width, _) in enumerate(parts)]
-    balls = [(_signed(sum(1 << (shift + x) for x in flips)), shift, (1 << width) - 1, i) for i, (shift, width, most) in enumerate(parts) for k in range(most + 1) for flips in combinations(range(width), k)]
+    met = _tables(fps, rows, radius, "a", True).join(_tables(fps, rows, radius, "b", False), "slot")
+    return met.where((F.col("a") < F.col("b")) & _near(radius)).select("a", "b").distinct()
 
-    def tables(name: str, probes: list[tuple[int, int, int, int]]) -> DataFrame:
-        dealt = F.explode(F.array(*(F.struct(F.lit(m).cast("long").alias("m"), F.lit(s).alias("s"), F.lit(w).cast("long").alias("w"), F.lit(i).cast("long").alias("i")) for m, s, w, i in probes)))
-        return fps.select(F.col("fp").alias(name), dealt.alias("p")).select(name, F.expr(f"(shiftrightunsigned({name} ^ p.m, p.s) & p.w) * 8 + p.i").alias("slot"))
 
-    met = tables("a", balls).join(tables("b", own), "slot").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
-    return met.select("a", "b").distinct()
+def linked(fps: DataFrame, rows: int, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """(node, root) of the components that all links() make; root is the smallest fingerprint. Fingerprints without a link are left out.
+
+    Links within a component needn't all be found. First each fingerprint meets one of each slot it stands in, which joins most of
+    a dense cluster; then fingerprints of different components look one another up. What lies in a slot of more than `hot`
+    fingerprints of one component isn't looked up from within that component.
+    """
+    own = _tables(fps, rows, radius, "b", False)
+    met = settle(own.join(own.groupBy("slot").agg(F.min("b").alias("a")), "slot").where((F.col("a") < F.col("b")) & _near(radius)).select("a", "b").distinct(), "met")
+    first = components(met)
+    state = settle(fps.join(first, fps["fp"] == first["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+    there = _tables(state, rows, radius, "b", False, "root").withColumnRenamed("root", "b_root")
+    crowds = there.groupBy("slot").agg(F.count("*").alias("n"), F.min("b_root").alias("lo"), F.max("b_root").alias("hi"))
+    alike = settle(crowds.where((F.col("n") > hot) & (F.col("lo") == F.col("hi"))).select("slot", "lo"), "crowds")
+    asked = _tables(state, rows, radius, "a", True, "root").join(small(alike, 500_000), "slot", "left").where(F.col("lo").isNull() | (F.col("lo") != F.col("root"))).drop("lo")
+    more = asked.join(there, "slot").where((F.col("root") != F.col("b_root")) & (F.col("a") < F.col("b")) & _near(radius)).select("a", "b").distinct()
+    return components(met.unionByName(settle(more, "links")))
 
 
 def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -97,7 +121,7 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wor
     """
     fps = settle(fingerprints(docs, key=key, text=text, words=words), "fingerprints")
     distinct = settle(fps.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), distinct.count(), radius)).withColumnRenamed("node", "fp")
+    roots = linked(distinct.select("fp"), distinct.count(), radius).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")

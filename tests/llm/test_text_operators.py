@@ -139,6 +139,19 @@ def test_links_find_all_pairs(spark, rows_, radius):
     assert got == want
 
 
+@pytest.mark.parametrize(("radius", "hot"), [(4, 64), (4, 2), (3, 0), (6, 3)])
+def test_linked_components(spark, radius, hot):
+    """Chains, a dense cluster of fingerprints and lone ones: the same components as from all links."""
+    rng = random.Random(radius)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    near = [b ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(7))) for b in base for _ in range(6)]
+    dense = [base[0] ^ sum(1 << i for i in rng.sample(range(12), rng.randrange(5))) for _ in range(300)]
+    fps = sorted({x - 2**64 if x >= 2**63 else x for x in base + near + dense})
+    frame = spark.createDataFrame([(x,) for x in fps], "fp long")
+    want = {r.node: r.root for r in components(simhash_dedup.links(frame, 2**18, radius)).collect()}
+    assert {r.node: r.root for r in simhash_dedup.linked(frame, 2**18, radius, hot).collect()} == want
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)
