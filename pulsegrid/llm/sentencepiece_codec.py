@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.common import Recent, slices
 
 MARK = "▁"
-MEMO = 200_000
+MEMO = 400_000
 SHORT, NEVER = 48, float("inf")
 
 

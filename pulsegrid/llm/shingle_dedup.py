@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import settle, slices, small
@@ -25,7 +25,9 @@ from pulsegrid.llm.simhash_dedup import RADIUS, SEED, linked, majority
 
 WORDS = 5
 #: Documents of the sample and shingles held as common, at most; how often all meet one document. None of them changes the result.
-SAMPLE, COMMON, TURNS = 8_192, 50_000, 2
+SAMPLE, COMMON, TURNS = 8_192, 50_000, 1
+#: Shingles are counted in so many cells, by which most pairs are told apart without their sets.
+CELLS = 128
 
 
 def hashes(text: str, words: int = WORDS) -> np.ndarray:
@@ -64,7 +66,7 @@ def _common(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _firsts(docs: DataFrame, words: int) -> DataFrame:
-    """(key, node, fp, n, first): a number for the set of shingles, fingerprint, size, and first shingles in the common order."""
+    """(key, node, fp, n, cells, first): a number for the set of shingles, fingerprint, size, how many shingles are in each cell, and first shingles in the common order."""
     common = _common(docs, words)
 
     def each(rows: dict, own: list[np.ndarray]) -> dict:
@@ -73,9 +75,9 @@ def _firsts(docs: DataFrame, words: int) -> DataFrame:
         for s in sets:
             late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
             first.append(np.concatenate([s[~late], s[late]])[: len(s) - -(-4 * len(s) // 5) + 1].view(np.int64))
-        return {"key": rows["key"], "node": _long([_node(s) for s in sets]), "fp": pa.array(fp.view(np.int64)), "n": pa.array([len(s) for s in sets], pa.int64()), "first": pa.array(first, pa.list_(pa.int64()))}
+        return {"key": rows["key"], "node": _long([_node(s) for s in sets]), "fp": pa.array(fp.view(np.int64)), "n": pa.array([len(s) for s in sets], pa.int64()), "cells": pa.array([np.bincount(s >> np.uint64(57), minlength=CELLS).astype(np.int32) for s in sets], pa.list_(pa.int32())), "first": pa.array(first, pa.list_(pa.int64()))}
 
-    return _map(docs, each, f"key {docs.schema['key'].dataType.simpleString()}, node long, fp long, n long, first array<long>", words)
+    return _map(docs, each, f"key {docs.schema['key'].dataType.simpleString()}, node long, fp long, n long, cells array<int>, first array<long>", words)
 
 
 def _possible(n: Column, at: Column, m: Column, other: Column) -> Column:
@@ -84,7 +86,13 @@ def _possible(n: Column, at: Column, m: Column, other: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """The (a, b) of pairs whose sets are similar; sets are made again from the texts of the documents that are met."""
+    """The (a, b) of pairs whose sets are similar; sets are made again from the texts of the documents that are met.
+
+    What two sets have in common is at most the sum over the cells of the smaller count; pairs with too little of it are left out first.
+    """
+    of = {c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("cells").alias(f"cells_{c}")) for c in "ab"}
+    most = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    pairs = settle(pairs.join(of["a"], "a").join(of["b"], "b").where(9 * most >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "likely")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     keys = small(nodes.join(ends, "node").select(F.col("least").alias("key")).distinct(), 500_000)
     own = _map(docs.join(keys, "key", "left_semi"), lambda _, x: {"node": _long([_node(s) for s in map(np.unique, x)]), "own": pa.array([np.unique(s).view(np.int64) for s in x], pa.list_(pa.int64()))}, "node long, own array<long>", words)
@@ -108,9 +116,13 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wor
     """(key, component_id) of every row whose key is not null: the smallest key that similar pairs reach. Other rows link nothing."""
     own = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows = settle(_firsts(own, words), "firsts")
-    nodes = settle(rows.groupBy("node").agg(F.min("key").alias("least"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("first").alias("first")), "nodes")
-    dealt = nodes.select("node", "n", F.posexplode("first").alias("at", "h"))
-    shared = settle(dealt.join(dealt.groupBy("h").count().where("count > 1").select("h"), "h"), "shared")
+    nodes = settle(rows.groupBy("node").agg(F.min("key").alias("least"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("cells").alias("cells"), F.count("*").alias("rows")), "nodes")
+    copies = small(nodes.where("rows > 1").select("node", "least"), 500_000)
+    one = rows.join(copies, "node", "left").where(F.col("least").isNull() | (F.col("key") == F.col("least")))
+    by_h = Window.partitionBy("h").orderBy("node")
+    dealt = one.select("node", "n", F.posexplode("first").alias("at", "h"))
+    beside = dealt.select("*", F.lag("node").over(by_h).alias("_b"), F.lead("node").over(by_h).alias("_a"))
+    shared = settle(beside.where((F.col("_b") != F.col("node")) | (F.col("_a") != F.col("node"))).drop("_b", "_a"), "shared")
     links = settle(_verified(settle(_by_fingerprint(nodes), "pairs"), own, nodes, words), "links")
     roots = settle(components(links), "roots")
     for turn in range(TURNS + 1):
