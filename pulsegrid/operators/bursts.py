@@ -11,6 +11,9 @@ from pulsegrid.functions import SECOND, log_guard, sq_distance
 from pulsegrid.operators.events import with_isi
 from pulsegrid.operators.intervals import REC, contain_join
 
+#: Nodes that a codebook can have.
+MOST_NODES = 100_000
+
 #: Feature name to aggregate over a burst's events, isi being in seconds and null at its first event.
 FEATURES = {
     "b_n": lambda: F.count("*"),
@@ -56,16 +59,18 @@ def standardise(features: DataFrame, variables: list[dict]) -> Column:
 def project(vectors: DataFrame, codebook: DataFrame, vector: str = "v", second: bool = False) -> DataFrame:
     """vectors with bmu, the node of the codebook (node_id, w) nearest to them, and dist (ties: the lower node); with `second` also bmu2.
 
-    The codebook is a map of a fixed number of nodes; it is gathered into one row of an array that is joined by broadcast, so no
-    vector is shuffled or repeated.
+    The codebook is a map of at most MOST_NODES nodes (more are an error); it is gathered into one row of an array that is joined
+    by broadcast, so no vector is shuffled or repeated.
     """
+    if (n := codebook.limit(MOST_NODES + 1).count()) > MOST_NODES:
+        raise ValueError(f"a codebook of {n} nodes or more")
     nodes = codebook.where("node_id IS NOT NULL AND w IS NOT NULL").agg(F.sort_array(F.collect_list(F.struct("node_id", "w"))).alias("_nodes"))
-    ranked = F.array_sort(F.transform("_nodes", lambda n: F.struct(sq_distance(F.col(vector), n.w).alias("d"), n.node_id.alias("node_id"))))
-    both = vectors.join(F.broadcast(nodes)).withColumn("_r", ranked)
-    out = both.withColumn("bmu", F.get("_r", F.lit(0)).node_id).withColumn("dist", F.sqrt(F.get("_r", F.lit(0)).d))
+    far = F.transform("_nodes", lambda n: F.struct(sq_distance(F.col(vector), n.w).alias("d"), n.node_id.alias("node_id")))
+    both = vectors.join(F.broadcast(nodes)).withColumn("_r", far).withColumn("_best", F.array_min("_r"))
+    out = both.withColumn("bmu", F.col("_best.node_id")).withColumn("dist", F.sqrt(F.col("_best.d")))
     if second:
-        out = out.withColumn("bmu2", F.get("_r", F.lit(1)).node_id)
-    return out.drop("_nodes", "_r")
+        out = out.withColumn("bmu2", F.array_min(F.filter("_r", lambda r: r.node_id != F.col("_best.node_id"))).node_id)
+    return out.drop("_nodes", "_r", "_best")
 
 
 def classify(features: DataFrame, codebook: DataFrame, variables: list[dict], least: int = 5) -> DataFrame:

@@ -132,13 +132,12 @@ def zscore(df: DataFrame, value: str, *by: str, name: str = "z") -> DataFrame:
 
 
 def nearest(a: DataFrame, b: DataFrame, t: str = "t") -> DataFrame:
-    """a with b_t, the time of b nearest in the same recording (ties: the earlier; null: none), and dt = b_t - t. One sort of both."""
+    """a with b_t, the time of b nearest in the same recording (ties: the earlier; null: none), and dt = b_t - t. Both are sorted together, up and down."""
     left = a.select(REC, F.col(t).alias("_t"), F.struct(*a.columns).alias("_e"))
     right = b.select(REC, F.col(t).alias("_t"), F.lit(None).cast(left.schema["_e"].dataType).alias("_e"))
     own = F.when(F.col("_e").isNull(), F.col("_t"))
-    w = _order("_t")
-    before = F.last(own, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first(own, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    before = F.last(own, ignorenulls=True).over(_order("_t").rangeBetween(Window.unboundedPreceding, 0))
+    after = F.last(own, ignorenulls=True).over(_order(F.desc("_t")).rangeBetween(Window.unboundedPreceding, 0))  # running frames both, from either end
     both = left.unionByName(right).withColumn("_p", before).withColumn("_n", after).where("_e IS NOT NULL")
     best = F.when(F.col("_n").isNull() | (F.col("_t") - F.col("_p") <= F.col("_n") - F.col("_t")), F.col("_p")).otherwise(F.col("_n"))
     return both.select("_e.*", best.alias("b_t"), (best - F.col("_t")).alias("dt"))
@@ -158,7 +157,7 @@ def next_after(a: DataFrame, b: DataFrame) -> DataFrame:
     left = a.select(REC, F.col("t").alias("_t"), F.struct(*a.columns).alias("_e"))
     right = b.select(REC, F.col("t").alias("_t"), F.lit(None).cast(left.schema["_e"].dataType).alias("_e"))
     own = F.when(F.col("_e").isNull(), F.col("_t"))
-    after = F.first(own, ignorenulls=True).over(_order("_t").rangeBetween(1, Window.unboundedFollowing))
+    after = F.last(own, ignorenulls=True).over(_order(F.desc("_t")).rangeBetween(Window.unboundedPreceding, -1))
     return left.unionByName(right).withColumn("_n", after).where("_e IS NOT NULL").select("_e.*", F.col("_n").alias("next_t"))
 
 

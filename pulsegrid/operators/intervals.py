@@ -65,21 +65,15 @@ def clip(intervals: DataFrame, bounds: DataFrame) -> DataFrame:
     )
 
 
-def interval_subtract(a: DataFrame, b: DataFrame) -> DataFrame:
+def interval_subtract(a: DataFrame, b: DataFrame, width: int = 3_600_000_000) -> DataFrame:
     """The remnants of each interval of a outside all of b, with a's other columns.
 
-    b's union is disjoint, so what is free between its neighbours is one list of gaps, which meets a in an overlap join.
+    What b leaves free of the span of a's intervals meets a in an overlap join by time buckets of `width`.
     """
-    union = interval_union(b)
-    ends = union.groupBy(REC).agg(F.min("start").alias("lo"), F.max("stop").alias("hi"))
-    low, high = F.lit(-(2**62)).cast("long"), F.lit(2**62).cast("long")
-    between = union.select(REC, F.col("stop").alias("start"), F.coalesce(F.lead("start").over(_order("start")), high).alias("stop"))
-    before = ends.select(REC, low.alias("start"), F.col("lo").alias("stop"))
-    none = a.select(REC).distinct().join(ends, REC, "left_anti").select(REC, low.alias("start"), high.alias("stop"))
-    gaps = between.unionByName(before).unionByName(none).select(REC, F.col("start").alias("_from"), F.col("stop").alias("_to"))
+    span = a.groupBy(REC).agg(F.min("start").alias("lo"), F.max("stop").alias("hi"))
+    met = overlap_join(a, interval_complement(b, span), width)
     rest = [c for c in a.columns if c not in (REC, "start", "stop")]
-    met = a.join(gaps, REC).where("start < _to AND stop > _from")
-    return met.select(REC, F.greatest("start", "_from").alias("start"), F.least("stop", "_to").alias("stop"), *rest).where("stop > start")
+    return met.select(REC, F.greatest("start", "b_start").alias("start"), F.least("stop", "b_stop").alias("stop"), *rest)
 
 
 def insert_predators(states: DataFrame, predators: DataFrame, label: str, min_duration: int) -> DataFrame:

@@ -87,18 +87,21 @@ def cluster_nodes(codebook: DataFrame, clusters: int, reference: int, method: st
     rows = sorted((r["node_id"], r["w"]) for r in codebook.select("node_id", "w").collect())
     w = np.array([v for _, v in rows], float)
     groups = [[k] for k in range(len(rows))]
+    apart = ((w[:, None] - w[None]) ** 2).sum(-1) / (2 if method == "ward" else 1)  # cost of joining each two groups
+    np.fill_diagonal(apart, np.inf)
     while len(groups) > clusters:
-        best = None
-        for a in range(len(groups)):
-            for b in range(a):
-                x, y = w[groups[a]], w[groups[b]]
-                if method == "ward":
-                    cost = len(x) * len(y) / (len(x) + len(y)) * ((x.mean(0) - y.mean(0)) ** 2).sum()
-                else:
-                    cost = ((x[:, None] - y[None]) ** 2).sum(-1).max()
-                if best is None or cost < best[0]:
-                    best = (cost, a, b)
-        groups[best[2]] += groups.pop(best[1])
+        at = int(np.argmin(np.where(np.tri(len(groups), k=-1, dtype=bool), apart, np.inf)))
+        x, y = divmod(at, len(groups))  # y < x
+        n, m = len(groups[x]), len(groups[y])
+        if method == "ward":
+            size = np.array(list(map(len, groups)))
+            cost = ((n + size) * apart[x] + (m + size) * apart[y] - size * apart[x, y]) / (n + m + size)
+        else:
+            cost = np.maximum(apart[x], apart[y])
+        apart[y] = apart[:, y] = cost
+        apart[y, y] = np.inf
+        apart = np.delete(np.delete(apart, x, 0), x, 1)
+        groups[y] += groups.pop(x)
     ref = w[[i for i, _ in rows].index(reference)]
     groups.sort(key=lambda g: ((w[g].mean(0) - ref) ** 2).sum())
     made = [(rows[k][0], c) for c, g in enumerate(groups) for k in g]

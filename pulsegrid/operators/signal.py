@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -30,12 +31,31 @@ def to_samples(chunks: DataFrame) -> DataFrame:
 
 
 def with_halo(chunks: DataFrame, before: int, after: int) -> DataFrame:
-    """chunks with `left` and `right`: up to that many samples of the chunks before and after."""
-    w = Window.partitionBy(REC).orderBy("chunk_id")
+    """chunks with `left` and `right`: up to that many samples of the chunks before and after, none across a gap.
+
+    A chunk inside a run that is shorter than the halo is an error.
+    """
+    w = Window.partitionBy(REC).orderBy("i0")
     none = F.array().cast("array<double>")
-    left = F.lag(F.slice("v", F.greatest(F.lit(1), F.size("v") - before + 1), F.lit(before))).over(w) if before else none
-    right = F.lead(F.slice("v", F.lit(1), F.lit(after))).over(w) if after else none
-    return chunks.withColumn("left", F.coalesce(left, none)).withColumn("right", F.coalesce(right, none))
+    end = F.col("i0") + F.size("v")
+
+    def beside(near: Column, joins: Column, size: int, whole: Column) -> Column:
+        """The neighbour's samples if it joins this chunk; it must have enough of them unless it is the recording's last (first) chunk."""
+        short = joins & (F.size(near) < size) & ~whole
+        return F.when(short, F.raise_error(F.lit("a chunk is shorter than the halo"))).when(joins, near).otherwise(none)
+
+    out = chunks.withColumn("left", none).withColumn("right", none)
+    if before:
+        near = F.lag(F.slice("v", F.greatest(F.lit(1), F.size("v") - before + 1), F.lit(before))).over(w)
+        first = F.coalesce(F.lag(end, 2).over(w) != F.lag("i0").over(w), F.lit(True))
+        out = out.withColumn("_near", near).withColumn("_joins", F.coalesce(F.lag(end).over(w) == F.col("i0"), F.lit(False))).withColumn("_whole", first)
+        out = out.withColumn("left", beside(F.col("_near"), F.col("_joins"), before, F.col("_whole")))
+    if after:
+        near = F.lead(F.slice("v", F.lit(1), F.lit(after))).over(w)
+        last = F.coalesce(F.lead("i0", 2).over(w) != F.lead(end).over(w), F.lit(True))
+        out = out.withColumn("_near", near).withColumn("_joins", F.coalesce(F.lead("i0").over(w) == end, F.lit(False))).withColumn("_whole", last)
+        out = out.withColumn("right", beside(F.col("_near"), F.col("_joins"), after, F.col("_whole")))
+    return out.drop("_near", "_joins", "_whole")
 
 
 def map_chunks(chunks: DataFrame, run: Callable[[np.ndarray, int, int], np.ndarray], before: int, after: int) -> DataFrame:
@@ -114,16 +134,30 @@ def center(chunks: DataFrame, limit: float = 10.0, factor: float = 1000.0) -> Da
     return chunks.join(stats, REC).withColumn("v", F.transform("v", lambda x: (x - F.col("_m")) / unit)).drop("_m", "_lo")
 
 
-def detect_cusum(x: np.ndarray, threshold: float, drift: float) -> list[int]:
-    """Indices at which the cumulated rises or falls of x, less drift, exceed threshold; both sums begin anew there."""
-    alarms, up, down = [], 0.0, 0.0
-    for i in range(1, len(x)):
-        s = x[i] - x[i - 1]
-        up, down = max(0.0, up + s - drift), max(0.0, down - s - drift)
-        if up > threshold or down > threshold:
-            alarms.append(i)
-            up = down = 0.0
-    return alarms
+class Alarm(NamedTuple):
+    at: int
+    onset: int
+    falling: bool
+
+
+def cusum_alarms(x: np.ndarray, threshold: float, drift: float) -> list[Alarm]:
+    """Where x, less drift a step, has fallen or risen by more than threshold from its highest or lowest point since the alarm before.
+
+    The onset is that point (the last of equal ones).
+    """
+    out: list[Alarm] = []
+    tilted = np.asarray(x, float) + drift * np.arange(len(x)), np.asarray(x, float) - drift * np.arange(len(x))
+    top = low = 0
+    for i in range(len(x)):
+        if tilted[0][i] >= tilted[0][top]:
+            top = i
+        if tilted[1][i] <= tilted[1][low]:
+            low = i
+        fallen, risen = tilted[0][top] - tilted[0][i] > threshold, tilted[1][i] - tilted[1][low] > threshold
+        if fallen or risen:
+            out.append(Alarm(i, top if fallen else low, bool(fallen)))
+            top = low = i
+    return out
 
 
 def change_points(values: DataFrame, by: list[str], order: str, value: str, threshold: float = 1.5, drift: float = 0.1) -> DataFrame:

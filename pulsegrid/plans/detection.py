@@ -86,7 +86,8 @@ def amplitude_events(samples: DataFrame, events: DataFrame, margin: int, dead_ti
     rows = samples.select(REC, "t", "v", F.lit(1).alias("_side")).unionByName(events.select(REC, "t", F.lit(None).cast("double").alias("v"), F.lit(0).alias("_side")))
     own = F.when(F.col("_side") == 0, F.col("t"))
     before = F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(own, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy(REC).orderBy(F.desc("t"), F.desc("_side"))
+    after = F.last(own, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     placed = rows.withColumn("_b", before).withColumn("_a", after).where("_side = 1 AND v IS NOT NULL")
     none = F.col("_b").isNull() & F.col("_a").isNull()
     free = placed.where(none | ((F.col("t") - F.col("_b") > margin) & (F.col("_a") - F.col("t") > margin)))

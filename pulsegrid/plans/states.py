@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import SECOND
 from pulsegrid.operators.intervals import REC, clip, insert_predators, interval_union, merge_gaps, overlap_join
+from pulsegrid.operators.signal import cusum_alarms
 
 #: What becomes of states at the beginning and the end of a recording.
 ENDS = {
@@ -69,36 +70,13 @@ def severe_periods(bursts: DataFrame, bounds: DataFrame, p: StateParams) -> Data
 
 
 def falling_changes(x: np.ndarray, threshold: float, drift: float) -> list[int]:
-    """Indices at which the cumulated falls of x, less drift, exceed threshold.
+    """Indices of the alarms for falls of x that each begin a fall: the highest point since the alarm before lies after that alarm.
 
-    Sums begin anew at each alarm, whether it is for a fall or a rise. Of alarms with one onset the first counts; a change is left
-    out where the one before ends (by the same search from behind) after its onset.
+    Where a fall goes on after its alarm, further alarms for it are left out. Ends of changes are not looked for, so a fall that
+    begins before the one before it has ended counts too.
     """
-
-    def search(y: np.ndarray, falls_only: bool) -> list[tuple[int, int]]:
-        found, up, down, up_from, down_from = [], 0.0, 0.0, 0, 0
-        for i, s in enumerate(np.diff(y), 1):
-            up, down = up + s - drift, down - s - drift
-            if up < 0:
-                up, up_from = 0.0, i
-            if down < 0:
-                down, down_from = 0.0, i
-            if up > threshold or down > threshold:
-                if down > threshold or not falls_only:
-                    found.append((i, up_from if up > threshold else down_from))
-                up = down = 0.0
-        return found
-
-    first: dict[int, int] = {}
-    for alarm, onset in search(x, True):
-        first.setdefault(onset, alarm)
-    changes = sorted(first.items())
-    ends = [len(x) - 1 - onset for _, onset in reversed(search(x[::-1], False))]
-    if not changes or not ends:
-        return [alarm for _, alarm in changes]
-    if len(ends) != len(changes):
-        ends = [next((e for e in ends if e >= alarm), ends[0]) for _, alarm in changes]
-    return [alarm for k, (onset, alarm) in enumerate(changes) if k == 0 or ends[k - 1] <= onset]
+    alarms = cusum_alarms(x, threshold, drift)
+    return [a.at for before, a in zip([None, *alarms], alarms, strict=False) if a.falling and (before is None or not before.falling or a.onset > before.at)]
 
 
 def split_period(start: int, stop: int, bursts: np.ndarray, p: StateParams) -> list[tuple[int, int, str]]:

@@ -119,7 +119,7 @@ def touch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def interval_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = train(spark, sf_dir)
-    return I.interval_subtract(E.bursts(ev, GAP, MERGE), masks(ev))
+    return I.interval_subtract(E.bursts(ev, GAP, MERGE), masks(ev), WIDTH)
 
 
 def insert_predators(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,7 +59,7 @@ def test_center(spark):
 def test_change_points(spark):
     x = RNG.normal(size=300) * 0.1
     x[100:200] += 6
-    assert S.detect_cusum(x, 4, 1.5) == [100, 200]
+    assert [a.at for a in S.cusum_alarms(x, 4, 1.5)] == [100, 200]
     frame = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)] + [("b", 0, 1.0)], "rec_id string, i long, v double")
     assert [(r.rec_id, r.i) for r in S.change_points(frame, ["rec_id"], "i", "v", 1.5, 0.5).orderBy("i").collect()] == [("a", 100), ("a", 200)]
 
