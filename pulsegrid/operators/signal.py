@@ -78,32 +78,123 @@ def spectral_power(x: np.ndarray, width: int) -> np.ndarray:
     return np.abs(np.fft.rfft(frames, axis=1)) ** 2 / width
 
 
+def _powers(sr: float, v: np.ndarray, right: np.ndarray, width: int, low: float, high: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place of the first window in the chunk, bins strictly between low and high, their power by window), of bounded size whatever the chunk's length."""
+    hz = np.fft.rfftfreq(width, 1 / sr)
+    bins = np.flatnonzero((hz > low) & (hz < high))
+    x = np.concatenate([np.asarray(v, float), np.asarray(right, float)])
+    for a in range(0, max(0, len(x) - width + 1), 8192):
+        yield a, bins, spectral_power(x[a : a + 8192 + width - 1], width)[:, bins]
+
+
+def _with_windows(chunks: DataFrame, width: int) -> DataFrame:
+    return with_halo(chunks, 0, width - 1).select(REC, "i0", "sr", "v", "right")
+
+
 def spectrogram(chunks: DataFrame, width: int = 128, low: float = 4.0, high: float = 40.0) -> DataFrame:
     """(rec_id, i, bin, power): of every window that lies within the recording (i: its first sample), the bins strictly between low and high."""
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for rec, i0, sr, v, right in zip(f[REC], f["i0"], f["sr"], f["v"], f["right"], strict=True):
-                hz = np.fft.rfftfreq(width, 1 / sr)
-                bins = np.flatnonzero((hz > low) & (hz < high))
-                x = np.concatenate([np.asarray(v, float), np.asarray(right, float)])
-                for a in range(0, max(0, len(x) - width + 1), 8192):  # bounded memory, whatever the chunk's length
-                    p = spectral_power(x[a : a + 8192 + width - 1], width)[:, bins]
+                for a, bins, p in _powers(sr, v, right, width, low, high):
                     yield pd.DataFrame({REC: rec, "i": np.repeat(i0 + a + np.arange(len(p)), len(bins)), "bin": np.tile(bins, len(p)), "power": p.ravel()})
 
+    return _with_windows(chunks, width).mapInPandas(each, f"{REC} {chunks.schema[REC].dataType.simpleString()}, i long, bin long, power double")
+
+
+def _cells(p: np.ndarray) -> np.ndarray:
+    """64 cells for each doubling of power."""
+    return np.floor(np.log2(np.maximum(p, 1e-300)) * 64).astype(np.int64)
+
+
+def power_percentiles(windows: DataFrame, width: int, low: float, high: float, shares: tuple[float, float]) -> DataFrame:
+    """(rec_id, bins array<struct<bin, lo, hi>>): exact percentiles (interpolated) of each bin's power over a recording.
+
+    Powers are counted in cells before the shuffle; only those of the few cells that hold the wanted ranks are then looked at one by one.
+    """
+    kind = windows.schema[REC].dataType.simpleString()
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for rec, sr, v, right in zip(f[REC], f["sr"], f["v"], f["right"], strict=True):
+                for _, bins, p in _powers(sr, v, right, width, low, high):
+                    for b, c in zip(bins.tolist(), _cells(p).T, strict=True):
+                        cell, n = np.unique(c, return_counts=True)
+                        yield pd.DataFrame({REC: rec, "bin": b, "cell": cell, "n": n})
+
+    counts = windows.mapInPandas(count, f"{REC} {kind}, bin long, cell long, n long").groupBy(REC, "bin", "cell").agg(F.sum("n").alias("n"))
+    own = Window.partitionBy(REC, "bin")
+    upto = counts.withColumn("_upto", F.sum("n").over(own.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_total", F.sum("n").over(own))
+    at = [F.lit(s) * (F.col("_total") - 1) for s in shares]
+    ranks = [r for x in at for r in (F.floor(x), F.least(F.floor(x) + 1, F.col("_total") - 1))]
+    below = F.col("_upto") - F.col("n")
+    wanted = upto.withColumn("_ranks", F.array(*ranks)).where(F.exists("_ranks", lambda r: (r >= below) & (r < F.col("_upto"))))
+    wanted = wanted.select(REC, "bin", "cell", below.alias("below"), "_ranks", F.array(*at).alias("_at"))
+    lists = wanted.groupBy(F.col(REC).alias("_rec")).agg(F.collect_list(F.struct("bin", "cell")).alias("wanted"))  # two to four cells a bin
+
+    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for rec, sr, v, right, held in zip(f[REC], f["sr"], f["v"], f["right"], f["wanted"], strict=True):
+                for _, bins, p in _powers(sr, v, right, width, low, high):
+                    cells = _cells(p)
+                    for k, b in enumerate(bins.tolist()):
+                        hit = np.isin(cells[:, k], [w["cell"] for w in held if w["bin"] == b])
+                        if hit.any():
+                            yield pd.DataFrame({REC: rec, "bin": b, "cell": cells[hit, k], "power": p[hit, k]})
+
+    met = windows.join(lists, F.col(REC).eqNullSafe(F.col("_rec"))).select(REC, "sr", "v", "right", "wanted")
+    powers = met.mapInPandas(pick, f"{REC} {kind}, bin long, cell long, power double")
+    known = wanted.select(F.col(REC).alias("_rec"), F.col("bin").alias("_bin"), F.col("cell").alias("_cell"), "below", "_ranks", "_at")
+    placed = powers.withColumn("_place", F.row_number().over(Window.partitionBy(REC, "bin", "cell").orderBy("power")) - 1)
+    placed = placed.join(known, F.col(REC).eqNullSafe(F.col("_rec")) & (F.col("bin") == F.col("_bin")) & (F.col("cell") == F.col("_cell")))
+    found = placed.withColumn("_rank", F.col("below") + F.col("_place")).where(F.array_contains("_ranks", F.col("_rank")))
+
+    def between(k: int) -> Column:
+        lower, upper = (F.max(F.when(F.col("_rank") == F.get("_ranks", F.lit(2 * k + j)), F.col("power"))) for j in (0, 1))
+        part = F.max(F.get("_at", F.lit(k)) - F.get("_ranks", F.lit(2 * k)))
+        return lower + (upper - lower) * part
+
+    each = found.groupBy(REC, "bin").agg(between(0).alias("lo"), between(1).alias("hi"))
+    return each.groupBy(REC).agg(F.sort_array(F.collect_list(F.struct("bin", "lo", "hi"))).alias("bins"))
+
+
+def band_power(chunks: DataFrame, width: int = 128, low: float = 4.0, high: float = 40.0, lo: float = 0.05, hi: float = 0.95, scope: str = "recording") -> DataFrame:
+    """(rec_id, i, v): mean over the bins of each window's power, scaled by the bin's percentiles and cut off there, then standardised.
+
+    With scope "chunk" percentiles and deviations are those of each chunk's windows instead of the recording's. The spectra of a
+    chunk are made again for each of the three passes; none is stored.
+    """
+    if scope not in ("recording", "chunk"):
+        raise ValueError(f"unknown scope: {scope}")
     kind = chunks.schema[REC].dataType.simpleString()
-    haloed = with_halo(chunks, 0, width - 1).select(REC, "i0", "sr", "v", "right")
-    return haloed.mapInPandas(each, f"{REC} {kind}, i long, bin long, power double")
-
-
-def band_power(spectra: DataFrame, lo: float = 0.05, hi: float = 0.95) -> DataFrame:
-    """(rec_id, i, v): mean over the bins of power scaled by each bin's percentiles, then standardised over the recording."""
-    p = spectra.groupBy(REC, "bin").agg(F.percentile("power", F.array(F.lit(lo), F.lit(hi))).alias("_p"))
-    low, high = F.get("_p", F.lit(0)), F.get("_p", F.lit(1))
-    scaled = F.least(F.greatest((F.col("power") - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    mean = spectra.join(p, [REC, "bin"]).groupBy(REC, "i").agg(F.avg(scaled).alias("_m"))
-    stats = mean.groupBy(REC).agg(F.avg("_m").alias("_a"), F.stddev_pop("_m").alias("_s"))
-    return mean.join(stats, REC).select(REC, "i", ((F.col("_m") - F.col("_a")) / F.nullif("_s", F.lit(0.0))).alias("v"))
+    windows = _with_windows(chunks, width)
+    if scope == "recording":
+        limits = power_percentiles(windows, width, low, high, (lo, hi)).withColumnRenamed(REC, "_rec")
+        windows = windows.join(limits, F.col(REC).eqNullSafe(F.col("_rec"))).drop("_rec")
+    else:
+        windows = windows.withColumn("bins", F.lit(None).cast("array<struct<bin:long,lo:double,hi:double>>"))
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for rec, i0, sr, v, right, bins in zip(f[REC], f["i0"], f["sr"], f["v"], f["right"], f["bins"], strict=True):
+                blocks = _powers(sr, v, right, width, low, high)
+                if bins is None:
+                    blocks = list(blocks)
+                    if not blocks:
+                        continue
+                    ends = np.percentile(np.concatenate([p for _, _, p in blocks]), [100 * lo, 100 * hi], axis=0)
+                else:
+                    ends = np.array([[x["lo"] for x in bins], [x["hi"] for x in bins]])
+                span = np.where(ends[1] > ends[0], ends[1] - ends[0], np.inf)
+                for a, _, p in blocks:
+                    yield pd.DataFrame({REC: rec, "i": i0 + a + np.arange(len(p)), "_of": i0, "_m": np.clip((p - ends[0]) / span, 0, 1).mean(axis=1)})
+
+    mean = windows.select(REC, "i0", "sr", "v", "right", "bins").mapInPandas(each, f"{REC} {kind}, i long, _of long, _m double")
+    by = [REC] if scope == "recording" else [REC, "_of"]
+    stats = mean.groupBy(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(by))).agg(F.avg("_m").alias("_a"), F.stddev_pop("_m").alias("_s"))
+    same = functools.reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)))
+    return mean.join(stats, same).select(REC, "i", ((F.col("_m") - F.col("_a")) / F.nullif("_s", F.lit(0.0))).alias("v"))
 
 
 def smoothing_kernel(width: int, order: int) -> np.ndarray:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import SECOND
 from pulsegrid.operators import events as E
+from pulsegrid.operators import intervals as I
 from pulsegrid.operators import signal as G
 from pulsegrid.operators.intervals import REC
 
@@ -62,9 +63,20 @@ def plateau_centers(samples: DataFrame, order: str = "t", value: str = "v") -> D
     return whole.select(REC, F.get("_ts", F.floor((F.size("_ts") - 1) / 2).cast("int")).alias(order))
 
 
-def spectral_events(power: DataFrame, dead_time: int, percent: float = 35.0, mode: str = "firstcross", threshold: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(events, thresholds) of band power (rec_id, t, v): thinned peaks whose next sample exceeds the threshold, which is chosen unless given."""
-    z = E.zscore(power, "v", REC).where("z IS NOT NULL").select(REC, "t", F.col("z").alias("v"))
+def padded(power: DataFrame, lengths: DataFrame, width: int) -> DataFrame:
+    """Power (rec_id, i, v) of windows by their middle sample, and zeros for the samples of the recording (rec_id, n) that are the middle of none."""
+    before = (width - 1) // 2
+    ends = F.array(F.sequence(F.lit(0).cast("long"), F.least(F.lit(before), F.col("n")) - 1), F.sequence(F.greatest(F.col("n") - (width - 1 - before), F.lit(0)), F.col("n") - 1))
+    zeros = lengths.where(f"n >= {width}").select(REC, F.explode(F.flatten(ends)).alias("i"), F.lit(0.0).alias("v"))
+    return power.select(REC, (F.col("i") + before).alias("i"), "v").unionByName(zeros)
+
+
+def spectral_events(power: DataFrame, dead_time: int, percent: float = 35.0, mode: str = "firstcross", threshold: float | None = None, standardised: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(events, thresholds) of band power (rec_id, t, v): thinned peaks whose next sample exceeds the threshold, which is chosen unless given.
+
+    Power is standardised by recording first unless it is `standardised`.
+    """
+    z = power.where("v IS NOT NULL").select(REC, "t", "v") if standardised else E.zscore(power, "v", REC).where("z IS NOT NULL").select(REC, "t", F.col("z").alias("v"))
     w = Window.partitionBy(REC).orderBy("t")
     near = z.withColumn("_p", F.lag("v").over(w)).withColumn("_n", F.lead("v").over(w))
     peaks = near.where("_p < v AND v > _n").select(REC, "t", F.col("_n").alias("v")).unionByName(plateau_centers(z).withColumn("v", F.lit(float("inf"))))
@@ -155,15 +167,23 @@ def saturation_points(samples: DataFrame, sr: float, stump_time: float = 0.008,
     return found.select(REC, order, kind.alias("kind")).where("kind IS NOT NULL")
 
 
-def detect(chunks: DataFrame, width: int = 128, low: float = 4.0, high: float = 40.0, dead_time: int = 83_333, margin: int = SECOND // 5, limit: float = 4.5, polarity: str = "neg", threshold: float | None = None) -> DataFrame:
+def detect(chunks: DataFrame, width: int = 128, low: float = 4.0, high: float = 40.0, dead_time: int = 83_333, margin: int = SECOND // 5, limit: float = 4.5, polarity: str = "neg", threshold: float | None = None, scope: str = "recording") -> DataFrame:
     """(rec_id, t, kind) of chunked signals: events by band power (spectral) and by amplitude (amp), times from the recording's first sample.
 
-    Power is standardised over the windows there are; it is not padded to the recording's length.
+    Power is standardised over the windows there are and padded to the recording's length with zeros.
     """
-    rate = chunks.groupBy(REC).agg(F.first("sr").alias("_sr"))
+    rate = chunks.groupBy(REC).agg(F.first("sr").alias("_sr"), F.max(F.col("i0") + F.size("v")).alias("n"))
     at = (F.col("i") * SECOND / F.col("_sr")).cast("long").alias("t")
-    bands = G.band_power(G.spectrogram(chunks, width, low, high)).select(REC, (F.col("i") + width // 2 - 1).alias("i"), "v")
-    spectral, _ = spectral_events(bands.join(rate, REC).select(REC, at, "v"), dead_time, threshold=threshold)
+    bands = padded(G.band_power(chunks, width, low, high, scope=scope), rate.select(REC, "n"), width)
+    spectral, _ = spectral_events(bands.join(rate, REC).select(REC, at, "v"), dead_time, threshold=threshold, standardised=True)
     samples = G.to_samples(chunks).join(rate, REC).select(REC, at, "v")
     by_size = amplitude_events(samples, spectral, margin, dead_time, limit, polarity)
     return spectral.withColumn("kind", F.lit("spectral")).unionByName(by_size.withColumn("kind", F.lit("amp")))
+
+
+def suggested_masks(samples: DataFrame, sr: float, stretch_margin: int = 3 * SECOND, point_margin: int = 2 * SECOND, min_distance: int = 100 * SECOND, loud: dict | None = None, saturated: dict | None = None) -> DataFrame:
+    """(rec_id, start, stop) in microseconds of samples (rec_id, i, v): loud stretches and saturation points with their margins, fused."""
+    step = SECOND / sr
+    stretches = loud_stretches(samples, sr, **(loud or {})).select(REC, (F.col("first") * step).cast("long").alias("start"), (F.col("last") * step).cast("long").alias("stop"))
+    points = saturation_points(samples, sr, **(saturated or {})).select(REC, (F.col("i") * step).cast("long").alias("t"))
+    return I.fuse_masks(stretches, points, stretch_margin, point_margin, min_distance)

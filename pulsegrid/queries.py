@@ -309,7 +309,7 @@ def spectrogram_power(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def band_power(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.band_power(G.spectrogram(_chunks(spark, sf_dir), 16, 0.1, 0.4)).select("rec_id", "i", F.round("v", 6).alias("v"))
+    return G.band_power(_chunks(spark, sf_dir), 16, 0.1, 0.4).select("rec_id", "i", F.round("v", 6).alias("v"))
 
 
 def fourier_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
