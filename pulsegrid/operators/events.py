@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,22 +76,25 @@ def refractory(events: DataFrame, dead_time: int, strict: bool = False) -> DataF
 
     Sorted events of a recording pass through one task, which holds a batch of them and the last time kept, however dense they are.
     """
-    kind = events.schema[REC].dataType.simpleString()
+    kind, step = events.schema[REC].dataType.simpleString(), dead_time + 1 if strict else max(1, dead_time)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = before = last = None
+        own = last = None
         for batch in batches:
-            keep = []
-            for rec, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                first = before is None or rec != own
-                taken = first or (t != before and (t - last > dead_time if strict else t - last >= dead_time))
-                own, before = rec, t
-                if taken:
-                    last = t
-                keep.append(taken)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    known = events.select(REC, F.col("t").cast("long").alias("t")).where("t IS NOT NULL")
+            t, group = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            keep = np.zeros(len(t), bool)
+            edges = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(t)] if len(t) else []
+            for a, b in zip(edges, edges[1:], strict=False):
+                part = t[a:b]
+                following = np.searchsorted(part, part + step).tolist()  # of each event the first that could be kept after it
+                i = int(np.searchsorted(part, last + step)) if group[a] == own else 0
+                own = group[a]
+                while i < len(part):
+                    keep[a + i], last = True, int(part[i])
+                    i = following[i]
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    known = events.select(REC, F.col("t").cast("long").alias("t"), F.xxhash64(F.lit(1), REC).alias("_group")).where("t IS NOT NULL")
     return known.repartition(REC).sortWithinPartitions(REC, "t").mapInArrow(run, f"{REC} {kind}, t long")
 
 

@@ -87,6 +87,26 @@ def _powers(sr: float, v: np.ndarray, right: np.ndarray, width: int, low: float,
         yield a, bins, spectral_power(x[a : a + 8192 + width - 1], width)[:, bins]
 
 
+def _frame(parts: list[tuple], names: tuple[str, ...]) -> pd.DataFrame:
+    """One frame of parts whose first value is a recording and whose others are arrays of one length, or numbers."""
+    sizes = [max(np.size(x) for x in p[1:]) for p in parts]
+    own = np.repeat(np.array([p[0] for p in parts], object), sizes)
+    return pd.DataFrame({names[0]: own} | {n: np.concatenate([np.broadcast_to(p[k], size) for p, size in zip(parts, sizes, strict=True)]) for k, n in enumerate(names[1:], 1)})
+
+
+def _frames(parts: Iterator[tuple], names: tuple[str, ...], rows: int = 200_000) -> Iterator[pd.DataFrame]:
+    """Parts in frames of about `rows` rows."""
+    held, n = [], 0
+    for p in parts:
+        held.append(p)
+        n += max(np.size(x) for x in p[1:])
+        if n >= rows:
+            yield _frame(held, names)
+            held, n = [], 0
+    if held:
+        yield _frame(held, names)
+
+
 def _with_windows(chunks: DataFrame, width: int) -> DataFrame:
     return with_halo(chunks, 0, width - 1).select(REC, "i0", "sr", "v", "right")
 
@@ -94,11 +114,14 @@ def _with_windows(chunks: DataFrame, width: int) -> DataFrame:
 def spectrogram(chunks: DataFrame, width: int = 128, low: float = 4.0, high: float = 40.0) -> DataFrame:
     """(rec_id, i, bin, power): of every window that lies within the recording (i: its first sample), the bins strictly between low and high."""
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parts(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for f in frames:
             for rec, i0, sr, v, right in zip(f[REC], f["i0"], f["sr"], f["v"], f["right"], strict=True):
                 for a, bins, p in _powers(sr, v, right, width, low, high):
-                    yield pd.DataFrame({REC: rec, "i": np.repeat(i0 + a + np.arange(len(p)), len(bins)), "bin": np.tile(bins, len(p)), "power": p.ravel()})
+                    yield rec, np.repeat(i0 + a + np.arange(len(p)), len(bins)), np.tile(bins, len(p)), p.ravel()
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _frames(parts(frames), (REC, "i", "bin", "power"))
 
     return _with_windows(chunks, width).mapInPandas(each, f"{REC} {chunks.schema[REC].dataType.simpleString()}, i long, bin long, power double")
 
@@ -115,13 +138,16 @@ def power_percentiles(windows: DataFrame, width: int, low: float, high: float, s
     """
     kind = windows.schema[REC].dataType.simpleString()
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for f in frames:
             for rec, sr, v, right in zip(f[REC], f["sr"], f["v"], f["right"], strict=True):
                 for _, bins, p in _powers(sr, v, right, width, low, high):
                     for b, c in zip(bins.tolist(), _cells(p).T, strict=True):
                         cell, n = np.unique(c, return_counts=True)
-                        yield pd.DataFrame({REC: rec, "bin": b, "cell": cell, "n": n})
+                        yield rec, b, cell, n
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _frames(counted(frames), (REC, "bin", "cell", "n"))
 
     counts = windows.mapInPandas(count, f"{REC} {kind}, bin long, cell long, n long").groupBy(REC, "bin", "cell").agg(F.sum("n").alias("n"))
     own = Window.partitionBy(REC, "bin")
@@ -133,7 +159,7 @@ def power_percentiles(windows: DataFrame, width: int, low: float, high: float, s
     wanted = wanted.select(REC, "bin", "cell", below.alias("below"), "_ranks", F.array(*at).alias("_at"))
     lists = wanted.groupBy(F.col(REC).alias("_rec")).agg(F.collect_list(F.struct("bin", "cell")).alias("wanted"))  # two to four cells a bin
 
-    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def picked(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for f in frames:
             for rec, sr, v, right, held in zip(f[REC], f["sr"], f["v"], f["right"], f["wanted"], strict=True):
                 for _, bins, p in _powers(sr, v, right, width, low, high):
@@ -141,7 +167,10 @@ def power_percentiles(windows: DataFrame, width: int, low: float, high: float, s
                     for k, b in enumerate(bins.tolist()):
                         hit = np.isin(cells[:, k], [w["cell"] for w in held if w["bin"] == b])
                         if hit.any():
-                            yield pd.DataFrame({REC: rec, "bin": b, "cell": cells[hit, k], "power": p[hit, k]})
+                            yield rec, b, cells[hit, k], p[hit, k]
+
+    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _frames(picked(frames), (REC, "bin", "cell", "power"))
 
     met = windows.join(lists, F.col(REC).eqNullSafe(F.col("_rec"))).select(REC, "sr", "v", "right", "wanted")
     powers = met.mapInPandas(pick, f"{REC} {kind}, bin long, cell long, power double")
@@ -175,7 +204,7 @@ def band_power(chunks: DataFrame, width: int = 128, low: float = 4.0, high: floa
     else:
         windows = windows.withColumn("bins", F.lit(None).cast("array<struct<bin:long,lo:double,hi:double>>"))
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scaled(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for f in frames:
             for rec, i0, sr, v, right, bins in zip(f[REC], f["i0"], f["sr"], f["v"], f["right"], f["bins"], strict=True):
                 blocks = _powers(sr, v, right, width, low, high)
@@ -188,7 +217,10 @@ def band_power(chunks: DataFrame, width: int = 128, low: float = 4.0, high: floa
                     ends = np.array([[x["lo"] for x in bins], [x["hi"] for x in bins]])
                 span = np.where(ends[1] > ends[0], ends[1] - ends[0], np.inf)
                 for a, _, p in blocks:
-                    yield pd.DataFrame({REC: rec, "i": i0 + a + np.arange(len(p)), "_of": i0, "_m": np.clip((p - ends[0]) / span, 0, 1).mean(axis=1)})
+                    yield rec, i0 + a + np.arange(len(p)), i0, np.clip((p - ends[0]) / span, 0, 1).mean(axis=1)
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _frames(scaled(frames), (REC, "i", "_of", "_m"))
 
     mean = windows.select(REC, "i0", "sr", "v", "right", "bins").mapInPandas(each, f"{REC} {kind}, i long, _of long, _m double")
     by = [REC] if scope == "recording" else [REC, "_of"]
