@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import SECOND, log_guard, sq_distance
 from pulsegrid.operators.events import with_isi
-from pulsegrid.operators.intervals import REC, contain_join
+from pulsegrid.operators.intervals import REC, contain_join, overlap_join
 
 #: Nodes that a codebook can have.
 MOST_NODES = 100_000
@@ -46,6 +46,43 @@ def isi_peak(events: DataFrame, lo: float, hi: float, bins: int, *by: str) -> Da
     return top.select(*by, F.pow(F.lit(10.0), F.lit(log10(lo)) + F.col("_bin") * step).alias("isi_peak"), F.col("count").alias("n"))
 
 
+def burst_isi_peak(events: DataFrame, bursts: DataFrame, lo: float, hi: float, bins: int) -> DataFrame:
+    """(rec_id, start, stop, isi_peak): isi_peak() of the events of each burst; lo where no interval lies within the bins."""
+    own = bursts.select(REC, "start", "stop")
+    peaks = isi_peak(contain_join(events.select(REC, "t"), own), lo, hi, bins, REC, "start").select(F.col(REC).alias("_r"), F.col("start").alias("_s"), "isi_peak")
+    return own.join(peaks, F.col(REC).eqNullSafe(F.col("_r")) & (F.col("start") == F.col("_s")), "left").select(REC, "start", "stop", F.coalesce("isi_peak", F.lit(float(lo))).alias("isi_peak"))
+
+
+def waveform_features(samples: DataFrame, bursts: DataFrame, free: DataFrame) -> DataFrame:
+    """(rec_id, start, stop, l_len, l_rate, lz_len, lz_rate) of bursts with samples (rec_id, t, v).
+
+    l_len is the sum of the steps between neighbouring samples of a burst, l_rate that by its seconds; lz_ are the same of the signal
+    in deviations of its samples in the free periods (null where these don't vary or don't exist).
+    """
+    inside = contain_join(samples.select(REC, "t", "v"), bursts.select(REC, "start", "stop"))
+    step = F.abs(F.col("v") - F.lag("v").over(Window.partitionBy(REC, "start").orderBy("t")))
+    lengths = inside.withColumn("_d", step).groupBy(REC, "start", "stop").agg(F.coalesce(F.sum("_d"), F.lit(0.0)).alias("l_len"))
+    calm = contain_join(samples.select(REC, "t", "v"), free.select(REC, "start", "stop")).groupBy(F.col(REC).alias("_r")).agg(F.nullif(F.stddev_pop("v"), F.lit(0.0)).alias("_sd"))
+    seconds = F.nullif((F.col("stop") - F.col("start")) / SECOND, F.lit(0.0))
+    both = lengths.join(calm, F.col(REC).eqNullSafe(F.col("_r")), "left")
+    return both.select(REC, "start", "stop", "l_len", (F.col("l_len") / seconds).alias("l_rate"), (F.col("l_len") / F.col("_sd")).alias("lz_len"), (F.col("l_len") / F.col("_sd") / seconds).alias("lz_rate"))
+
+
+def severe_in(states: DataFrame, bursts: DataFrame, severe: tuple[str, ...], width: int) -> DataFrame:
+    """(rec_id, start, stop, n_severe) of every state: the bursts of a severe category (cname) that overlap it."""
+    hit = overlap_join(states.select(REC, "start", "stop"), bursts.where(F.col("cname").isin(*severe)).select(REC, "start", "stop"), width)
+    counts = hit.groupBy(F.col(REC).alias("_r"), F.col("start").alias("_s"), F.col("stop").alias("_e")).agg(F.count("*").alias("_n"))
+    same = F.col(REC).eqNullSafe(F.col("_r")) & (F.col("start") == F.col("_s")) & (F.col("stop") == F.col("_e"))
+    return states.join(counts, same, "left").select(REC, "start", "stop", F.coalesce("_n", F.lit(0)).alias("n_severe"))
+
+
+def severe_by_node(bursts: DataFrame, recordings: DataFrame, nodes: list[int], min_gap: int) -> DataFrame:
+    """(rec_id, n, starts) of every recording: bursts whose bmu is one of nodes, less those that begin under min_gap after the one before; and when all of them start."""
+    found = bursts.where(F.col("bmu").isin(*nodes)).withColumn("_near", F.coalesce((F.col("start") - F.lag("stop").over(Window.partitionBy(REC).orderBy("start")) < min_gap).cast("int"), F.lit(0)))
+    counts = found.groupBy(F.col(REC).alias("_r")).agg((F.count("*") - F.sum("_near")).alias("n"), F.sort_array(F.collect_list("start")).alias("starts"))
+    return recordings.select(REC).distinct().join(counts, F.col(REC).eqNullSafe(F.col("_r")), "left").select(REC, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("starts", F.array().cast("array<bigint>")).alias("starts"))
+
+
 def standardise(features: DataFrame, variables: list[dict]) -> Column:
     """The vector of a burst in the order of the codebook: logarithm where flagged, (x - mean) / std of the codebook, times factor."""
     out = []

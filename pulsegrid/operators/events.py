@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.intervals import REC, _order, contain_join, merge_gaps
+from pulsegrid.operators.intervals import REC, _order, contain_join, merge_gaps, overlap_join
 
 #: Length of the time buckets in which islands are first found, as multiples of the gap.
 BUCKET = 10_000
@@ -183,6 +183,53 @@ def doublets(events: DataFrame, max_distance: int) -> DataFrame:
     return runs.withColumn("_mean", F.avg("t").over(w)).withColumn("is_doublet", place > 1).select(REC, "t", "is_doublet")
 
 
+def double_detections(events: DataFrame, samples: DataFrame, max_distance: int, before: int, after: int, width: int = 60_000_000) -> DataFrame:
+    """(rec_id, first, second, true_t, false_t) of neighbouring events under max_distance apart, by samples (rec_id, t, v).
+
+    Of the two the one nearer to the least sample from first - before to second + after (the later end left out; of equal samples the
+    earliest) is the true one, the first of the two if both are as near.
+    """
+    pairs = events.select(REC, F.col("t").alias("first"), F.lead("t").over(_order("t")).alias("second")).where(F.col("second") - F.col("first") < max_distance)
+    around = pairs.select(REC, "first", "second", (F.col("first") - before).alias("start"), (F.col("second") + after - 1).alias("stop"))
+    points = samples.where("v IS NOT NULL").select(REC, F.col("t").alias("start"), F.col("t").alias("stop"), "v")
+    met = overlap_join(around, points, width, closed=True).groupBy(REC, "first", "second").agg(F.min(F.struct("b_v", "b_start")).b_start.alias("_low"))
+    nearer = F.abs(F.col("_low") - F.col("second")) < F.abs(F.col("_low") - F.col("first"))
+    return met.select(REC, "first", "second", F.when(nearer, F.col("second")).otherwise(F.col("first")).alias("true_t"), F.when(nearer, F.col("first")).otherwise(F.col("second")).alias("false_t"))
+
+
+def flank_events(events: DataFrame, samples: DataFrame, smoothed: DataFrame, limit: float = 4.5, ceiling: float = 7.0, before: int = 100_000, after: int = 200_000, step: int = 2_000, width: int = 60_000_000) -> DataFrame:
+    """(rec_id, t) of events on the flank of a large deflection of samples (rec_id, t, v; standardised, every `step`) that belong to no minimum.
+
+    A deflection is a run of samples at or below -limit, taken with `before` and `after` around it, unless a sample reaches `ceiling`
+    within twice these. Each of its events is given to the nearest minimum of the smoothed signal there (ties: the earlier); of the
+    events of one minimum the nearest is true (ties: the earlier). The others ride a flank, but for those within a tenth of before
+    and after of the deflection's ends.
+    """
+    low = samples.where(F.col("v") <= -limit).select(REC, "t")
+    run = low.withColumn("_run", F.col("t") / step - F.row_number().over(_order("t"))).groupBy(REC, "_run").agg(F.min("t").alias("a"), F.max("t").alias("z")).drop("_run")
+    wide = run.select(REC, "a", "z", (F.col("a") - 2 * before).alias("start"), (F.col("z") + 2 * after - step).alias("stop"))
+    points = samples.where(F.col("v") >= ceiling).select(REC, F.col("t").alias("start"), F.col("t").alias("stop"))
+    loud = overlap_join(wide, points, width, closed=True).select(F.col(REC).alias("_r"), F.col("a").alias("_a")).distinct()
+    snips = run.join(loud, F.col(REC).eqNullSafe(F.col("_r")) & (F.col("a") == F.col("_a")), "left_anti").select(REC, (F.col("a") - before).alias("start"), (F.col("z") + after).alias("stop"))
+
+    def inside(df: DataFrame) -> DataFrame:
+        return overlap_join(snips, df.select(REC, F.col("t").alias("start"), F.col("t").alias("stop")), width, closed=True).select(REC, "start", "stop", F.col("b_start").alias("t"))
+
+    minima = local_extrema(smoothed, "min").select(REC, "t")
+    own, lows = inside(events), inside(minima).where("t > start AND t < stop")
+    keyed = lambda df: df.select(F.struct(REC, "start", "stop").alias(REC), "t")
+    placed = nearest(keyed(own), keyed(lows)).where("b_t IS NOT NULL").select(f"{REC}.*", "t", "b_t")
+    place = F.row_number().over(Window.partitionBy(REC, "start", "stop", "b_t").orderBy(F.abs(F.col("t") - F.col("b_t")), "t"))
+    riders = placed.withColumn("_place", place).where((F.col("_place") > 1) & (F.col("stop") - F.col("t") > after / 10) & (F.col("t") - F.col("start") > before / 10))
+    return riders.select(REC, "t").distinct()
+
+
+def box_counts(times: DataFrame, events: DataFrame, width: int) -> DataFrame:
+    """times (rec_id, t) with n, how many events lie less than width away."""
+    both = times.select(REC, "t", F.lit(0).alias("_e")).unionByName(events.select(REC, "t", F.lit(1).alias("_e")))
+    return both.withColumn("n", F.sum("_e").over(_order("t").rangeBetween(1 - width, width - 1))).where("_e = 0").select(REC, "t", "n")
+
+
 def threshold_counts(peaks: DataFrame, thresholds: list[float], height: str = "v") -> DataFrame:
     """(rec_id, threshold, n): how many peaks exceed each threshold, zero included. Peaks are counted by the steps between thresholds, not paired with them."""
     steps = F.array(*map(F.lit, sorted(thresholds)))

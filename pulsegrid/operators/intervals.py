@@ -136,6 +136,18 @@ def _struct(df: DataFrame, keep: list[str]):
     return df.select(F.struct("start", "stop", *keep)).schema[0].dataType
 
 
+def mask_samples(samples: DataFrame, masks: DataFrame, value: str = "v") -> DataFrame:
+    """samples (rec_id, t, value) with value null strictly between start and stop of a mask; where masks only touch their border is not masked."""
+    placed = assign(samples, interval_union(masks, touch=False))
+    return placed.withColumn(value, F.when(~F.coalesce((F.col("t") > F.col("start")) & (F.col("t") < F.col("stop")), F.lit(False)), F.col(value))).drop("start", "stop")
+
+
+def with_neighbours(intervals: DataFrame) -> DataFrame:
+    """intervals with the bounds of the one before and the one after in the recording (prev_start, prev_stop, next_start, next_stop; null: none)."""
+    w = _order("start", "stop")
+    return intervals.select("*", F.lag("start").over(w).alias("prev_start"), F.lag("stop").over(w).alias("prev_stop"), F.lead("start").over(w).alias("next_start"), F.lead("stop").over(w).alias("next_stop"))
+
+
 def clean_events(events: DataFrame, masks: DataFrame) -> DataFrame:
     """Events that no mask holds (both ends of a mask count as masked)."""
     return assign(events, interval_union(masks)).where("start IS NULL").drop("start", "stop")

@@ -182,12 +182,46 @@ def diagnostics(events: DataFrame, bursts: DataFrame, durations: DataFrame) -> D
     return both.select(REC, "n_events", F.coalesce("n_bursts", F.lit(0)).alias("n_bursts"), (F.col("n_events") / seconds).alias("rate"), (F.coalesce("_d", F.lit(0)) / F.nullif("dur", F.lit(0))).alias("tfrac_bursts"), "burstiness")
 
 
+def full_diagnostics(events: DataFrame, pieces: DataFrame, bursts: DataFrame, free: DataFrame, masks: DataFrame, durations: DataFrame) -> DataFrame:
+    """One row a recording of durations (rec_id, dur): rates, shares of time, burstiness and durations.
+
+    Events are per second, high-load bursts per minute; intervals between events count within pieces (rec_id, start, stop) that no
+    mask interrupts; bursts have a cname. Durations are in minutes.
+    """
+    from pulsegrid.operators.intervals import contain_join
+
+    isi = with_isi(contain_join(events.select(REC, "t"), pieces), "start").groupBy(REC).agg(burstiness().alias("burstiness"))
+    e = events.groupBy(REC).agg(F.count("*").alias("_n"))
+    length = F.col("stop") - F.col("start")
+    high = F.col("cname") == "high-load"
+    b = bursts.groupBy(REC).agg(F.sum(length).alias("_bursts"), F.count_if(high).alias("_high"), F.sum(F.when(high, length)).alias("_t_high"))
+    f, m = (df.groupBy(REC).agg(F.sum(length).alias(c)) for df, c in ((free, "_free"), (masks, "_masks")))
+    all_ = durations.join(e, REC, "left").join(isi, REC, "left").join(b, REC, "left").join(f, REC, "left").join(m, REC, "left")
+    dur = F.nullif("dur", F.lit(0))
+    part = lambda c: F.coalesce(c, F.lit(0)) / dur
+    return all_.select(
+        REC, (part("_n") * SECOND).alias("rate_events"), (part("_high") * 60 * SECOND).alias("rate_high_load"), part("_t_high").alias("tfrac_high_load"), part("_bursts").alias("tfrac_bursts"), part("_free").alias("tfrac_free"),
+        "burstiness", (F.col("dur") / (60 * SECOND)).alias("minutes"), (F.coalesce("_masks", F.lit(0)) / (60 * SECOND)).alias("minutes_masked"),
+    )
+
+
+def category_rates(events: DataFrame, bursts: DataFrame, durations: DataFrame) -> DataFrame:
+    """(rec_id, cname, n, rate per second) of the bursts of each category, and of all events as category `discharges`."""
+    own = bursts.select(REC, "cname").unionByName(events.select(REC, F.lit("discharges").alias("cname")))
+    return rates(own, durations, "cname")
+
+
 def proximity(states: DataFrame, events: DataFrame, keep: str = "state") -> DataFrame:
-    """states with near / far counts of events in their second and first half, and proxdist, their ratio (infinite without a far event)."""
+    """preUp and postUp states with near / far counts of events in the half next to the severe period and in the other, and proxdist, their ratio.
+
+    The severe period follows preUp and precedes postUp. An event in the very middle is in no half. Infinite without a far event;
+    states without any event have no row.
+    """
     from pulsegrid.operators.intervals import contain_join
 
-    held = contain_join(events, states, [keep]).withColumn("_far", F.col("t") < (F.col("start") + F.col("stop")) / 2)
-    counts = held.groupBy(REC, "start", "stop", keep).agg(F.sum((~F.col("_far")).cast("long")).alias("near"), F.sum(F.col("_far").cast("long")).alias("far"))
+    held = contain_join(events, states.where(F.col(keep).isin("preUp", "postUp")), [keep]).withColumn("_twice", 2 * F.col("t") - F.col("start") - F.col("stop"))
+    side = F.when(F.col(keep) == "preUp", F.col("_twice")).otherwise(-F.col("_twice"))
+    counts = held.groupBy(REC, "start", "stop", keep).agg(F.count_if(side > 0).alias("near"), F.count_if(side < 0).alias("far"))
     return counts.withColumn("proxdist", F.when(F.col("far") == 0, F.lit(float("inf"))).otherwise(F.col("near") / F.col("far")))
 
 

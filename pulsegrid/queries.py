@@ -359,6 +359,88 @@ def gmm_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.label(vectors, model, order).groupBy("label").agg(F.count("*").alias("n"))
 
 
+def _named(ev: DataFrame) -> DataFrame:
+    return E.bursts(ev, GAP, MERGE).withColumn("cname", F.when(F.col("b_n") >= 5, "high-load").otherwise("low-load"))
+
+
+def waveform_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = train(spark, sf_dir)
+    made = B.waveform_features(ev, E.bursts(ev, GAP, MERGE), I.free_periods(ev, I.bounds_of(ev), masks(ev), 12 * HOUR, 0))
+    return made.select("rec_id", "start", "stop", *(F.round(c, 6).alias(c) for c in ("l_len", "l_rate", "lz_len", "lz_rate")))
+
+
+def burst_isi_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = train(spark, sf_dir)
+    return B.burst_isi_peak(ev, E.bursts(ev, GAP, MERGE), 600.0, 18_000.0, 20).select("rec_id", "start", "stop", F.round("isi_peak", 4).alias("isi_peak"))
+
+
+def _runs(ev: DataFrame) -> DataFrame:
+    return E.merge_equal_runs(ev, "kind").where("stop > start").withColumnRenamed("kind", "state")
+
+
+def severe_in_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = train(spark, sf_dir)
+    return B.severe_in(_runs(ev), _named(ev), ("high-load",), WIDTH)
+
+
+def severe_by_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of a burst stands for its node."""
+    ev = train(spark, sf_dir)
+    made = B.severe_by_node(E.bursts(ev, GAP, MERGE).withColumnRenamed("b_n", "bmu"), ev, [3, 4], 60 * HOUR)
+    return made.select("rec_id", "n", F.size("starts").cast("long").alias("n_all"))
+
+
+def masked_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = train(spark, sf_dir)
+    return I.mask_samples(ev.select("rec_id", "t", "v"), masks(ev))
+
+
+def burst_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.with_neighbours(E.bursts(train(spark, sf_dir), GAP, MERGE).drop("b_n"))
+
+
+def double_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = train(spark, sf_dir)
+    return E.double_detections(ev.where("kind = 'click'").select("rec_id", "t"), ev, 20 * HOUR, 5 * HOUR, 20 * HOUR, WIDTH)
+
+
+def box_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = train(spark, sf_dir)
+    return E.box_counts(ev.where("kind = 'click'"), ev.where("kind = 'error'"), 30 * HOUR)
+
+
+def full_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = train(spark, sf_dir)
+    bounds, held = I.bounds_of(ev), I.interval_union(masks(ev))
+    made = M.full_diagnostics(ev, I.interval_complement(held, bounds), _named(ev), I.free_periods(ev, bounds, masks(ev), FREE, FREE_MARGIN), held, I.analyzed_duration(bounds, masks(ev)))
+    return made.select("rec_id", *(F.round(c, 9).alias(c) for c in made.columns if c != "rec_id"))
+
+
+def category_rates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = train(spark, sf_dir)
+    made = M.category_rates(ev, _named(ev), I.analyzed_duration(I.bounds_of(ev), masks(ev)))
+    return made.select("rec_id", "cname", "n", F.round("rate", 9).alias("rate"))
+
+
+def state_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of one kind, widened, stand for states."""
+    ev = train(spark, sf_dir)
+    wide = _runs(ev).withColumn("state", F.when(F.col("state") == "error", "postUp").when(F.col("state") == "click", "preUp").otherwise("IIP"))
+    return M.proximity(I.interval_union(wide.where("state = 'preUp'")).withColumn("state", F.lit("preUp")), ev.select("rec_id", "t")).select("rec_id", "start", "stop", "near", "far")
+
+
+def flank_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples by place, so that they are evenly spaced; the signal itself stands for the smoothed one."""
+    z = E.zscore(_indexed(train(spark, sf_dir)), "v", "rec_id").select("rec_id", F.col("i").alias("t"), (-F.col("z")).alias("v")).where("v IS NOT NULL")
+    return E.flank_events(z.where("t % 2 = 0").select("rec_id", "t"), z, z, 1.0, 2.5, 6, 8, 1, 1000)
+
+
+def suggested_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loud = {"window": 4.0, "high": 1.2, "low": 0.3, "high_time": 0.5, "low_time": 2.0, "crossing": 0.0}
+    saturated = {"stump_time": 1.0, "tooth_time": 3.0, "stump_width": 5.0, "tooth_bend": 5.0, "limit": 0.5}
+    return D.suggested_masks(_indexed(train(spark, sf_dir)), 1.0, 2 * SECOND, SECOND, 3 * SECOND, loud, saturated)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -368,6 +450,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         map_quality, category_rates, category_tfracs, diagnostics, state_runs, state_coverage, tolerance_match, nearest_event, next_event, doublets, threshold_counts, burst_isi,
         severe_periods, state_segments, chosen_threshold, refractory_counts, amplitude_events, loud_stretches, saturation_points,
         spectrogram_power, band_power, fourier_resample, smoothed, centered, cusum, window_plan, node_distances, node_severity, node_clusters, trained_map, gmm_sort,
+        waveform_features, burst_isi_peak, severe_in_states, severe_by_node, masked_samples, burst_neighbours, double_detections, box_counts, full_diagnostics,
+        category_rates_all, state_proximity, flank_events, suggested_masks,
     )
 }
 
@@ -408,7 +492,68 @@ book AS (SELECT label AS node_id, pos, avg(x) AS w FROM vec GROUP BY label, pos)
 dists AS (SELECT vec_id, node_id, sqrt(sum((x - w) * (x - w))) AS dist FROM vec JOIN book USING (pos) GROUP BY vec_id, node_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, node_id) AS k FROM dists)"""
 
+_NAMED = "named AS (SELECT *, CASE WHEN b_n >= 5 THEN 'high-load' ELSE 'low-load' END AS cname FROM bursts)"
+_RUNS = """run_a AS (SELECT rec_id, t, kind, CASE WHEN kind = lag(kind) OVER (PARTITION BY rec_id ORDER BY t) THEN 0 ELSE 1 END AS brk FROM ev), run_b AS (SELECT *, sum(brk) OVER (PARTITION BY rec_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM run_a),
+runs AS (SELECT rec_id, kind AS state, min(t) AS start, max(t) AS stop FROM run_b GROUP BY rec_id, kind, g HAVING max(t) > min(t))"""
+_INDEXED = "ix AS (SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY t) - 1 AS i, v FROM ev)"
+_PEAKS = "near_ AS (SELECT rec_id, t, v, lag(v) OVER w AS p, lead(v) OVER w AS q FROM ev WINDOW w AS (PARTITION BY rec_id ORDER BY t)), peaks AS (SELECT rec_id, t, v FROM near_ WHERE p < v AND v > q)"
+
+
+def _free(name: str, least: int, margin: int) -> str:
+    """Parts longer than least without event or mask, shrunk by margin."""
+    return f"""{name}_m AS (SELECT rec_id, t - {MARGIN} AS start, t + {MARGIN} AS stop FROM ev WHERE kind = 'error' UNION ALL SELECT rec_id, t, t FROM ev), {_union(f"{name}_u", f"{name}_m")},
+{name}_e AS (SELECT rec_id, greatest(start, lo) AS start, least(stop, hi) AS stop FROM {name}_u JOIN bounds USING (rec_id)),
+{name}_g AS (SELECT rec_id, stop AS a, lead(start) OVER (PARTITION BY rec_id ORDER BY start, stop) AS b FROM {name}_e),
+{name} AS (SELECT rec_id, a + {margin} AS start, b - {margin} AS stop FROM {name}_g WHERE b - a > {least} AND b - {margin} > a + {margin})"""
+
+
+_SPECTRA = f"""{_INDEXED}, wave AS (SELECT j, k, 0.5 - 0.5 * cos(2 * pi() * j / 15) AS w, cos(2 * pi() * j * k / 16) AS c, sin(2 * pi() * j * k / 16) AS s FROM range(16) a(j), range(2, 7) b(k)),
+spectra AS (SELECT a.rec_id, a.i, k AS bin, (pow(sum(b.v * w * c), 2) + pow(sum(b.v * w * s), 2)) / 16 AS power FROM ix a JOIN wave ON true JOIN ix b ON b.rec_id = a.rec_id AND b.i = a.i + j GROUP BY a.rec_id, a.i, k HAVING count(*) = 16)"""
+
 ORACLES: dict[str, str] = {
+    "waveform_features": f"""WITH {_EV}, {_BOUNDS}, {_BURSTS}, {_free("free", 12 * HOUR, 0)}, d AS (SELECT b.rec_id, b.start, b.stop, abs(v - lag(v) OVER (PARTITION BY b.rec_id, b.start ORDER BY t)) AS d FROM bursts b JOIN ev ON ev.rec_id = b.rec_id AND t BETWEEN start AND stop),
+f AS (SELECT rec_id, nullif(stddev_pop(v), 0) AS sd FROM (SELECT DISTINCT ev.rec_id, t, v FROM ev JOIN free USING (rec_id) WHERE t BETWEEN start AND stop) GROUP BY rec_id),
+l AS (SELECT rec_id, start, stop, coalesce(sum(d), 0) AS l, nullif((stop - start) / 1e6, 0) AS s FROM d GROUP BY rec_id, start, stop)
+SELECT rec_id, start, stop, round(l, 6) AS l_len, round(l / s, 6) AS l_rate, round(l / sd, 6) AS lz_len, round(l / sd / s, 6) AS lz_rate FROM l LEFT JOIN f USING (rec_id)""",
+    "burst_isi_peak": f"""WITH {_EV}, {_BURSTS}, st AS (SELECT log10(600.0::DOUBLE) AS l, (log10(18000.0::DOUBLE) - log10(600.0::DOUBLE)) / 20 AS step),
+i AS (SELECT b.rec_id, b.start, (t - lag(t) OVER (PARTITION BY b.rec_id, b.start ORDER BY t)) / 1e6 AS s FROM bursts b JOIN ev ON ev.rec_id = b.rec_id AND t BETWEEN start AND stop),
+c AS (SELECT rec_id, start, floor((log10(s) - l) / step) AS bin, count(*) AS n FROM i, st WHERE s >= 600 AND s < 18000 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY rec_id, start ORDER BY n DESC, bin) AS k FROM c)
+SELECT b.rec_id, b.start, b.stop, round(coalesce(pow(10.0::DOUBLE, l + bin * step), 600), 4) AS isi_peak FROM bursts b CROSS JOIN st LEFT JOIN r ON r.rec_id = b.rec_id AND r.start = b.start AND k = 1""",
+    "severe_in_states": f"""WITH {_EV}, {_BURSTS}, {_NAMED}, {_RUNS} SELECT r.rec_id, r.start, r.stop, count(n.start) AS n_severe FROM runs r LEFT JOIN named n ON n.rec_id = r.rec_id AND cname = 'high-load' AND n.start < r.stop AND r.start < n.stop GROUP BY ALL""",
+    "severe_by_node": f"""WITH {_EV}, {_BURSTS}, f AS (SELECT rec_id, start - lag(stop) OVER (PARTITION BY rec_id ORDER BY start) AS gap FROM bursts WHERE b_n IN (3, 4))
+SELECT r.rec_id, count(f.rec_id) - count(*) FILTER (gap < {60 * HOUR}) AS n, count(f.rec_id) AS n_all FROM (SELECT DISTINCT rec_id FROM ev) r LEFT JOIN f USING (rec_id) GROUP BY r.rec_id""",
+    "masked_samples": f"""WITH {_EV} SELECT rec_id, t, CASE WHEN NOT EXISTS (SELECT 1 FROM ev m WHERE m.rec_id = ev.rec_id AND m.kind = 'error' AND abs(m.t - ev.t) < {MARGIN}) THEN v END AS v FROM ev""",
+    "burst_neighbours": f"""WITH {_EV}, {_BURSTS} SELECT rec_id, start, stop, lag(start) OVER w AS prev_start, lag(stop) OVER w AS prev_stop, lead(start) OVER w AS next_start, lead(stop) OVER w AS next_stop FROM bursts WINDOW w AS (PARTITION BY rec_id ORDER BY start)""",
+    "double_detections": f"""WITH {_EV}, p AS (SELECT rec_id, t AS first, lead(t) OVER (PARTITION BY rec_id ORDER BY t) AS second FROM ev WHERE kind = 'click'), q AS (SELECT * FROM p WHERE second - first < {20 * HOUR}),
+m AS (SELECT q.rec_id, first, second, t, row_number() OVER (PARTITION BY q.rec_id, first ORDER BY v, t) AS k FROM q JOIN ev ON ev.rec_id = q.rec_id AND t >= first - {5 * HOUR} AND t < second + {20 * HOUR})
+SELECT rec_id, first, second, CASE WHEN abs(t - second) < abs(t - first) THEN second ELSE first END AS true_t, CASE WHEN abs(t - second) < abs(t - first) THEN first ELSE second END AS false_t FROM m WHERE k = 1""",
+    "box_counts": f"""WITH {_EV} SELECT a.rec_id, a.t, count(b.t) AS n FROM ev a LEFT JOIN ev b ON b.rec_id = a.rec_id AND b.kind = 'error' AND abs(b.t - a.t) < {30 * HOUR} WHERE a.kind = 'click' GROUP BY a.rec_id, a.t""",
+    "full_diagnostics": f"""WITH {_EV}, {_BOUNDS}, {_MASKS}, {_BURSTS}, {_NAMED}, {_duration(0)}, {_complement("piece", "mu")}, {_free("calm", FREE, FREE_MARGIN)},
+i AS (SELECT p.rec_id, t - lag(t) OVER (PARTITION BY p.rec_id, p.start ORDER BY t) AS isi FROM piece p JOIN ev ON ev.rec_id = p.rec_id AND t BETWEEN p.start AND p.stop),
+x AS (SELECT rec_id, (stddev_pop(isi) - avg(isi)) / nullif(stddev_pop(isi) + avg(isi), 0) AS burstiness FROM i GROUP BY rec_id), e AS (SELECT rec_id, count(*) AS n FROM ev GROUP BY rec_id),
+b AS (SELECT rec_id, sum(stop - start) AS d, count(*) FILTER (cname = 'high-load') AS h, sum(stop - start) FILTER (cname = 'high-load') AS dh FROM named GROUP BY rec_id),
+f AS (SELECT rec_id, sum(stop - start) AS d FROM calm GROUP BY rec_id), m AS (SELECT rec_id, sum(stop - start) AS d FROM mu GROUP BY rec_id)
+SELECT a.rec_id, round(coalesce(e.n, 0) / nullif(dur, 0)::DOUBLE * 1e6, 9) AS rate_events, round(coalesce(h, 0) / nullif(dur, 0)::DOUBLE * 6e7, 9) AS rate_high_load, round(coalesce(dh, 0)::DOUBLE / nullif(dur, 0), 9) AS tfrac_high_load,
+round(coalesce(b.d, 0)::DOUBLE / nullif(dur, 0), 9) AS tfrac_bursts, round(coalesce(f.d, 0)::DOUBLE / nullif(dur, 0), 9) AS tfrac_free, round(burstiness, 9) AS burstiness, round(dur / 6e7, 9) AS minutes, round(coalesce(m.d, 0)::DOUBLE / 6e7, 9) AS minutes_masked
+FROM analysed a LEFT JOIN e USING (rec_id) LEFT JOIN x USING (rec_id) LEFT JOIN b USING (rec_id) LEFT JOIN f USING (rec_id) LEFT JOIN m USING (rec_id)""",
+    "category_rates_all": f"""WITH {_EV}, {_BOUNDS}, {_MASKS}, {_BURSTS}, {_NAMED}, {_duration(0)}, a AS (SELECT rec_id, cname FROM named UNION ALL SELECT rec_id, 'discharges' FROM ev)
+SELECT rec_id, cname, count(*) AS n, round(count(*) / (nullif(dur, 0) / 1e6), 9) AS rate FROM a JOIN analysed USING (rec_id) GROUP BY rec_id, cname, dur""",
+    "state_proximity": f"""WITH {_EV}, {_RUNS}, s AS (SELECT rec_id, start, stop FROM runs WHERE state = 'click')
+SELECT s.rec_id, start, stop, count(*) FILTER (2 * t > start + stop) AS near, count(*) FILTER (2 * t < start + stop) AS far FROM s JOIN ev ON ev.rec_id = s.rec_id AND t BETWEEN start AND stop GROUP BY ALL""",
+    "refractory_counts": f"""WITH RECURSIVE {_EV}, {_PEAKS}, o AS (SELECT rec_id, th, t, row_number() OVER (PARTITION BY rec_id, th ORDER BY t) AS i FROM (SELECT rec_id, (10 * x)::DOUBLE AS th, t FROM peaks, range(10) r(x) WHERE v > 10 * x)),
+k AS (SELECT rec_id, th, t, i, t AS last FROM o WHERE i = 1 UNION ALL SELECT o.rec_id, o.th, o.t, o.i, CASE WHEN o.t - k.last >= {DEAD} THEN o.t ELSE k.last END FROM k JOIN o ON o.rec_id = k.rec_id AND o.th = k.th AND o.i = k.i + 1),
+n AS (SELECT rec_id, th, count(*) AS n FROM k WHERE t = last GROUP BY rec_id, th) SELECT r.rec_id, (10 * x)::DOUBLE AS threshold, coalesce(n, 0) AS n FROM (SELECT DISTINCT rec_id FROM peaks) r CROSS JOIN range(10) y(x) LEFT JOIN n ON n.rec_id = r.rec_id AND th = 10 * x""",
+    "cusum": f"""WITH RECURSIVE {_EV}, {_INDEXED}, z AS (SELECT rec_id, i, (v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0) AS z FROM ix WINDOW w AS (PARTITION BY rec_id)), s AS (SELECT rec_id, i, coalesce(z - lag(z) OVER (PARTITION BY rec_id ORDER BY i), 0) AS s FROM z WHERE z IS NOT NULL),
+k AS (SELECT rec_id, i, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, false AS alarm FROM s WHERE i = 0 UNION ALL
+SELECT s.rec_id, s.i, greatest(0, CASE WHEN k.alarm THEN 0 ELSE k.up END + s - 0.5), greatest(0, CASE WHEN k.alarm THEN 0 ELSE k.down END - s - 0.5),
+greatest(CASE WHEN k.alarm THEN 0 ELSE k.up END + s, CASE WHEN k.alarm THEN 0 ELSE k.down END - s) - 0.5 > 4 FROM k JOIN s ON s.rec_id = k.rec_id AND s.i = k.i + 1) SELECT rec_id, i FROM k WHERE alarm""",
+    "smoothed": f"""WITH {_EV}, {_INDEXED}, n AS (SELECT rec_id, max(i) AS z FROM ix GROUP BY rec_id), kernel AS (SELECT * FROM (VALUES (-2, -3.0 / 35), (-1, 12.0 / 35), (0, 17.0 / 35), (1, 12.0 / 35), (2, -3.0 / 35)) t(j, w)),
+p AS (SELECT ix.rec_id, i, w, i + j AS at, CASE WHEN i + j < 0 THEN -(i + j) WHEN i + j > z THEN 2 * z - i - j ELSE i + j END AS src, CASE WHEN i + j < 0 THEN 0 WHEN i + j > z THEN z END AS edge FROM ix JOIN n USING (rec_id), kernel)
+SELECT p.rec_id, p.i, round(sum(w::DOUBLE * CASE WHEN edge IS NULL THEN a.v ELSE 2 * b.v - a.v END), 6) AS v FROM p JOIN ix a ON a.rec_id = p.rec_id AND a.i = src LEFT JOIN ix b ON b.rec_id = p.rec_id AND b.i = edge GROUP BY p.rec_id, p.i""",
+    "spectrogram_power": f"WITH {_EV}, {_SPECTRA} SELECT rec_id, i, bin, round(power, 6) AS power FROM spectra",
+    "band_power": f"""WITH {_EV}, {_SPECTRA}, q AS (SELECT rec_id, bin, quantile_cont(power, 0.05) AS lo, quantile_cont(power, 0.95) AS hi FROM spectra GROUP BY rec_id, bin),
+m AS (SELECT rec_id, i, avg(coalesce(least(greatest((power - lo) / nullif(hi - lo, 0), 0), 1), 0)) AS m FROM spectra JOIN q USING (rec_id, bin) GROUP BY rec_id, i)
+SELECT rec_id, i, round((m - avg(m) OVER w) / nullif(stddev_pop(m) OVER w, 0), 6) AS v FROM m WINDOW w AS (PARTITION BY rec_id)""",
     "event_bursts": f"WITH {_EV}, {_BURSTS} SELECT * FROM bursts",
     "gap_islands": f"WITH {_EV}, {_ISLANDS} SELECT * FROM islands",
     "burst_features": f"""WITH {_EV}, {_BURSTS},
