@@ -510,6 +510,21 @@ def _free(name: str, least: int, margin: int) -> str:
 _SPECTRA = f"""{_INDEXED}, wave AS (SELECT j, k, 0.5 - 0.5 * cos(2 * pi() * j / 15) AS w, cos(2 * pi() * j * k / 16) AS c, sin(2 * pi() * j * k / 16) AS s FROM range(16) a(j), range(2, 7) b(k)),
 spectra AS (SELECT a.rec_id, a.i, k AS bin, (pow(sum(b.v * w * c), 2) + pow(sum(b.v * w * s), 2)) / 16 AS power FROM ix a JOIN wave ON true JOIN ix b ON b.rec_id = a.rec_id AND b.i = a.i + j GROUP BY a.rec_id, a.i, k HAVING count(*) = 16)"""
 
+_LOUD = """lo_a AS (SELECT rec_id, i, v, sqrt(sum(v * v) OVER (PARTITION BY rec_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4) AS rms FROM ix),
+lo_b AS (SELECT *, (rms - avg(rms) OVER w) / nullif(stddev_pop(rms) OVER w, 0) AS z FROM lo_a WINDOW w AS (PARTITION BY rec_id)),
+lo_c AS (SELECT rec_id, i, coalesce(z >= 1.2, false) AS high, i - row_number() OVER (PARTITION BY rec_id ORDER BY i) AS run FROM lo_b WHERE z >= 0.3),
+lo_d AS (SELECT rec_id, run, i, i - row_number() OVER (PARTITION BY rec_id, run, high ORDER BY i) AS peak, high FROM lo_c),
+lo_e AS (SELECT rec_id, run, peak, high, count(*) AS n FROM lo_d GROUP BY ALL), lo_f AS (SELECT rec_id, run, max(n) FILTER (high) AS h FROM lo_e GROUP BY rec_id, run),
+loud AS (SELECT rec_id, min(i) AS first, max(i) AS last FROM lo_c JOIN lo_f USING (rec_id, run) GROUP BY rec_id, run, h HAVING h - 1 > 0.5 AND max(i) - min(i) >= 2)"""
+_SATURATED = """sa_a AS (SELECT rec_id, i, v, (v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0) AS z FROM ix WINDOW w AS (PARTITION BY rec_id)),
+sa_b AS (SELECT *, CASE WHEN z >= 0.5 THEN 1 ELSE -1 END AS side FROM sa_a WHERE abs(z) >= 0.5), sa_c AS (SELECT *, i - row_number() OVER (PARTITION BY rec_id, side ORDER BY i) AS run FROM sa_b),
+sa_d AS (SELECT *, count(*) OVER r AS n, row_number() OVER (PARTITION BY rec_id, side, run ORDER BY i) AS place FROM sa_c WINDOW r AS (PARTITION BY rec_id, side, run)), sa_e AS (SELECT * FROM sa_d WHERE place < n),
+sa_f AS (SELECT a.rec_id, a.side, a.run, a.i, count(*) AS near FROM sa_e a JOIN sa_e b ON a.rec_id = b.rec_id AND a.side = b.side AND a.run = b.run AND abs(abs(a.v) - abs(b.v)) < 5 GROUP BY ALL),
+sa_g AS (SELECT rec_id, side, run, i, coalesce(abs(lead(v, 2) OVER w - 2 * lead(v) OVER w + v) <= 5, false) AS straight FROM sa_e WINDOW w AS (PARTITION BY rec_id, side, run ORDER BY i)),
+sa_h AS (SELECT rec_id, side, run, i - row_number() OVER (PARTITION BY rec_id, side, run ORDER BY i) AS tooth FROM sa_g WHERE straight), sa_i AS (SELECT rec_id, side, run, max(c) AS longest FROM (SELECT rec_id, side, run, tooth, count(*) AS c FROM sa_h GROUP BY ALL) GROUP BY ALL),
+sa_j AS (SELECT e.rec_id, e.side, e.run, e.n, max(near) AS near, max(longest) AS longest, arg_max(e.i, abs(v) - e.i * 1e-12) AS i FROM sa_e e JOIN sa_f f USING (rec_id, side, run, i) LEFT JOIN sa_i t USING (rec_id, side, run) GROUP BY e.rec_id, e.side, e.run, e.n),
+saturated AS (SELECT rec_id, i, CASE WHEN n - 1 > 1 AND near >= 1 THEN 'stump' WHEN n - 1 > 3 AND longest >= 2 THEN 'tooth' END AS kind FROM sa_j WHERE (n - 1 > 1 AND near >= 1) OR (n - 1 > 3 AND longest >= 2))"""
+
 ORACLES: dict[str, str] = {
     "waveform_features": f"""WITH {_EV}, {_BOUNDS}, {_BURSTS}, {_free("free", 12 * HOUR, 0)}, d AS (SELECT b.rec_id, b.start, b.stop, abs(v - lag(v) OVER (PARTITION BY b.rec_id, b.start ORDER BY t)) AS d FROM bursts b JOIN ev ON ev.rec_id = b.rec_id AND t BETWEEN start AND stop),
 f AS (SELECT rec_id, nullif(stddev_pop(v), 0) AS sd FROM (SELECT DISTINCT ev.rec_id, t, v FROM ev JOIN free USING (rec_id) WHERE t BETWEEN start AND stop) GROUP BY rec_id),
@@ -547,6 +562,10 @@ n AS (SELECT rec_id, th, count(*) AS n FROM k WHERE t = last GROUP BY rec_id, th
 k AS (SELECT rec_id, i, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, false AS alarm FROM s WHERE i = 0 UNION ALL
 SELECT s.rec_id, s.i, greatest(0, CASE WHEN k.alarm THEN 0 ELSE k.up END + s - 0.5), greatest(0, CASE WHEN k.alarm THEN 0 ELSE k.down END - s - 0.5),
 greatest(CASE WHEN k.alarm THEN 0 ELSE k.up END + s, CASE WHEN k.alarm THEN 0 ELSE k.down END - s) - 0.5 > 4 FROM k JOIN s ON s.rec_id = k.rec_id AND s.i = k.i + 1) SELECT rec_id, i FROM k WHERE alarm""",
+    "loud_stretches": f"""WITH {_EV}, {_INDEXED}, {_LOUD} SELECT rec_id, first, last FROM loud""",
+    "saturation_points": f"""WITH {_EV}, {_INDEXED}, {_SATURATED} SELECT rec_id, i, kind FROM saturated""",
+    "suggested_masks": f"""WITH {_EV}, {_INDEXED}, {_LOUD}, {_SATURATED}, both_ AS (SELECT rec_id, first * 1000000 - 2000000 AS start, last * 1000000 + 2000000 AS stop FROM loud UNION ALL SELECT rec_id, i * 1000000 - 1000000, i * 1000000 + 1000000 FROM saturated),
+{_union("fused", "both_", 3 * SECOND)} SELECT rec_id, start, stop FROM fused""",
     "smoothed": f"""WITH {_EV}, {_INDEXED}, n AS (SELECT rec_id, max(i) AS z FROM ix GROUP BY rec_id), kernel AS (SELECT * FROM (VALUES (-2, -3.0 / 35), (-1, 12.0 / 35), (0, 17.0 / 35), (1, 12.0 / 35), (2, -3.0 / 35)) t(j, w)),
 p AS (SELECT ix.rec_id, i, w, i + j AS at, CASE WHEN i + j < 0 THEN -(i + j) WHEN i + j > z THEN 2 * z - i - j ELSE i + j END AS src, CASE WHEN i + j < 0 THEN 0 WHEN i + j > z THEN z END AS edge FROM ix JOIN n USING (rec_id), kernel)
 SELECT p.rec_id, p.i, round(sum(w::DOUBLE * CASE WHEN edge IS NULL THEN a.v ELSE 2 * b.v - a.v END), 6) AS v FROM p JOIN ix a ON a.rec_id = p.rec_id AND a.i = src LEFT JOIN ix b ON b.rec_id = p.rec_id AND b.i = edge GROUP BY p.rec_id, p.i""",
