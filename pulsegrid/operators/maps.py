@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import SECOND
@@ -143,15 +143,51 @@ def initial_map(vectors: DataFrame, columns: int, rows: int, vector: str = "v")
     return vectors.sparkSession.createDataFrame(made, "node_id int, w array<double>")
 
 
+def percentiles(df: DataFrame, value: str, by: list[str], shares: list[float]) -> DataFrame:
+    """(by, p array<double>): exact percentiles of a number, interpolated, of each group; nulls are left out.
+
+    Values are counted in cells, 64 for each doubling of their size, before the shuffle. Only those of the cells that hold a wanted
+    rank are then sorted, so no group meets in one row, and no large one in one task unless its values hardly differ.
+    """
+    x = F.col(value).cast("double")
+    size = F.floor(F.log2(F.abs(x)) * 64) + (1 << 20)
+    cell = F.when(x > 0, size).when(x < 0, -size).otherwise(F.lit(0)).cast("long")
+    known = df.where(x.isNotNull() & ~F.isnan(x)).select(*by, x.alias("_x"), cell.alias("_cell"))
+    counts = known.groupBy(*by, "_cell").agg(F.count("*").alias("_n"))
+    own = Window.partitionBy(*by)
+    upto = counts.withColumn("_upto", F.sum("_n").over(own.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_total", F.sum("_n").over(own))
+    at = [F.lit(float(s)) * (F.col("_total") - 1) for s in shares]
+    ranks = F.array(*(r for a in at for r in (F.floor(a), F.least(F.floor(a) + 1, F.col("_total") - 1))))
+    below = F.col("_upto") - F.col("_n")
+    wanted = upto.withColumn("_ranks", ranks).where(F.exists("_ranks", lambda r: (r >= below) & (r < F.col("_upto"))))
+    names = [f"_by{k}" for k in range(len(by))]
+    wanted = wanted.select(*(F.col(c).alias(n) for c, n in zip(by, names, strict=True)), F.col("_cell").alias("_in"), below.alias("_below"), "_ranks", F.array(*at).alias("_at"))
+    same = F.col("_cell") == F.col("_in")
+    for c, n in zip(by, names, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    placed = known.join(wanted, same).withColumn("_rank", F.col("_below") + F.row_number().over(Window.partitionBy(*by, "_cell").orderBy("_x")) - 1)
+    found = placed.where(F.array_contains("_ranks", F.col("_rank")))
+
+    def between(k: int) -> Column:
+        lower, upper = (F.max(F.when(F.col("_rank") == F.get("_ranks", F.lit(2 * k + j)), F.col("_x"))) for j in (0, 1))
+        return lower + (upper - lower) * F.max(F.get("_at", F.lit(k)) - F.get("_ranks", F.lit(2 * k)))
+
+    return found.groupBy(*by).agg(F.array(*(between(k) for k in range(len(shares)))).alias("p"))
+
+
 def percentile_norm(df: DataFrame, value: str, by: list[str], lo: float = 0.05, hi: float = 0.95) -> DataFrame:
     """df with `normed`: value scaled such that each group's lo and hi percentiles are 0 and 1, cut off there; null where they are equal.
 
-    Groups are few (such as frequency bins); their exact percentiles are joined back by broadcast.
+    With lo 0 and hi 1 the least and the largest value are.
     """
-    p = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(lo), F.lit(hi))).alias("_p"))
+    names = {c: f"_g{k}" for k, c in enumerate(by)}
+    p = percentiles(df, value, by, [lo, hi]).withColumnsRenamed(names | {"p": "_p"})
+    same = F.lit(True)
+    for c, n in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(n))
     low, high = F.get("_p", F.lit(0)), F.get("_p", F.lit(1))
     scaled = (F.col(value) - low) / F.nullif(high - low, F.lit(0.0))
-    return df.join(F.broadcast(p), by).withColumn("normed", F.when(scaled.isNotNull(), F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)))).drop("_p")
+    return df.join(p, same, "left").withColumn("normed", F.when(scaled.isNotNull(), F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)))).drop("_p", *names.values())
 
 
 def amplitude_histogram(df: DataFrame, value: str) -> DataFrame:
