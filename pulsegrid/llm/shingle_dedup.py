@@ -24,8 +24,9 @@ from pulsegrid.llm.components import components
 from pulsegrid.llm.simhash_dedup import RADIUS, SEED, linked, majority
 
 WORDS = 5
-#: Documents of the sample and shingles held as common, at most; how often all meet one document. None of them changes the result.
-SAMPLE, COMMON, TURNS = 8_192, 50_000, 1
+#: Documents of the sample and shingles held as common, at most; in how many turns all meet one document of each shingle, and how
+#: many orders the shingles of one turn choose that document by. None of them changes the result.
+SAMPLE, COMMON, TURNS, SPREAD = 8_192, 50_000, 2, 4
 #: Shingles are counted in so many cells, by which most pairs are told apart without their sets.
 CELLS = 128
 
@@ -125,15 +126,22 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wor
     shared = settle(beside.where((F.col("_b") != F.col("node")) | (F.col("_a") != F.col("node"))).drop("_b", "_a"), "shared")
     links = settle(_verified(settle(_by_fingerprint(nodes), "pairs"), own, nodes, words), "links")
     roots = settle(components(links), "roots")
+    of_size = F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(1.25)))  # similar sets are of one class or of neighbouring ones
     for turn in range(TURNS + 1):
-        state = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        one = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("_"), "node", "n", "at", "root")).alias("one")
-        several = state.groupBy("h").agg(one, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        other = several.select("h", "one.*") if turn < TURNS else state.join(several.select("h"), "h", "left_semi")
-        other = other.select("h", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "at", "root")))
-        met = state.join(other, "h").where((F.col("root") != F.col("o_root")) & _possible(F.col("n"), F.col("at"), F.col("o_n"), F.col("o_at")))
+        state = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("size", of_size)
+        if turn < TURNS:
+            order = F.xxhash64("node", F.pmod("h", F.lit(SPREAD)), F.lit(turn))
+            first = F.min(F.struct("at", order.alias("_"), "node", "n", "root")).alias("one")  # of a passage's documents one of which it is the most
+            other = state.groupBy("h", "size").agg(first).select("h", "size", "one.*").drop("_")
+        else:
+            several = state.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+            state = state.join(several.select("h"), "h", "left_semi")
+            other = state
+        other = other.select("h", F.col("size").alias("meets"), *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "at", "root")))
+        dealt = state.withColumn("meets", F.explode(F.array("size", F.col("size") - 1)))
+        met = dealt.join(other, ["h", "meets"]).where((F.col("root") != F.col("o_root")) & _possible(F.col("n"), F.col("at"), F.col("o_n"), F.col("o_at")))
         if turn == TURNS:
-            met = met.where("node < o_node")
+            met = met.where("meets < size OR node < o_node")
         pairs = settle(met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct(), "pairs")
         new = settle(_verified(pairs, own, nodes, words), "links")
         links = links.unionByName(new)
