@@ -314,3 +314,25 @@ def test_nearest_odd_vectors(spark):
     assert additive_index.neighbours(frame.limit(0), frame).count() == 0
     assert additive_index.neighbours(frame, frame.limit(0)).count() == 0
     assert additive_index.neighbours(spark.createDataFrame(good[:1], "vec_id long, embedding array<double>"), frame.where("vec_id = 0")).count() == 0
+
+
+def test_votes_of_terms_by_hand():
+    """Signed votes, bit by bit, of the pairs of neighbouring words, in whole numbers and double precision."""
+    from math import log
+
+    from xxhash import xxh64_intdigest
+
+    full = 2**64 - 1
+
+    def mixed(x):
+        x = (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & full
+        return x ^ (x >> 32)
+
+    rng = random.Random(8)
+    for n in (0, 1, 2, 3, 40, 700):
+        words = [rng.choice("a bb Été 漢字 over under again one two".split()) + str(rng.randrange(9)) for _ in range(n)]
+        h = [xxh64_intdigest(w) for w in words]
+        terms = Counter([mixed((a * 0x9E3779B97F4A7C15 + b) & full) for a, b in zip(h, h[1:], strict=False)] if n > 1 else map(mixed, h))
+        votes = [sum((1 + log(k)) * (1 if t >> bit & 1 else -1) for t, k in terms.items()) for bit in range(64)]
+        got = fingerprints.fingerprint(" ".join(words))
+        assert all((got >> bit & 1) == (v > 0) for bit, v in enumerate(votes) if abs(v) > 1e-3 or not terms)
