@@ -68,12 +68,13 @@ class Encoder:
             or bool(model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"))
             or any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added)
         )
-        self.library.model._resize_cache(0)  # the memo is the cache
+        if not self.plain:
+            self.library.model._resize_cache(0)  # the memo is the cache
         vocabulary = self.library.get_vocab()
         self.newline, self.begins = vocabulary.get("\u010a", -1), np.zeros(1 + max(vocabulary.values(), default=0), bool)  # newline and blank as letters
         self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
-        names = sorted((t.content for t in added), key=len, reverse=True)
-        self.added = re.compile(f"({'|'.join(map(re.escape, names))})") if names else None
+        self.names = sorted((t.content for t in added), key=len, reverse=True)
+        self.added = re.compile(f"({'|'.join(map(re.escape, self.names))})") if self.names else None
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -123,8 +124,8 @@ class Encoder:
         """All pieces of the texts, one text after the other, and how many each text has."""
         own = pa.array(texts, pa.large_string())
         odd = pc.match_substring_regex(own, ODD)
-        if self.added:
-            odd = pc.or_(odd, pc.match_substring_regex(own, self.added.pattern.replace("\\<", "<").replace("\\>", ">")))
+        for name in self.names:
+            odd = pc.or_(odd, pc.match_substring(own, name))
         cut = own
         for mark, by in ((" ", "\0 "), (".", "\0."), (",", "\0,"), ("\n", "\0\n\0")):
             cut = pc.replace_substring(cut, mark, by)
