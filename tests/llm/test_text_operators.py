@@ -139,7 +139,7 @@ def test_links_find_all_pairs(spark, rows_, radius):
     assert got == want
 
 
-@pytest.mark.parametrize(("radius", "hot"), [(4, 64), (4, 2), (3, 0), (6, 3)])
+@pytest.mark.parametrize(("radius", "hot"), [(4, 2), (3, 0)])
 def test_linked_components(spark, radius, hot):
     """Chains, a dense cluster of fingerprints and lone ones: the same components as from all links."""
     rng = random.Random(radius)
