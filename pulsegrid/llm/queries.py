@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import additive_index, fingerprints, language_id, line_dedup, mixing, quality, secret_scan, sentencepiece_codec, simhash_dedup, token_files
+from pulsegrid.llm import additive_index, conversation_repair, fingerprints, language_id, line_dedup, merkle, mixing, oracles, packing, quality, secret_scan, sentencepiece_codec, simhash_dedup, token_files
 from pulsegrid.llm.common import fold
 
 
@@ -80,7 +81,28 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_quality, op4_secrets, op5_language_id, op6_token_files, op7_nearest, op8_fingerprints, op9_line_dedup, op10_simhash_dedup)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def leaf(text: Column) -> Column:
+        return merkle.digest(*(merkle.field(c) for c in (F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)))
+
+    lower = F.translate("text", ascii_uppercase, ascii_lowercase)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, leaf(lower))
+    rows = merkle.manifest(_read(spark, sf_dir), leaf(F.col("text")), carry={"tampered": tampered})
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    out = rows.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")).cast("binary"), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations")
+    return conversation_repair.report(conversation_repair.damage(turns), every=turns)
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_quality, op4_secrets, op5_language_id, op6_token_files, op7_nearest, op8_fingerprints, op9_line_dedup, op10_simhash_dedup, op11_merkle, op12_conversations, op13_packing)}
 
 ORACLES: dict[str, str] = {
     "op9_line_dedup": r"""
@@ -93,4 +115,6 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """,
+    "op11_merkle": oracles.MERKLE,
+    "op12_conversations": oracles.CONVERSATIONS,
 }
