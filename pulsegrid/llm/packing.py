@@ -10,6 +10,7 @@ their step.
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict, deque
 from collections.abc import Iterator
 from functools import cache
@@ -25,18 +26,25 @@ from pulsegrid.llm.common import settle, slices
 from pulsegrid.llm.token_files import END, Encoder
 
 CAPACITY = 2048
+#: Characters up to here (Latin letters) that are lower-case stay what they are when a text is normalised.
+LATIN = 0x250
+#: Characters and documents that a task encodes together.
+CHARS, DOCS = 3_000_000, 2048
 #: Fixed value: how the word vocabulary cuts a normalised text; white space is in no part.
 WORD_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordEncoder(Encoder):
-    """Ids of texts by the tokenizers library, remembered for each run between blanks and newlines.
+    """Ids of texts by the tokenizers library, remembered for each run between blanks, newlines and the stops and commas after words.
 
     The vocabulary normalises character by character but for white space and for marks that join the character before (none
-    joins a blank), and no part holds white space, so the runs can be encoded apart. A file made otherwise is left to the library.
+    joins a blank, stop or comma), no part holds white space, and a word ends before a stop or comma, so the runs can be encoded
+    apart. It lower-cases, so A-Z are lower-cased first, but for texts in which that would make an added token. Words of lower-case
+    Latin letters are parts as they stand and go to the library's merges at once, other words many at a time. A file made otherwise
+    is left to the library as a whole.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 300_000):
         import json
 
         super().__init__(path, most)
@@ -48,15 +56,49 @@ class WordEncoder(Encoder):
             or [(s["type"], s.get("pattern"), s.get("behavior"), s.get("invert"), s.get("add_prefix_space"), s.get("use_regex")) for s in split]
             != [("Split", {"Regex": WORD_PARTS}, "Removed", True, None, None), ("ByteLevel", None, None, None, False, False)]
             or model["type"] != "BPE"
-            or bool(model.get("dropout"))
+            or model.get("end_of_word_suffix") != "</w>"
+            or bool(model.get("dropout") or model.get("continuing_subword_prefix"))
             or any(t.lstrip or t.rstrip or t.single_word or t.normalized or any(map(str.isspace, t.content)) for t in self.library.get_added_tokens_decoder().values())
         )
+        if not self.plain:
+            self.library.model._resize_cache(0)  # the memo is the cache
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(1 + max(vocabulary.values(), default=0), bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary; others follow from 256 on
+        hidden = [b for b in range(256) if b not in shown]
+        letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.spelled = {i: "".join(letters[b] for b in chr(i).encode()) for i in range(LATIN)}
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
-        return dict(zip(new, self._library(new), strict=True))
+        made, words, rest, tokenize = {}, [], [], self.library.model.tokenize
+        for w in new:
+            if not w.isalpha():
+                rest.append(w)
+            elif w.islower() and max(w) < chr(LATIN):
+                made[w] = array("I", [t.id for t in tokenize(w if w.isascii() else w.translate(self.spelled))]).tobytes()
+            else:
+                words.append(w)
+        for i in range(0, len(words), 4096):
+            some = words[i : i + 4096]
+            data = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[data]) + 1
+            if len(stops) != len(some):  # a letter to Python but not to the vocabulary's pattern
+                rest += some
+                continue
+            own, at = data.tobytes(), [0, *(4 * stops).tolist()]
+            made.update((w, own[a:b]) for w, a, b in zip(some, at, at[1:], strict=False))
+        made.update(zip(rest, self._library(rest), strict=True))
+        return made
 
     def _pieces(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
-        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        own = pa.array(texts, pa.large_string())
+        lower = pc.ascii_lower(own)
+        for name in self.names:
+            if name == name.lower():
+                lower = pc.if_else(pc.match_substring(lower, name), own, lower)
+        cut = pc.replace_substring_regex(pc.replace_substring(lower, "\n", " "), r"([\pL\pN])([.,])", r"\1 \2")
+        split = pc.split_pattern(cut, " ")
         return split.flatten(), pc.list_value_length(split).to_numpy(zero_copy_only=False)
 
 
@@ -145,7 +187,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str =
         from pyspark import TaskContext
 
         own, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for cols, texts in slices(batches, "text", together=512):
+        for cols, texts in slices(batches, "text", CHARS, DOCS):
             flat, sizes = own.ids(texts)
             flat, sizes = np.insert(flat, np.cumsum(sizes), END).astype("<u4"), sizes + 1
             cuts = -(-sizes // capacity)
