@@ -76,16 +76,19 @@ def _parents(level: Column) -> Column:
     return F.transform(runs, lambda i: F.sha2(F.array_join(F.slice(level, i * FANOUT + 1, FANOUT), "").cast("binary"), 256))
 
 
-def _build(nodes: DataFrame, heights: DataFrame, most: int) -> list[DataFrame]:
+def _build(nodes: DataFrame, heights: DataFrame | Column, most: int) -> list[DataFrame]:
     """Tables from the leaves (group, rank, digest, ...) up, each of TOGETHER nodes a row: group, rank, height, members, levels l0 to l2, top.
 
-    A tree of a group ends where one node is left, be it in the middle of a table.
+    A tree of a group ends where one node is left, be it in the middle of a table; `heights` has the groups' levels, or is that of all.
     """
     out, level, more = [], 0, [c for c in nodes.columns if c not in ("group", "rank", "digest")]
     while True:
         member = F.struct("rank", "digest", *more)
         rows = nodes.groupBy("group", F.floor(F.col("rank") / TOGETHER).alias("up")).agg(F.sort_array(F.collect_list(member)).alias("members"))
-        rows = rows.join(heights.select(F.col("group").alias("_group"), "height"), F.col("group") == F.col("_group")).drop("_group")
+        if isinstance(heights, Column):
+            rows = rows.withColumn("height", heights)
+        else:
+            rows = rows.join(heights.select(F.col("group").alias("_group"), "height"), F.col("group") == F.col("_group")).drop("_group")
         rows = rows.withColumn("l0", F.transform("members", lambda m: m.digest))
         for j in range(LEVELS):
             rows = rows.withColumn(f"l{j + 1}", F.when(F.col("height") > level + j, _parents(F.col(f"l{j}"))).otherwise(F.col(f"l{j}")))
@@ -145,7 +148,7 @@ def manifest(docs: DataFrame, leaf: Column, *, key: str = "doc_id", group: str =
     longest = 2 * (sizes.agg(F.max(F.octet_length("group"))).first()[0] or 1)
     forest = ranks(named, DIGITS, longest).select("group", F.col("first").alias("rank"), "digest", "name")
     n = sizes.count()
-    upper = _build(forest, forest.sparkSession.range(1).select(F.lit("").alias("group"), _height(F.lit(n)).alias("height")), n)
+    upper = _build(forest, _height(F.lit(n)), n)
     start = upper[-1].select("group", F.col("top").alias("root"), F.array().cast("array<struct<left:string,right:string>>").alias("path"))
     groups = _descend(upper, start).select(F.col("name").alias("group"), "path", "root", F.col("digest").alias("subroot"))
     found = _descend(trees, groups)
