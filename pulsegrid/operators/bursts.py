@@ -11,7 +11,7 @@ from pulsegrid.functions import SECOND, log_guard, sq_distance
 from pulsegrid.operators.events import with_isi
 from pulsegrid.operators.intervals import REC, contain_join, overlap_join
 
-#: Nodes that a codebook can have.
+#: Nodes of a codebook that are broadcast together.
 MOST_NODES = 100_000
 
 #: Feature name to aggregate over a burst's events, isi being in seconds and null at its first event.
@@ -96,18 +96,28 @@ def standardise(features: DataFrame, variables: list[dict]) -> Column:
 def project(vectors: DataFrame, codebook: DataFrame, vector: str = "v", second: bool = False) -> DataFrame:
     """vectors with bmu, the node of the codebook (node_id, w) nearest to them, and dist (ties: the lower node); with `second` also bmu2.
 
-    The codebook is a map of at most MOST_NODES nodes (more are an error); it is gathered into one row of an array that is joined
-    by broadcast, so no vector is shuffled or repeated.
+    The codebook is gathered into rows of an array of at most about MOST_NODES nodes that are joined by broadcast, one after the other, so no
+    vector is shuffled or repeated; a map has hundreds of nodes and makes one row.
     """
-    if (n := codebook.limit(MOST_NODES + 1).count()) > MOST_NODES:
-        raise ValueError(f"a codebook of {n} nodes or more")
-    nodes = codebook.where("node_id IS NOT NULL AND w IS NOT NULL").agg(F.sort_array(F.collect_list(F.struct("node_id", "w"))).alias("_nodes"))
-    far = F.transform("_nodes", lambda n: F.struct(sq_distance(F.col(vector), n.w).alias("d"), n.node_id.alias("node_id")))
-    both = vectors.join(F.broadcast(nodes)).withColumn("_r", far).withColumn("_best", F.array_min("_r"))
-    out = both.withColumn("bmu", F.col("_best.node_id")).withColumn("dist", F.sqrt(F.col("_best.d")))
+    book = codebook.where("node_id IS NOT NULL AND w IS NOT NULL").select("node_id", "w")
+    n, best = book.count(), F.array().cast("array<struct<d:double,node_id:bigint>>")
+    parts = -(-2 * n // MOST_NODES) if n > MOST_NODES else 1
+    out = vectors.withColumn("_best", best)
+    for k in range(parts):
+        some = book if parts == 1 else book.where(F.pmod(F.xxhash64("node_id"), F.lit(parts)) == k)
+        nodes = some.agg(F.sort_array(F.collect_list(F.struct("node_id", "w"))).alias("_nodes"))
+        far = F.transform("_nodes", lambda n: F.struct(sq_distance(F.col(vector), n.w).alias("d"), n.node_id.cast("long").alias("node_id")))
+        both = out.join(F.broadcast(nodes)).withColumn("_r", far)
+        if second:
+            nearest = F.slice(F.sort_array(F.concat("_best", "_r")), 1, 2)
+        else:
+            nearest = F.array(F.array_min("_r")) if parts == 1 else F.array(F.array_min(F.concat("_best", "_r")))
+        out = both.withColumn("_best", nearest).drop("_nodes", "_r")
+    kind = codebook.schema["node_id"].dataType
+    out = out.withColumn("bmu", F.get("_best", F.lit(0)).node_id.cast(kind)).withColumn("dist", F.sqrt(F.get("_best", F.lit(0)).d))
     if second:
-        out = out.withColumn("bmu2", F.array_min(F.filter("_r", lambda r: r.node_id != F.col("_best.node_id"))).node_id)
-    return out.drop("_nodes", "_r", "_best")
+        out = out.withColumn("bmu2", F.get("_best", F.lit(1)).node_id.cast(kind))
+    return out.drop("_best")
 
 
 def classify(features: DataFrame, codebook: DataFrame, variables: list[dict], least: int = 5) -> DataFrame:
@@ -128,3 +138,26 @@ def severity_order(bursts: DataFrame, budget: int) -> DataFrame:
     """Bursts by severity (highest first) as long as their total duration is within budget (microseconds) in each recording."""
     w = Window.partitionBy(REC).orderBy(F.desc_nulls_last("si"), "start").rowsBetween(Window.unboundedPreceding, 0)
     return bursts.withColumn("_used", F.sum(F.col("stop") - F.col("start")).over(w)).where(F.col("_used") <= budget).drop("_used")
+
+
+def spread(order: Column | list, *by: str) -> Column:
+    """Place (from 0) of each row in an order that is spread over the whole range of `order` from early on: ranks by their bits read backwards.
+
+    The first 2 ** k rows of a group are about evenly spaced, so any beginning of it represents the group.
+    """
+    columns = order if isinstance(order, list) else [order]
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*columns)) - 1
+    bits = F.length(F.bin(F.count(F.lit(1)).over(Window.partitionBy(*by)) - 1))
+    return F.reverse(F.lpad(F.bin(rank), bits, "0"))
+
+
+def representatives(bursts: DataFrame, budget: int, share: float = 12.0) -> DataFrame:
+    """bursts (rec_id, start, stop, si) that show the range of severity of each recording within a budget of time (microseconds), with their place.
+
+    Bursts with a severity are taken in spread order until those taken last longer than the budget together; a burst counts with a
+    `share`-th of the budget at most, so that a long one does not stand alone.
+    """
+    ordered = bursts.where("si IS NOT NULL").withColumn("_key", spread([F.col("si"), F.col("start")], REC))
+    w = Window.partitionBy(REC).orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
+    long = F.least(F.col("stop") - F.col("start"), F.lit(int(budget / share)))
+    return ordered.withColumn("_used", F.sum(long).over(w)).withColumn("place", F.row_number().over(Window.partitionBy(REC).orderBy("_key")) - 1).where(F.col("_used") <= budget).drop("_used", "_key")

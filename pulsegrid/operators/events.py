@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,31 +72,141 @@ def sparse_events(events: DataFrame, before: int, after: int, around: int, limit
     return counted.where(few).select(*events.columns)
 
 
-def refractory(events: DataFrame, dead_time: int, strict: bool = False) -> DataFrame:
+def _edges(group: np.ndarray) -> list[int]:
+    """Where runs of equal values begin, and the length."""
+    return [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)] if len(group) else []
+
+
+class Thinning:
+    """What one time bucket does to the last time kept before it, found while its sorted events pass.
+
+    Whatever that time is, the first event kept is one of those within a dead time of the bucket's start, or the next (`firsts`).
+    From each of these a chain of kept events goes on; chains that meet are one from there on, so few are left after a while.
+    """
+
+    def __init__(self, start: int, step: int):
+        self.step, self.limit, self.closed = step, start + step, False
+        self.firsts: list[int] = []
+        self.chain: list[int] = []  # of each of the firsts
+        self.last: list[int] = []  # of each chain
+
+    def add(self, part: np.ndarray) -> None:
+        following = np.searchsorted(part, part + self.step).tolist()  # of each event the first that could be kept after it
+        n, met, joined = len(part), [-1] * len(part), list(range(len(self.last)))
+
+        def follow(i: int, chain: int) -> None:
+            at = -1
+            while i < n and met[i] < 0:
+                met[i], at, i = chain, i, following[i]
+            if i < n:
+                joined[chain] = met[i]
+            elif at >= 0:
+                self.last[chain] = int(part[at])
+
+        for chain in set(self.chain):
+            follow(int(np.searchsorted(part, self.last[chain] + self.step)), chain)
+        if not self.closed:
+            until = int(np.searchsorted(part, self.limit))
+            self.closed = until < n
+            for i in range(min(n, until + 1)):
+                joined.append(len(self.last))
+                self.firsts.append(int(part[i]))
+                self.chain.append(len(self.last))
+                self.last.append(int(part[i]))
+                follow(i, len(self.last) - 1)
+        for k, chain in enumerate(self.chain):
+            while joined[chain] != chain:
+                chain = joined[chain]
+            self.chain[k] = chain
+        kept = [k for k in range(len(self.chain)) if k + 1 == len(self.chain) or self.chain[k] != self.chain[k + 1]]
+        names = {c: i for i, c in enumerate(dict.fromkeys(self.chain[k] for k in kept))}
+        self.firsts, self.last = [self.firsts[k] for k in kept], [self.last[c] for c in names]
+        self.chain = [names[self.chain[k]] for k in kept]
+
+    def exits(self) -> list[int]:
+        return [self.last[c] for c in self.chain]
+
+
+def leaving(last: int | None, firsts: list[int], exits: list[int], step: int) -> int | None:
+    """The last time kept after a bucket, from that before it."""
+    if last is None:
+        return exits[0]
+    k = bisect_left(firsts, last + step)
+    return exits[k] if k < len(firsts) else last
+
+
+def refractory(events: DataFrame, dead_time: int, strict: bool = False, width: int | None = None) -> DataFrame:
     """(rec_id, t): the first event is kept, then each that is at least dead_time (strict: more) after the last kept.
 
-    Sorted events of a recording pass through one task, which holds a batch of them and the last time kept, however dense they are.
+    Time is cut into buckets of `width` (10,000 dead times). Each bucket's effect on the last time kept is found apart (Thinning), these
+    are composed along the recording, a short row for each bucket, and then every bucket is thinned from the time it is entered
+    with. So a recording is spread over many tasks, which hold a batch of events each.
     """
     kind, step = events.schema[REC].dataType.simpleString(), dead_time + 1 if strict else max(1, dead_time)
+    width = width or step * BUCKET
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, now, head, out = None, None, None, []
+
+        def flush() -> pa.RecordBatch:
+            heads, moves = [h for h, _ in out], [m for _, m in out]
+            longs = pa.list_(pa.int64())
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([h.column(0) for h in heads]), pa.concat_arrays([h.column(1) for h in heads]), pa.array([m.firsts for m in moves], longs), pa.array([m.exits() for m in moves], longs)], [REC, "_bucket", "firsts", "exits"])
+
+        for batch in batches:
+            t, group = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            edges = _edges(group)
+            for a, b in zip(edges, edges[1:], strict=False):
+                if group[a] != own:
+                    if now is not None:
+                        out.append((head, now))
+                    own, head = group[a], batch.slice(a, 1)
+                    now = Thinning(head.column(1)[0].as_py() * width, step)
+                now.add(t[a:b])
+            if len(out) >= 1000:
+                yield flush()
+                out = []
+        if now is not None:
+            out.append((head, now))
+        if out:
+            yield flush()
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = last = None
         for batch in batches:
-            t, group = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            keep = np.zeros(len(t), bool)
-            edges = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(t)] if len(t) else []
+            entered = []
+            for group, firsts, exits in zip(*(batch.column(c).to_pylist() for c in ("_group", "firsts", "exits")), strict=True):
+                if group != own:
+                    own, last = group, None
+                entered.append(last)
+                last = leaving(last, firsts, exits, step)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(entered, pa.int64())], [REC, "_bucket", "_last"])
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = last = None
+        for batch in batches:
+            t, group, entry = batch.column(2), batch.column(3).to_numpy(), batch.column(4)
+            keep = np.zeros(len(group), bool)
+            edges = _edges(group)
             for a, b in zip(edges, edges[1:], strict=False):
-                part = t[a:b]
-                following = np.searchsorted(part, part + step).tolist()  # of each event the first that could be kept after it
-                i = int(np.searchsorted(part, last + step)) if group[a] == own else 0
-                own = group[a]
+                if group[a] != own:  # the row of the entry comes first
+                    own, last, a = group[a], entry[a].as_py(), a + 1
+                part = t.slice(a, b - a).to_numpy()
+                following = np.searchsorted(part, part + step).tolist()
+                i = int(np.searchsorted(part, last + step)) if last is not None else 0
                 while i < len(part):
                     keep[a + i], last = True, int(part[i])
                     i = following[i]
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            yield batch.select([0, 2]).filter(pa.array(keep))
 
-    known = events.select(REC, F.col("t").cast("long").alias("t"), F.xxhash64(F.lit(1), REC).alias("_group")).where("t IS NOT NULL")
-    return known.repartition(REC).sortWithinPartitions(REC, "t").mapInArrow(run, f"{REC} {kind}, t long")
+    known = events.select(REC, F.col("t").cast("long").alias("t")).where("t IS NOT NULL").withColumn("_bucket", F.expr(f"(t - pmod(t, {width}L)) div {width}L"))
+    named = known.select(REC, "_bucket", "t", F.xxhash64(F.lit(1), REC, "_bucket").alias("_group"))
+    moves = named.repartition(REC, "_bucket").sortWithinPartitions(REC, "_bucket", "t").mapInArrow(transitions, f"{REC} {kind}, _bucket long, firsts array<long>, exits array<long>")
+    ordered = moves.withColumn("_group", F.xxhash64(F.lit(1), REC)).repartition(REC).sortWithinPartitions(REC, "_bucket")
+    entries = ordered.mapInArrow(compose, f"{REC} {kind}, _bucket long, _last long")
+    none = F.lit(None).cast("long")
+    both = named.withColumn("_last", none).unionByName(entries.select(REC, "_bucket", none.alias("t"), F.xxhash64(F.lit(1), REC, "_bucket").alias("_group"), "_last"))
+    return both.repartition(REC, "_bucket").sortWithinPartitions(REC, "_bucket", F.asc_nulls_first("t")).mapInArrow(thin, f"{REC} {kind}, t long")
 
 
 def threshold_runs(samples: DataFrame, threshold: float | Column, value: str = "v", i: str = "i") -> DataFrame:
@@ -129,10 +240,13 @@ def line_length(samples: DataFrame, order: str = "t", value: str = "v") -> DataF
 
 
 def zscore(df: DataFrame, value: str, *by: str, name: str = "z") -> DataFrame:
-    """Standardised with the population deviation of each group; null where that is 0."""
-    w = Window.partitionBy(*by)
-    sd = F.stddev_pop(value).over(w)
-    return df.withColumn(name, F.when(sd > 0, (F.col(value) - F.avg(value).over(w)) / sd))
+    """Standardised with the population deviation of each group; null where that is 0. Moments are summed before the shuffle and joined."""
+    stats = df.groupBy(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(by))).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"))
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{k}"))
+    met = df.join(stats, same, "left") if by else df.join(F.broadcast(stats))  # without groups a single row
+    return met.withColumn(name, F.when(F.col("_sd") > 0, (F.col(value) - F.col("_mean")) / F.col("_sd"))).drop("_mean", "_sd", *(f"_by{k}" for k in range(len(by))))
 
 
 def nearest(a: DataFrame, b: DataFrame, t: str = "t") -> DataFrame:
@@ -156,6 +270,25 @@ def tolerance_match(found: DataFrame, truth: DataFrame, tolerance: int) -> DataF
     return own.join(other, REC, "full").select(REC, *(F.coalesce(c, zero).alias(c) for c in ("tp", "fp", "fn")))
 
 
+def scored_match(clean: DataFrame, dirty: DataFrame, truth: DataFrame, windows: DataFrame, tolerance: int) -> DataFrame:
+    """(rec_id, tp, fp, tn, fn) within the disjoint windows (rec_id, start, stop) that someone has looked through, of every recording that has one.
+
+    Of the events kept (clean) and those rejected (dirty), each in a window counts: as tp or fn if a true event of the same window lies
+    strictly within tolerance, else as fp or tn. Windows include both ends.
+    """
+    looked = truth.select(REC, "t")
+    seen = contain_join(looked, windows).select(F.struct(REC, "start").alias(REC), "t")
+
+    def judged(events: DataFrame, hit: str, miss: str) -> DataFrame:
+        own = contain_join(events.select(REC, "t"), windows).select(F.struct(REC, "start").alias(REC), "t")
+        near = F.coalesce((F.abs("dt") < tolerance).cast("long"), F.lit(0))
+        return nearest(own, seen).groupBy(F.col(f"{REC}.{REC}").alias(REC)).agg(F.sum(near).alias(hit), F.sum(1 - near).alias(miss))
+
+    every = windows.select(REC).distinct()
+    both = every.join(judged(clean, "tp", "fp"), REC, "left").join(judged(dirty, "fn", "tn"), REC, "left")
+    return both.select(REC, *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("tp", "fp", "tn", "fn")))
+
+
 def next_after(a: DataFrame, b: DataFrame) -> DataFrame:
     """a with next_t, the first time of b strictly after t."""
     left = a.select(REC, F.col("t").alias("_t"), F.struct(*a.columns).alias("_e"))

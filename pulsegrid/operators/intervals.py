@@ -99,21 +99,32 @@ def insert_predators(states: DataFrame, predators: DataFrame, label: str, min_du
     return named.groupBy(REC, "_key", "state").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select(REC, "start", "stop", "state")
 
 
+#: An interval of more buckets than this is dealt to coarse ones, each as long as so many buckets.
+COARSE = 1024
+
+
 def overlap_join(a: DataFrame, b: DataFrame, width: int, closed: bool = False) -> DataFrame:
     """Pairs of overlapping intervals, b's columns prefixed with b_; closed: touching ones too.
 
     Each interval is dealt to the time buckets of `width` that it meets and pairs meet within a bucket, so a recording is spread
-    over many tasks; a pair is kept in the first bucket that both reach only.
+    over many tasks; a pair is kept in the first bucket that both reach only. Long intervals (of more than COARSE buckets) are dealt to
+    coarse buckets, where they meet short and long ones under keys of their own; short ones never meet one another there.
     """
+    coarse = width * COARSE
 
-    def dealt(df: DataFrame) -> DataFrame:
-        return df.withColumn("_bucket", F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"stop div {width}"))))
+    def dealt(df: DataFrame, start: str, stop: str, as_long: int, as_short: int) -> DataFrame:
+        first, last = F.expr(f"{start} div {width}"), F.expr(f"{stop} div {width}")
+        wide = F.sequence(F.expr(f"{start} div {coarse}"), F.expr(f"{stop} div {coarse}"))
+        key = lambda mode: lambda n: F.struct(F.lit(mode).alias("mode"), n.alias("n"))
+        long = F.concat(F.transform(wide, key(as_long)), F.transform(wide, key(3)))
+        short = F.concat(F.transform(F.sequence(first, F.when(last - first <= COARSE, last).otherwise(first)), key(0)), F.transform(wide, key(as_short)))
+        return df.withColumn("_bucket", F.explode(F.when(last - first > COARSE, long).otherwise(short)))
 
     b_ = b.select(*(F.col(c).alias(c if c == REC else f"b_{c}") for c in b.columns))
-    right = b_.withColumn("_bucket", F.explode(F.sequence(F.expr(f"b_start div {width}"), F.expr(f"b_stop div {width}"))))
     meet = (F.col("start") <= F.col("b_stop")) & (F.col("b_start") <= F.col("stop")) if closed else (F.col("start") < F.col("b_stop")) & (F.col("b_start") < F.col("stop"))
-    once = F.col("_bucket") == F.greatest(F.expr(f"start div {width}"), F.expr(f"b_start div {width}"))
-    return dealt(a).join(right, [REC, "_bucket"]).where(meet & once).drop("_bucket")
+    begin = lambda size: F.greatest(F.expr(f"start div {size}"), F.expr(f"b_start div {size}"))
+    once = F.col("_bucket.n") == F.when(F.col("_bucket.mode") == 0, begin(width)).otherwise(begin(coarse))
+    return dealt(a, "start", "stop", 1, 2).join(dealt(b_, "b_start", "b_stop", 2, 1), [REC, "_bucket"]).where(meet & once).drop("_bucket")
 
 
 def assign(events: DataFrame, intervals: DataFrame, keep: Iterable[str] = (), t: str = "t") -> DataFrame:

@@ -9,7 +9,39 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import SECOND
 from pulsegrid.operators.bursts import burstiness, project
 from pulsegrid.operators.events import with_isi
-from pulsegrid.operators.intervals import REC
+from pulsegrid.operators.intervals import REC, overlap_join
+
+
+def region_vectors(regions: DataFrame, names: list[str], norm: str = "zscore") -> DataFrame:
+    """regions with v, their features `names` as a vector: standardised over all regions (zscore), of length 1 (L2), or as they are (none).
+
+    A feature that does not vary is 0, a vector of length 0 stays; a missing feature is an error of the caller and gives a null in v.
+    """
+    raw = F.array(*(F.col(n).cast("double") for n in names))
+    if norm == "none":
+        return regions.withColumn("v", raw)
+    if norm == "L2":
+        length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+        return regions.withColumn("v", raw).withColumn("v", F.when(length > 0, F.transform("v", lambda x: x / length)).otherwise(F.col("v")))
+    if norm != "zscore":
+        raise ValueError(f"unknown norm: {norm}")
+    stats = regions.agg(*(f(n).alias(f"_{k}{i}") for i, n in enumerate(names) for k, f in (("m", F.avg), ("s", F.stddev_pop))))  # a single row
+    scaled = F.array(*(F.when(F.col(f"_s{i}") > 0, (F.col(n) - F.col(f"_m{i}")) / F.col(f"_s{i}")).otherwise(F.when(F.col(n).isNotNull(), 0.0)) for i, n in enumerate(names)))
+    return regions.join(F.broadcast(stats)).select(*regions.columns, scaled.alias("v"))
+
+
+def region_categories(regions: DataFrame, labelled: DataFrame, label: str, width: int) -> DataFrame:
+    """regions (rec_id, start, stop, ...) with `label` of the labelled interval that covers most of each, and how much (overlap).
+
+    Intervals that only touch a region count with an overlap of 0; of equal ones the earlier, then the smaller label is taken. Regions
+    without any have a null label. Pairs meet by buckets of `width`.
+    """
+    own = regions.select(REC, "start", "stop").distinct()
+    met = overlap_join(own, labelled.select(REC, "start", "stop", label), width, closed=True)
+    shared = F.least("stop", "b_stop") - F.greatest("start", "b_start")
+    best = met.groupBy(F.col(REC).alias("_rec"), F.col("start").alias("_a"), F.col("stop").alias("_z")).agg(F.min(F.struct((-shared).alias("o"), F.col("b_start"), F.col(f"b_{label}").alias("l"))).alias("_b"))
+    same = F.col(REC).eqNullSafe(F.col("_rec")) & (F.col("start") == F.col("_a")) & (F.col("stop") == F.col("_z"))
+    return regions.join(best, same, "left").select(*regions.columns, F.col("_b.l").alias(label), (-F.col("_b.o")).alias("overlap"))
 
 
 def mean_vectors(vectors: DataFrame, label: str, vector: str = "v") -> DataFrame:
@@ -146,11 +178,12 @@ def initial_map(vectors: DataFrame, columns: int, rows: int, vector: str = "v")
 def percentiles(df: DataFrame, value: str, by: list[str], shares: list[float]) -> DataFrame:
     """(by, p array<double>): exact percentiles of a number, interpolated, of each group; nulls are left out.
 
-    Values are counted in cells, 64 for each doubling of their size, before the shuffle. Only those of the cells that hold a wanted
-    rank are then sorted, so no group meets in one row, and no large one in one task unless its values hardly differ.
+    Values are counted in cells, 64 for each doubling of their size, before the shuffle; infinities have cells of their own. Of the cells
+    that hold a wanted rank equal values are counted, and only different ones are then sorted, so neither a group nor a value that is
+    very frequent meets in one task. Between two infinities of one sign, or at one, nothing is interpolated.
     """
     x = F.col(value).cast("double")
-    size = F.floor(F.log2(F.abs(x)) * 64) + (1 << 20)
+    size = F.when(F.abs(x) == float("inf"), F.lit(1 << 30)).otherwise(F.floor(F.log2(F.abs(x)) * 64) + (1 << 20))
     cell = F.when(x > 0, size).when(x < 0, -size).otherwise(F.lit(0)).cast("long")
     known = df.where(x.isNotNull() & ~F.isnan(x)).select(*by, x.alias("_x"), cell.alias("_cell"))
     counts = known.groupBy(*by, "_cell").agg(F.count("*").alias("_n"))
@@ -165,12 +198,15 @@ def percentiles(df: DataFrame, value: str, by: list[str], shares: list[float]) -
     same = F.col("_cell") == F.col("_in")
     for c, n in zip(by, names, strict=True):
         same = same & F.col(c).eqNullSafe(F.col(n))
-    placed = known.join(wanted, same).withColumn("_rank", F.col("_below") + F.row_number().over(Window.partitionBy(*by, "_cell").orderBy("_x")) - 1)
-    found = placed.where(F.array_contains("_ranks", F.col("_rank")))
+    alike = known.join(wanted, same).groupBy(*by, "_cell", "_x").agg(F.count("*").alias("_n"), *(F.first(c).alias(c) for c in ("_below", "_ranks", "_at")))
+    last = F.col("_below") + F.sum("_n").over(Window.partitionBy(*by, "_cell").orderBy("_x"))
+    found = alike.withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("_n"))
 
     def between(k: int) -> Column:
-        lower, upper = (F.max(F.when(F.col("_rank") == F.get("_ranks", F.lit(2 * k + j)), F.col("_x"))) for j in (0, 1))
-        return lower + (upper - lower) * F.max(F.get("_at", F.lit(k)) - F.get("_ranks", F.lit(2 * k)))
+        holds = lambda j: (F.get("_ranks", F.lit(2 * k + j)) >= F.col("_first")) & (F.get("_ranks", F.lit(2 * k + j)) < F.col("_last"))
+        lower, upper = (F.max(F.when(holds(j), F.col("_x"))) for j in (0, 1))
+        part = F.max(F.get("_at", F.lit(k)) - F.get("_ranks", F.lit(2 * k)))
+        return F.when((lower == upper) | (part == 0), lower).otherwise(lower + (upper - lower) * part)
 
     return found.groupBy(*by).agg(F.array(*(between(k) for k in range(len(shares)))).alias("p"))
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.intervals import REC
+from pulsegrid.sources.scratch import kept
 
 
 def to_chunks(samples: DataFrame, length: int, sr: float) -> DataFrame:
@@ -283,32 +284,178 @@ def cusum_alarms(x: np.ndarray, threshold: float, drift: float) -> list[Alarm]:
     return out
 
 
-def change_points(values: DataFrame, by: list[str], order: str, value: str, threshold: float = 1.5, drift: float = 0.1) -> DataFrame:
-    """(by, order) of the alarms on the standardised values of each group; a group with a missing value has none.
+#: Rounds in which blocks of a series are worked out apart; series that have not settled by then pass through one task.
+ROUNDS = 6
 
-    Sorted values of a group pass through one task, which holds a batch of them, the value before and both sums.
+
+def cusum(x: list[float], state: tuple[float | None, float, float, int, int], threshold: float, drift: float) -> tuple[list[int], list[int], tuple]:
+    """(alarms, starts, state) of both sums of changes over x, from the state: value before, sums up and down, and how long each has been above 0.
+
+    A sum that would be negative is 0 again; an alarm sets both to 0. The start of an alarm is the last place at which its sum was 0 (the
+    upper one's if both are over the threshold), counted from the beginning of x, so that it may be negative.
     """
-    kinds = ", ".join(f"{c} {values.schema[c].dataType.simpleString()}" for c in [*by, order])
+    before, up, down, up_at, down_at = state
+    up_at, down_at = -up_at, -down_at
+    alarms, starts = [], []
+    for i, v in enumerate(x):
+        if before is None:
+            before, up_at, down_at = v, i, i
+        s, before = v - before, v
+        up, down = up + s - drift, down - s - drift
+        if up <= 0:
+            up, up_at = 0.0, i
+        if down <= 0:
+            down, down_at = 0.0, i
+        if up > threshold or down > threshold:
+            alarms.append(i)
+            starts.append(up_at if up > threshold else down_at)
+            up, down, up_at, down_at = 0.0, 0.0, i, i
+    return alarms, starts, (before, up, down, len(x) - up_at, len(x) - down_at)
+
+
+def change_points(values: DataFrame, by: list[str], order: str, value: str, threshold: float = 1.5, drift: float = 0.1, backwards: bool = False) -> DataFrame:
+    """(by, order, start) of the alarms on the standardised values of each group, and where each change began; a group with a missing value has none.
+
+    A series is dealt by ranges of (group, order) and cut into blocks. All blocks are worked out at once, from empty sums at first;
+    then again those that the block before leaves another state to, until none does. Sums return to 0 again and again, so this takes
+    few rounds; groups that have not settled after ROUNDS pass through one task, block by block. The arithmetic is that of one
+    pass over the series. With `backwards` series are read from their end, so `start` is where a change ended.
+    """
+    kinds = [f"`{c}` {values.schema[c].dataType.simpleString()}" for c in by]
+    of_order = values.schema[order].dataType.simpleString()
     x = F.col(value).cast("double")
     stats = values.groupBy(*(F.col(c).alias(f"_{i}") for i, c in enumerate(by))).agg(F.avg(x).alias("_a"), F.stddev_pop(x).alias("_sd"), F.count_if(x.isNull()).alias("_none"))
-    joined = values.join(stats, functools.reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by))))
-    scaled = joined.where("_none = 0 AND _sd > 0 AND NOT isnan(_sd)").select(*by, order, ((x - F.col("_a")) / F.col("_sd")).alias("_x"))
+    same = lambda names: functools.reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names, strict=True)))
+    joined = values.join(stats, same([f"_{i}" for i in range(len(by))]))
+    scaled = joined.where("_none = 0 AND _sd > 0 AND NOT isnan(_sd)").select(*by, F.col(order).alias("_at"), ((x - F.col("_a")) / F.col("_sd")).alias("_x"))
+    along = F.desc_nulls_first("_at") if backwards else F.asc_nulls_last("_at")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, before, up, down = None, None, 0.0, 0.0
+        part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
-            alarms = []
-            for *key, v in zip(*(batch.column(c).to_pylist() for c in [*by, "_x"]), strict=True):
-                if before is None or key != own:
-                    own, before, up, down = key, v, 0.0, 0.0
-                s, before = v - before, v
-                up, down = max(0.0, up + s - drift), max(0.0, down - s - drift)
-                alarms.append(up > threshold or down > threshold)
-                if alarms[-1]:
-                    up = down = 0.0
-            yield batch.select([*by, order]).filter(pa.array(alarms, pa.bool_()))
-
-    return scaled.repartition(*by).sortWithinPartitions(*by, F.asc_nulls_last(order)).mapInArrow(run, kinds)
+            edges = run_edges(batch, len(by))
+            sizes = pa.array(edges, pa.int32())
+            heads = [batch.column(k).take(pa.array(edges[:-1])) for k in range(len(by))]
+            lists = [pa.ListArray.from_arrays(sizes, batch.column(k)) for k in (len(by), len(by) + 1)]
+            place = [pa.array([part] * (len(edges) - 1), pa.int32()), pa.array(range(seq, seq + len(edges) - 1), pa.int32())]
+            seq += len(edges) - 1
+            yield pa.RecordBatch.from_arrays([*heads, *place, *lists], [*by, "part", "seq", "ats", "xs"])
+
+    dealt = scaled.repartitionByRange(*by, along).sortWithinPartitions(*by, along)
+    blocks = kept(dealt.mapInArrow(pack, ", ".join([*kinds, "part int, seq int", f"ats array<{of_order}>, xs array<double>"])), "series")
+    state = "before double, up double, down double, up_at long, down_at long"
+    empty = F.struct(F.lit(None).cast("double").alias("before"), F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.lit(1).cast("long").alias("up_at"), F.lit(1).cast("long").alias("down_at"))
+    made = f"part int, seq int, entry struct<{state}>, leave struct<{state}>, alarms array<int>, starts array<long>"
+    fields = pa.struct([("before", pa.float64()), ("up", pa.float64()), ("down", pa.float64()), ("up_at", pa.int64()), ("down_at", pa.int64())])
+
+    def worked(rows: list[tuple]) -> pa.RecordBatch:
+        """Of (part, seq, entry, leave, alarms, starts)."""
+        part, seq, entry, leave, alarms, starts = zip(*rows, strict=True)
+        names = [f.name for f in fields]
+        told = [pa.array([dict(zip(names, s, strict=True)) for s in states], fields) for states in (entry, leave)]
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(seq, pa.int32()), *told, pa.array(alarms, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int64()))], ["part", "seq", "entry", "leave", "alarms", "starts"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for part, seq, entry, xs in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "entry", "xs")), strict=True):
+                entry = tuple(entry.values())
+                alarms, starts, leave = cusum(xs, entry, threshold, drift)
+                rows.append((part, seq, entry, leave, alarms, starts))
+            if rows:
+                yield worked(rows)
+
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, now = None, None
+        for batch in batches:
+            rows = []
+            for *key, part, seq, xs in zip(*(batch.column(c).to_pylist() for c in [*by, "part", "seq", "xs"]), strict=True):
+                entry = now if key == own else (None, 0.0, 0.0, 0, 0)
+                alarms, starts, now = cusum(xs, entry, threshold, drift)
+                own = key
+                rows.append((part, seq, entry, now, alarms, starts))
+            if rows:
+                yield worked(rows)
+
+    w = Window.partitionBy(*by).orderBy("part", "seq")
+    places = blocks.select(*by, "part", "seq", F.element_at("xs", -1).alias("_end"))
+    first = places.withColumn("entry", F.struct(F.lag("_end").over(w).alias("before"), *(empty[f.name].alias(f.name) for f in list(fields)[1:])))
+
+    def again(entries: DataFrame) -> DataFrame:
+        told = entries.select(F.col("part").alias("_part"), F.col("seq").alias("_seq"), "entry")
+        return blocks.join(told, (F.col("part") == F.col("_part")) & (F.col("seq") == F.col("_seq"))).select("part", "seq", "entry", "xs").mapInArrow(each, made)
+
+    done, found = kept(again(first), "cusum"), None
+    for _ in range(ROUNDS):
+        along_series = places.drop("_end").join(done, ["part", "seq"]).withColumn("_left", F.lag("leave").over(w))
+        found = kept(along_series.where(F.col("_left").isNotNull() & (F.col("_left") != F.col("entry"))).select(*by, "part", "seq", F.col("_left").alias("entry")), "changed")
+        if not found.limit(1).count():
+            break
+        rest = done.join(found.select("part", "seq"), ["part", "seq"], "left_anti")
+        done = kept(rest.unionByName(again(found)), "cusum")
+    else:
+        names = found.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(by))).distinct()
+        slow = blocks.join(names, same([f"_{i}" for i in range(len(by))]), "left_semi").repartition(*by).sortWithinPartitions(*by, "part", "seq")
+        redone = kept(slow.select(*by, "part", "seq", "xs").mapInArrow(through, made), "cusum")
+        done = done.join(redone.select("part", "seq"), ["part", "seq"], "left_anti").unionByName(redone)
+    told = done.where(F.size("alarms") > 0).select("part", "seq", F.explode(F.arrays_zip("alarms", "starts")).alias("_a"))
+    met = blocks.select(*by, "part", "seq", "ats").join(told, ["part", "seq"])
+    lines = met.select(*by, F.get("ats", F.col("_a.alarms")).alias(order), "part", "seq", F.col("_a.starts").alias("_start"), F.when(F.col("_a.starts") >= 0, F.get("ats", F.col("_a.starts").cast("int"))).alias("start"))
+    return _earlier_starts(lines, blocks, by)
+
+
+def run_edges(batch: pa.RecordBatch, columns: int) -> list[int]:
+    """Where runs of rows begin that agree in the first columns, and the number of rows."""
+    if not batch.num_rows:
+        return [0]
+    new = np.zeros(batch.num_rows, bool)
+    for k in range(columns):
+        codes = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+
+
+def _earlier_starts(lines: DataFrame, blocks: DataFrame, by: list[str]) -> DataFrame:
+    """lines (by, order, part, seq, _start, start) with starts that lie in a block before, `_start` places back from the block's first, looked up there."""
+    w = Window.partitionBy(*by).orderBy("part", "seq")
+    base = blocks.select(*by, "part", "seq", "ats", F.size("ats").cast("long").alias("_n"))
+    based = base.withColumn("_base", F.sum("_n").over(w) - F.col("_n")).drop("_n")
+    names = [c for c in lines.columns if c not in ("part", "seq", "_start")]
+    at = based.select("part", "seq", "_base")
+    far = lines.where("_start < 0").join(at, ["part", "seq"]).withColumn("_want", F.col("_base") + F.col("_start"))
+    key = [F.col(c).alias(f"_{i}") for i, c in enumerate(by)]
+    held = based.select(*key, "ats", F.col("_base").alias("_from"))
+    same = functools.reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by)))
+    met = far.join(held, same & (F.col("_want") >= F.col("_from")) & (F.col("_want") < F.col("_from") + F.size("ats")))
+    return lines.where("_start >= 0").select(*names).unionByName(met.withColumn("start", F.get("ats", (F.col("_want") - F.col("_from")).cast("int"))).select(*names))
+
+
+def changes(values: DataFrame, by: list[str], order: str, value: str, threshold: float = 1.5, drift: float = 0.1) -> DataFrame:
+    """(by, start, alarm, stop, amp) of the changes in each group's standardised values: where they began, were noticed and ended, and by how much value rose.
+
+    Alarms of one start are one change, noticed at the first of them. A change ends at the first point from its alarm on at which a change of
+    the series read backwards began, at the latest where the next change starts, or else at the group's last point. Alarms are few, and
+    only they meet by group.
+    """
+    forth = change_points(values, by, order, value, threshold, drift).groupBy(*by, "start").agg(F.min(order).alias("alarm"))
+    back = change_points(values, by, order, value, threshold, drift, backwards=True).select(*by, F.col("start").alias("end")).distinct()
+    ended = F.col("end").isNotNull()
+    rows = forth.withColumn("end", F.lit(None).cast(forth.schema["alarm"].dataType)).unionByName(back, allowMissingColumns=True).withColumn("_at", F.coalesce("end", "alarm")).withColumn("_side", ended.cast("int"))
+    later = Window.partitionBy(*by).orderBy("_at", "_side")
+    after = F.first("end", ignorenulls=True).over(later.rowsBetween(0, Window.unboundedFollowing))
+    following = F.first(F.when(~ended, F.col("start")), ignorenulls=True).over(later.rowsBetween(1, Window.unboundedFollowing))
+    met = rows.select("*", after.alias("_end"), following.alias("_next")).where("end IS NULL")
+    name = lambda c: F.col(c).alias(f"_{by.index(c)}")
+    same = functools.reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by)))
+    points = values.select(*map(name, by), F.col(order).alias("_order"), F.col(value).cast("double").alias("_value"))
+    last = points.groupBy(*(f"_{i}" for i in range(len(by)))).agg(F.max("_order").alias("_last"))
+    whole = met.join(last, same).drop(*(f"_{i}" for i in range(len(by))))
+    found = whole.select(*by, "start", "alarm", F.coalesce(F.least("_end", "_next"), "_last").alias("stop"))
+    ends = found.join(points.select(*(f"_{i}" for i in range(len(by))), "_order", F.col("_value").alias("_to")), same & (F.col("_order") == F.col("stop"))).select(*by, "start", "alarm", "stop", "_to")
+    begins = ends.join(points, same & (F.col("_order") == F.col("start")))
+    return begins.select(*by, "start", "alarm", "stop", (F.col("_to") - F.col("_value")).alias("amp"))
 
 
 def fourier_resample(x: np.ndarray, size: int) -> np.ndarray:

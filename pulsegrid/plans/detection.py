@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import SECOND
 from pulsegrid.operators import events as E
 from pulsegrid.operators import intervals as I
+from pulsegrid.operators import runs as R
 from pulsegrid.operators import signal as G
 from pulsegrid.operators.intervals import REC
 
@@ -137,6 +138,18 @@ def loud_stretches(samples: DataFrame, sr: float, window: float = 1.0, high: flo
     return runs.where((F.col("_h") - 1 > high_time * sr) & (length >= low_time * sr) & rare).select(REC, "first", "last")
 
 
+def chunked_saturation_points(chunks: DataFrame, sr: float, stump_time: float = 0.008, tooth_time: float = 0.03, stump_width: float = 1e-3, tooth_bend: float = 1e-2, limit: float = 5.0) -> DataFrame:
+    """saturation_points of chunks: runs are found chunk by chunk, and only the samples of runs become rows."""
+    inside = R.samples_of(chunks, R.beyond(chunks, limit))
+    runs = inside.select(REC, F.col("side").alias("_side"), F.col("first").alias("_run"), "i", F.col("i").alias("_i"), "v")
+    return _points_of_runs(runs, int(stump_time * sr), int(tooth_time * sr), stump_width, tooth_bend, "i")
+
+
+def chunked_masks(chunks: DataFrame, sr: float, stretch_margin: int = 3 * SECOND, point_margin: int = 2 * SECOND, min_distance: int = 100 * SECOND, loud: dict | None = None, saturated: dict | None = None) -> DataFrame:
+    """suggested_masks of chunks."""
+    return _fused(R.loud_stretches(chunks, sr, **(loud or {})), chunked_saturation_points(chunks, sr, **(saturated or {})), sr, stretch_margin, point_margin, min_distance)
+
+
 def saturation_points(samples: DataFrame, sr: float, stump_time: float = 0.008, tooth_time: float = 0.03, stump_width: float = 1e-3, tooth_bend: float = 1e-2, limit: float = 5.0, order: str = "i") -> DataFrame:
     """(rec_id, i, kind): in long runs beyond limit deviations, the largest sample of those that are flat (stump) or straight (tooth).
 
@@ -149,7 +162,13 @@ def saturation_points(samples: DataFrame, sr: float, stump_time: float = 0.008,
     side = F.when(F.col("z") >= limit, 1).when(F.col("z") <= -limit, -1)
     sided = z.withColumn("_side", side).withColumn("_i", F.row_number().over(w)).where("_side IS NOT NULL")
     of_side = Window.partitionBy(REC, "_side").orderBy("_i")
-    runs = sided.withColumn("_run", F.col("_i") - F.row_number().over(of_side)).withColumn("_x", F.abs("v"))
+    runs = sided.withColumn("_run", F.col("_i") - F.row_number().over(of_side))
+    return _points_of_runs(runs, stump, tooth, stump_width, tooth_bend, order)
+
+
+def _points_of_runs(runs: DataFrame, stump: int, tooth: int, stump_width: float, tooth_bend: float, order: str) -> DataFrame:
+    """(rec_id, order, kind) of samples (rec_id, _side, _run, _i, order, v) of runs, of which the last is the border."""
+    runs = runs.withColumn("_x", F.abs("v"))
     run = Window.partitionBy(REC, "_side", "_run")
     inside = runs.withColumn("_n", F.count("*").over(run)).withColumn("_place", F.row_number().over(run.orderBy("_i")))
     inside = inside.where(F.col("_place") < F.col("_n"))  # the last sample of a run is its border
@@ -176,14 +195,17 @@ def detect(chunks: DataFrame, width: int = 128, low: float = 4.0, high: float =
     at = (F.col("i") * SECOND / F.col("_sr")).cast("long").alias("t")
     bands = padded(G.band_power(chunks, width, low, high, scope=scope), rate.select(REC, "n"), width)
     spectral, _ = spectral_events(bands.join(rate, REC).select(REC, at, "v"), dead_time, threshold=threshold, standardised=True)
-    samples = G.to_samples(chunks).join(rate, REC).select(REC, at, "v")
-    by_size = amplitude_events(samples, spectral, margin, dead_time, limit, polarity)
+    by_size = R.amplitude_events(chunks, spectral, margin, dead_time, limit, polarity)
     return spectral.withColumn("kind", F.lit("spectral")).unionByName(by_size.withColumn("kind", F.lit("amp")))
 
 
 def suggested_masks(samples: DataFrame, sr: float, stretch_margin: int = 3 * SECOND, point_margin: int = 2 * SECOND, min_distance: int = 100 * SECOND, loud: dict | None = None, saturated: dict | None = None) -> DataFrame:
     """(rec_id, start, stop) in microseconds of samples (rec_id, i, v): loud stretches and saturation points with their margins, fused."""
+    return _fused(loud_stretches(samples, sr, **(loud or {})), saturation_points(samples, sr, **(saturated or {})), sr, stretch_margin, point_margin, min_distance)
+
+
+def _fused(stretches: DataFrame, points: DataFrame, sr: float, stretch_margin: int, point_margin: int, min_distance: int) -> DataFrame:
     step = SECOND / sr
-    stretches = loud_stretches(samples, sr, **(loud or {})).select(REC, (F.col("first") * step).cast("long").alias("start"), (F.col("last") * step).cast("long").alias("stop"))
-    points = saturation_points(samples, sr, **(saturated or {})).select(REC, (F.col("i") * step).cast("long").alias("t"))
+    stretches = stretches.select(REC, (F.col("first") * step).cast("long").alias("start"), (F.col("last") * step).cast("long").alias("stop"))
+    points = points.select(REC, (F.col("i") * step).cast("long").alias("t"))
     return I.fuse_masks(stretches, points, stretch_margin, point_margin, min_distance)

@@ -1,6 +1,6 @@
 """Events told apart by waveform: aligned snippets, principal components, clusters by a mixture of Gaussians, noise and doublets.
 
-Models are fitted by Spark on the sparse events of all recordings given (filter to one recording for a model of its own).
+Models are fitted on the sparse events of all recordings together, or, with `each`, for every recording by itself, all at once.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import events as E
+from pulsegrid.operators import mixtures as X
 from pulsegrid.operators import signal as G
 from pulsegrid.operators.intervals import REC
 from pulsegrid.operators.maps import mean_vectors
@@ -63,21 +64,26 @@ def label(snips: DataFrame, model: PipelineModel, order: DataFrame) -> DataFrame
 
 
 def sort_events(
-    snips: DataFrame, limits: dict, noise: tuple[int, ...] = (5,), doublet: int = 45, components: int = 3, clusters: int = 5, seed: int = 1, rounds: int = 3
+    snips: DataFrame, limits: dict, noise: tuple[int, ...] = (5,), doublet: int = 45, components: int = 3, clusters: int = 5, seed: int = 1, rounds: int = 3, each: bool = False
 ) -> DataFrame:
     """(rec_id, i, center, label, is_noise, is_doublet, is_clean) of all events of snips.
 
     limits are the arguments of sparse_events, in samples. In each round the model learns from events that are sparse once the noise
     found so far is left out; rounds end when noise (the last cluster) no longer grows. Events that are not sparse are projected by
-    the model but never judged as noise. Doublets are told by their centres; border events join none.
+    the model but never judged as noise. Doublets are told by their centres; border events join none. With `each` a recording has a
+    model of its own (operators.mixtures); one with fewer different events than clusters has fewer clusters.
     """
     points = snips.select(REC, F.col("i").alias("t"))
     removed, last = points.limit(0), 0
     for _ in range(rounds):
         rest = points.join(removed, [REC, "t"], "left_anti")
         sparse = E.sparse_events(rest, **limits).unionByName(removed).withColumnRenamed("t", "i")
-        model, order = fit_clusters(snips.join(sparse, [REC, "i"], "left_semi"), components, clusters, seed)
-        labelled = label(snips, model, order).join(sparse.withColumn("_sparse", F.lit(True)), [REC, "i"], "left")
+        few = snips.join(sparse, [REC, "i"], "left_semi")
+        if each:
+            named = X.by_height(X.clusters(snips, X.fit(few, [(components, clusters)], seed=seed))).drop("cluster")
+        else:
+            named = label(snips, *fit_clusters(few, components, clusters, seed))
+        labelled = named.join(sparse.withColumn("_sparse", F.lit(True)), [REC, "i"], "left")
         removed = labelled.where((F.col("label") == clusters) & F.col("_sparse")).select(REC, F.col("i").alias("t"))
         if (n := removed.count()) <= last:
             break

@@ -6,6 +6,7 @@ events are hours here, so the usual seconds are scaled by 7,200.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,10 +17,16 @@ from pulsegrid.operators import bursts as B
 from pulsegrid.operators import events as E
 from pulsegrid.operators import intervals as I
 from pulsegrid.operators import maps as M
+from pulsegrid.operators import mixtures as X
+from pulsegrid.operators import pieces as P
+from pulsegrid.operators import runs as R
 from pulsegrid.operators import signal as G
 from pulsegrid.plans import detection as D
 from pulsegrid.plans import sorting as W
 from pulsegrid.plans import states as S
+from pulsegrid.plans.protocol import Protocol, Stage
+from pulsegrid.sources import documents, scratch, stages
+from pulsegrid.streaming import stateful as T
 
 HOUR = 3600 * SECOND
 GAP, MERGE, DEAD = 18_000 * SECOND, 25_200 * SECOND, 12_000 * SECOND
@@ -325,7 +332,7 @@ def centered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cusum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.change_points(_indexed(train(spark, sf_dir)), ["rec_id"], "i", "v", 4.0, 0.5)
+    return G.change_points(_indexed(train(spark, sf_dir)), ["rec_id"], "i", "v", 4.0, 0.5).select("rec_id", "i")
 
 
 def window_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -426,13 +433,14 @@ def state_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of one kind, widened, stand for states."""
     ev = train(spark, sf_dir)
     wide = _runs(ev).withColumn("state", F.when(F.col("state") == "error", "postUp").when(F.col("state") == "click", "preUp").otherwise("IIP"))
-    return M.proximity(I.interval_union(wide.where("state = 'preUp'")).withColumn("state", F.lit("preUp")), ev.select("rec_id", "t")).select("rec_id", "start", "stop", "near", "far")
+    found = M.proximity(I.interval_union(wide.where("state = 'preUp'")).withColumn("state", F.lit("preUp")), ev.select("rec_id", "t"))
+    return found.select("rec_id", "start", "stop", "near", "far", F.round("proxdist", 6).alias("proxdist"))
 
 
 def flank_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples by place, so that they are evenly spaced; the signal itself stands for the smoothed one."""
+    """Samples by place, so that they are evenly spaced; each counts as an event, and the signal itself stands for the smoothed one."""
     z = E.zscore(_indexed(train(spark, sf_dir)), "v", "rec_id").select("rec_id", F.col("i").alias("t"), (-F.col("z")).alias("v")).where("v IS NOT NULL")
-    return E.flank_events(z.where("t % 2 = 0").select("rec_id", "t"), z, z, 1.0, 2.5, 6, 8, 1, 1000)
+    return E.flank_events(z.select("rec_id", "t"), z, z, 1.0, 2.5, 6, 8, 1, 1000)
 
 
 def suggested_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -441,6 +449,189 @@ def suggested_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.suggested_masks(_indexed(train(spark, sf_dir)), 1.0, 2 * SECOND, SECOND, 3 * SECOND, loud, saturated)
 
 
+def chunked_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.loud_stretches(_chunks(spark, sf_dir), 1.0, 4.0, 1.2, 0.3, 0.5, 2.0, 0.0)
+
+
+def chunked_saturation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.chunked_saturation_points(_chunks(spark, sf_dir), 1.0, 1.0, 3.0, 5.0, 5.0, 0.5)
+
+
+def chunked_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loud = {"window": 4.0, "high": 1.2, "low": 0.3, "high_time": 0.5, "low_time": 2.0, "crossing": 0.0}
+    saturated = {"stump_time": 1.0, "tooth_time": 3.0, "stump_width": 5.0, "tooth_bend": 5.0, "limit": 0.5}
+    return D.chunked_masks(_chunks(spark, sf_dir), 1.0, 2 * SECOND, SECOND, 3 * SECOND, loud, saturated)
+
+
+def chunked_amplitude_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples stand for evenly spaced ones, a second apart; events are those of kind error."""
+    ev = train(spark, sf_dir)
+    placed = ev.withColumn("i", F.row_number().over(Window.partitionBy("rec_id").orderBy("t")) - 1).where("kind = 'error'")
+    return R.amplitude_events(_chunks(spark, sf_dir), placed.select("rec_id", (F.col("i") * SECOND).alias("t")), SECOND, 3 * SECOND, 1.0, "pos")
+
+
+def signal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.at_or_above(_chunks(spark, sf_dir), 20.0)
+
+
+def change_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = G.changes(_indexed(train(spark, sf_dir)), ["rec_id"], "i", "v", 2.0, 0.3)
+    return found.select("rec_id", "start", "alarm", "stop", F.round("amp", 6).alias("amp"))
+
+
+STATE_OF = {"view": "IIP", "click": "IIP", "purchase": "preUp", "signup": "postUp", "error": "art"}
+STATES = S.StateParams(first_buffer=60 * HOUR, last_buffer=80 * HOUR, quiet=30 * HOUR, least_iip=20 * HOUR, medium=(2,), medium_share=0.3, bucket=WIDTH)
+
+
+def _contiguous(ev: DataFrame) -> DataFrame:
+    """Runs of events of one kind stand for states, each until the next begins, the last until the last event."""
+    order = Window.partitionBy("rec_id").orderBy("start")
+    runs = E.merge_equal_runs(ev, "kind").select("rec_id", "start", "stop", F.coalesce(*(F.when(F.col("kind") == k, s) for k, s in STATE_OF.items())).alias("state"))
+    return runs.withColumn("stop", F.coalesce(F.lead("start").over(order), "stop")).where("stop > start").select("rec_id", "start", "stop", "state")
+
+
+def state_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.merge_states(S.with_integrity(_contiguous(train(spark, sf_dir))))
+
+
+def state_voids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.nibble(_contiguous(train(spark, sf_dir)), STATES).select("rec_id", "start", "stop", "state")
+
+
+def state_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = train(spark, sf_dir)
+    return S.validate_increases(S.with_integrity(_contiguous(ev)), ev, STATES)
+
+
+def state_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = train(spark, sf_dir)
+    made = E.bursts(ev, GAP, MERGE).withColumn("rank", F.when(F.col("b_n") >= 3, 2))
+    return S.join_dense(S.merge_states(S.with_integrity(_contiguous(ev))), made, STATES)
+
+
+def gmm_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label stand for a recording's waveforms: the best of a grid of mixtures for each, and how many vectors fall to its clusters."""
+    snips = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").alias("rec_id"), F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("v"))
+    fits = X.fit(snips, [(2, 2), (3, 3), (3, 5)])
+    chosen = X.best(fits)
+    told = X.by_height(X.clusters(snips, fits, chosen)).groupBy("rec_id", "label").agg(F.count("*").alias("n"))
+    return told.join(chosen.select("rec_id", "components", F.col("clusters").alias("k")), "rec_id").select("rec_id", "components", "k", "label", "n")
+
+
+def scored_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks found and views rejected, against purchases, within bursts."""
+    ev = train(spark, sf_dir)
+    of = lambda k: ev.where(F.col("kind") == k).select("rec_id", "t")
+    return E.scored_match(of("click"), of("view"), of("purchase"), E.bursts(ev, GAP, MERGE), 4 * HOUR)
+
+
+def region_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts as regions: features of length 1, and the kind of the run of equal events that covers most."""
+    ev = train(spark, sf_dir)
+    regions = E.bursts(ev, GAP, MERGE).withColumn("hours", (F.col("stop") - F.col("start")) / HOUR)
+    vectors = M.region_vectors(regions, ["b_n", "hours"], "L2").select("rec_id", "start", "stop", F.transform("v", lambda x: F.round(x, 9)).alias("v"))
+    return M.region_categories(vectors, _runs(ev), "state", WIDTH).select("rec_id", "start", "stop", F.get("v", F.lit(0)).alias("v0"), F.get("v", F.lit(1)).alias("v1"), "state", "overlap")
+
+
+def representative_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts of all kinds of length, the number of events being their severity, for at most forty hours a recording."""
+    made = E.bursts(train(spark, sf_dir), GAP, MERGE).withColumn("si", F.col("b_n").cast("double"))
+    return B.representatives(made, 40 * HOUR).select("rec_id", "start", "stop", "place")
+
+
+def _longest(batches):
+    """Rows and the longest interval of a piece."""
+    import pyarrow as pa
+
+    n, last, longest = 0, None, 0
+    for b in batches:
+        for t in b.column("t").to_pylist():
+            longest = max(longest, t - last) if last is not None else 0
+            n, last = n + 1, t
+    yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "longest": pa.array([longest], pa.int64())})
+
+
+def piece_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = train(spark, sf_dir)
+    return P.over_pieces(ev.select("rec_id", "t"), masks(ev), I.bounds_of(ev), _longest, "n long, longest long")
+
+
+CUT = (1_704_600_000_000_000, 1_705_300_000_000_000)
+
+
+def stage_cutout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stages are written, and a time is cut from them: how many events, masks and bursts of each recording lie there."""
+    ev, folder = train(spark, sf_dir), scratch.path(spark, "stages")
+    for stage, table in (("events", ev.select("rec_id", "t")), ("masks", I.interval_union(masks(ev))), ("bursts", E.bursts(ev, GAP, MERGE))):
+        stages.write_stage(table, folder, stage, span=24 * HOUR)
+    parts = [t.select("rec_id", F.lit(stage).alias("stage")) for stage, t in stages.cutouts(spark, folder, *CUT).items()]
+    return functools.reduce(DataFrame.unionByName, parts).groupBy("rec_id", "stage").agg(F.count("*").alias("n"))
+
+
+def _protocol(folder: str) -> Protocol:
+    return Protocol(
+        [
+            Stage("thin", lambda t, p: E.refractory(t["events"].select(F.col("user_id").alias("rec_id"), micros(F.col("ts")).alias("t")), p["dead_time"]), ("events",), {"dead_time": DEAD}),
+            Stage("bursts", lambda t, p: E.bursts(t["thin"], p["max_gap"], p["merge_limit"]), ("thin",), {"max_gap": GAP, "merge_limit": MERGE}),
+        ],
+        folder,
+    )
+
+
+def protocol_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stages over all recordings, run as a protocol and read from its folder."""
+    protocol = _protocol(scratch.path(spark, "protocol"))
+    return protocol.run(spark, {"events": f"{sf_dir}/events.parquet"})["bursts"]
+
+
+def diagnostics_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document of diagnostics for each recording is written; what they hold, read back."""
+    ev, folder = train(spark, sf_dir), scratch.path(spark, "documents")
+    made = M.diagnostics(ev, E.bursts(ev, GAP, MERGE), I.analyzed_duration(I.bounds_of(ev), masks(ev)))
+    own = made.select("rec_id", F.struct("n_events", F.round("rate", 9).alias("rate")).alias("events"), F.struct("n_bursts", F.round("tfrac_bursts", 9).alias("tfrac")).alias("bursts"))
+    documents.register(spark)
+    own.coalesce(8).write.format("documents").option("key", "rec_id").mode("append").save(folder)
+    back = spark.read.schema(own.schema).json(folder, multiLine=True)
+    return back.select("rec_id", "events.n_events", "events.rate", "bursts.n_bursts", "bursts.tfrac")
+
+
+def classified_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts against a codebook of four nodes over their number of events and duration."""
+    made = B.burst_features(ev := train(spark, sf_dir), E.bursts(ev, GAP, MERGE), ["b_n", "dur"])
+    book = spark.createDataFrame([(k, [k - 1.5, 1.0 - k], k // 2, 1 - k / 3) for k in range(4)], "node_id int, w array<double>, clust int, si double")
+    variables = [{"name": n, "pos": i, "is_log": n == "dur", "mean": m, "std": s, "factor": 1.0} for i, (n, m, s) in enumerate((("b_n", 3.0, 2.0), ("dur", 4.5, 0.4)))]
+    return B.classify(made, book, variables, 3).select("rec_id", "start", "b_n", "bmu", "rank", F.round("si", 6).alias("si"))
+
+
+def severe_within_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = E.bursts(train(spark, sf_dir), GAP, MERGE).withColumn("si", F.col("b_n").cast("double"))
+    return B.severity_order(made, 72 * HOUR).select("rec_id", "start", "stop")
+
+
+def spectral_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values stand for power: thinned peaks whose next value exceeds half a deviation."""
+    return D.spectral_events(train(spark, sf_dir).select("rec_id", "t", "v"), DEAD, threshold=0.5)[0]
+
+
+def detected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of both kinds in the signal of evenly spaced samples, a second apart."""
+    return D.detect(_chunks(spark, sf_dir), 16, 0.1, 0.4, 2 * SECOND, SECOND, 1.5, "pos", threshold=0.5)
+
+
+def stream_thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream that ends: those kept, as far as the watermark of two days has passed them."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    files = spark.read.parquet(f"{sf_dir}/events.parquet")
+    whole = any(name.endswith("/events.parquet") for name in files.inputFiles())  # a stream reads a folder: the table's own, or that of its one file
+    reader = spark.readStream.schema(files.schema)
+    source = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if whole else reader.parquet(f"{sf_dir}/events.parquet")
+    events = source.select(F.col("user_id").alias("rec_id"), F.col("ts").cast("timestamp").alias("ts"))
+    out, at = scratch.path(spark, "thinned"), scratch.path(spark, "stream")
+    kept = T.thinned(events, DEAD, "2 days", keep=60 * 24 * HOUR, span=24 * HOUR)
+    kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(kept.schema).parquet(out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -451,7 +642,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         severe_periods, state_segments, chosen_threshold, refractory_counts, amplitude_events, loud_stretches, saturation_points,
         spectrogram_power, band_power, fourier_resample, smoothed, centered, cusum, window_plan, node_distances, node_severity, node_clusters, trained_map, gmm_sort,
         waveform_features, burst_isi_peak, severe_in_states, severe_by_node, masked_samples, burst_neighbours, double_detections, box_counts, full_diagnostics,
-        category_rates_all, state_proximity, flank_events, suggested_masks,
+        category_rates_all, state_proximity, flank_events, suggested_masks, chunked_stretches, chunked_saturation, chunked_masks,
+        chunked_amplitude_events, signal_runs, change_spans, gmm_each, scored_match, region_matrix, representative_bursts, piece_intervals,
+        stage_cutout, protocol_bursts, diagnostics_documents, classified_bursts, severe_within_budget, spectral_peaks, detected_events, stream_thinned,
+        state_integrity, state_voids, state_validation, state_density,
     )
 }
 
@@ -510,6 +704,44 @@ def _free(name: str, least: int, margin: int) -> str:
 _SPECTRA = f"""{_INDEXED}, wave AS (SELECT j, k, 0.5 - 0.5 * cos(2 * pi() * j / 15) AS w, cos(2 * pi() * j * k / 16) AS c, sin(2 * pi() * j * k / 16) AS s FROM range(16) a(j), range(2, 7) b(k)),
 spectra AS (SELECT a.rec_id, a.i, k AS bin, (pow(sum(b.v * w * c), 2) + pow(sum(b.v * w * s), 2)) / 16 AS power FROM ix a JOIN wave ON true JOIN ix b ON b.rec_id = a.rec_id AND b.i = a.i + j GROUP BY a.rec_id, a.i, k HAVING count(*) = 16)"""
 
+
+
+def _alarms(name: str, index: str, threshold: float, drift: float) -> str:
+    """Alarms of zc (rec_id, i, n, z) read in the order of `index`: (rec_id, seen, start), counted in that order."""
+    return f"""{name}_s AS (SELECT rec_id, {index} AS i, z - lag(z) OVER (PARTITION BY rec_id ORDER BY {index}) AS s FROM zc),
+{name}_k AS (SELECT rec_id, i, 0.0::DOUBLE AS up, 0.0::DOUBLE AS dn, i AS ua, i AS da, false AS alarm, i AS st FROM {name}_s WHERE i = 0
+UNION ALL SELECT rec_id, i, CASE WHEN al THEN 0 ELSE u END, CASE WHEN al THEN 0 ELSE d END, CASE WHEN al THEN i ELSE ua END, CASE WHEN al THEN i ELSE da END, al, CASE WHEN u > {threshold} THEN ua ELSE da END
+FROM (SELECT rec_id, i, greatest(u, 0) AS u, greatest(d, 0) AS d, CASE WHEN u <= 0 THEN i ELSE ua END AS ua, CASE WHEN d <= 0 THEN i ELSE da END AS da, u > {threshold} OR d > {threshold} AS al
+FROM (SELECT s.rec_id, s.i, k.up + s - {drift} AS u, k.dn - s - {drift} AS d, k.ua, k.da FROM {name}_k k JOIN {name}_s s ON s.rec_id = k.rec_id AND s.i = k.i + 1))),
+{name} AS (SELECT rec_id, i AS seen, st AS start FROM {name}_k WHERE alarm)"""
+
+
+_STATES = f"""st_a AS (SELECT rec_id, t, kind, CASE WHEN kind = lag(kind) OVER (PARTITION BY rec_id ORDER BY t) THEN 0 ELSE 1 END AS brk FROM ev), st_b AS (SELECT *, sum(brk) OVER (PARTITION BY rec_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM st_a),
+st_c AS (SELECT rec_id, CASE kind {' '.join(f"WHEN '{k}' THEN '{x}'" for k, x in STATE_OF.items())} END AS state, min(t) AS start, max(t) AS last FROM st_b GROUP BY rec_id, kind, g),
+st AS (SELECT * FROM (SELECT rec_id, start, coalesce(lead(start) OVER (PARTITION BY rec_id ORDER BY start), last) AS stop, state FROM st_c) WHERE stop > start),
+sound AS (SELECT rec_id, start, stop, state, CASE WHEN state NOT IN ('void', 'art') THEN coalesce(lag(state) OVER w NOT IN ('void', 'art'), false) END AS begins,
+CASE WHEN state NOT IN ('void', 'art') THEN coalesce(lead(state) OVER w NOT IN ('void', 'art') OR (state = 'depr' AND lead(state) OVER w = 'void'), false) END AS ends FROM st WINDOW w AS (PARTITION BY rec_id ORDER BY start, stop))"""
+
+
+def _merged(name: str, source: str, only: str = "true") -> str:
+    """Neighbours of one state in `source` as one."""
+    return f"""{name}_a AS (SELECT *, CASE WHEN state = lag(state) OVER w AND {only} THEN 0 ELSE 1 END AS brk FROM {source} WINDOW w AS (PARTITION BY rec_id ORDER BY start, stop)),
+{name}_b AS (SELECT *, sum(brk) OVER (PARTITION BY rec_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS g FROM {name}_a),
+{name} AS (SELECT rec_id, min(start) AS start, max(stop) AS stop, state, arg_min_null(begins, start) AS begins, arg_max_null(ends, start) AS ends FROM {name}_b GROUP BY rec_id, state, g)"""
+
+
+def _void_end(name: str, source: str, side: str, buffer: int) -> str:
+    rule = {k: ", ".join(f"'{x}'" for x in v) for k, v in S.ENDS[side].items()}
+    span = (
+        f"min(start) OVER r AS lo, least(min(start) OVER r + {buffer}, min(CASE WHEN state IN ({rule['protected']}) THEN start END) OVER r) AS hi"
+        if side == "start"
+        else f"greatest(max(stop) OVER r - {buffer}, max(CASE WHEN state IN ({rule['protected']}) THEN stop END) OVER r) AS lo, max(stop) OVER r AS hi"
+    )
+    return f"""{name}_m AS (SELECT *, start < hi AND stop > lo AS met FROM (SELECT rec_id, start, stop, state, {span} FROM {source} WINDOW r AS (PARTITION BY rec_id))),
+{name} AS (SELECT * FROM (SELECT rec_id, start, least(stop, lo) AS stop, state FROM {name}_m WHERE met AND state IN ({rule['cut']}) UNION ALL SELECT rec_id, greatest(start, lo), least(stop, hi), 'void' FROM {name}_m WHERE met AND state IN ({rule['cut']})
+UNION ALL SELECT rec_id, greatest(start, hi), stop, state FROM {name}_m WHERE met AND state IN ({rule['cut']}) UNION ALL SELECT rec_id, start, stop, CASE WHEN met AND state IN ({rule['whole']}) THEN 'void' ELSE state END FROM {name}_m WHERE NOT (met AND state IN ({rule['cut']}))) WHERE stop > start)"""
+
+
 _LOUD = """lo_a AS (SELECT rec_id, i, v, sqrt(sum(v * v) OVER (PARTITION BY rec_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4) AS rms FROM ix),
 lo_b AS (SELECT *, (rms - avg(rms) OVER w) / nullif(stddev_pop(rms) OVER w, 0) AS z FROM lo_a WINDOW w AS (PARTITION BY rec_id)),
 lo_c AS (SELECT rec_id, i, coalesce(z >= 1.2, false) AS high, i - row_number() OVER (PARTITION BY rec_id ORDER BY i) AS run FROM lo_b WHERE z >= 0.3),
@@ -554,7 +786,8 @@ FROM analysed a LEFT JOIN e USING (rec_id) LEFT JOIN x USING (rec_id) LEFT JOIN
     "category_rates_all": f"""WITH {_EV}, {_BOUNDS}, {_MASKS}, {_BURSTS}, {_NAMED}, {_duration(0)}, a AS (SELECT rec_id, cname FROM named UNION ALL SELECT rec_id, 'discharges' FROM ev)
 SELECT rec_id, cname, count(*) AS n, round(count(*) / (nullif(dur, 0) / 1e6), 9) AS rate FROM a JOIN analysed USING (rec_id) GROUP BY rec_id, cname, dur""",
     "state_proximity": f"""WITH {_EV}, {_RUNS}, s AS (SELECT rec_id, start, stop FROM runs WHERE state = 'click')
-SELECT s.rec_id, start, stop, count(*) FILTER (2 * t > start + stop) AS near, count(*) FILTER (2 * t < start + stop) AS far FROM s JOIN ev ON ev.rec_id = s.rec_id AND t BETWEEN start AND stop GROUP BY ALL""",
+SELECT s.rec_id, start, stop, count(*) FILTER (2 * t > start + stop) AS near, count(*) FILTER (2 * t < start + stop) AS far,
+round(CASE WHEN far = 0 THEN 'inf'::DOUBLE ELSE near / far END, 6) AS proxdist FROM s JOIN ev ON ev.rec_id = s.rec_id AND t BETWEEN start AND stop GROUP BY s.rec_id, start, stop""",
     "refractory_counts": f"""WITH RECURSIVE {_EV}, {_PEAKS}, o AS (SELECT rec_id, th, t, row_number() OVER (PARTITION BY rec_id, th ORDER BY t) AS i FROM (SELECT rec_id, (10 * x)::DOUBLE AS th, t FROM peaks, range(10) r(x) WHERE v > 10 * x)),
 k AS (SELECT rec_id, th, t, i, t AS last FROM o WHERE i = 1 UNION ALL SELECT o.rec_id, o.th, o.t, o.i, CASE WHEN o.t - k.last >= {DEAD} THEN o.t ELSE k.last END FROM k JOIN o ON o.rec_id = k.rec_id AND o.th = k.th AND o.i = k.i + 1),
 n AS (SELECT rec_id, th, count(*) AS n FROM k WHERE t = last GROUP BY rec_id, th) SELECT r.rec_id, (10 * x)::DOUBLE AS threshold, coalesce(n, 0) AS n FROM (SELECT DISTINCT rec_id FROM peaks) r CROSS JOIN range(10) y(x) LEFT JOIN n ON n.rec_id = r.rec_id AND th = 10 * x""",
@@ -566,6 +799,73 @@ greatest(CASE WHEN k.alarm THEN 0 ELSE k.up END + s, CASE WHEN k.alarm THEN 0 EL
     "saturation_points": f"""WITH {_EV}, {_INDEXED}, {_SATURATED} SELECT rec_id, i, kind FROM saturated""",
     "suggested_masks": f"""WITH {_EV}, {_INDEXED}, {_LOUD}, {_SATURATED}, both_ AS (SELECT rec_id, first * 1000000 - 2000000 AS start, last * 1000000 + 2000000 AS stop FROM loud UNION ALL SELECT rec_id, i * 1000000 - 1000000, i * 1000000 + 1000000 FROM saturated),
 {_union("fused", "both_", 3 * SECOND)} SELECT rec_id, start, stop FROM fused""",
+    "chunked_amplitude_events": f"""WITH {_EV}, {_INDEXED}, xs AS (SELECT rec_id, i * {SECOND} AS t, v FROM ix),
+er AS (SELECT rec_id, i * {SECOND} AS t FROM (SELECT rec_id, kind, row_number() OVER (PARTITION BY rec_id ORDER BY t) - 1 AS i FROM ev) WHERE kind = 'error'),
+p AS (SELECT x.rec_id, x.t, x.v, (SELECT max(er.t) FROM er WHERE er.rec_id = x.rec_id AND er.t <= x.t) AS b, (SELECT min(er.t) FROM er WHERE er.rec_id = x.rec_id AND er.t >= x.t) AS a FROM xs x),
+f AS (SELECT * FROM p WHERE (a IS NULL AND b IS NULL) OR (t - b > {SECOND} AND a - t > {SECOND})),
+z AS (SELECT *, (v - avg(v) OVER r) / nullif(stddev_pop(v) OVER r, 0) AS z, CASE WHEN b IS NOT DISTINCT FROM lag(b) OVER w THEN coalesce(t - lag(t) OVER w, 0) ELSE 0 END AS spent FROM f WINDOW r AS (PARTITION BY rec_id), w AS (PARTITION BY rec_id ORDER BY t)),
+k AS (SELECT *, sum(spent) OVER (PARTITION BY rec_id ORDER BY t) AS clock FROM z), h AS (SELECT rec_id, t, clock - lag(clock) OVER (PARTITION BY rec_id ORDER BY t) AS gap FROM k WHERE z > 1.0)
+SELECT rec_id, t FROM h WHERE gap IS NULL OR gap > {3 * SECOND}""",
+    "scored_match": f"""WITH {_EV}, {_BURSTS}, w AS (SELECT e.rec_id, e.t, e.kind, b.start FROM bursts b JOIN ev e ON e.rec_id = b.rec_id AND e.t BETWEEN b.start AND b.stop),
+j AS (SELECT a.rec_id, a.kind, EXISTS (SELECT 1 FROM w x WHERE x.rec_id = a.rec_id AND x.start = a.start AND x.kind = 'purchase' AND abs(x.t - a.t) < {4 * HOUR}) AS near FROM w a WHERE a.kind IN ('click', 'view'))
+SELECT r.rec_id, count(*) FILTER (kind = 'click' AND near) AS tp, count(*) FILTER (kind = 'click' AND NOT near) AS fp, count(*) FILTER (kind = 'view' AND NOT near) AS tn, count(*) FILTER (kind = 'view' AND near) AS fn
+FROM (SELECT DISTINCT rec_id FROM bursts) r LEFT JOIN j USING (rec_id) GROUP BY r.rec_id""",
+    "region_matrix": f"""WITH {_EV}, {_BURSTS}, {_RUNS}, f AS (SELECT *, (stop - start) / {HOUR}::DOUBLE AS h FROM bursts),
+m AS (SELECT f.rec_id, f.start, r.state, least(f.stop, r.stop) - greatest(f.start, r.start) AS overlap, row_number() OVER (PARTITION BY f.rec_id, f.start ORDER BY least(f.stop, r.stop) - greatest(f.start, r.start) DESC, r.start, r.state) AS k
+FROM f JOIN runs r ON r.rec_id = f.rec_id AND r.start <= f.stop AND f.start <= r.stop)
+SELECT f.rec_id, f.start, f.stop, round(b_n / sqrt(b_n * b_n + h * h), 9) AS v0, round(h / sqrt(b_n * b_n + h * h), 9) AS v1, state, overlap FROM f LEFT JOIN m ON m.rec_id = f.rec_id AND m.start = f.start AND k = 1""",
+    "representative_bursts": f"""WITH {_EV}, {_BURSTS}, r AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY b_n, start) - 1 AS r, count(*) OVER (PARTITION BY rec_id) - 1 AS z FROM bursts),
+k AS (SELECT *, reverse(lpad(bin(r), length(bin(z))::INT, '0')) AS key FROM r),
+u AS (SELECT *, sum(least(stop - start, {40 * HOUR // 12})) OVER (PARTITION BY rec_id ORDER BY key) AS used, row_number() OVER (PARTITION BY rec_id ORDER BY key) - 1 AS place FROM k)
+SELECT rec_id, start, stop, place FROM u WHERE used <= {40 * HOUR}""",
+    "piece_intervals": f"""WITH {_EV}, {_BOUNDS}, {_MASKS}, edge AS (SELECT rec_id, start, stop FROM mu UNION ALL SELECT rec_id, hi, hi FROM bounds),
+gap AS (SELECT e.rec_id, greatest(coalesce(lag(least(e.stop, hi)) OVER (PARTITION BY e.rec_id ORDER BY e.start, e.stop), lo), lo) AS start, least(e.start, hi) AS stop FROM edge e JOIN bounds USING (rec_id)),
+free AS (SELECT * FROM gap WHERE stop > start),
+held AS (SELECT f.*, t, t - lag(t) OVER (PARTITION BY f.rec_id, f.start ORDER BY t) AS isi FROM free f JOIN ev ON ev.rec_id = f.rec_id AND t BETWEEN f.start AND f.stop)
+SELECT rec_id, start, stop, count(*) AS n, coalesce(max(isi), 0) AS longest FROM held GROUP BY rec_id, start, stop""",
+    "stage_cutout": f"""WITH {_EV}, {_BURSTS}, {_MASKS}, every_ AS (SELECT rec_id, 'events' AS stage FROM ev WHERE t BETWEEN {CUT[0]} AND {CUT[1]}
+UNION ALL SELECT rec_id, 'masks' FROM mu WHERE start <= {CUT[1]} AND stop >= {CUT[0]} UNION ALL SELECT rec_id, 'bursts' FROM bursts WHERE start < {CUT[1]} AND stop > {CUT[0]})
+SELECT rec_id, stage, count(*) AS n FROM every_ GROUP BY ALL""",
+    "protocol_bursts": f"""WITH RECURSIVE whole AS (SELECT user_id AS rec_id, epoch_us(ts) AS t FROM events), o AS (SELECT rec_id, t, row_number() OVER (PARTITION BY rec_id ORDER BY t) AS i FROM whole),
+k AS (SELECT rec_id, t, i, t AS last FROM o WHERE i = 1 UNION ALL SELECT o.rec_id, o.t, o.i, CASE WHEN o.t - k.last >= {DEAD} THEN o.t ELSE k.last END FROM k JOIN o ON o.rec_id = k.rec_id AND o.i = k.i + 1), ev AS (SELECT rec_id, t FROM k WHERE t = last), {_BURSTS} SELECT rec_id, start, stop, b_n FROM bursts""",
+    "stream_thinned": f"""WITH RECURSIVE {_EV}, o AS (SELECT rec_id, t, row_number() OVER (PARTITION BY rec_id ORDER BY t) AS i FROM ev),
+k AS (SELECT rec_id, t, i, t AS last FROM o WHERE i = 1 UNION ALL SELECT o.rec_id, o.t, o.i, CASE WHEN o.t - k.last >= {DEAD} THEN o.t ELSE k.last END FROM k JOIN o ON o.rec_id = k.rec_id AND o.i = k.i + 1), w AS (SELECT max(t) // 1000 * 1000 - {48 * HOUR} AS w FROM ev) SELECT rec_id, t FROM k, w WHERE t = last AND t < w""",
+    "classified_bursts": f"""WITH {_EV}, {_BURSTS}, x AS (SELECT rec_id, start, b_n, (b_n - 3.0) / 2.0 AS a, (CASE WHEN stop > start THEN log10((stop - start) / 1e6) ELSE 1e-5 END - 4.5) / 0.4 AS b FROM bursts),
+d AS (SELECT *, k, row_number() OVER (PARTITION BY rec_id, start ORDER BY (a - (k - 1.5)) ** 2 + (b - (1.0 - k)) ** 2, k) AS place FROM x, range(4) n(k))
+SELECT rec_id, start, b_n, CASE WHEN b_n >= 3 THEN k END AS bmu, CASE WHEN b_n >= 3 THEN k // 2 END AS rank, CASE WHEN b_n >= 3 THEN round(1 - k / 3.0::DOUBLE, 6) END AS si FROM d WHERE place = 1""",
+    "severe_within_budget": f"""WITH {_EV}, {_BURSTS}, u AS (SELECT *, sum(stop - start) OVER (PARTITION BY rec_id ORDER BY b_n DESC, start) AS used FROM bursts) SELECT rec_id, start, stop FROM u WHERE used <= {72 * HOUR}""",
+    "spectral_peaks": f"""WITH RECURSIVE {_EV}, z AS (SELECT rec_id, t, (v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0) AS z FROM ev WINDOW w AS (PARTITION BY rec_id)),
+n AS (SELECT *, lag(z) OVER w AS p, lead(z) OVER w AS q, max(z) OVER (PARTITION BY rec_id) AS top, row_number() OVER w AS i FROM z WHERE z IS NOT NULL WINDOW w AS (PARTITION BY rec_id ORDER BY t)),
+flat AS (SELECT rec_id, t, i - row_number() OVER (PARTITION BY rec_id ORDER BY i) AS g FROM n WHERE z = top),
+centre AS (SELECT rec_id, list(t ORDER BY t)[(count(*) - 1) // 2 + 1] AS t FROM flat GROUP BY rec_id, g HAVING count(*) > 1),
+peak AS (SELECT rec_id, t FROM n WHERE p < z AND z > q AND q > 0.5 UNION ALL SELECT rec_id, t FROM centre), o AS (SELECT rec_id, t, row_number() OVER (PARTITION BY rec_id ORDER BY t) AS i FROM peak),
+k AS (SELECT rec_id, t, i, t AS last FROM o WHERE i = 1 UNION ALL SELECT o.rec_id, o.t, o.i, CASE WHEN o.t - k.last >= {DEAD} THEN o.t ELSE k.last END FROM k JOIN o ON o.rec_id = k.rec_id AND o.i = k.i + 1) SELECT rec_id, t FROM k WHERE t = last""",
+    "flank_events": f"""WITH {_EV}, {_INDEXED}, z AS (SELECT rec_id, i AS t, -(v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0) AS v FROM ix WINDOW w AS (PARTITION BY rec_id)), zz AS (SELECT * FROM z WHERE v IS NOT NULL),
+low AS (SELECT rec_id, t, t - row_number() OVER (PARTITION BY rec_id ORDER BY t) AS g FROM zz WHERE v <= -1.0), run AS (SELECT rec_id, min(t) AS a, max(t) AS z FROM low GROUP BY rec_id, g),
+snip AS (SELECT rec_id, a - 6 AS start, z + 8 AS stop FROM run r WHERE NOT EXISTS (SELECT 1 FROM zz p WHERE p.rec_id = r.rec_id AND p.v >= 2.5 AND p.t BETWEEN r.a - 12 AND r.z + 15)),
+near_ AS (SELECT rec_id, t, v, lag(v) OVER w AS p, lead(v) OVER w AS q FROM zz WINDOW w AS (PARTITION BY rec_id ORDER BY t)), low_at AS (SELECT s.rec_id, s.start, s.stop, n.t AS b FROM snip s JOIN near_ n ON n.rec_id = s.rec_id AND n.p > n.v AND n.q > n.v AND n.t > s.start AND n.t < s.stop),
+best AS (SELECT s.rec_id, s.start, s.stop, e.t, b, row_number() OVER (PARTITION BY s.rec_id, s.start, s.stop, e.t ORDER BY abs(e.t - b), b) AS k FROM snip s JOIN zz e ON e.rec_id = s.rec_id AND e.t BETWEEN s.start AND s.stop JOIN low_at l ON l.rec_id = s.rec_id AND l.start = s.start AND l.stop = s.stop),
+placed AS (SELECT *, row_number() OVER (PARTITION BY rec_id, start, stop, b ORDER BY abs(t - b), t) AS place FROM best WHERE k = 1)
+SELECT DISTINCT rec_id, t FROM placed WHERE place > 1 AND stop - t > 0.8 AND t - start > 0.6""",
+    "state_integrity": f"""WITH {_EV}, {_STATES}, {_merged('made', 'sound')} SELECT * FROM made""",
+    "state_voids": f"""WITH {_EV}, {_STATES}, {_void_end('va', 'st', 'start', STATES.first_buffer)}, {_void_end('vb', 'va', 'stop', STATES.last_buffer)},
+n AS (SELECT *, coalesce(lag(state) OVER w = 'art', false) OR coalesce(lead(state) OVER w = 'art', false) AS beside FROM vb WINDOW w AS (PARTITION BY rec_id ORDER BY start, stop))
+SELECT rec_id, start, stop, CASE WHEN beside AND (state IN ('postUp', 'preUp', 'depr', 'dense') OR (state = 'IIP' AND stop - start < {STATES.quiet})) THEN 'void' ELSE state END AS state FROM n""",
+    "state_validation": f"""WITH {_EV}, {_STATES}, c AS (SELECT s.*, (SELECT count(*) FROM ev WHERE ev.rec_id = s.rec_id AND t >= s.start AND (t < s.stop OR (t = s.stop AND NOT EXISTS (SELECT 1 FROM st n WHERE n.rec_id = s.rec_id AND n.start = s.stop)))) AS n FROM sound s),
+d AS (SELECT *, coalesce(sum(CASE WHEN state = 'IIP' THEN stop - start END) OVER r, 0) AS total, coalesce(sum(CASE WHEN state = 'IIP' THEN n END) OVER r, 0) AS k FROM c WINDOW r AS (PARTITION BY rec_id)),
+e AS (SELECT *, total < {STATES.least_iip} AND state IN ('preUp', 'postUp', 'IIP') AS lost FROM d)
+SELECT rec_id, start, stop, CASE WHEN lost THEN 'void' WHEN state IN ('preUp', 'postUp') AND n * total <= k * (stop - start) THEN 'IIP' ELSE state END AS state, CASE WHEN NOT lost THEN begins END AS begins, CASE WHEN NOT lost THEN ends END AS ends FROM e""",
+    "state_density": f"""WITH {_EV}, {_BURSTS}, {_STATES}, {_merged('made', 'sound')},
+f AS (SELECT m.*, coalesce((SELECT sum(b.stop - b.start) FROM bursts b WHERE b.rec_id = m.rec_id AND b.b_n >= 3 AND m.state = 'IIP' AND b.start < m.stop AND b.stop > m.start) > {STATES.medium_share} * (m.stop - m.start), false) AS whole FROM made m),
+g AS (SELECT * REPLACE (CASE WHEN whole OR ((coalesce(lag(whole) OVER w, false) OR coalesce(lead(whole) OVER w, false)) AND state IN ('preUp', 'postUp')) THEN 'Mdense' ELSE state END AS state) FROM f WINDOW w AS (PARTITION BY rec_id ORDER BY start, stop)),
+{_merged('dense', 'g', "state = 'Mdense'")} SELECT * FROM dense""",
+    "change_spans": f"""WITH RECURSIVE {_EV}, {_INDEXED}, zc AS (SELECT rec_id, i, v, count(*) OVER w AS n, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS z FROM ix WINDOW w AS (PARTITION BY rec_id) QUALIFY stddev_pop(v) OVER w > 0),
+{_alarms("fo", "i", 2.0, 0.3)}, {_alarms("ba", "n - 1 - i", 2.0, 0.3)},
+forth AS (SELECT rec_id, start, min(seen) AS alarm FROM fo GROUP BY rec_id, start),
+ends AS (SELECT DISTINCT b.rec_id, n.n - 1 - b.start AS e FROM ba b JOIN (SELECT DISTINCT rec_id, n FROM zc) n USING (rec_id)),
+spans AS (SELECT f.*, lead(start) OVER (PARTITION BY rec_id ORDER BY alarm) AS nxt, (SELECT min(e) FROM ends WHERE ends.rec_id = f.rec_id AND e >= f.alarm) AS e, (SELECT max(i) FROM zc WHERE zc.rec_id = f.rec_id) AS z FROM forth f),
+closed AS (SELECT rec_id, start, alarm, coalesce(least(e, nxt), z) AS stop FROM spans)
+SELECT c.rec_id, c.start, c.alarm, c.stop, round(b.v - a.v, 6) AS amp FROM closed c JOIN zc a ON a.rec_id = c.rec_id AND a.i = c.start JOIN zc b ON b.rec_id = c.rec_id AND b.i = c.stop""",
     "smoothed": f"""WITH {_EV}, {_INDEXED}, n AS (SELECT rec_id, max(i) AS z FROM ix GROUP BY rec_id), kernel AS (SELECT * FROM (VALUES (-2, -3.0 / 35), (-1, 12.0 / 35), (0, 17.0 / 35), (1, 12.0 / 35), (2, -3.0 / 35)) t(j, w)),
 p AS (SELECT ix.rec_id, i, w, i + j AS at, CASE WHEN i + j < 0 THEN -(i + j) WHEN i + j > z THEN 2 * z - i - j ELSE i + j END AS src, CASE WHEN i + j < 0 THEN 0 WHEN i + j > z THEN z END AS edge FROM ix JOIN n USING (rec_id), kernel)
 SELECT p.rec_id, p.i, round(sum(w::DOUBLE * CASE WHEN edge IS NULL THEN a.v ELSE 2 * b.v - a.v END), 6) AS v FROM p JOIN ix a ON a.rec_id = p.rec_id AND a.i = src LEFT JOIN ix b ON b.rec_id = p.rec_id AND b.i = edge GROUP BY p.rec_id, p.i""",
@@ -687,3 +987,5 @@ d AS (SELECT x, y, sqrt(sum((a.w - b.w) * (a.w - b.w))) AS d FROM edges JOIN boo
     "node_severity": f"""WITH {_VEC}, d AS (SELECT a.node_id, sqrt(sum((a.w - b.w) * (a.w - b.w))) AS d FROM book a JOIN book b ON b.pos = a.pos AND b.node_id = 0 GROUP BY a.node_id)
 SELECT node_id, round(1 - d / (SELECT max(d) FROM d), 6) AS si FROM d""",
 }
+ORACLES["diagnostics_documents"] = f"SELECT rec_id, n_events, round(rate, 9) AS rate, n_bursts, round(tfrac_bursts, 9) AS tfrac FROM ({ORACLES['diagnostics']})"
+ORACLES |= {new: ORACLES[old] for new, old in (("chunked_stretches", "loud_stretches"), ("chunked_saturation", "saturation_points"), ("chunked_masks", "suggested_masks"), ("signal_runs", "runs_above_threshold"))}

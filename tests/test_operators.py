@@ -1,5 +1,8 @@
 """Small literal cases, with the results worked out by hand."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +111,48 @@ def test_analysis_of_one_recording(spark):
 def test_severity(spark):
     book = spark.createDataFrame([(0, [0.0, 0.0]), (1, [3.0, 4.0]), (2, [0.0, 2.5])], "node_id int, w array<double>")
     assert {r.node_id: r.si for r in M.severity(book, 0).collect()} == {0: 1.0, 1: 0.0, 2: 0.5}
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_overlaps_of_very_long_intervals(spark, monkeypatch, closed):
+    """Short and long intervals, each pair once; one of 31 years does not become millions of entries."""
+    monkeypatch.setattr(I, "COARSE", 4)
+    rng = random.Random(closed)
+    make = lambda n: [("r", s, s + rng.choice([0, 3, 9, 40, 41, 300, 2000])) for s in (rng.randrange(3000) for _ in range(n))]
+    a, b = make(80), make(80)
+    frame = lambda rows: spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], "rec_id string, start long, stop long, k long")
+    got = sorted((r.k, r.b_k) for r in I.overlap_join(frame(a), frame(b), 10, closed).collect())
+    assert got == sorted((i, j) for i, (_, s, e) in enumerate(a) for j, (_, x, y) in enumerate(b) if (s <= y and x <= e if closed else s < y and x < e))
+    monkeypatch.undo()
+    years = frame([("r", 0, 31 * 365 * 86_400_000_000)])
+    assert I.overlap_join(years, frame([("r", 5 * 10**14, 5 * 10**14 + 10), ("r", -20, -10)]), 60_000_000, closed).count() == 1
+
+
+def test_codebooks_of_many_nodes_in_parts(spark, monkeypatch):
+    rng = random.Random(3)
+    book = [(i, [rng.random() for _ in range(3)]) for i in range(90)] + [(500, [0.5, 0.5, 0.5]), (400, [0.5, 0.5, 0.5])]
+    vectors = spark.createDataFrame([([rng.random() for _ in range(3)],) for _ in range(40)] + [([0.5, 0.5, 0.5],)], "v array<double>")
+    nodes = spark.createDataFrame(book, "node_id int, w array<double>")
+    whole = [tuple(r) for r in B.project(vectors, nodes, second=True).orderBy("v").collect()]
+    monkeypatch.setattr(B, "MOST_NODES", 20)
+    parts = [tuple(r) for r in B.project(vectors, nodes, second=True).orderBy("v").collect()]
+    assert parts == whole and ([0.5, 0.5, 0.5], 400, 0.0, 500) in whole
+    assert [tuple(r) for r in B.project(vectors, nodes).orderBy("v").collect()] == [r[:3] for r in whole]
+
+
+def test_map_training_by_hand(spark):
+    """Batch rounds: nodes become means of all vectors, weighted by the distance on the grid to their nearest node."""
+    rng = random.Random(8)
+    xs = [[rng.gauss(0, 1), rng.gauss(0, 2)] for _ in range(120)]
+    book = {k: [rng.gauss(0, 1), rng.gauss(0, 1)] for k in range(6)}
+    got = {r.node_id: r.w for r in M.train_map(spark.createDataFrame([(x,) for x in xs], "v array<double>"), spark.createDataFrame(list(book.items()), "node_id int, w array<double>"), 3, rounds=3, radius=2.0).collect()}
+    place = {i: (x, y) for i, x, y in M.hex_nodes(3, 2)}
+    for k in range(3):
+        reach = max(0.4, 2.0 * (1 - k / 3))
+        near = [min(book, key=lambda i: (sum((a - b) ** 2 for a, b in zip(x, book[i], strict=True)), i)) for x in xs]
+        fresh = {}
+        for i in book:
+            h = [math.exp(-((place[i][0] - place[n][0]) ** 2 + (place[i][1] - place[n][1]) ** 2) / (2 * reach**2)) for n in near]
+            fresh[i] = [sum(w * x[d] for w, x in zip(h, xs, strict=True)) / sum(h) for d in range(2)]
+        book = fresh
+    assert all(got[i] == pytest.approx(book[i]) for i in book)

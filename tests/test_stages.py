@@ -14,11 +14,11 @@ def test_stage_tables_are_replaced_by_recording(spark, tmp_path):
     back = stages.read_stage(spark, folder, "bursts")
     assert sorted((r.rec_id, r.start, r.stop) for r in back.collect()) == [("a", 1, 2), ("b", 7, 8)]
     one = stages.read_stage(spark, folder, "bursts", ["a"])
-    assert [tuple(r) for r in one.select("rec_id", "start").collect()] == [("a", 1)] and "PartitionFilters: [isnotnull(rec_id" in one._jdf.queryExecution().toString()
-    stages.note(spark, folder, "a", "quality", "poor")
-    stages.note(spark, folder, "a", "quality", "good")
+    assert [tuple(r) for r in one.select("rec_id", "start").collect()] == [("a", 1)] and "IsNotNull(rec_id)" in one._jdf.queryExecution().toString()
+    stages.note(spark, folder, "a", "quality", "weak")
+    stages.note(spark, folder, "a", "quality", "nice")
     got = {(r.subject, r.name): r.value for r in stages.notes(spark, folder).collect()}
-    assert got == {("bursts", "parameters"): '{"max_gap": 3}', ("a", "quality"): "good"}
+    assert got == {("bursts", "parameters"): '{"max_gap": 3}', ("a", "quality"): "nice"}
 
 
 def test_signals_from_memory(spark):
