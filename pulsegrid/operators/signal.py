@@ -313,8 +313,8 @@ def cusum(x: list[float], state: tuple[float | None, float, float, int, int], th
     return alarms, starts, (before, up, down, len(x) - up_at, len(x) - down_at)
 
 
-def change_points(values: DataFrame, by: list[str], order: str, value: str, threshold: float = 1.5, drift: float = 0.1, backwards: bool = False) -> DataFrame:
-    """(by, order, start) of the alarms on the standardised values of each group, and where each change began; a group with a missing value has none.
+def change_points(values: DataFrame, by: list[str], order: str, value: str, threshold: float = 1.5, drift: float = 0.1, backwards: bool = False, starts: bool = False) -> DataFrame:
+    """(by, order, with `starts` also start) of the alarms on the standardised values of each group, and where each change began; a group with a missing value has none.
 
     A series is dealt by ranges of (group, order) and cut into blocks. All blocks are worked out at once, from empty sums at first;
     then again those that the block before leaves another state to, until none does. Sums return to 0 again and again, so this takes
@@ -403,7 +403,7 @@ def change_points(values: DataFrame, by: list[str], order: str, value: str, thre
     told = done.where(F.size("alarms") > 0).select("part", "seq", F.explode(F.arrays_zip("alarms", "starts")).alias("_a"))
     met = blocks.select(*by, "part", "seq", "ats").join(told, ["part", "seq"])
     lines = met.select(*by, F.get("ats", F.col("_a.alarms")).alias(order), "part", "seq", F.col("_a.starts").alias("_start"), F.when(F.col("_a.starts") >= 0, F.get("ats", F.col("_a.starts").cast("int"))).alias("start"))
-    return _earlier_starts(lines, blocks, by)
+    return _earlier_starts(lines, blocks, by) if starts else lines.select(*by, order)
 
 
 def run_edges(batch: pa.RecordBatch, columns: int) -> list[int]:
@@ -439,8 +439,8 @@ def changes(values: DataFrame, by: list[str], order: str, value: str, threshold:
     the series read backwards began, at the latest where the next change starts, or else at the group's last point. Alarms are few, and
     only they meet by group.
     """
-    forth = change_points(values, by, order, value, threshold, drift).groupBy(*by, "start").agg(F.min(order).alias("alarm"))
-    back = change_points(values, by, order, value, threshold, drift, backwards=True).select(*by, F.col("start").alias("end")).distinct()
+    forth = change_points(values, by, order, value, threshold, drift, starts=True).groupBy(*by, "start").agg(F.min(order).alias("alarm"))
+    back = change_points(values, by, order, value, threshold, drift, backwards=True, starts=True).select(*by, F.col("start").alias("end")).distinct()
     ended = F.col("end").isNotNull()
     rows = forth.withColumn("end", F.lit(None).cast(forth.schema["alarm"].dataType)).unionByName(back, allowMissingColumns=True).withColumn("_at", F.coalesce("end", "alarm")).withColumn("_side", ended.cast("int"))
     later = Window.partitionBy(*by).orderBy("_at", "_side")

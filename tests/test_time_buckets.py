@@ -55,8 +55,8 @@ def test_alarms_by_blocks(spark, monkeypatch, rounds):
     rows = [(r, i, float(v)) for r, x in own.items() for i, v in enumerate(x)]
     frame = spark.createDataFrame(rows, "rec_id string, i long, v double").repartition(5)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    forth = G.change_points(frame, ["rec_id"], "i", "v", 1.0, 0.05).collect()
-    back = G.change_points(frame, ["rec_id"], "i", "v", 1.0, 0.05, backwards=True).collect()
+    forth = G.change_points(frame, ["rec_id"], "i", "v", 1.0, 0.05, starts=True).collect()
+    back = G.change_points(frame, ["rec_id"], "i", "v", 1.0, 0.05, backwards=True, starts=True).collect()
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     for got, turned in ((forth, False), (back, True)):
         want = set()
