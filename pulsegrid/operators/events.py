@@ -185,13 +185,13 @@ def refractory(events: DataFrame, dead_time: int, strict: bool = False, width: i
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = last = None
         for batch in batches:
-            t, group, entry = batch.column(2), batch.column(3).to_numpy(), batch.column(4)
-            keep = np.zeros(len(group), bool)
+            t, group, entry = batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4)
+            keep = np.zeros(len(t), bool)
             edges = _edges(group)
             for a, b in zip(edges, edges[1:], strict=False):
-                if group[a] != own:  # the row of the entry comes first
-                    own, last, a = group[a], entry[a].as_py(), a + 1
-                part = t.slice(a, b - a).to_numpy()
+                if group[a] != own:
+                    own, last = group[a], entry[a].as_py()
+                part = t[a:b]
                 following = np.searchsorted(part, part + step).tolist()
                 i = int(np.searchsorted(part, last + step)) if last is not None else 0
                 while i < len(part):
@@ -201,12 +201,12 @@ def refractory(events: DataFrame, dead_time: int, strict: bool = False, width: i
 
     known = events.select(REC, F.col("t").cast("long").alias("t")).where("t IS NOT NULL").withColumn("_bucket", F.expr(f"(t - pmod(t, {width}L)) div {width}L"))
     named = known.select(REC, "_bucket", "t", F.xxhash64(F.lit(1), REC, "_bucket").alias("_group"))
-    moves = named.repartition(REC, "_bucket").sortWithinPartitions(REC, "_bucket", "t").mapInArrow(transitions, f"{REC} {kind}, _bucket long, firsts array<long>, exits array<long>")
+    dealt = named.repartition(REC, "_bucket")  # one shuffle for both passes
+    moves = dealt.sortWithinPartitions(REC, "_bucket", "t").mapInArrow(transitions, f"{REC} {kind}, _bucket long, firsts array<long>, exits array<long>")
     ordered = moves.withColumn("_group", F.xxhash64(F.lit(1), REC)).repartition(REC).sortWithinPartitions(REC, "_bucket")
-    entries = ordered.mapInArrow(compose, f"{REC} {kind}, _bucket long, _last long")
-    none = F.lit(None).cast("long")
-    both = named.withColumn("_last", none).unionByName(entries.select(REC, "_bucket", none.alias("t"), F.xxhash64(F.lit(1), REC, "_bucket").alias("_group"), "_last"))
-    return both.repartition(REC, "_bucket").sortWithinPartitions(REC, "_bucket", F.asc_nulls_first("t")).mapInArrow(thin, f"{REC} {kind}, t long")
+    entries = ordered.mapInArrow(compose, f"{REC} {kind}, _bucket long, _last long").select(F.xxhash64(F.lit(1), REC, "_bucket").alias("_own"), F.col(REC).alias("_rec"), F.col("_bucket").alias("_in"), "_last")
+    met = dealt.join(entries, (F.col("_group") == F.col("_own")) & F.col(REC).eqNullSafe(F.col("_rec")) & (F.col("_bucket") == F.col("_in")))
+    return met.select(REC, "_bucket", "t", "_group", "_last").repartition("_group").sortWithinPartitions("_group", REC, "_bucket", "t").mapInArrow(thin, f"{REC} {kind}, t long")
 
 
 def threshold_runs(samples: DataFrame, threshold: float | Column, value: str = "v", i: str = "i") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import signal as G
 from pulsegrid.operators.intervals import REC, overlap_join
+from pulsegrid.sources.scratch import kept
 
 RUN = "first long, last long"
 
@@ -116,22 +117,22 @@ def loud_stretches(chunks: DataFrame, sr: float, window: float = 1.0, high: floa
     stats = moments(powered.select(REC, F.col("rms").alias("v"))).select(F.col(REC).alias("_rec"), "mean", "sd")
     z = powered.join(stats, F.col(REC).eqNullSafe(F.col("_rec"))).where("sd > 0").withColumn("z", F.transform("rms", lambda x: (x - F.col("mean")) / F.col("sd")))
 
-    def quiet_parts(v: np.ndarray, z: np.ndarray) -> pd.DataFrame:
+    def parts_of(v: np.ndarray, z: np.ndarray) -> pd.DataFrame:
+        """Runs of low power (with how often the signal turns non-negative in each, and how it is at both ends), and of high power."""
         a, b = edges(z >= low)
         up = v >= 0
         begins = up & ~np.concatenate([[False], up[:-1]])
         counts = np.concatenate([[0], np.cumsum(begins)])
         inside = counts[b + 1] - counts[a] + (up[a] & ~begins[a]) if len(a) else np.zeros(0, int)
-        return pd.DataFrame({"first": a, "last": b, "ups": inside, "head": up[a], "tail": up[b]})
+        c, d = edges(z >= high)
+        none = np.zeros(len(c), bool)
+        whole = {"first": (a, c), "last": (b, d), "ups": (inside, none.astype(int)), "head": (up[a], none), "tail": (up[b], none), "loud": (np.zeros(len(a), bool), ~none)}
+        return pd.DataFrame({n: np.concatenate(x) for n, x in whole.items()})
 
-    def loud_parts(v: np.ndarray, z: np.ndarray) -> pd.DataFrame:
-        a, b = edges(z >= high)
-        return pd.DataFrame({"first": a, "last": b})
-
-    parts = of_chunks(z, ["v", "z"], quiet_parts, "ups long, head boolean, tail boolean")
+    every = kept(of_chunks(z, ["v", "z"], parts_of, "ups long, head boolean, tail boolean, loud boolean"), "runs")
     touches = (F.lag("last").over(along()) + 1 == F.col("first")) & F.lag("tail").over(along()) & F.col("head")
-    quiet = joined(parts, ups=F.col("ups") - F.coalesce(touches, F.lit(False)).cast("long"))
-    loud = joined(of_chunks(z, ["v", "z"], loud_parts, "")).where(F.col("last") - F.col("first") > high_time * sr)
+    quiet = joined(every.where("NOT loud"), ups=F.col("ups") - F.coalesce(touches, F.lit(False)).cast("long"))
+    loud = joined(every.where("loud")).where(F.col("last") - F.col("first") > high_time * sr)
     length = F.col("last") - F.col("first")
     long = quiet.where((length >= low_time * sr) & ((F.col("ups") == 0) | (length / F.col("ups") >= crossing * sr)))
     both = long.select(REC, "first", "last", F.lit(0).alias("_side")).unionByName(loud.select(REC, "first", F.lit(None).cast("long").alias("last"), F.lit(1).alias("_side")))

@@ -11,6 +11,7 @@ from pulsegrid.operators import intervals as I
 from pulsegrid.operators import runs as R
 from pulsegrid.operators import signal as G
 from pulsegrid.operators.intervals import REC
+from pulsegrid.sources.scratch import kept
 
 #: Thresholds at which peaks are counted.
 THRESHOLDS = [round(-0.5 + 0.05 * k, 2) for k in range(131)]
@@ -79,8 +80,16 @@ def spectral_events(power: DataFrame, dead_time: int, percent: float = 35.0, mod
     """
     z = power.where("v IS NOT NULL").select(REC, "t", "v") if standardised else E.zscore(power, "v", REC).where("z IS NOT NULL").select(REC, "t", F.col("z").alias("v"))
     w = Window.partitionBy(REC).orderBy("t")
-    near = z.withColumn("_p", F.lag("v").over(w)).withColumn("_n", F.lead("v").over(w))
-    peaks = near.where("_p < v AND v > _n").select(REC, "t", F.col("_n").alias("v")).unionByName(plateau_centers(z).withColumn("v", F.lit(float("inf"))))
+    near = z.withColumn("_p", F.lag("v").over(w)).withColumn("_n", F.lead("v").over(w)).withColumn("_i", F.row_number().over(w))
+    flat = (F.col("v") == F.col("_p")) | (F.col("v") == F.col("_n"))
+    border = F.col("_p").isNull() | F.col("_n").isNull()
+    tops = near.withColumn("_flat", F.coalesce(flat, F.lit(False))).where(F.expr("_p < v AND v > _n") | F.col("_flat") | border)
+    tops = kept(tops.select(REC, "t", "v", "_p", "_n", "_i", "_flat"), "peaks")  # few of the samples; what follows reads them several times
+    level = F.col("_flat") & (F.col("v") == F.max("v").over(Window.partitionBy(REC)))
+    runs = tops.withColumn("_level", level).where("_level").withColumn("_run", F.col("_i") - F.row_number().over(Window.partitionBy(REC).orderBy("_i")))
+    lists = runs.groupBy(REC, "_run").agg(F.sort_array(F.collect_list("t")).alias("_ts")).where(F.size("_ts") > 1)
+    centers = lists.select(REC, F.get("_ts", F.floor((F.size("_ts") - 1) / 2).cast("int")).alias("t"), F.lit(float("inf")).alias("v"))
+    peaks = tops.where("_p < v AND v > _n").select(REC, "t", F.col("_n").alias("v")).unionByName(centers)
     if threshold is None:
         chosen = choose_threshold(refractory_counts(peaks, dead_time), percent, mode)
     else:
@@ -195,6 +204,7 @@ def detect(chunks: DataFrame, width: int = 128, low: float = 4.0, high: float =
     at = (F.col("i") * SECOND / F.col("_sr")).cast("long").alias("t")
     bands = padded(G.band_power(chunks, width, low, high, scope=scope), rate.select(REC, "n"), width)
     spectral, _ = spectral_events(bands.join(rate, REC).select(REC, at, "v"), dead_time, threshold=threshold, standardised=True)
+    spectral = kept(spectral, "spectral")  # read by both kinds
     by_size = R.amplitude_events(chunks, spectral, margin, dead_time, limit, polarity)
     return spectral.withColumn("kind", F.lit("spectral")).unionByName(by_size.withColumn("kind", F.lit("amp")))
 
