@@ -123,15 +123,15 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str =
     """The model of all languages of docs, from rows outside the held-out fold whose text and language are known.
 
     Document frequencies cover all those rows; the centroids a bounded sample of each language: ids whose hash is below a
-    threshold set by the language's count, of which the `most` of the smallest hashes are used. Of a repeated id the text of the
-    smallest hash counts.
+    threshold set by how many different ids the language has (the least hash always is), of which the `most` of the smallest
+    hashes are used. Of a repeated id the text of the smallest hash counts. So no language is lost, however often a row repeats.
     """
     known = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where((fold(F.col("id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, n = frequencies(known)
     idf = np.log((1 + n) / (1 + df)) + 1
-    counts_ = small(known.groupBy("lang").count().select(F.col("lang").alias("_lang"), "count"), 100_000)
     place = F.shiftrightunsigned(F.xxhash64("id"), 1)
-    few = known.join(counts_, F.col("lang") == F.col("_lang")).where(place < F.lit(2.0**63) * (1.5 * most + 50) / F.col("count"))
+    ids = known.groupBy("lang", "id").agg(F.first(place).alias("place")).groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("count"), F.min("place").alias("least"))
+    few = known.join(small(ids, 100_000), F.col("lang") == F.col("_lang")).where((place == F.col("least")) | (place < F.lit(2.0**63) * (1.5 * most + 50) / F.col("count")))
     one = few.groupBy("lang", "id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("_t"))
 
     def fitted(group: pd.DataFrame) -> pd.DataFrame:
