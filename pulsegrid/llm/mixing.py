@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import settle, small
@@ -123,12 +123,11 @@ def _unit(key: str, text: str, source: str) -> Column:
     return F.xxhash64(key, source, text, F.col(key).isNull(), F.col(source).isNull(), F.col(text).isNull())
 
 
-def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: Iterable[float] = WEIGHTS, factor: float = FACTOR, cap: float = CAP, block: int = BLOCK) -> DataFrame:
-    """(unit, rows, key, size, source, source_size, target, copies) of each distinct document of docs.
+def _decided(docs: DataFrame, key: str, text: str, source: str, weights: Iterable[float], factor: float, cap: float, block: int) -> DataFrame:
+    """(unit, rows, key, size, source, source_size, target, whole, extra): of a document's equal rows each is taken `whole` times, and `extra` of them once more.
 
-    `unit` identifies key, source and text; `rows` is how often that row occurs in docs, all of which are taken `copies`
-    times (whole part of target / source size plus 0 or 1). A null text has size 0. Null sources are one source, and there may
-    be any number of sources. Results do not depend on partitions or order. An empty table gives an empty result.
+    Equal rows share their fraction: the whole number of further copies that it makes together is certain, and the cube method decides
+    on the one that is left.
     """
     own = docs.select(_unit(key, text, source).alias("unit"), F.col(key).alias("key"), F.col(source).alias("source"), size_in_words(F.col(text)).alias("size"))
     units = settle(own.groupBy("unit", "key", "source", "size").agg(F.count("*").alias("rows")).withColumn("words", F.col("size") * F.col("rows")), "units")
@@ -137,7 +136,9 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     whole = F.floor(rate + EPS).cast("int")
     made = settle(goal.select(F.col("source").alias("_source"), F.col("words").alias("source_size"), "target", whole.alias("whole"), F.greatest(F.lit(0.0), rate - whole).alias("part")), "targets")
     stats = small(made, FEW)
-    left = units.join(stats, F.col("source").eqNullSafe(F.col("_source"))).where(F.col("part") > EPS).select("unit", "key", "source", "size", "words", F.col("part").alias("p"))
+    shared = units.join(stats, F.col("source").eqNullSafe(F.col("_source"))).withColumn("extra", F.floor(F.col("rows") * F.col("part") + EPS))
+    shared = shared.withColumn("p", F.col("rows") * F.col("part") - F.col("extra"))
+    left = shared.where(F.col("p") > EPS).select("unit", "key", "source", "size", F.col("size").alias("words"), "p")
     level, more = 0, None
     while True:
         counts = settle(left.groupBy("source").agg(F.count("*").alias("n")), "counts")
@@ -148,16 +149,42 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
         taken = left.where("p = 1").select("unit", F.col("key").alias("_key"), "size", F.col("source").alias("_from"), F.lit(1).alias("_more"))
         more = taken if more is None else more.unionByName(taken)
         left, level = left.where("p > 0 AND p < 1"), level + 1
-    joined = units.join(stats, F.col("source").eqNullSafe(F.col("_source")))
     if more is None:
-        joined = joined.withColumn("_more", F.lit(0))
+        joined = shared.withColumn("_more", F.lit(0))
     else:
-        joined = joined.join(more, (joined["unit"] == more["unit"]) & (joined["size"] == more["size"]) & joined["key"].eqNullSafe(more["_key"]) & joined["source"].eqNullSafe(more["_from"]), "left").drop(more["unit"], more["size"])
-    return joined.select("unit", "rows", F.col("key").alias(key), "size", "source", "source_size", "target", (F.col("whole") + F.coalesce("_more", F.lit(0))).alias("copies"))
+        joined = shared.join(more, (shared["unit"] == more["unit"]) & (shared["size"] == more["size"]) & shared["key"].eqNullSafe(more["_key"]) & shared["source"].eqNullSafe(more["_from"]), "left").drop(more["unit"], more["size"])
+    return joined.select("unit", "rows", "key", "size", "source", "source_size", "target", "whole", (F.col("extra") + F.coalesce("_more", F.lit(0))).alias("extra"))
+
+
+def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: Iterable[float] = WEIGHTS, factor: float = FACTOR, cap: float = CAP, block: int = BLOCK) -> DataFrame:
+    """(unit, rows, key, size, source, source_size, target, copies): of each distinct document of docs, how many of its rows are taken how often.
+
+    `unit` identifies key, source and text. The rows of a document are one line, or two of which one has a copy more: the whole
+    part of target / source size for each row, what the fractions of all its rows make together, and 0 or 1. So a row that repeats
+    very often is taken as exactly as many different ones. A null text has size 0. Null sources are one source, and there may
+    be any number of sources. Results do not depend on partitions or order. An empty table gives an empty result.
+    """
+    made = _decided(docs, key, text, source, weights, factor, cap, block)
+    parts = F.array(F.struct((F.col("rows") - F.col("extra")).alias("rows"), F.col("whole").alias("copies")), F.struct(F.col("extra").alias("rows"), (F.col("whole") + 1).alias("copies")))
+    each = made.withColumn("_p", F.explode(F.filter(parts, lambda p: p.rows > 0)))
+    return each.select("unit", "_p.rows", F.col("key").alias(key), "size", "source", "source_size", "target", "_p.copies")
 
 
-def take(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The mix itself: each row of docs as often as mix() takes it."""
-    taken = mix(docs, key=key, text=text, source=source, **options).where("copies > 0").select(F.col("unit").alias("_unit"), F.col("copies").alias("_copies"))
-    both = docs.withColumn("_of", _unit(key, text, source)).join(taken.hint("shuffle_hash"), F.col("_of") == F.col("_unit"))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+def take(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: Iterable[float] = WEIGHTS, factor: float = FACTOR, cap: float = CAP, block: int = BLOCK) -> DataFrame:
+    """The mix itself: each row of docs as often as mix() takes it.
+
+    Of a document's equal rows the first ones get the further copies; such rows are counted within their task and after the tasks
+    before, so that a row of a third of all rows is not gathered anywhere.
+    """
+    decided = _decided(docs, key, text, source, weights, factor, cap, block).where("whole + extra > 0").select(F.col("unit").alias("_unit"), "rows", "whole", "extra")
+    met = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), _unit(key, text, source).alias("_of")).join(decided.select("_unit", F.struct("rows", "whole", "extra").alias("_d")), F.col("_of") == F.col("_unit"))
+    met = met.select("_row", "_unit", "_d")
+    split = (F.col("_d.extra") > 0) & (F.col("_d.extra") < F.col("_d.rows"))
+    alike = met.where(~split).select("_row", (F.col("_d.whole") + (F.col("_d.extra") > 0).cast("int")).alias("_n"))
+    mixed = settle(met.where(split).withColumn("_part", F.spark_partition_id()), "repeats")
+    before = mixed.groupBy("_unit", "_part").agg(F.count("*").alias("_k"))
+    before = before.select(F.col("_unit").alias("_u"), F.col("_part").alias("_p"), (F.sum("_k").over(Window.partitionBy("_unit").orderBy("_part")) - F.col("_k")).alias("_before"))
+    placed = mixed.withColumn("_at", F.row_number().over(Window.partitionBy("_unit", "_part").orderBy(F.lit(0)))).join(before, (F.col("_unit") == F.col("_u")) & (F.col("_part") == F.col("_p")))
+    some = placed.select("_row", (F.col("_d.whole") + (F.col("_before") + F.col("_at") <= F.col("_d.extra")).cast("int")).alias("_n"))
+    both = alike.unionByName(some).where("_n > 0")
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")

@@ -28,7 +28,9 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.mix(_read(spark, sf_dir)).withColumn("taken", F.col("size") * F.col("copies"))
-    return taken.withColumn("_", F.explode(F.sequence(F.lit(1), "rows"))).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    runs = taken.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / 4096))))
+    each = runs.withColumn("_", F.explode(F.sequence(F.col("_run") * 4096 + 1, F.least((F.col("_run") + 1) * 4096, "rows"))))
+    return each.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
