@@ -94,22 +94,50 @@ def links(fps: DataFrame, rows: int, radius: int = RADIUS) -> DataFrame:
     return met.where((F.col("a") < F.col("b")) & _near(radius)).select("a", "b").distinct()
 
 
+def _crowds(there: DataFrame, hot: int) -> DataFrame:
+    """(slot, crowd, rep) of the components that more than `hot` fingerprints of a slot belong to, and one of these."""
+    return settle(there.groupBy("slot", F.col("b_root").alias("crowd")).agg(F.count("*").alias("n"), F.min("b").alias("rep")).where(F.col("n") > hot).select("slot", "crowd", "rep"), "crowds")
+
+
+def _met(asked: DataFrame, there: DataFrame, crowds: DataFrame) -> DataFrame:
+    """(a, root, b, b_root): each of asked (a, root, slot) with what stands in its slot of there (b, b_root, slot) and is of another component.
+
+    What belongs to a crowd of its slot never meets that crowd: it meets the others there, and other crowds by their names.
+    """
+    known = small(crowds.select(F.col("slot").alias("_slot"), "crowd"), 500_000)
+    told = asked.join(known, (F.col("slot") == F.col("_slot")) & (F.col("root") == F.col("crowd")), "left").drop("_slot")
+    names = ("a", "root", "b", "b_root")
+    alone = told.where("crowd IS NULL").join(there, "slot").select(*names)
+    within = told.where("crowd IS NOT NULL").drop("crowd")
+    rest = there.join(known, (F.col("slot") == F.col("_slot")) & (F.col("b_root") == F.col("crowd")), "left_anti")
+    pairs = crowds.select(F.col("slot").alias("_s"), F.col("crowd").alias("_c")).join(crowds.select("slot", F.col("crowd").alias("_other")), (F.col("_s") == F.col("slot")) & (F.col("_c") != F.col("_other"))).drop("slot")
+    other = within.join(pairs, (F.col("slot") == F.col("_s")) & (F.col("root") == F.col("_c"))).select("a", "root", F.col("_s").alias("slot"), F.col("_other").alias("b_root"))
+    return alone.unionByName(within.join(rest, "slot").select(*names)).unionByName(other.join(there, ["slot", "b_root"]).select(*names)).where(F.col("root") != F.col("b_root"))
+
+
 def linked(fps: DataFrame, rows: int, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """(node, root) of the components that all links() make; root is the smallest fingerprint. Fingerprints without a link are left out.
 
     Links within a component needn't all be found. First each fingerprint meets one of each slot it stands in, which joins most of
-    a dense cluster; then fingerprints of different components look one another up. What lies in a slot of more than `hot`
-    fingerprints of one component isn't looked up from within that component.
+    a dense cluster; then it looks up one of each crowd (over `hot` fingerprints of one component in a slot) until this joins no
+    more; at last fingerprints of different components look one another up, crowds never within themselves.
     """
     own = _tables(fps, rows, radius, "b", False)
     met = settle(own.join(own.groupBy("slot").agg(F.min("b").alias("a")), "slot").where((F.col("a") < F.col("b")) & _near(radius)).select("a", "b").distinct(), "met")
-    first = components(met)
-    state = settle(fps.join(first, fps["fp"] == first["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
-    there = _tables(state, rows, radius, "b", False, "root").withColumnRenamed("root", "b_root")
-    crowds = there.groupBy("slot").agg(F.count("*").alias("n"), F.min("b_root").alias("lo"), F.max("b_root").alias("hi"))
-    alike = settle(crowds.where((F.col("n") > hot) & (F.col("lo") == F.col("hi"))).select("slot", "lo"), "crowds")
-    asked = _tables(state, rows, radius, "a", True, "root").join(small(alike, 500_000), "slot", "left").where(F.col("lo").isNull() | (F.col("lo") != F.col("root"))).drop("lo")
-    more = asked.join(there, "slot").where((F.col("root") != F.col("b_root")) & (F.col("a") < F.col("b")) & _near(radius)).select("a", "b").distinct()
+    while True:
+        first = components(met)
+        state = settle(fps.join(first, fps["fp"] == first["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+        there = _tables(state, rows, radius, "b", False, "root").withColumnRenamed("root", "b_root")
+        asked = _tables(state, rows, radius, "a", True, "root")
+        crowds = _crowds(there, hot)
+        if not crowds.limit(1).count():
+            break
+        ones = small(crowds.select("slot", F.col("crowd").alias("b_root"), F.col("rep").alias("b")), 500_000)
+        more = settle(asked.join(ones, "slot").where((F.col("root") != F.col("b_root")) & _near(radius)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
+        if not more.limit(1).count():
+            break
+        met = met.unionByName(more)
+    more = _met(asked, there, crowds).where((F.col("a") < F.col("b")) & _near(radius)).select("a", "b").distinct()
     return components(met.unionByName(settle(more, "links")))
 
 
