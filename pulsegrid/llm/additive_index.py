@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import settle
+from pulsegrid.llm.common import scratch, settle
 
 BOOKS, WORDS, BEAM = 16, 256, 3
 #: Codebooks are fitted on at most this many vectors, those of the smallest hashes of their ids; every vector is encoded.
@@ -123,7 +123,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", v
     """(query_id, rank, key, score) of each query's `top` nearest among all other vectors, by inner product.
 
     Null, zero and non-finite vectors take no part. Vectors of different lengths are searched apart, each length with codebooks of
-    its own; there may be MOST_LENGTHS of them. Rows of equal id are candidates each; of several query rows of one id the
+    its own; beyond MOST_LENGTHS of them the results of one are written before the next is searched, so that plans stay short. Rows of equal id are candidates each; of several query rows of one id the
     smallest vector asks, once. Codebooks are fitted on a bounded sample and sent to all tasks (of fixed size:
     books * words * dimensions); all vectors are encoded. Queries and candidates meet as blocks of bounded size, of which each
     gives `top` exactly scored rows a query. With no vector there is no row.
@@ -131,13 +131,17 @@ def neighbours(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", v
     spark, schema = vectors.sparkSession, "query_id long, rank int, vec_id long, score double".replace("vec_id", f"`{key}`")
     every = valid(vectors, key, vector)
     asked = valid(queries, key, vector).groupBy(F.size("v").alias("d"), "id").agg(F.min("v").alias("v"))
-    sizes = every.groupBy(F.size("v").alias("d")).count().limit(MOST_LENGTHS + 1).collect()
-    if len(sizes) > MOST_LENGTHS:
-        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
+    sizes = sorted(every.groupBy(F.size("v").alias("d")).count().collect())  # as many rows as there are lengths
+    search = lambda d, n: _of_length(every.where(F.size("v") == d), asked.where(F.col("d") == d).select("id", "v"), d, n, key, top, rerank, rows, per_query_block)
     out = spark.createDataFrame([], schema)
-    for d, n in sorted(sizes):
-        out = out.unionByName(_of_length(every.where(F.size("v") == d), asked.where(F.col("d") == d).select("id", "v"), d, n, key, top, rerank, rows, per_query_block))
-    return out
+    if len(sizes) <= MOST_LENGTHS:
+        for d, n in sizes:
+            out = out.unionByName(search(d, n))
+        return out
+    path = scratch(spark, "nearest")
+    for d, n in sizes:
+        search(d, n).write.mode("append").parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
 
 
 def _of_length(every: DataFrame, asked: DataFrame, d: int, n: int, key: str, top: int, rerank: int, rows: int, per_query_block: int) -> DataFrame:

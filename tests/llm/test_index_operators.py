@@ -8,7 +8,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 
-from pulsegrid.llm import additive_index, fingerprints, language_id, queries, secret_scan, token_files
+from pulsegrid.llm import additive_index, fingerprints, language_id, queries, secret_scan, simhash_dedup, token_files
 from pulsegrid.llm.common import by_ranges
 from tests.llm.fixtures import empty, rows, with_nulls
 from tests.llm.test_text_operators import sha, texts
@@ -336,3 +336,56 @@ def test_votes_of_terms_by_hand():
         votes = [sum((1 + log(k)) * (1 if t >> bit & 1 else -1) for t, k in terms.items()) for bit in range(64)]
         got = fingerprints.fingerprint(" ".join(words))
         assert all((got >> bit & 1) == (v > 0) for bit, v in enumerate(votes) if abs(v) > 1e-3 or not terms)
+
+
+def test_nearest_of_very_many_lengths(spark):
+    rows = [(20 * d + k, [float(k + 1)] * d) for d in range(1, 71) for k in range(3)]
+    got = additive_index.neighbours(spark.createDataFrame(rows[:15], "vec_id long, embedding array<double>"), spark.createDataFrame(rows[:15:3], "vec_id long, embedding array<double>"))
+    assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in got.collect()} == {(20 * d, k): (20 * d + 3 - k, float(d * (4 - k))) for d in range(1, 6) for k in (1, 2)}
+
+
+def test_nearest_beyond_a_number_of_lengths(spark, monkeypatch):
+    monkeypatch.setattr(additive_index, "MOST_LENGTHS", 2)
+    test_nearest_of_very_many_lengths(spark)
+
+
+def test_hot_slots_meet_in_proportion(spark):
+    """One cluster, and a few fingerprints of other components in its slots: what meets grows with the cluster, not with its square."""
+    from pyspark.sql import functions as F
+
+    def compared(n):
+        rng = random.Random(n)
+        base = rng.getrandbits(64)
+        near = {base} | {base ^ (1 << rng.randrange(30)) ^ (1 << rng.randrange(30)) for _ in range(n)}
+        while len(near) < n:
+            near.add(base ^ sum(1 << b for b in rng.sample(range(30), 3)))
+        stray = [base ^ sum(1 << b for b in range(34, 34 + 9)), base ^ sum(1 << b for b in range(40, 52))]
+        signed = [(x - 2**64 if x >= 2**63 else x,) for x in [*near, *stray]]
+        fps = spark.createDataFrame(signed, "fp long").repartition(4)
+        roots = fps.select("fp", F.lit(signed[0][0]).alias("root")).where(~F.col("fp").isin(*(x[0] for x in signed[-2:]))).unionByName(fps.where(F.col("fp").isin(*(x[0] for x in signed[-2:]))).select("fp", F.col("fp").alias("root")))
+        there = simhash_dedup._tables(roots, n, 4, "b", False, "root").withColumnRenamed("root", "b_root")
+        asked = simhash_dedup._tables(roots, n, 4, "a", True, "root")
+        return len(near), simhash_dedup._met(asked, there, simhash_dedup._crowds(there, 64)).count(), fps, len(signed)
+
+    (n, few, fps, rows), (m, many, *_) = compared(400), compared(1600)
+    assert many / few < 1.5 * m / n
+    linked = {r.node: r.root for r in simhash_dedup.linked(fps, rows).collect()}
+    whole = spark.createDataFrame([(r.fp,) for r in fps.collect()], "fp long")
+    want = components_by_hand([r.fp for r in whole.collect()], 4)
+    assert {x: linked.get(x, x) for x in want} == want
+
+
+def components_by_hand(fps, radius):
+    root = {x: x for x in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(fps):
+        for y in fps[:i]:
+            if ((x ^ y) & (2**64 - 1)).bit_count() <= radius:
+                a, b = sorted((find(x), find(y)))
+                root[b] = a
+    return {x: find(x) for x in fps}

@@ -7,7 +7,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from pulsegrid.llm import line_dedup, mixing, quality, queries, sentencepiece_codec, simhash_dedup
+from pyspark.sql import functions as F
+
+from pulsegrid.llm import language_id, line_dedup, mixing, quality, queries, sentencepiece_codec, simhash_dedup
 from pulsegrid.llm.components import components
 from tests.llm.fixtures import docs, empty, rows, with_nulls
 
@@ -309,3 +311,32 @@ def test_recent_values_are_bounded():
         assert memo.seek(names, learn) == [n.encode() for n in names]
         assert len(memo.kept) <= 100 and len(memo.once) <= 80
     assert learned.count("often") == 1
+
+
+def test_no_language_is_lost_to_a_repeated_row(spark):
+    """Thresholds follow different ids, not rows: 40 documents of a language stay in the model beside a row of it that occurs 20,000 times."""
+    rng = random.Random(2)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(30))
+    rows = [(i, text("abcde"), "aa") for i in range(300)] + [(1000 + i, text("vwxyz"), "bb") for i in range(40)]
+    often = spark.range(20_000).selectExpr("5001L AS doc_id", "'vwxyz zyxwv vvvvv' AS text", "'bb' AS lang")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").unionByName(often)
+    model = language_id.fit(docs)
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs.where("doc_id < 5000"), model, reject=False).collect()}
+    assert model.languages == 2 and all(got[i] == lang for i, _, lang in rows)
+
+
+def test_mix_meets_targets_with_repeated_rows(spark):
+    """A row that makes up most of its source is taken as exactly as many different ones would be."""
+    words = lambda n: "w " * n
+    rows = [(i, words(50), "a") for i in range(10)] + [(99, words(50), "a")] * 40 + [(7, words(30), None)] * 9 + [(8, words(40), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n", F.monotonically_increasing_id()).repartition(3)
+    got = mixing.mix(docs).collect()
+    for source in ("a", None):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.size * r.copies * r.rows for r in own) - own[0].target) <= 50
+        assert sum(r.rows for r in own) == sum(1 for x in rows if x[2] == source) and all(0 <= r.copies <= 2 for r in own)
+    taken = mixing.take(docs)
+    assert taken.columns == docs.columns and taken.count() == sum(r.rows * r.copies for r in got)
+    assert max(r["count"] for r in taken.groupBy("n").count().collect()) <= 2
+    by_id = {r.doc_id: r["count"] for r in taken.groupBy("doc_id").count().collect()}
+    assert by_id[99] == sum(r.rows * r.copies for r in got if r.doc_id == 99)
