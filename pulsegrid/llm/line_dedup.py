@@ -52,7 +52,7 @@ def keep_bitmaps(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
     """
     drops = dropped_lines(docs, key=key, text=text, least=least, salts=salts).select(F.struct(F.col(key).alias("key"), "text_hash", "drops").alias("_d"))
     rows = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), _lines(F.col(text)).alias("_lines"))
-    both = rows.join(drops.hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("_d.key")) & (F.col("_hash") == F.col("_d.text_hash")), "left")
+    both = rows.join(drops, F.col("_key").eqNullSafe(F.col("_d.key")) & (F.col("_hash") == F.col("_d.text_hash")), "left")
     dropped = F.coalesce("_d.drops", F.array().cast("array<int>"))
     ends, begins = F.concat(dropped, F.array(F.size("_lines"))), F.concat(F.array(F.lit(-1)), dropped)
     runs = F.filter(F.zip_with(begins, ends, lambda a, b: F.struct((a + 1).alias("start"), (b - a - 1).alias("n"))), lambda r: r.n > 0)
