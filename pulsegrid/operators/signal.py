@@ -390,7 +390,7 @@ def change_points(values: DataFrame, by: list[str], order: str, value: str, thre
     done, found = kept(again(first), "cusum"), None
     for _ in range(ROUNDS):
         along_series = places.drop("_end").join(done, ["part", "seq"]).withColumn("_left", F.lag("leave").over(w))
-        found = kept(along_series.where(F.col("_left").isNotNull() & (F.col("_left") != F.col("entry"))).select(*by, "part", "seq", F.col("_left").alias("entry")), "changed")
+        found = along_series.where(F.col("_left").isNotNull() & (F.col("_left") != F.col("entry"))).select(*by, "part", "seq", F.col("_left").alias("entry"))
         if not found.limit(1).count():
             break
         rest = done.join(found.select("part", "seq"), ["part", "seq"], "left_anti")

@@ -17,6 +17,7 @@ from pulsegrid.operators import mixtures as X
 from pulsegrid.operators import signal as G
 from pulsegrid.operators.intervals import REC
 from pulsegrid.operators.maps import mean_vectors
+from pulsegrid.sources.scratch import kept
 
 
 def snippets(chunks: DataFrame, events: DataFrame, length: int, search: int, before: int, after: int) -> DataFrame:
@@ -83,7 +84,8 @@ def sort_events(
             named = X.by_height(X.clusters(snips, X.fit(few, [(components, clusters)], seed=seed))).drop("cluster")
         else:
             named = label(snips, *fit_clusters(few, components, clusters, seed))
-        labelled = named.join(sparse.withColumn("_sparse", F.lit(True)), [REC, "i"], "left")
+        told = named.join(sparse.withColumn("_sparse", F.lit(True)), [REC, "i"], "left").select(REC, "i", "center", "label", "_sparse")
+        labelled = kept(told, "labelled")  # the next round asks for it several times
         removed = labelled.where((F.col("label") == clusters) & F.col("_sparse")).select(REC, F.col("i").alias("t"))
         if (n := removed.count()) <= last:
             break
