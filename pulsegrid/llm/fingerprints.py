@@ -1,4 +1,4 @@
-"""SimHash fingerprints of documents, and all pairs within a Hamming radius by permuted block tables.
+"""SimHash fingerprints of documents, and pairs or groups of all within a Hamming radius by permuted block tables.
 
 Terms are pairs of neighbouring words (one word if there is no other), weighted by 1 + ln of their count. The 64-bit
 hash of each term votes with its weight on each bit: for it where the bit is set, against it where not.
@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import Memo, by_ranges
+from pulsegrid.llm.common import Memo, by_ranges, settle
+from pulsegrid.llm.simhash_dedup import linked
 
-BITS = 64
+BITS, RADIUS = 64, 3
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -127,19 +128,55 @@ def _batch(rows: list[tuple], key: str, kind: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({n: pa.array(c, own if n == key else None) for n, c in zip(names, zip(*rows, strict=True), strict=True)})
 
 
-def within(fps: DataFrame, radius: int = 3, blocks: int = 5, fp: str = "fingerprint") -> DataFrame:
-    """(a, b), a < b, of all distinct fingerprints at most `radius` bits apart, by permuted block tables.
+def blocks_for(rows: int, radius: int) -> int:
+    """The least number of blocks whose prefixes have about 16 fingerprints each, of `rows` in all, if these are spread evenly."""
+    blocks = radius + 1
+    while blocks < BITS // 2 and rows > 16 << (BITS // blocks * (blocks - radius)):
+        blocks += 1
+    return blocks
+
+
+def block_tables(fps: DataFrame, radius: int, blocks: int, name: str, *more: str, fp: str = "fp") -> DataFrame:
+    """(name, more, slot): each fingerprint in every permuted block table, a slot for each table and prefix.
 
     The bits are cut into blocks. Of two fingerprints within the radius at least blocks - radius blocks are equal: for each
-    choice of so many blocks there is a table with these in front, in which both have the same prefix. Whole distances are
-    then verified. Equal fingerprints are one, so copies are never paired. A null fingerprint takes no part.
+    choice of so many blocks there is a table with these in front, in which both have the same prefix. Slots are hashes, so
+    two prefixes may share one, which adds comparisons and loses none.
     """
     if blocks <= radius:
         raise ValueError("there must be more blocks than the radius")
     widths = [BITS // blocks + (i < BITS % blocks) for i in range(blocks)]
     masks = [((1 << w) - 1) << sum(widths[:i]) for i, w in enumerate(widths)]
     tables = [sum(masks[i] for i in own) for own in combinations(range(blocks), blocks - radius)]
-    prefix = F.explode(F.array(*(F.struct(F.lit(i).alias("table"), F.lit(m - 2**64 if m >= 2**63 else m).cast("long").alias("mask")) for i, m in enumerate(tables))))
-    dealt = fps.select(F.col(fp).alias("x")).where("x IS NOT NULL").distinct().select("x", prefix.alias("p")).select("x", "p.table", F.col("x").bitwiseAND(F.col("p.mask")).alias("prefix"))
-    met = dealt.withColumnRenamed("x", "a").join(dealt.withColumnRenamed("x", "b"), ["table", "prefix"])
+    mask = F.explode(F.array(*(F.lit(m - 2**64 if m >= 2**63 else m).cast("long") for m in tables)))
+    return fps.select(F.col(fp).alias(name), *more, mask.alias("mask")).select(name, *more, F.xxhash64("mask", F.col(name).bitwiseAND(F.col("mask"))).alias("slot"))
+
+
+def within(fps: DataFrame, radius: int = RADIUS, blocks: int = 5, fp: str = "fingerprint") -> DataFrame:
+    """(a, b), a < b, of all distinct fingerprints at most `radius` bits apart, by permuted block tables, whole distances verified.
+
+    Equal fingerprints are one, so copies are never paired. A null fingerprint takes no part. A cluster of n different
+    fingerprints has up to n * n / 2 pairs; `near_ids` groups them without these.
+    """
+    own = fps.select(F.col(fp).alias("fp")).where("fp IS NOT NULL").distinct()
+    met = block_tables(own, radius, blocks, "a").join(block_tables(own, radius, blocks, "b"), "slot")
     return met.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b").distinct()
+
+
+def near_ids(prints: DataFrame, radius: int = RADIUS, *, key: str = "doc_id", fp: str = "fingerprint") -> DataFrame:
+    """prints with near_id: the smallest key that fingerprints (16 hex digits) at most `radius` bits apart lead to, one after another.
+
+    Equal fingerprints are collapsed first. They meet in the permuted block tables, through representatives where a slot is
+    crowded (`simhash_dedup.linked`), and whole distances are verified; no link is lost. A row without a fingerprint keeps its
+    own key; where all keys of a group are null the id is null. An empty table gives an empty result; rows are kept as they are.
+    """
+    prints = settle(prints, "prints")
+    own = F.conv(F.col(fp), 16, -10).cast("long")
+    distinct = settle(prints.where(F.col(fp).isNotNull()).groupBy(own.alias("fp")).agg(F.min(key).alias("least")), "distinct")
+    rows = distinct.count()
+    blocks = blocks_for(rows, radius)
+    roots = linked(distinct.select("fp"), rows, radius, tables=lambda fps, name, _, *more: block_tables(fps, radius, blocks, name, *more))
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("near_id"))
+    changed = rooted.join(least, "root").select(F.lpad(F.lower(F.hex("fp")), 16, "0").alias("_fp"), F.struct("near_id").alias("_near"))
+    return prints.join(changed, F.col(fp) == F.col("_fp"), "left").withColumn("near_id", F.when(F.col(fp).isNull(), F.col(key)).otherwise(F.col("_near.near_id"))).drop("_fp", "_near")

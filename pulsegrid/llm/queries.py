@@ -70,7 +70,7 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.edit_likeness(_read(spark, sf_dir))
+    return fingerprints.near_ids(fingerprints.edit_likeness(_read(spark, sf_dir)))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ segment's table, and what it meets there is kept if the distance over all 64 bit
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -115,20 +115,23 @@ def _met(asked: DataFrame, there: DataFrame, crowds: DataFrame) -> DataFrame:
     return alone.unionByName(within.join(rest, "slot").select(*names)).unionByName(other.join(there, ["slot", "b_root"]).select(*names)).where(F.col("root") != F.col("b_root"))
 
 
-def linked(fps: DataFrame, rows: int, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+def linked(fps: DataFrame, rows: int, radius: int = RADIUS, hot: int = HOT, tables: Callable[..., DataFrame] | None = None) -> DataFrame:
     """(node, root) of the components that all links() make; root is the smallest fingerprint. Fingerprints without a link are left out.
 
     Links within a component needn't all be found. First each fingerprint meets one of each slot it stands in, which joins most of
     a dense cluster; then it looks up one of each crowd (over `hot` fingerprints of one component in a slot) until this joins no
     more; at last fingerprints of different components look one another up, crowds never within themselves.
+    `tables` (fps, name, ball, *more columns) may deal other slots than multi-index hashing does, such that of two fingerprints
+    within the radius one stands in a slot that the other looks up.
     """
-    own = _tables(fps, rows, radius, "b", False)
+    deal = tables or (lambda fps, name, ball, *more: _tables(fps, rows, radius, name, ball, *more))
+    own = deal(fps, "b", False)
     met = settle(own.join(own.groupBy("slot").agg(F.min("b").alias("a")), "slot").where((F.col("a") < F.col("b")) & _near(radius)).select("a", "b").distinct(), "met")
     while True:
         first = components(met)
         state = settle(fps.join(first, fps["fp"] == first["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
-        there = _tables(state, rows, radius, "b", False, "root").withColumnRenamed("root", "b_root")
-        asked = _tables(state, rows, radius, "a", True, "root")
+        there = deal(state, "b", False, "root").withColumnRenamed("root", "b_root")
+        asked = deal(state, "a", True, "root")
         crowds = _crowds(there, hot)
         if not crowds.limit(1).count():
             break

@@ -7,6 +7,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pulsegrid.llm import additive_index, fingerprints, language_id, queries, secret_scan, simhash_dedup, token_files
 from pulsegrid.llm.common import by_ranges
@@ -135,8 +136,32 @@ def edits_by_hand(docs):
     return out
 
 
+def near_by_hand(prints, radius=fingerprints.RADIUS):
+    """prints: (id, hex). The smallest id that fingerprints within the radius lead to, from all pairs of different ones."""
+    least = {}
+    for d, fp in prints:
+        least[int(fp, 16)] = min((x for x in (d, least.get(int(fp, 16))) if x is not None), default=None)
+    root = {f: f for f in least}
+
+    def top(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for a in least:
+        for b in least:
+            if a < b and (a ^ b).bit_count() <= radius:
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    ids = defaultdict(set)
+    for f, d in least.items():
+        ids[top(f)].add(d)
+    return {d: min((x for x in ids[top(int(fp, 16))] if x is not None), default=None) for d, fp in prints}
+
+
 def test_fingerprints_of_edits(spark, sf_dir):
-    got = {r.doc_id: tuple(r)[1:] for r in queries.op8_fingerprints(spark, sf_dir).collect()}
+    found = queries.op8_fingerprints(spark, sf_dir).collect()
+    assert {r.doc_id: r.near_id for r in found} == near_by_hand([(r.doc_id, r.fingerprint) for r in found])
+    got = {r.doc_id: tuple(r)[1:7] for r in found}
     assert got == edits_by_hand(texts(spark, sf_dir))
     long = [v for v in got.values() if v[0] > 300]
     assert np.mean([v[4] for v in long]) > np.mean([v[5] for v in long]) + 0.1
@@ -165,6 +190,29 @@ def test_permuted_block_tables(spark, radius, blocks):
     assert {tuple(r) for r in fingerprints.within(frame, radius, blocks).collect()} == want
 
 
+@pytest.mark.parametrize("radius", [0, 3, 5])
+def test_near_ids(spark, radius):
+    """Chains, a dense cluster, copies, a null id and no fingerprint: the groups that all pairs make."""
+    rng = random.Random(radius)
+    base = [rng.getrandbits(64) for _ in range(20)]
+    near = [b ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(8))) for b in base for _ in range(5)]
+    dense = [base[0] ^ sum(1 << i for i in rng.sample(range(14), rng.randrange(6))) for _ in range(300)]
+    prints = [(i, f"{f:016x}") for i, f in enumerate(rng.sample([*base, *near, *dense, *dense[:50], 0, 2**64 - 1, *[base[3]] * 40], 511))]
+    lone = next(x for x in range(2**20, 2**40, 999_983) if all((x ^ int(f, 16)).bit_count() > radius for _, f in prints))
+    prints.append((None, f"{lone:016x}"))
+    frame = spark.createDataFrame([*prints, prints[5], (9000, None), (None, None)], "doc_id long, fingerprint string").withColumn("fp", F.lit(1)).withColumn("root", F.lit("x"))
+    got = fingerprints.near_ids(frame, radius)
+    assert got.columns == [*frame.columns, "near_id"] and got.count() == len(prints) + 3
+    assert {r.doc_id: r.near_id for r in got.where("fingerprint IS NOT NULL").collect()} == near_by_hand(prints, radius)
+    assert {(r.doc_id, r.near_id) for r in got.where("fingerprint IS NULL").collect()} == {(9000, 9000), (None, None)}
+    assert fingerprints.near_ids(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("rows_", "radius", "blocks"), [(0, 3, 4), (250_000, 3, 4), (2_000_000, 3, 5), (2**31, 3, 6), (100, 0, 1)])
+def test_blocks_for(rows_, radius, blocks):
+    assert fingerprints.blocks_for(rows_, radius) == blocks
+
+
 def ids_by_hand(docs):
     from tokenizers import Tokenizer
 
