@@ -14,6 +14,10 @@ from pulsegrid.operators.intervals import REC, _order, contain_join, merge_gaps,
 
 #: Length of the time buckets in which islands are first found, as multiples of the gap.
 BUCKET = 10_000
+#: Length of the spans in which neighbouring samples are found, in units of their order (600 s of whole microseconds).
+SPAN = 600_000_000
+#: Rows of a block in which running frames are worked out.
+ROWS = 262_144
 
 
 def gap_islands(events: DataFrame, max_gap: int, min_n: int = 2) -> DataFrame:
@@ -44,12 +48,30 @@ def with_isi(events: DataFrame, *by: str) -> DataFrame:
     return events.withColumn("isi", F.col("t") - F.lag("t").over(Window.partitionBy(REC, *by).orderBy("t")))
 
 
-def singlets(events: DataFrame, margin: int) -> DataFrame:
-    """Events at least `margin` from both neighbours that exist; recordings of one event have none."""
-    w = _order("t")
-    before, after = F.col("t") - F.lag("t").over(w), F.lead("t").over(w) - F.col("t")
-    marked = events.withColumn("_b", before).withColumn("_a", after)
-    return marked.where((F.col("_b").isNotNull() | F.col("_a").isNotNull()) & F.coalesce(F.col("_b") >= margin, F.lit(True)) & F.coalesce(F.col("_a") >= margin, F.lit(True))).drop("_b", "_a")
+def with_sides(samples: DataFrame, order: str = "t", value: str = "v", span: int = SPAN) -> DataFrame:
+    """samples with _p and _n, the value before and after in the recording (null: none), and _i, their number from 1; ties go by value.
+
+    Neighbours are found within spans of `order`, which spreads even one huge recording. A span's first and last value and its count make
+    a short row, and only these meet by recording: they tell what the first and last sample of each span have beside them.
+    """
+    place = F.floor(F.col(order) / span).cast("long")
+    dealt = samples.withColumn("_span", place)
+    both = F.struct(F.col(order).alias("o"), F.col(value).alias("v"))
+    ends = dealt.groupBy(F.col(REC).alias("_rec"), F.col("_span").alias("_own")).agg(F.min(both).alias("_lo"), F.max(both).alias("_hi"), F.count("*").alias("_rows"))
+    by_span = Window.partitionBy("_rec").orderBy("_own")
+    sides = ends.select("_rec", "_own", "_rows", F.lag("_hi.v").over(by_span).alias("_before"), F.lead("_lo.v").over(by_span).alias("_after"), F.coalesce(F.sum("_rows").over(by_span.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
+    w = Window.partitionBy(REC, "_span").orderBy(order, value)
+    numbered = dealt.withColumn("_k", F.row_number().over(w)).withColumn("_lag", F.lag(value).over(w)).withColumn("_lead", F.lead(value).over(w))
+    met = numbered.join(sides, F.col(REC).eqNullSafe(F.col("_rec")) & F.col("_span").eqNullSafe(F.col("_own")))
+    before, after = F.when(F.col("_k") == 1, F.col("_before")).otherwise(F.col("_lag")), F.when(F.col("_k") == F.col("_rows"), F.col("_after")).otherwise(F.col("_lead"))
+    return met.select(*samples.columns, before.alias("_p"), after.alias("_n"), (F.col("_earlier") + F.col("_k")).alias("_i"))
+
+
+def singlets(events: DataFrame, margin: int, span: int = SPAN) -> DataFrame:
+    """Events at least `margin` from both neighbours that exist; recordings of one event have none. See with_sides for `span`."""
+    marked = with_sides(events, "t", "t", span)
+    before, after = F.col("t") - F.col("_p"), F.col("_n") - F.col("t")
+    return marked.where((before.isNotNull() | after.isNotNull()) & F.coalesce(before >= margin, F.lit(True)) & F.coalesce(after >= margin, F.lit(True))).select(*events.columns)
 
 
 def neighbour_counts(events: DataFrame, before: int, after: int, around: int) -> DataFrame:
@@ -216,27 +238,37 @@ def threshold_runs(samples: DataFrame, threshold: float | Column, value: str = "
     return above.withColumn("_run", run).groupBy(REC, "_run").agg(F.min(i).alias("first"), F.max(i).alias("last")).drop("_run")
 
 
-def local_extrema(samples: DataFrame, kind: str = "max", order: str = "t", value: str = "v", threshold: float | None = None, at: str = "next") -> DataFrame:
-    """Samples strictly above (below) both neighbours; with a threshold the next (or with at="peak" the same) sample must exceed it."""
+def local_extrema(samples: DataFrame, kind: str = "max", order: str = "t", value: str = "v", threshold: float | None = None, at: str = "next", span: int = SPAN) -> DataFrame:
+    """Samples strictly above (below) both neighbours; with a threshold the next (or with at="peak" the same) sample must exceed it.
+
+    See with_sides for `span`, which is in units of `order`.
+    """
     sign = 1 if kind == "max" else -1
-    x, w = F.col(value) * sign, _order(order)
-    marked = samples.withColumn("_x", x).withColumn("_p", F.lag(x).over(w)).withColumn("_n", F.lead(x).over(w))
-    found = marked.where("_p < _x AND _x > _n")
+    x, before, after = (F.col(c) * sign for c in (value, "_p", "_n"))
+    found = with_sides(samples, order, value, span).where((before < x) & (x > after))
     if threshold is not None:
-        found = found.where(F.col("_n" if at == "next" else "_x") > sign * threshold)
-    return found.drop("_x", "_p", "_n")
-
+        found = found.where((after if at == "next" else x) > sign * threshold)
+    return found.select(*samples.columns)
 
-def running_rms(samples: DataFrame, width: int, order: str = "t", value: str = "v") -> DataFrame:
-    """samples with rms: root of the sum of squares in the frame of `width` rows around each, divided by width at the edges too."""
-    frame = _order(order).rowsBetween(-(width // 2), (width - 1) // 2)
-    return samples.withColumn("rms", F.sqrt(F.sum(F.col(value) * F.col(value)).over(frame) / width))
 
+def running_rms(samples: DataFrame, width: int, order: str = "t", value: str = "v", span: int = SPAN, rows: int = ROWS) -> DataFrame:
+    """samples with rms: root of the sum of squares in the frame of `width` rows around each, divided by width at the edges too.
 
-def line_length(samples: DataFrame, order: str = "t", value: str = "v") -> DataFrame:
-    """(rec_id, ll): sum of the absolute differences of neighbouring samples."""
-    step = F.abs(F.col(value) - F.lag(value).over(_order(order)))
-    return samples.withColumn("_d", step).groupBy(REC).agg(F.coalesce(F.sum("_d"), F.lit(0.0)).alias("ll"))
+    Samples are numbered (with_sides) and dealt in blocks of `rows`; a block also gets the samples beside it that its frames reach.
+    """
+    back, ahead, size = width // 2, (width - 1) // 2, max(rows, width)
+    numbered = with_sides(samples, order, value, span).drop("_p", "_n")
+    own = F.expr(f"_i div {size}")
+    reach = F.explode(F.sequence(F.expr(f"greatest(_i - {ahead}, 0) div {size}"), F.expr(f"(_i + {back}) div {size}")))
+    frame = Window.partitionBy(REC, "_block").orderBy("_i").rowsBetween(-back, ahead)
+    dealt = numbered.withColumn("_block", reach)
+    return dealt.withColumn("rms", F.sqrt(F.sum(F.col(value) * F.col(value)).over(frame) / width)).where(F.col("_block") == own).select(*samples.columns, "rms")
+
+
+def line_length(samples: DataFrame, order: str = "t", value: str = "v", span: int = SPAN) -> DataFrame:
+    """(rec_id, ll): sum of the absolute differences of neighbouring samples, which are found by spans (with_sides)."""
+    step = F.abs(F.col(value) - F.col("_p"))
+    return with_sides(samples.select(REC, order, value), order, value, span).withColumn("_d", step).groupBy(REC).agg(F.coalesce(F.sum("_d"), F.lit(0.0)).alias("ll"))
 
 
 def zscore(df: DataFrame, value: str, *by: str, name: str = "z") -> DataFrame:

@@ -79,8 +79,7 @@ def spectral_events(power: DataFrame, dead_time: int, percent: float = 35.0, mod
     Power is standardised by recording first unless it is `standardised`.
     """
     z = power.where("v IS NOT NULL").select(REC, "t", "v") if standardised else E.zscore(power, "v", REC).where("z IS NOT NULL").select(REC, "t", F.col("z").alias("v"))
-    w = Window.partitionBy(REC).orderBy("t")
-    near = z.withColumn("_p", F.lag("v").over(w)).withColumn("_n", F.lead("v").over(w)).withColumn("_i", F.row_number().over(w))
+    near = E.with_sides(z)
     flat = (F.col("v") == F.col("_p")) | (F.col("v") == F.col("_n"))
     border = F.col("_p").isNull() | F.col("_n").isNull()
     tops = near.withColumn("_flat", F.coalesce(flat, F.lit(False))).where(F.expr("_p < v AND v > _n") | F.col("_flat") | border)
