@@ -480,7 +480,7 @@ def change_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STATE_OF = {"view": "IIP", "click": "IIP", "purchase": "preUp", "signup": "postUp", "error": "art"}
-STATES = S.StateParams(first_buffer=60 * HOUR, last_buffer=80 * HOUR, quiet=30 * HOUR, least_iip=20 * HOUR, medium=(2,), medium_share=0.3, bucket=WIDTH)
+KIND_STATES = S.StateParams(first_buffer=60 * HOUR, last_buffer=80 * HOUR, quiet=30 * HOUR, least_iip=20 * HOUR, medium=(2,), medium_share=0.3, bucket=WIDTH)
 
 
 def _contiguous(ev: DataFrame) -> DataFrame:
@@ -495,18 +495,18 @@ def state_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def state_voids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.nibble(_contiguous(train(spark, sf_dir)), STATES).select("rec_id", "start", "stop", "state")
+    return S.nibble(_contiguous(train(spark, sf_dir)), KIND_STATES).select("rec_id", "start", "stop", "state")
 
 
 def state_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = train(spark, sf_dir)
-    return S.validate_increases(S.with_integrity(_contiguous(ev)), ev, STATES)
+    return S.validate_increases(S.with_integrity(_contiguous(ev)), ev, KIND_STATES)
 
 
 def state_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = train(spark, sf_dir)
     made = E.bursts(ev, GAP, MERGE).withColumn("rank", F.when(F.col("b_n") >= 3, 2))
-    return S.join_dense(S.merge_states(S.with_integrity(_contiguous(ev))), made, STATES)
+    return S.join_dense(S.merge_states(S.with_integrity(_contiguous(ev))), made, KIND_STATES)
 
 
 def gmm_each(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -848,15 +848,15 @@ best AS (SELECT s.rec_id, s.start, s.stop, e.t, b, row_number() OVER (PARTITION
 placed AS (SELECT *, row_number() OVER (PARTITION BY rec_id, start, stop, b ORDER BY abs(t - b), t) AS place FROM best WHERE k = 1)
 SELECT DISTINCT rec_id, t FROM placed WHERE place > 1 AND stop - t > 0.8 AND t - start > 0.6""",
     "state_integrity": f"""WITH {_EV}, {_STATES}, {_merged('made', 'sound')} SELECT * FROM made""",
-    "state_voids": f"""WITH {_EV}, {_STATES}, {_void_end('va', 'st', 'start', STATES.first_buffer)}, {_void_end('vb', 'va', 'stop', STATES.last_buffer)},
+    "state_voids": f"""WITH {_EV}, {_STATES}, {_void_end('va', 'st', 'start', KIND_STATES.first_buffer)}, {_void_end('vb', 'va', 'stop', KIND_STATES.last_buffer)},
 n AS (SELECT *, coalesce(lag(state) OVER w = 'art', false) OR coalesce(lead(state) OVER w = 'art', false) AS beside FROM vb WINDOW w AS (PARTITION BY rec_id ORDER BY start, stop))
-SELECT rec_id, start, stop, CASE WHEN beside AND (state IN ('postUp', 'preUp', 'depr', 'dense') OR (state = 'IIP' AND stop - start < {STATES.quiet})) THEN 'void' ELSE state END AS state FROM n""",
+SELECT rec_id, start, stop, CASE WHEN beside AND (state IN ('postUp', 'preUp', 'depr', 'dense') OR (state = 'IIP' AND stop - start < {KIND_STATES.quiet})) THEN 'void' ELSE state END AS state FROM n""",
     "state_validation": f"""WITH {_EV}, {_STATES}, c AS (SELECT s.*, (SELECT count(*) FROM ev WHERE ev.rec_id = s.rec_id AND t >= s.start AND (t < s.stop OR (t = s.stop AND NOT EXISTS (SELECT 1 FROM st n WHERE n.rec_id = s.rec_id AND n.start = s.stop)))) AS n FROM sound s),
 d AS (SELECT *, coalesce(sum(CASE WHEN state = 'IIP' THEN stop - start END) OVER r, 0) AS total, coalesce(sum(CASE WHEN state = 'IIP' THEN n END) OVER r, 0) AS k FROM c WINDOW r AS (PARTITION BY rec_id)),
-e AS (SELECT *, total < {STATES.least_iip} AND state IN ('preUp', 'postUp', 'IIP') AS lost FROM d)
+e AS (SELECT *, total < {KIND_STATES.least_iip} AND state IN ('preUp', 'postUp', 'IIP') AS lost FROM d)
 SELECT rec_id, start, stop, CASE WHEN lost THEN 'void' WHEN state IN ('preUp', 'postUp') AND n * total <= k * (stop - start) THEN 'IIP' ELSE state END AS state, CASE WHEN NOT lost THEN begins END AS begins, CASE WHEN NOT lost THEN ends END AS ends FROM e""",
     "state_density": f"""WITH {_EV}, {_BURSTS}, {_STATES}, {_merged('made', 'sound')},
-f AS (SELECT m.*, coalesce((SELECT sum(b.stop - b.start) FROM bursts b WHERE b.rec_id = m.rec_id AND b.b_n >= 3 AND m.state = 'IIP' AND b.start < m.stop AND b.stop > m.start) > {STATES.medium_share} * (m.stop - m.start), false) AS whole FROM made m),
+f AS (SELECT m.*, coalesce((SELECT sum(b.stop - b.start) FROM bursts b WHERE b.rec_id = m.rec_id AND b.b_n >= 3 AND m.state = 'IIP' AND b.start < m.stop AND b.stop > m.start) > {KIND_STATES.medium_share} * (m.stop - m.start), false) AS whole FROM made m),
 g AS (SELECT * REPLACE (CASE WHEN whole OR ((coalesce(lag(whole) OVER w, false) OR coalesce(lead(whole) OVER w, false)) AND state IN ('preUp', 'postUp')) THEN 'Mdense' ELSE state END AS state) FROM f WINDOW w AS (PARTITION BY rec_id ORDER BY start, stop)),
 {_merged('dense', 'g', "state = 'Mdense'")} SELECT * FROM dense""",
     "change_spans": f"""WITH RECURSIVE {_EV}, {_INDEXED}, zc AS (SELECT rec_id, i, v, count(*) OVER w AS n, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS z FROM ix WINDOW w AS (PARTITION BY rec_id) QUALIFY stddev_pop(v) OVER w > 0),

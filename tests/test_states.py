@@ -28,6 +28,18 @@ def test_severe_periods(spark):
     assert seen(S.severe_periods(bursts.limit(0), bounds(spark, 0, 9), P)) == [(0, 9, "temp")]
 
 
+def test_severe_periods_of_the_query_join_bursts_within_the_scaled_gap(spark, tmp_path):
+    """Bursts of five events ten days apart are one IP, as a gap of 180 s is 15 days here; 16 days apart they are two."""
+    first, hour, day = 1_704_067_200, 3600, 86_400
+    times = [a + k * hour for a in (0, 10 * day, 26 * day + 4 * hour) for k in range(5)]
+    rows = [(k, t, 1, "view", 1.0) for k, t in enumerate(times)]
+    frame = spark.createDataFrame(rows, "event_id long, t long, user_id long, event_type string, value double")
+    frame.selectExpr("event_id", f"timestamp_seconds({first} + t) AS ts", "user_id", "event_type", "value").write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted((r.start // SECOND - first, r.stop // SECOND - first, r.state) for r in Q.severe_periods(spark, str(tmp_path)).collect())
+    two = 10 * day + 4 * hour
+    assert got == [(0, two, "IP"), (two, two + 16 * day, "temp"), (two + 16 * day, two + 16 * day + 4 * hour, "IP")]
+
+
 def test_falling_changes():
     assert S.falling_changes(np.array([1.0] * 10 + [-1.0] * 10), 1.5, 0.1) == [10]
     assert S.falling_changes(np.array([-1.0] * 10 + [1.0] * 10), 1.5, 0.1) == []
