@@ -466,7 +466,7 @@ def chunked_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunked_amplitude_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples stand for evenly spaced ones, a second apart; events are those of kind error."""
     ev = train(spark, sf_dir)
-    placed = ev.withColumn("i", F.row_number().over(Window.partitionBy("rec_id").orderBy("t")) - 1).where("kind = 'error'")
+    placed = ev.withColumn("i", (F.row_number().over(Window.partitionBy("rec_id").orderBy("t")) - 1).cast("long")).where("kind = 'error'")
     return R.amplitude_events(_chunks(spark, sf_dir), placed.select("rec_id", (F.col("i") * SECOND).alias("t")), SECOND, 3 * SECOND, 1.0, "pos")
 
 
