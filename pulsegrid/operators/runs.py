@@ -48,6 +48,7 @@ def standardised(chunks: DataFrame, stats: DataFrame | None = None) -> DataFrame
 def running_rms(chunks: DataFrame, width: int) -> DataFrame:
     """chunks with rms: the root of the sum of squares in the frame of `width` samples around each, by width at the edges too."""
     before, after = width // 2, (width - 1) // 2
+    ones, none = np.ones(width), np.zeros(0)
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -55,7 +56,7 @@ def running_rms(chunks: DataFrame, width: int) -> DataFrame:
             for a, v, b in zip(f["left"], f["v"], f["right"], strict=True):
                 x = np.concatenate([np.zeros(before - len(a)), np.asarray(a, float), np.asarray(v, float), np.asarray(b, float), np.zeros(after - len(b))])
                 x = np.nan_to_num(x) ** 2
-                out.append(np.sqrt(np.maximum(np.convolve(x, np.ones(width), "valid"), 0) / width).tolist() if len(v) else [])
+                out.append(np.sqrt(np.maximum(np.convolve(x, ones, "valid"), 0) / width) if len(v) else none)
             yield f[[REC, "chunk_id", "i0", "sr", "v"]].assign(rms=out)
 
     kind = chunks.schema[REC].dataType.simpleString()
@@ -63,18 +64,21 @@ def running_rms(chunks: DataFrame, width: int) -> DataFrame:
     return haloed.mapInPandas(each, f"{REC} {kind}, chunk_id long, i0 long, sr double, v array<double>, rms array<double>")
 
 
-def of_chunks(chunks: DataFrame, columns: list[str], find: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
-    """(rec_id, first, last, ...) of find(i0, *arrays) for the array columns of each chunk; `schema` names what find's frames have besides first and last."""
+def of_chunks(chunks: DataFrame, columns: list[str], find: Callable[..., dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """(rec_id, first, last, ...) of find(*arrays) for the array columns of each chunk; `schema` names what find's arrays are besides first and last.
+
+    Arrays of a batch of chunks become one frame: chunks can be short and many.
+    """
     own = chunks.select(REC, "i0", *columns)
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            parts = []
-            for rec, i0, *arrays in f.itertuples(index=False):
-                found = find(*(np.asarray(x, float) for x in arrays))
-                parts.append(found.assign(**{REC: rec, "first": found["first"] + i0, "last": found["last"] + i0}))
+            parts = [find(*(np.asarray(x, float) for x in arrays)) for arrays in zip(*(f[c] for c in columns), strict=True)]
             if parts:
-                yield pd.concat(parts, ignore_index=True)
+                own = np.repeat(np.arange(len(f)), [len(p["first"]) for p in parts])
+                found = {n: np.concatenate([p[n] for p in parts]) for n in parts[0]}
+                i0 = f["i0"].to_numpy()[own]
+                yield pd.DataFrame({REC: f[REC].iloc[own].reset_index(drop=True)} | found | {n: found[n] + i0 for n in ("first", "last")})
 
     return own.mapInPandas(each, f"{REC} {chunks.schema[REC].dataType.simpleString()}, {RUN}{', ' + schema if schema else ''}")
 
@@ -100,9 +104,9 @@ def along(*by: str):
 def at_or_above(chunks: DataFrame, limit: float) -> DataFrame:
     """(rec_id, first, last): runs of samples at or above limit, both ends included; a null or NaN ends a run."""
 
-    def find(v: np.ndarray) -> pd.DataFrame:
+    def find(v: np.ndarray) -> dict[str, np.ndarray]:
         a, z = edges(v >= limit)
-        return pd.DataFrame({"first": a, "last": z})
+        return {"first": a, "last": z}
 
     return joined(of_chunks(chunks, ["v"], find, ""))
 
@@ -113,11 +117,11 @@ def loud_stretches(chunks: DataFrame, sr: float, window: float = 1.0, high: floa
     Runs of the standardised running power at or above low, of at least low_time, that hold a run at or above high of more than
     high_time and in which non-negative runs of samples are crossing or more apart on average (or do not occur).
     """
-    powered = running_rms(chunks, int(sr * window))
+    powered = kept(running_rms(chunks, int(sr * window)), "power")  # read for the moments and for the runs
     stats = moments(powered.select(REC, F.col("rms").alias("v"))).select(F.col(REC).alias("_rec"), "mean", "sd")
     z = powered.join(stats, F.col(REC).eqNullSafe(F.col("_rec"))).where("sd > 0").withColumn("z", F.transform("rms", lambda x: (x - F.col("mean")) / F.col("sd")))
 
-    def parts_of(v: np.ndarray, z: np.ndarray) -> pd.DataFrame:
+    def parts_of(v: np.ndarray, z: np.ndarray) -> dict[str, np.ndarray]:
         """Runs of low power (with how often the signal turns non-negative in each, and how it is at both ends), and of high power."""
         a, b = edges(z >= low)
         up = v >= 0
@@ -127,7 +131,7 @@ def loud_stretches(chunks: DataFrame, sr: float, window: float = 1.0, high: floa
         c, d = edges(z >= high)
         none = np.zeros(len(c), bool)
         whole = {"first": (a, c), "last": (b, d), "ups": (inside, none.astype(int)), "head": (up[a], none), "tail": (up[b], none), "loud": (np.zeros(len(a), bool), ~none)}
-        return pd.DataFrame({n: np.concatenate(x) for n, x in whole.items()})
+        return {n: np.concatenate(x) for n, x in whole.items()}
 
     every = kept(of_chunks(z, ["v", "z"], parts_of, "ups long, head boolean, tail boolean, loud boolean"), "runs")
     touches = (F.lag("last").over(along()) + 1 == F.col("first")) & F.lag("tail").over(along()) & F.col("head")
@@ -144,9 +148,9 @@ def loud_stretches(chunks: DataFrame, sr: float, window: float = 1.0, high: floa
 def beyond(chunks: DataFrame, limit: float) -> DataFrame:
     """(rec_id, side, first, last): runs of samples at limit or more deviations from the recording's mean, above (1) and below (-1)."""
 
-    def find(z: np.ndarray) -> pd.DataFrame:
+    def find(z: np.ndarray) -> dict[str, np.ndarray]:
         parts = [(a, b, np.full(len(a), s)) for s, (a, b) in ((1, edges(z >= limit)), (-1, edges(z <= -limit)))]
-        return pd.DataFrame({n: np.concatenate([p[k] for p in parts]) for k, n in enumerate(("first", "last", "side"))})
+        return {n: np.concatenate([p[k] for p in parts]) for k, n in enumerate(("first", "last", "side"))}
 
     return joined(of_chunks(standardised(chunks), ["v"], find, "side int"), "side")
 
@@ -194,6 +198,7 @@ def amplitude_events(chunks: DataFrame, events: DataFrame, margin: int, dead_tim
     after = F.last(some(1), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     told = places.select(F.col(REC).alias("_rec"), "_chunk", "ts", before.cast("double").alias("before"), after.cast("double").alias("after"))
     met = chunks.withColumn("chunk", F.col("i0")).join(told, (F.col(REC) == F.col("_rec")) & (F.col("chunk") == F.col("_chunk"))).select(REC, "chunk", "i0", "sr", "v", "ts", "before", "after")
+    met = kept(met, "placed")  # read for the moments and for the crossings
 
     def cut(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         v = np.asarray(row.v, float)

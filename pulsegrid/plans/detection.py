@@ -154,7 +154,8 @@ def chunked_saturation_points(chunks: DataFrame, sr: float, stump_time: float =
 
 
 def chunked_masks(chunks: DataFrame, sr: float, stretch_margin: int = 3 * SECOND, point_margin: int = 2 * SECOND, min_distance: int = 100 * SECOND, loud: dict | None = None, saturated: dict | None = None) -> DataFrame:
-    """suggested_masks of chunks."""
+    """suggested_masks of chunks, which are written once, as both kinds of mask read them several times."""
+    chunks = kept(chunks, "chunks")
     return _fused(R.loud_stretches(chunks, sr, **(loud or {})), chunked_saturation_points(chunks, sr, **(saturated or {})), sr, stretch_margin, point_margin, min_distance)
 
 
@@ -197,8 +198,9 @@ def _points_of_runs(runs: DataFrame, stump: int, tooth: int, stump_width: float,
 def detect(chunks: DataFrame, width: int = 128, low: float = 4.0, high: float = 40.0, dead_time: int = 83_333, margin: int = SECOND // 5, limit: float = 4.5, polarity: str = "neg", threshold: float | None = None, scope: str = "recording") -> DataFrame:
     """(rec_id, t, kind) of chunked signals: events by band power (spectral) and by amplitude (amp), times from the recording's first sample.
 
-    Power is standardised over the windows there are and padded to the recording's length with zeros.
+    Power is standardised over the windows there are and padded to the recording's length with zeros. Chunks are written once, as all steps read them.
     """
+    chunks = kept(chunks, "chunks")
     rate = chunks.groupBy(REC).agg(F.first("sr").alias("_sr"), F.max(F.col("i0") + F.size("v")).alias("n"))
     at = (F.col("i") * SECOND / F.col("_sr")).cast("long").alias("t")
     bands = padded(G.band_power(chunks, width, low, high, scope=scope), rate.select(REC, "n"), width)

@@ -88,3 +88,11 @@ def test_detect(spark):
     chunks = G.to_chunks(samples(spark, v), 5000, sr)
     got = [r.t / SECOND for r in D.detect(chunks, threshold=2.0).where("kind = 'spectral'").orderBy("t").collect()]
     assert all(min(abs(t - g) for g in got) < 0.2 for t in at) and all(min(abs(t - g) for t in at) < 0.3 for g in got)
+
+
+def test_chunks_are_made_once(spark):
+    """Masks and events read chunks several times, so they are written first; what made them is not in the plan of the result."""
+    chunks = spark.range(3, 9).selectExpr("'r' AS rec_id", "id - 3 AS chunk_id", "(id - 3) * 32 AS i0", "1.0D AS sr", "transform(sequence(0, 31), x -> CAST(hash(x + id * 32) % 100 AS double)) AS v")
+    for made in (D.chunked_masks(chunks, 1.0, loud={"window": 4.0}), D.detect(chunks, 16, 0.1, 0.4, threshold=0.5)):
+        made.collect()
+        assert "Range (3, 9" not in made._jdf.queryExecution().optimizedPlan().toString()
