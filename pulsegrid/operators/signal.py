@@ -132,6 +132,11 @@ def _cells(p: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(p, 1e-300)) * 64).astype(np.int64)
 
 
+def _coded(p: np.ndarray) -> np.ndarray:
+    """The cell of each power (windows, bins), and in the last 16 bits the place of its bin, as bins follow one another."""
+    return (_cells(p) << 16) + np.arange(p.shape[1])
+
+
 def power_percentiles(windows: DataFrame, width: int, low: float, high: float, shares: tuple[float, float]) -> DataFrame:
     """(rec_id, bins array<struct<bin, lo, hi>>): exact percentiles (interpolated) of each bin's power over a recording.
 
@@ -143,9 +148,9 @@ def power_percentiles(windows: DataFrame, width: int, low: float, high: float, s
         for f in frames:
             for rec, sr, v, right in zip(f[REC], f["sr"], f["v"], f["right"], strict=True):
                 for _, bins, p in _powers(sr, v, right, width, low, high):
-                    for b, c in zip(bins.tolist(), _cells(p).T, strict=True):
-                        cell, n = np.unique(c, return_counts=True)
-                        yield rec, b, cell, n
+                    if p.size:
+                        code, n = np.unique(_coded(p), return_counts=True)
+                        yield rec, bins[code & 0xFFFF], code >> 16, n
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _frames(counted(frames), (REC, "bin", "cell", "n"))
@@ -164,11 +169,11 @@ def power_percentiles(windows: DataFrame, width: int, low: float, high: float, s
         for f in frames:
             for rec, sr, v, right, held in zip(f[REC], f["sr"], f["v"], f["right"], f["wanted"], strict=True):
                 for _, bins, p in _powers(sr, v, right, width, low, high):
-                    cells = _cells(p)
-                    for k, b in enumerate(bins.tolist()):
-                        hit = np.isin(cells[:, k], [w["cell"] for w in held if w["bin"] == b])
+                    if p.size:
+                        code = _coded(p)
+                        hit = np.isin(code, [(w["cell"] << 16) + w["bin"] - int(bins[0]) for w in held])
                         if hit.any():
-                            yield rec, b, cells[hit, k], p[hit, k]
+                            yield rec, bins[code[hit] & 0xFFFF], code[hit] >> 16, p[hit]
 
     def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _frames(picked(frames), (REC, "bin", "cell", "power"))
@@ -193,12 +198,12 @@ def band_power(chunks: DataFrame, width: int = 128, low: float = 4.0, high: floa
     """(rec_id, i, v): mean over the bins of each window's power, scaled by the bin's percentiles and cut off there, then standardised.
 
     With scope "chunk" percentiles and deviations are those of each chunk's windows instead of the recording's. The spectra of a
-    chunk are made again for each of the three passes; none is stored.
+    chunk are made again for each of the three passes; none is stored, but chunks with their halo and the means are written once.
     """
     if scope not in ("recording", "chunk"):
         raise ValueError(f"unknown scope: {scope}")
     kind = chunks.schema[REC].dataType.simpleString()
-    windows = _with_windows(chunks, width)
+    windows = kept(_with_windows(chunks, width), "windows")
     if scope == "recording":
         limits = power_percentiles(windows, width, low, high, (lo, hi)).withColumnRenamed(REC, "_rec")
         windows = windows.join(limits, F.col(REC).eqNullSafe(F.col("_rec"))).drop("_rec")
@@ -223,7 +228,7 @@ def band_power(chunks: DataFrame, width: int = 128, low: float = 4.0, high: floa
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _frames(scaled(frames), (REC, "i", "_of", "_m"))
 
-    mean = windows.select(REC, "i0", "sr", "v", "right", "bins").mapInPandas(each, f"{REC} {kind}, i long, _of long, _m double")
+    mean = kept(windows.select(REC, "i0", "sr", "v", "right", "bins").mapInPandas(each, f"{REC} {kind}, i long, _of long, _m double"), "means")
     by = [REC] if scope == "recording" else [REC, "_of"]
     stats = mean.groupBy(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(by))).agg(F.avg("_m").alias("_a"), F.stddev_pop("_m").alias("_s"))
     same = functools.reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)))
