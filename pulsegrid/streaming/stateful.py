@@ -7,6 +7,7 @@ left out by Spark. A recording that is silent for `keep` is forgotten, and begin
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,10 +18,15 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pulsegrid.functions import SECOND
 from pulsegrid.operators.signal import cusum
 
+#: Events of neighbouring buckets that share one entry of the state: each entry costs calls from Python to Spark.
+ENTRY = 4_096
 
 
 class _InOrder(StatefulProcessor):
-    """Keeps events (t, v) until the watermark has passed them and hands them on in order. They wait in buckets of `span` microseconds."""
+    """Keeps events (t, v) until the watermark has passed them and hands them on in order.
+
+    They wait in buckets of `span` microseconds; buckets that follow one another and have few events wait in the entry of the first.
+    """
 
     def __init__(self, keep: int, span: int):
         self.keep, self.span = keep, span
@@ -30,47 +36,76 @@ class _InOrder(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "bucket long", "ts array<long>, vs array<double>")
         self.last = handle.getValueState("last", "t long, before double, up double, down double, n long")
 
+    def _entries(self) -> set[int]:
+        return {b for (b,) in self.waiting.keys()}
+
     def _held(self, bucket: int) -> list[tuple[int, float]]:
-        if not self.waiting.containsKey((bucket,)):
-            return []
         ts, vs = self.waiting.getValue((bucket,))
         return list(zip(ts, vs, strict=True))
 
     def _hold(self, bucket: int, events: list[tuple[int, float]]) -> None:
         self.waiting.updateValue((bucket,), ([int(t) for t, _ in events], [float(v) for _, v in events]))
 
+    def _hold_all(self, events: list[tuple[int, float]], entries: set[int]) -> None:
+        """Adds events to the entries there are, and tells entries of new ones."""
+        by_bucket: dict[int, list] = {}
+        for e in events:
+            by_bucket.setdefault(e[0] // self.span, []).append(e)
+        packs: list[dict[int, list]] = []
+        size = 0
+        for bucket in sorted(by_bucket):
+            size += len(by_bucket[bucket])
+            if packs and size <= ENTRY:
+                packs[-1][bucket] = by_bucket[bucket]
+            else:
+                packs.append({bucket: by_bucket[bucket]})
+                size = len(by_bucket[bucket])
+        for pack in packs:
+            first = next(iter(pack))
+            old = self._held(first) if first in entries else []
+            if old and len(old) + sum(map(len, pack.values())) > ENTRY:
+                for bucket, own in pack.items():
+                    before = old if bucket == first else self._held(bucket) if bucket in entries else []
+                    self._hold(bucket, before + own)
+            else:
+                self._hold(first, old + [e for own in pack.values() for e in own])
+                pack = {first: None}
+            entries.update(pack)
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        entries = self._entries()
         for f in rows:
-            fresh: dict[int, list] = {}
-            for t, v in zip(f["t"].tolist(), f["v"].tolist(), strict=True):
-                fresh.setdefault(t // self.span, []).append((t, v))
-            for bucket, events in fresh.items():
-                self._hold(bucket, self._held(bucket) + events)
-        yield from self._ripe(key, timerValues)
+            self._hold_all(list(zip(f["t"].tolist(), f["v"].tolist(), strict=True)), entries)
+        yield from self._ripe(key, timerValues, entries)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._ripe(key, timerValues)
+        yield from self._ripe(key, timerValues, self._entries())
 
-    def _ripe(self, key: tuple, timer) -> list[pd.DataFrame]:
+    def _ripe(self, key: tuple, timer, entries: set[int]) -> list[pd.DataFrame]:
         """Takes the events that no earlier one can precede any more; a timer wakes the state for the next, or forgets it."""
-        passed, now, rest = timer.getCurrentWatermarkInMs() * 1000, [], []
-        for bucket in sorted(b for (b,) in self.waiting.keys()):
-            if bucket * self.span >= passed:
-                rest.append(bucket * self.span)
-                continue
-            events = sorted(self._held(bucket))
-            later = [e for e in events if e[0] >= passed]
-            now += [e for e in events if e[0] < passed]
-            if later:
-                self._hold(bucket, later)
-                rest.append(later[0][0])
+        passed = timer.getCurrentWatermarkInMs() * 1000
+        ripe = [b for b in entries if b * self.span < passed]
+        if len(ripe) > 1 and len(ripe) == len(entries):  # all in a few calls
+            held = [e for _, (ts, vs) in self.waiting.iterator() for e in zip(ts, vs, strict=True)]
+        else:
+            held = [e for b in ripe for e in self._held(b)]
+        held.sort()
+        at = bisect_left(held, passed, key=lambda e: e[0])
+        now, later = held[:at], held[at:]
+        if now:  # else the entries stay as they are
+            if len(ripe) == len(entries):
+                self.waiting.clear()
             else:
-                self.waiting.removeKey((bucket,))
+                for b in ripe:
+                    self.waiting.removeKey((b,))
+            entries.difference_update(ripe)
+            self._hold_all(later, entries)
+        rest = [b * self.span for b in entries if b * self.span >= passed] + [t for t, _ in later[:1]]
         out = self.take(key, now) if now else None
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
         if rest:
-            self.handle.registerTimer(rest[0] // 1000 + 1)
+            self.handle.registerTimer(min(rest) // 1000 + 1)
         elif self.last.exists():
             end = self.last.get()[0] + self.keep
             if end < passed:

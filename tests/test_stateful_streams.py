@@ -3,6 +3,7 @@
 import random
 from datetime import UTC, datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from pulsegrid.operators.signal import cusum
@@ -66,3 +67,64 @@ def test_alarms_of_shuffled_arrivals_and_forgotten_state(spark, tmp_path, rocks)
 def test_keep_is_longer_than_the_dead_time(spark):
     with pytest.raises(ValueError, match="longer"):
         T.thinned(spark.readStream.format("rate").load().selectExpr("'a' AS rec_id", "timestamp AS ts"), 10, "1 second", keep=5)
+
+
+def test_few_events_of_many_buckets_wait_in_few_entries():
+    """A month of events in buckets of a day: one entry is written and read, not one for each day; later events stay."""
+    day = 86_400_000_000
+    calls = []
+
+    class Entries(dict):
+        def keys(self):
+            return iter(list(super().keys()))
+
+        def getValue(self, k):
+            calls.append("get")
+            return self[k]
+
+        def updateValue(self, k, v):
+            calls.append("update")
+            self[k] = v
+
+        def iterator(self):
+            return iter(list(self.items()))
+
+        def removeKey(self, k):
+            calls.append("remove")
+            del self[k]
+
+        def containsKey(self, k):
+            calls.append("contains")
+            return k in self
+
+    class Last:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+
+        def update(self, v):
+            self.value = v
+
+    class Handle:
+        getMapState = lambda self, *a: Entries()
+        getValueState = lambda self, *a: Last()
+        listTimers = lambda self: []
+        deleteTimer = registerTimer = lambda self, t: None
+
+    class Timer:
+        at = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.at // 1000
+
+    state, timer = T._Thinning(60 * day, day, 1), Timer()
+    state.init(Handle())
+    times = [k * day // 2 for k in range(60)]
+    frame = pd.DataFrame({"t": times[::-1], "v": [0.0] * 60})
+    assert list(state.handleInputRows(("a",), iter([frame]), timer)) == []
+    timer.at = 20 * day
+    first = pd.concat(state.handleExpiredTimer(("a",), timer, None))["t"].tolist()
+    timer.at = 40 * day
+    rest = pd.concat(state.handleExpiredTimer(("a",), timer, None))["t"].tolist()
+    assert first == [t for t in times if t < 20 * day] and first + rest == times
+    assert len(calls) <= 8
