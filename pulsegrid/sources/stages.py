@@ -41,19 +41,20 @@ def write_stage(table: DataFrame, folder: str, stage: str, parameters: dict | No
     """table as `stage` of folder. Recordings of the table are replaced, others stay; parameters are kept with it.
 
     Recordings (a table with rec_id) that are given are replaced too if they have no row. Rows with a time (start or t) are dealt
-    by spans of `span` microseconds, so that a cutout reads only what it needs. Rows of a null recording are an error of the caller and are not kept.
+    by spans of `span` microseconds, so that a cutout reads only what it needs; a task sorts and writes rows of few spans, of one shuffled
+    partition. Rows of a null recording are an error of the caller and are not kept.
     """
     _known(stage)
     spark, run, at = table.sparkSession, time.time_ns() // 1000, _begins(table)
     place = F.floor(F.col(at) / span).cast("long") if at else F.lit(0).cast("long")
     rows = table.where(F.col(REC).isNotNull()).withColumn("_span", F.coalesce(place, F.lit(0))).withColumn("_run", F.lit(run))
-    rows.write.mode("append").partitionBy("_run", "_span").parquet(f"{folder}/{stage}/rows")
+    rows.hint("rebalance", "_span").write.mode("append").partitionBy("_run", "_span").parquet(f"{folder}/{stage}/rows")
     written = spark.read.schema(rows.schema).parquet(f"{folder}/{stage}/rows").where(F.col("_run") == run)
     named = written.select(REC) if recordings is None else written.select(REC).unionByName(recordings.select(F.col(REC).cast(table.schema[REC].dataType)))
     reach = written.groupBy(REC).agg(F.max(F.col("stop") - F.col("start")).alias("longest")) if {"start", "stop"} <= set(table.columns) else None
     index = named.distinct()
     index = index.join(reach, REC, "left") if reach is not None else index.withColumn("longest", F.lit(0).cast("long"))
-    index.select(REC, F.coalesce("longest", F.lit(0)).cast("long").alias("longest"), F.lit(run).alias("run"), F.lit(span).cast("long").alias("span"), F.lit(table.schema.json()).alias("columns")).coalesce(1).write.mode("append").parquet(f"{folder}/{stage}/index")
+    index.select(REC, F.coalesce("longest", F.lit(0)).cast("long").alias("longest"), F.lit(run).alias("run"), F.lit(span).cast("long").alias("span"), F.lit(table.schema.json()).alias("columns")).write.mode("append").parquet(f"{folder}/{stage}/index")
     if parameters is not None:
         note(spark, folder, stage, "parameters", json.dumps(parameters, sort_keys=True))
 

@@ -25,3 +25,11 @@ def test_signals_from_memory(spark):
     x = {"a": np.arange(1000.0), "b": np.zeros(0), "c": np.ones(256)}
     got = G.to_samples(stages.from_arrays(spark, x, 500.0, 256)).orderBy("rec_id", "i").collect()
     assert [(r.rec_id, r.i, r.v) for r in got] == [("a", i, float(i)) for i in range(1000)] + [("c", i, 1.0) for i in range(256)]
+
+
+def test_rows_of_one_span_are_written_by_one_task(spark, tmp_path):
+    """Tasks sort and write what was dealt to them by span, so a span has one file however many tasks made its rows."""
+    rows = spark.range(0, 800, 1, 8).selectExpr("CAST(id % 7 AS string) AS rec_id", "id AS t")
+    stages.write_stage(rows, str(tmp_path), "events", span=1_000_000)
+    assert len(list((tmp_path / "events" / "rows").rglob("*.parquet"))) == 1
+    assert stages.read_stage(spark, str(tmp_path), "events").count() == 800
