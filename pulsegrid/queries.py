@@ -590,7 +590,7 @@ def diagnostics_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = M.diagnostics(ev, E.bursts(ev, GAP, MERGE), I.analyzed_duration(I.bounds_of(ev), masks(ev)))
     own = made.select("rec_id", F.struct("n_events", F.round("rate", 9).alias("rate")).alias("events"), F.struct("n_bursts", F.round("tfrac_bursts", 9).alias("tfrac")).alias("bursts"))
     documents.register(spark)
-    own.coalesce(8).write.format("documents").option("key", "rec_id").mode("append").save(folder)
+    own.write.format("documents").option("key", "rec_id").mode("append").save(folder)
     back = spark.read.schema(own.schema).json(folder, multiLine=True)
     return back.select("rec_id", "events.n_events", "events.rate", "bursts.n_bursts", "bursts.tfrac")
 

@@ -33,3 +33,14 @@ def test_rows_of_one_span_are_written_by_one_task(spark, tmp_path):
     stages.write_stage(rows, str(tmp_path), "events", span=1_000_000)
     assert len(list((tmp_path / "events" / "rows").rglob("*.parquet"))) == 1
     assert stages.read_stage(spark, str(tmp_path), "events").count() == 800
+
+
+def test_documents_are_written_by_all_tasks(spark, sf_dir, monkeypatch):
+    """Nothing before the writing of documents is drawn into a fixed number of tasks."""
+    from pulsegrid import queries as Q
+
+    def no(self, n):
+        raise AssertionError(f"coalesce({n})")
+
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", no)
+    assert Q.diagnostics_documents(spark, sf_dir).count() > 0
