@@ -53,7 +53,7 @@ class Encoder:
     each is a piece of its own. A file with another normaliser, splitting or model is used as it is, text by text.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 500_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -172,38 +172,55 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def pack(ids: np.ndarray) -> list[bytes]:
-    """The blocks of ids (uint32); all but the last are full."""
+def packed(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The blocks of ids (uint32), one after the other (uint8), and where each begins and the last ends; all but the last are full."""
     n = len(ids)
     full = -(-n // BLOCK)
-    padded = np.full(full * BLOCK, ids[-1] if n else 0, np.uint32)
+    if not n:
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    padded = np.full(full * BLOCK, ids[-1], np.uint32)
     padded[:n] = ids
     values = padded.reshape(full, BLOCK)
     least = values.min(axis=1)
     diff = values - least[:, None]
     lengths = np.zeros(diff.shape, np.uint8)
-    for bit in range(int(diff.max()).bit_length() if n else 0):
-        lengths += diff >= (1 << bit)
-    width = np.sort(lengths, axis=1)[:, int(np.ceil(SHARE * BLOCK)) - 1].astype(int)
+    for bit in range(int(diff.max()).bit_length()):
+        lengths += diff >= np.uint32(1 << bit)
+    at = int(np.ceil(SHARE * BLOCK)) - 1
+    width = np.partition(lengths, at, axis=1)[:, at].astype(int)
     width = np.maximum(width, np.where((lengths > width[:, None]).sum(axis=1) > 255, 32, 0))
-    blocks: list[bytes] = [b""] * full
-    for w in np.unique(width):
+    block, place = np.nonzero(lengths > width[:, None])
+    odd = np.bincount(block, minlength=full)
+    starts = np.append(0, np.cumsum(8 + 32 * width + 5 * odd))
+    head = np.zeros((full, 8), np.uint8)
+    head[:, :4] = least.astype("<u4").view(np.uint8).reshape(full, 4)
+    head[:, 4], head[:, 5] = width, odd
+    head[:, 6:] = np.where(np.arange(full) < full - 1, BLOCK, n - BLOCK * (full - 1)).astype("<u2").view(np.uint8).reshape(full, 2)
+    out = np.empty(starts[-1], np.uint8)
+    out[starts[:-1, None] + np.arange(8)] = head
+    low = diff.copy()
+    low[block, place] = 0
+    for w in np.unique(width[width > 0]).tolist():
         own = np.flatnonzero(width == w)
-        over = lengths[own] > w
-        low = np.where(over, 0, diff[own]).astype(np.uint64)
-        words = np.zeros((len(own), 4, int(w)), np.uint64)
-        groups = low.reshape(len(own), 4, 64)
-        for j in range(64 if w else 0):
-            at, shift = divmod(j * int(w), 64)
-            words[:, :, at] |= groups[:, :, j] << np.uint64(shift)
+        groups = low[own].reshape(-1, 64).T.astype(np.uint64)  # id j of each group of 64 in row j
+        words = np.zeros((w, groups.shape[1]), np.uint64)
+        for j in range(64):
+            at, shift = divmod(j * w, 64)
+            words[at] |= groups[j] << np.uint64(shift)
             if shift + w > 64:
-                words[:, :, at + 1] |= groups[:, :, j] >> np.uint64(64 - shift)
-        for i, b in enumerate(own):
-            odd = np.flatnonzero(over[i])
-            count = BLOCK if b < full - 1 else n - BLOCK * (full - 1)
-            head = int(least[b]).to_bytes(4, "little") + bytes((int(w), len(odd))) + count.to_bytes(2, "little")
-            blocks[b] = head + words[i].tobytes() + (odd.astype(np.uint8).tobytes() + diff[b, odd].astype("<u4").tobytes() if len(odd) else b"")
-    return blocks
+                words[at + 1] |= groups[j] >> np.uint64(64 - shift)
+        out[(starts[own] + 8)[:, None] + np.arange(32 * w)] = np.ascontiguousarray(words.T, "<u8").view(np.uint8).reshape(len(own), 32 * w)
+    begin = (starts[:-1] + 8 + 32 * width)[block]
+    nth = np.arange(len(block)) - np.repeat(np.cumsum(odd) - odd, odd)
+    out[begin + nth] = place
+    out[(begin + odd[block] + 4 * nth)[:, None] + np.arange(4)] = diff[block, place].astype("<u4").view(np.uint8).reshape(-1, 4)
+    return out, starts
+
+
+def pack(ids: np.ndarray) -> list[bytes]:
+    """The blocks of ids (uint32); all but the last are full."""
+    data, starts = packed(ids)
+    return [data[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
 
 
 def unpack(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -259,9 +276,9 @@ class Writer:
 
     def _put(self, ids: np.ndarray) -> None:
         for i in range(0, len(ids), BLOCK * 2048):
-            blocks = pack(ids[i : i + BLOCK * 2048])
-            self.offsets += (self.at + np.cumsum([0, *map(len, blocks)])[:-1]).tolist()
-            self.file.write(data := b"".join(blocks))
+            data, starts = packed(ids[i : i + BLOCK * 2048])
+            self.offsets += (self.at + starts[:-1]).tolist()
+            self.file.write(data)
             self.at += len(data)
 
     def close(self) -> None:

@@ -309,6 +309,21 @@ def test_blocks_round_trip(n, top):
         assert np.array_equal(token_files.unpack(data, starts[-1:]), ids[(len(starts) - 1) * 256 :])
 
 
+def test_packed_blocks_bit_by_bit():
+    """All blocks made at once have the bytes that the format asks for, block by block."""
+    rng, want = np.random.default_rng(3), []
+    ids = np.concatenate([rng.integers(0, top, 256 * 3, dtype=np.uint64) for top in (1, 2, 700, 50_257, 2**32)] + [np.where(rng.random(700) < 0.06, 40_000, 7)]).astype(np.uint32)
+    for at in range(0, len(ids), 256):
+        own = ids[at : at + 256].tolist()
+        diff = [x - min(own) for x in own + [own[-1]] * (256 - len(own))]
+        width = sorted(x.bit_length() for x in diff)[int(np.ceil(0.9 * 256)) - 1]
+        odd = [j for j, x in enumerate(diff) if x.bit_length() > width]
+        bits = [sum(diff[g + j] << (j * width) for j in range(64) if g + j not in odd).to_bytes(8 * width, "little") for g in range(0, 256, 64)]
+        want.append(min(own).to_bytes(4, "little") + bytes((width, len(odd))) + len(own).to_bytes(2, "little") + b"".join(bits) + bytes(odd) + b"".join(diff[j].to_bytes(4, "little") for j in odd))
+    data, starts = token_files.packed(ids)
+    assert data.tobytes() == b"".join(want) and starts.tolist() == np.cumsum([0, *map(len, want)]).tolist()
+
+
 def nearest_by_hand(vectors, asked, top=20):
     ids, x = np.array([v[0] for v in vectors]), np.array([v[1] for v in vectors], float)
     out = {}
