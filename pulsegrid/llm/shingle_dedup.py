@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import settle, slices, small
-from pulsegrid.llm.components import components
+from pulsegrid.llm.components import components, joined
 from pulsegrid.llm.simhash_dedup import RADIUS, SEED, linked, majority
 
 WORDS = 5
@@ -124,8 +124,7 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wor
     dealt = one.select("node", "n", F.posexplode("first").alias("at", "h"))
     beside = dealt.select("*", F.lag("node").over(by_h).alias("_b"), F.lead("node").over(by_h).alias("_a"))
     shared = settle(beside.where((F.col("_b") != F.col("node")) | (F.col("_a") != F.col("node"))).drop("_b", "_a"), "shared")
-    links = settle(_verified(settle(_by_fingerprint(nodes), "pairs"), own, nodes, words), "links")
-    roots = settle(components(links), "roots")
+    roots = settle(components(settle(_verified(settle(_by_fingerprint(nodes), "pairs"), own, nodes, words), "links")), "roots")
     of_size = F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(1.25)))  # similar sets are of one class or of neighbouring ones
     for turn in range(TURNS + 1):
         state = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("size", of_size)
@@ -143,9 +142,8 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wor
         if turn == TURNS:
             met = met.where("meets < size OR node < o_node")
         pairs = settle(met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct(), "pairs")
-        new = settle(_verified(pairs, own, nodes, words), "links")
-        links = links.unionByName(new)
-        roots = settle(components(links), "roots")
+        if pairs.limit(1).count() and (new := settle(_verified(pairs, own, nodes, words), "links")).limit(1).count():
+            roots = settle(joined(roots, new), "roots")
     rooted = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(rooted.join(least, "root").select("node", "component_id"), "node").select(F.col("key").alias(key), "component_id")

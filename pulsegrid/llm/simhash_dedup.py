@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import settle, slices, small
-from pulsegrid.llm.components import components
+from pulsegrid.llm.components import components, joined
 
 BITS, SEED = 64, 42
 WORDS, RADIUS, HOT = 4, 4, 64
@@ -127,8 +127,8 @@ def linked(fps: DataFrame, rows: int, radius: int = RADIUS, hot: int = HOT, tabl
     deal = tables or (lambda fps, name, ball, *more: _tables(fps, rows, radius, name, ball, *more))
     own = deal(fps, "b", False)
     met = settle(own.join(own.groupBy("slot").agg(F.min("b").alias("a")), "slot").where((F.col("a") < F.col("b")) & _near(radius)).select("a", "b").distinct(), "met")
+    first = components(met)
     while True:
-        first = components(met)
         state = settle(fps.join(first, fps["fp"] == first["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
         there = deal(state, "b", False, "root").withColumnRenamed("root", "b_root")
         asked = deal(state, "a", True, "root")
@@ -139,9 +139,9 @@ def linked(fps: DataFrame, rows: int, radius: int = RADIUS, hot: int = HOT, tabl
         more = settle(asked.join(ones, "slot").where((F.col("root") != F.col("b_root")) & _near(radius)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
         if not more.limit(1).count():
             break
-        met = met.unionByName(more)
+        first = joined(first, more)
     more = _met(asked, there, crowds).where((F.col("a") < F.col("b")) & _near(radius)).select("a", "b").distinct()
-    return components(met.unionByName(settle(more, "links")))
+    return joined(first, settle(more, "links"))
 
 
 def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:

@@ -9,7 +9,9 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from pulsegrid.llm import components as component_search
 from pulsegrid.llm import language_id, line_dedup, mixing, quality, queries, sentencepiece_codec, simhash_dedup
+from pulsegrid.llm.common import settle
 from pulsegrid.llm.components import components
 from tests.llm.fixtures import docs, empty, rows, with_nulls
 
@@ -169,6 +171,19 @@ def test_components(spark, seed):
     assert {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()} == root
 
 
+def test_stars_cost_no_round(spark, monkeypatch):
+    """Links that are stars are written once and no more; new links go on from the roots that are known."""
+    written = []
+    monkeypatch.setattr(component_search, "settle", lambda df, name: written.append(name) or settle(df, name))
+    frame = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    roots = components(frame([(1, i) for i in range(2, 40)] + [(50, 51), (51, 50)]))
+    want = {i: 1 for i in range(1, 40)} | {50: 50, 51: 50}
+    assert {r.node: r.root for r in roots.collect()} == want and len(written) == 1
+    assert component_search.joined(roots, frame([])) is roots and len(written) == 1
+    got = component_search.joined(roots, frame([(39, 51), (60, 61), (61, 62)]))
+    assert {r.node: r.root for r in got.collect()} == {x: 1 for x in want} | {60: 60, 61: 60, 62: 60}
+
+
 def targets_by_hand(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
