@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import line_dedup, mixing, quality, sentencepiece_codec, shingle_dedup
-from pulsegrid.llm.common import settle
+from pulsegrid.llm.common import distil
 from pulsegrid.llm.queries import tokenizer
 
 
@@ -70,8 +70,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; what each returns is written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), name)
-    return docs
+    """All stages over the documents of sf_dir; what each returns is written as Parquet and read again, and deleted once the next is written."""
+
+    def upto(k: int) -> DataFrame:
+        if not k:
+            return spark.read.parquet(f"{sf_dir}/documents.parquet")
+        name, stage = STAGES[k - 1]
+        return distil(lambda: stage(spark, upto(k - 1), sf_dir), name)
+
+    return upto(len(STAGES))

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 import pyarrow as pa
@@ -14,6 +16,9 @@ from pyspark.sql import functions as F
 
 #: Characters that one slice of documents holds at most, unless a single document is longer.
 SLICE_CHARS = 1_000_000
+#: With it Spark deletes the shuffle files of a job when the job has ended, not when the driver happens to collect its garbage.
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_written: ContextVar[list[str] | None] = ContextVar("_written", default=None)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -32,16 +37,50 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="pulsegrid-")
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Jobs within leave no shuffle files; afterwards the session is as it was."""
+    before = spark.conf.get(SWEEP, None)
+    spark.conf.set(SWEEP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SWEEP) if before is None else spark.conf.set(SWEEP, before)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there and a lost executor costs nothing."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    if (written := _written.get()) is not None:
+        written.append(path)
+    with swept(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def distil(make: Callable[[], DataFrame | tuple[DataFrame, ...]], *names: str):
+    """settle() of what make() returns, a frame for each name; tables that make() settled for itself are deleted then.
+
+    Nothing but these frames may read the tables of make() later on.
+    """
+    own: list[str] = []
+    token = _written.set(own)
+    try:
+        made = make()
+    finally:
+        _written.reset(token)
+    out = [settle(df, name) for df, name in zip(made if len(names) > 1 else [made], names, strict=True)]
+    spark = out[0].sparkSession
+    for path in own:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return out[0] if len(names) == 1 else tuple(out)
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """df marked for broadcast if it has at most `most` rows; otherwise the planner chooses a shuffled join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    with swept(df.sparkSession):
+        return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def fold(doc_id: Column | str = "doc_id") -> Column:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import settle, slices, small
+from pulsegrid.llm.common import distil, settle, slices, small, swept
 from pulsegrid.llm.components import components, joined
 from pulsegrid.llm.simhash_dedup import RADIUS, SEED, linked, majority
 
@@ -27,8 +27,9 @@ WORDS = 5
 #: Documents of the sample and shingles held as common, at most; in how many turns all meet one document of each shingle, and how
 #: many orders the shingles of one turn choose that document by. None of them changes the result.
 SAMPLE, COMMON, TURNS, SPREAD = 8_192, 50_000, 2, 4
-#: Shingles are counted in so many cells, by which most pairs are told apart without their sets.
-CELLS = 128
+#: Shingles are counted in so many cells, by which most pairs are told apart without their sets. Chance fills few cells alike only
+#: where they hold few, so large sets are also counted in more cells, of 4 to 8 shingles, FINE of them at most.
+CELLS, FINE = 128, 8_192
 
 
 def hashes(text: str, words: int = WORDS) -> np.ndarray:
@@ -46,6 +47,24 @@ def _node(own: np.ndarray) -> int:
     return xxh64_intdigest(own.tobytes(), SEED)
 
 
+def _fine(own: np.ndarray) -> bytes | None:
+    """How many of a large set are in each of its finer cells, a byte each; None if there are no more than CELLS or one holds too many."""
+    bits = min(len(own).bit_length() - 3, FINE.bit_length() - 1)
+    if 1 << max(bits, 0) <= CELLS:
+        return None
+    held = np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return held.astype(np.uint8).tobytes() if held.max() < 256 else None
+
+
+def _alike(x: bytes | None, y: bytes | None) -> bool:
+    """Whether sets of these counts in finer cells can be similar enough; so can those that were not counted. Two sizes of cells are told in the larger."""
+    if x is None or y is None:
+        return True
+    k = min(len(x), len(y))
+    p, q = (np.frombuffer(c, np.uint8).reshape(k, -1).sum(1, dtype=np.int64) for c in (x, y))
+    return 9 * int(np.minimum(p, q).sum()) >= 4 * int(p.sum() + q.sum())
+
+
 def _long(x: list[int]) -> pa.Array:
     return pa.array(np.array(x, np.uint64).view(np.int64))
 
@@ -62,12 +81,13 @@ def _common(docs: DataFrame, words: int) -> np.ndarray:
     """Sorted shingles that three or more documents of a sample have."""
     some = docs.where(F.pmod(F.xxhash64("key"), F.lit(max(1, -(-docs.count() // SAMPLE)))) == 0)
     each = _map(some, lambda _, own: {"h": _long(np.concatenate([*map(np.unique, own), np.empty(0, np.uint64)]))}, "h long", words)
-    often = each.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).select("h").toPandas()
+    with swept(docs.sparkSession):
+        often = each.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).select("h").toPandas()
     return np.sort(often["h"].to_numpy(np.int64).view(np.uint64))
 
 
 def _firsts(docs: DataFrame, words: int) -> DataFrame:
-    """(key, node, fp, n, cells, first): a number for the set of shingles, fingerprint, size, how many shingles are in each cell, and first shingles in the common order."""
+    """(key, node, fp, n, cells, fine, first): a number for the set of shingles, fingerprint, size, how many shingles are in each cell and finer cell, and first shingles in the common order."""
     common = _common(docs, words)
 
     def each(rows: dict, own: list[np.ndarray]) -> dict:
@@ -76,9 +96,9 @@ def _firsts(docs: DataFrame, words: int) -> DataFrame:
         for s in sets:
             late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
             first.append(np.concatenate([s[~late], s[late]])[: len(s) - -(-4 * len(s) // 5) + 1].view(np.int64))
-        return {"key": rows["key"], "node": _long([_node(s) for s in sets]), "fp": pa.array(fp.view(np.int64)), "n": pa.array([len(s) for s in sets], pa.int64()), "cells": pa.array([np.bincount(s >> np.uint64(57), minlength=CELLS).astype(np.int32) for s in sets], pa.list_(pa.int32())), "first": pa.array(first, pa.list_(pa.int64()))}
+        return {"key": rows["key"], "node": _long([_node(s) for s in sets]), "fp": pa.array(fp.view(np.int64)), "n": pa.array([len(s) for s in sets], pa.int64()), "cells": pa.array([np.bincount(s >> np.uint64(57), minlength=CELLS).astype(np.int32) for s in sets], pa.list_(pa.int32())), "fine": pa.array(map(_fine, sets), pa.binary()), "first": pa.array(first, pa.list_(pa.int64()))}
 
-    return _map(docs, each, f"key {docs.schema['key'].dataType.simpleString()}, node long, fp long, n long, cells array<int>, first array<long>", words)
+    return _map(docs, each, f"key {docs.schema['key'].dataType.simpleString()}, node long, fp long, n long, cells array<int>, fine binary, first array<long>", words)
 
 
 def _possible(n: Column, at: Column, m: Column, other: Column) -> Column:
@@ -86,14 +106,32 @@ def _possible(n: Column, at: Column, m: Column, other: Column) -> Column:
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * F.least(n - at, m - other) >= 4 * (n + m))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """The (a, b) of pairs whose sets are similar; sets are made again from the texts of the documents that are met.
+def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The (a, b) of pairs that counts in cells do not tell apart.
 
-    What two sets have in common is at most the sum over the cells of the smaller count; pairs with too little of it are left out first.
+    What two sets have in common is at most the sum over the cells of the smaller count. All are told by CELLS cells first; finer
+    cells, a thirtieth of a set, then move with what is left of large sets, most of which chance has brought together.
     """
     of = {c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("cells").alias(f"cells_{c}")) for c in "ab"}
     most = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    pairs = settle(pairs.join(of["a"], "a").join(of["b"], "b").where(9 * most >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "likely")
+    left = settle(pairs.join(of["a"], "a").join(of["b"], "b").where(9 * most >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "likely")
+    large = nodes.where(F.col("fine").isNotNull())
+    met = left.join(large.select(F.col("node").alias("a"), F.col("fine").alias("x")), "a", "left").join(large.select(F.col("node").alias("b"), F.col("fine").alias("y")), "b", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, x, y = (batch.column(c) for c in ("a", "b", "x", "y"))
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array([_alike(p.as_py(), q.as_py()) for p, q in zip(x, y, strict=True)], pa.bool_()))
+
+    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """The (a, b) of pairs whose sets are similar; sets are made again from the texts of the documents that are met.
+
+    Sets move with their pairs, so pairs with too little in common are left out first.
+    """
+    pairs = settle(_likely(pairs, nodes), "likely")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     keys = small(nodes.join(ends, "node").select(F.col("least").alias("key")).distinct(), 500_000)
     own = _map(docs.join(keys, "key", "left_semi"), lambda _, x: {"node": _long([_node(s) for s in map(np.unique, x)]), "own": pa.array([np.unique(s).view(np.int64) for s in x], pa.list_(pa.int64()))}, "node long, own array<long>", words)
@@ -116,15 +154,21 @@ def _by_fingerprint(nodes: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """(key, component_id) of every row whose key is not null: the smallest key that similar pairs reach. Other rows link nothing."""
     own = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = settle(_firsts(own, words), "firsts")
-    nodes = settle(rows.groupBy("node").agg(F.min("key").alias("least"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("cells").alias("cells"), F.count("*").alias("rows")), "nodes")
-    copies = small(nodes.where("rows > 1").select("node", "least"), 500_000)
-    one = rows.join(copies, "node", "left").where(F.col("least").isNull() | (F.col("key") == F.col("least")))
-    by_h = Window.partitionBy("h").orderBy("node")
-    dealt = one.select("node", "n", F.posexplode("first").alias("at", "h"))
-    beside = dealt.select("*", F.lag("node").over(by_h).alias("_b"), F.lead("node").over(by_h).alias("_a"))
-    shared = settle(beside.where((F.col("_b") != F.col("node")) | (F.col("_a") != F.col("node"))).drop("_b", "_a"), "shared")
-    roots = settle(components(settle(_verified(settle(_by_fingerprint(nodes), "pairs"), own, nodes, words), "links")), "roots")
+
+    def tables() -> tuple[DataFrame, ...]:
+        rows = settle(_firsts(own, words), "firsts")
+        nodes = settle(rows.groupBy("node").agg(F.min("key").alias("least"), *(F.min(c).alias(c) for c in ("fp", "n", "cells", "fine")), F.count("*").alias("rows")), "nodes")
+        copies = small(nodes.where("rows > 1").select("node", "least"), 500_000)
+        one = rows.join(copies, "node", "left").where(F.col("least").isNull() | (F.col("key") == F.col("least")))
+        by_h = Window.partitionBy("h").orderBy("n", "node")
+        dealt = one.select("node", "n", F.posexplode("first").alias("at", "h"))
+        beside = dealt
+        for name, near in (("_b", F.lag), ("_a", F.lead)):  # another set of nearly the same size
+            beside = beside.withColumn(name, (near("node").over(by_h) != F.col("node")) & (5 * F.least(near("n").over(by_h), "n") >= 4 * F.greatest(near("n").over(by_h), "n")))
+        return nodes, beside.where("_b OR _a").drop("_b", "_a"), rows.select("key", "node")
+
+    nodes, shared, rows = distil(tables, "nodes", "shared", "keys")
+    roots = distil(lambda: components(settle(_verified(settle(_by_fingerprint(nodes), "pairs"), own, nodes, words), "links")), "roots")
     of_size = F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(1.25)))  # similar sets are of one class or of neighbouring ones
     for turn in range(TURNS + 1):
         state = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("size", of_size)
@@ -142,8 +186,8 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wor
         if turn == TURNS:
             met = met.where("meets < size OR node < o_node")
         pairs = settle(met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct(), "pairs")
-        if pairs.limit(1).count() and (new := settle(_verified(pairs, own, nodes, words), "links")).limit(1).count():
-            roots = settle(joined(roots, new), "roots")
+        if pairs.limit(1).count() and (new := distil(lambda: _verified(pairs, own, nodes, words), "links")).limit(1).count():  # noqa: B023
+            roots = distil(lambda: joined(roots, new), "roots")  # noqa: B023
     rooted = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(rooted.join(least, "root").select("node", "component_id"), "node").select(F.col("key").alias(key), "component_id")
@@ -151,5 +195,6 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wor
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """docs with one document of each group: that of the smallest key. Rows with a null key all stay, as do repeated rows of a key that stays."""
-    others = near_groups(docs, key=key, text=text, words=words).where(F.col(key) > F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(others, F.col(key) == F.col("_gone"), "left_anti")
+    groups = lambda: near_groups(docs, key=key, text=text, words=words)
+    others = distil(lambda: groups().where(F.col(key) > F.col("component_id")).select(F.col(key).alias("_gone")).distinct(), "others")
+    return docs.join(small(others, 500_000), F.col(key) == F.col("_gone"), "left_anti")

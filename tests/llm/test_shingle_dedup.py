@@ -1,9 +1,11 @@
+import os
 import random
+import time
 
 import pytest
 
 import corpus_pipeline
-from pulsegrid.llm import shingle_dedup
+from pulsegrid.llm import common, shingle_dedup
 from tests.llm.fixtures import SCHEMA, empty, rows, with_nulls
 from tests.llm.test_text_operators import LOWER, WORD
 
@@ -68,3 +70,65 @@ def test_odd_texts(spark):
     kept = shingle_dedup.keep_one(with_nulls(spark))
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted([*set(want.values()), 100]) and kept.where("doc_id IS NULL").count() == 2
     assert shingle_dedup.near_groups(empty(spark)).count() == 0
+
+
+def tables(spark):
+    return set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+
+
+def test_chance_meetings_of_long_documents_move_no_sets(spark, monkeypatch):
+    """Documents of 5,000 words with a passage in common meet, but share almost nothing; a near copy of one is found as before."""
+    rng, made = random.Random(4), []
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = new(400)
+    docs = [(i, [*new(5_000 + 40 * i), *passage]) for i in range(6)]
+    docs.append((7, [*docs[2][1][:4_700], *new(300)]))
+    docs = [(d, " ".join(w)) for d, w in docs]
+    kept = shingle_dedup.settle
+    monkeypatch.setattr(shingle_dedup, "settle", lambda df, name: (made.append((name, out := kept(df, name), out.count())), out)[1])
+    monkeypatch.setattr(shingle_dedup, "COMMON", 0)
+    got = {r.doc_id: r.component_id for r in shingle_dedup.near_groups(frame(spark, docs)).collect()}
+    assert got == groups_by_hand(docs) == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 7: 2}
+    assert max(n for name, _, n in made if name == "pairs") > 1 and max(n for name, _, n in made if name == "sets") == 2
+
+
+def test_counts_in_cells_keep_what_is_similar():
+    """Sets just similar enough, and cells of two sizes or that were not counted."""
+    rng = random.Random(5)
+    for n, m in ((4_095, 4_096), (1_023, 1_200), (4_000, 5_000), (9_000, 9_000)):
+        both = -(-4 * (n + m) // 9)
+        every = [rng.randrange(2**64) for _ in range(n + m - both)]
+        x, y, z = (shingle_dedup.np.array(sorted(s), "uint64") for s in (every[:n], every[n - both :], [rng.randrange(2**64) for _ in range(m)]))
+        assert len(set(map(int, x)) & set(map(int, y))) == both
+        assert shingle_dedup._alike(shingle_dedup._fine(x), shingle_dedup._fine(y))
+        assert n < 1_024 or not shingle_dedup._alike(shingle_dedup._fine(x), shingle_dedup._fine(z))
+    assert shingle_dedup._fine(shingle_dedup.np.arange(5_000, dtype="uint64")) is None  # all in one cell
+
+
+def test_only_the_result_stays_on_disk(spark, monkeypatch):
+    before, kept = tables(spark), spark.conf.get(common.SWEEP)
+    docs = pairs_around_the_bound(6, 10)
+    assert shingle_dedup.keep_one(frame(spark, docs)).count() == 15
+    assert [t.partition("-")[0] for t in tables(spark) - before] == ["others"]
+    before = tables(spark)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, lambda s, d, _: common.settle(d, "own").limit(50)) for name in ("one", "two")])
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == 50
+    assert [t.partition("-")[0] for t in tables(spark) - before] == ["two"] and spark.conf.get(common.SWEEP) == kept
+
+
+def test_shuffle_files_go_with_their_job(spark):
+    """Not when the driver happens to collect its garbage."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def names() -> set[str]:
+        files = disk.getAllFiles()
+        return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_")}
+
+    before = names()
+    for _ in range(4):
+        common.settle(spark.range(20_000).selectExpr("id % 1000 AS k").groupBy("k").count(), "counts")
+    for _ in range(10):
+        if not (left := names() - before):
+            break
+        time.sleep(0.1)
+    assert not left
